@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, quality, secrets, tokens, toxicity
+from . import binary, minhash, quality, secrets, substrings, tokens, toxicity
 from .shared import fold, read, shared_dir
 
 #: Where the tokenizer files are, on the driver and every executor.
@@ -30,6 +30,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(read(spark, sf_dir, "documents"), BYTE_BPE, ids=False, digests=True)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(read(spark, sf_dir, "documents"), k=50)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(read(spark, sf_dir, "documents"))
 
@@ -40,8 +44,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(spark, folder, shards, ids=False)
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(read(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op4_bpe, op7_quality_rules, op9_token_files)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op4_bpe, op5_substring_dedup, op7_quality_rules, op9_token_files, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
