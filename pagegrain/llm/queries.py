@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, minhash, quality, secrets, substrings, tokens, toxicity
+from . import binary, language_model, licences, minhash, quality, secrets, substrings, tiling, tokens, toxicity
 from .shared import fold, read, shared_dir
 
 #: Where the tokenizer files are, on the driver and every executor.
@@ -19,6 +19,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(read(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -34,10 +38,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(read(spark, sf_dir, "documents"), k=50)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(read(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     shards = binary.write(read(spark, sf_dir, "documents"), folder, BYTE_BPE)
@@ -49,7 +61,8 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_toxicity, op4_bpe, op5_substring_dedup, op7_quality_rules, op9_token_files, op10_minhash_dedup)}
+    every = (op1_secret_scan, op2_license_scan, op3_toxicity, op4_bpe, op5_substring_dedup, op6_decontamination, op7_quality_rules, op8_lm_score, op9_token_files, op10_minhash_dedup)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

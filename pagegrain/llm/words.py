@@ -19,6 +19,8 @@ SLICE_BYTES = 2 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NOT_ALPHANUMERIC = np.ones(256, bool)  # bytes that end a run of letters and digits; all beyond ASCII count as letters
+NOT_ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -65,10 +67,10 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 class Texts:
     """Some documents' words. ``first[i]:first[i + 1]`` are the words of document i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> None:
         self.data, self.offsets = (_LOWER[data] if lower else data), offsets
         self.n = offsets.size - 1
-        space = _SPACE[data]
+        space = space[data]
         inside = ~space
         begin, end = inside.copy(), inside.copy()
         begin[1:] &= space[:-1]
