@@ -1,0 +1,78 @@
+"""Normalising raw extraction output into blocks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.geometry import bbox_from_bounds, bbox_from_points
+from ..functions.text import extension, number_text
+
+MAX_UPLOAD = 30 * 1024 * 1024
+EXTENSIONS = (".pdf", ".png")
+SUCCESS, FAILURE = ("done", "succeeded", "success", "finished", "ok"), ("failed", "error")  # fixed values
+
+
+def map_role(kind: Column) -> Column:
+    """heading, list, table or paragraph, the first that applies."""
+    k = F.lower(F.coalesce(kind, F.lit("")))
+    return F.when(k.contains("title") | k.contains("heading") | (k == "header"), "heading").when(k.contains("list"), "list").when(k.contains("table"), "table").otherwise("paragraph")
+
+
+def page_from_one(*sources: Column) -> Column:
+    """The first source that isn't null, as a number; 0 and no number count as 1; counted from 0, never below."""
+    number = F.coalesce(*(s.cast("string") for s in sources), F.lit("1")).try_cast("double")
+    number = F.when(number.isNull() | F.isnan(number) | (number == 0), F.lit(1.0)).otherwise(number)
+    return F.greatest(F.lit(0), number.cast("int") - 1)
+
+
+def block_hash(page: Column, role: Column, box: Column, text: Column) -> Column:
+    """SHA-1 of page, role, box as JSON and text, one after another."""
+    numbers = F.concat(F.lit("["), F.array_join(F.transform(box, number_text), ","), F.lit("]"))
+    return F.sha1(F.concat(page.cast("string"), role, numbers, F.coalesce(text, F.lit(""))))
+
+
+def from_elements(df: DataFrame) -> DataFrame:
+    """Blocks of page-counted-from-one elements: columns type, category, text, text_as_html, points, and page candidates page_a, page_b, page_c."""
+    role = map_role(F.coalesce(F.nullif("type", F.lit("")), "category"))
+    box = bbox_from_points(F.col("points"))
+    page = page_from_one(F.col("page_a"), F.col("page_b"), F.col("page_c"))
+    table = F.when((role == "table") & (F.col("text_as_html") != ""), F.to_json(F.struct(F.col("text_as_html").alias("html"))))
+    out = df.withColumns({"page": page, "bbox": box, "role": role, "tableJson": table})
+    return out.withColumn("hash", block_hash(F.col("page"), F.col("role"), F.col("bbox"), F.col("text")))
+
+
+def from_structured(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of structured elements with alternative spellings: page, Page, bounds, Bounds, bound, Boundary, type, Type, text, Text, table, Table.
+
+    Read such JSON with spark.sql.caseSensitive on. Pages and roles pass through; tables keep their JSON.
+    """
+    role = F.coalesce(F.nullif("type", F.lit("")), F.nullif("Type", F.lit("")), F.lit("unknown"))
+    box = bbox_from_bounds(F.coalesce("bounds", "Bounds", "bound", "Boundary"))
+    box = F.coalesce(box, F.expr("array(0D, 0D, 0D, 0D)"))
+    return df.select(*keep, F.coalesce("page", "Page", F.lit(0)).cast("int").alias("page"), box.alias("bbox"), role.alias("role"), F.coalesce("text", "Text").alias("text"), F.when(F.lower(role) == "table", F.coalesce("table", "Table")).alias("tableJson"))
+
+
+def shaped_for_insert(blocks: DataFrame, doc: Column) -> DataFrame:
+    """Blocks as the table stores them: the box as JSON text and no hash."""
+    box = F.concat(F.lit("["), F.array_join(F.transform("bbox", number_text), ","), F.lit("]"))
+    return blocks.select(doc.alias("sourceDocId"), "page", box.alias("bbox"), "role", "text", "tableJson", F.lit(None).cast("string").alias("hash"))
+
+
+def admission(name: Column, size: Column) -> Column:
+    """Why an upload is turned away; null if it isn't."""
+    return F.when(name.isNull() | (name == ""), "no file").when(F.coalesce(size, F.lit(0)) <= 0, "empty file").when(size > MAX_UPLOAD, "file too large").when(~extension(name).isin(*EXTENSIONS), "unsupported type")
+
+
+def engine_of(requested: Column, default: str = "adobe") -> Column:
+    return F.when(F.lower(F.coalesce(F.nullif(requested, F.lit("")), F.lit(default))) == "unstructured", "unstructured").otherwise("adobe")
+
+
+def job_state(status: Column) -> Column:
+    s = F.lower(F.coalesce(status, F.lit("")))
+    return F.when(s.isin(*SUCCESS), "success").when(s.isin(*FAILURE), "failure").otherwise("running")
+
+
+def observed_pages(blocks: DataFrame) -> DataFrame:
+    """Pages of each document by its blocks: the greatest page and one."""
+    return blocks.groupBy("sourceDocId").agg((F.max("page") + 1).alias("pages"))

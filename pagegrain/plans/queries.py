@@ -1,0 +1,367 @@
+"""Each query with DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema
+from ..functions import geometry, text
+from ..operators import assign, catalog, normalize, regions, report, search
+from ..sources import adapters, files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.blocks_from_documents(read(spark, sf_dir, "documents"))
+
+
+def turn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.blocks_from_conversations(read(spark, sf_dir, "conversations"))
+
+
+LINES = r"""
+lines AS (SELECT doc_id, u.pos - 1 AS pos, u.line AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos) u),
+typed AS (SELECT *, CASE WHEN pos = 0 THEN 'Title' WHEN pos % 7 = 3 THEN 'ListItem' WHEN pos % 11 = 5 THEN 'Table' ELSE 'NarrativeText' END AS type FROM lines),
+blocks AS (SELECT doc_id * 100000 + pos AS id, doc_id AS src, CAST(pos // 10 AS INTEGER) AS page, CAST(pos % 10 * 10 AS INTEGER) AS y,
+  CASE type WHEN 'Title' THEN 'heading' WHEN 'ListItem' THEN 'list' WHEN 'Table' THEN 'table' ELSE 'paragraph' END AS role,
+  CASE WHEN type = 'Table' THEN NULL ELSE line END AS text FROM typed)"""
+TURNS = """
+blocks AS (SELECT conv_id * 1000 + turn AS id, conv_id AS src, CAST(turn AS INTEGER) AS page, role, text FROM conversations)"""
+REPORT = r"""
+per AS (SELECT src, count(*) AS total, count(*) FILTER (role = 'table') AS tables, count(*) FILTER (text IS NULL OR regexp_full_match(text, '\s*')) AS empty, sum(coalesce(length(text), 0)) AS chars, greatest(max(page), 0) AS top, list(DISTINCT page) AS seen FROM blocks GROUP BY src),
+roles AS (SELECT src, string_agg(role || ':' || n, ', ' ORDER BY role) AS roles FROM (SELECT src, role, count(*) AS n FROM blocks GROUP BY src, role) GROUP BY src),
+known AS (SELECT *, CAST(CASE WHEN {known} > 0 THEN {known} ELSE top + 1 END AS INTEGER) AS pages FROM per JOIN roles USING (src)),
+gaps AS (SELECT *, list_sort(list_filter(range(0, pages), lambda p: NOT list_contains(seen, p))) AS gap FROM known)
+SELECT src AS "docId", total AS "totalBlocks", roles AS "byRole", tables AS "tablesCount", empty AS "emptyTextBlocks", pages, array_to_string(gap, ',') AS "emptyPages", CASE WHEN pages > 0 THEN len(gap) / pages ELSE 0.0 END AS "emptyPagesShare", CAST(floor(chars / total + 0.5) AS BIGINT) AS "avgBlockLen" FROM gaps"""
+
+
+def flat_report(df: DataFrame) -> DataFrame:
+    return df.withColumn("byRole", report.role_list()).withColumn("emptyPages", F.array_join(F.array_sort("emptyPages"), ","))
+
+
+@query(f"WITH {LINES}, {REPORT.format(known='NULL')}")
+def doc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.docs_from_documents(read(spark, sf_dir, "documents"))
+    return flat_report(report.report(docs, doc_blocks(spark, sf_dir)))
+
+
+@query(f"WITH {TURNS}, {REPORT.format(known='(top + 2)')}")
+def conv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.docs_from_conversations(read(spark, sf_dir, "conversations")).withColumn("pages", F.col("pages") + 1)
+    return flat_report(report.report(docs, turn_blocks(spark, sf_dir)))
+
+
+@query(f"""WITH {TURNS}, odd AS (SELECT * FROM blocks WHERE page % 3 <> 1), top AS (SELECT src, max(page) AS top, list(page) AS seen FROM odd GROUP BY src)
+SELECT src AS "docId", CAST(p AS INTEGER) AS page FROM (SELECT src, unnest(list_filter(range(0, top + 1), lambda x: NOT list_contains(seen, x))) AS p FROM top)""")
+def empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.docs_from_conversations(read(spark, sf_dir, "conversations")).withColumn("pages", F.lit(0))
+    return report.report(docs, turn_blocks(spark, sf_dir).where("page % 3 <> 1")).select("docId", F.explode("emptyPages").alias("page"))
+
+
+@query("SELECT role, count(*) AS n FROM conversations GROUP BY role ORDER BY n DESC, role LIMIT 10")
+def role_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.top_roles(turn_blocks(spark, sf_dir))
+
+
+@query(f"WITH {LINES} SELECT doc_id AS id, 'doc-' || doc_id AS title, (SELECT count(*) FROM blocks WHERE src = doc_id) AS blocks FROM documents ORDER BY doc_id DESC LIMIT 6")
+def recent_docs_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.docs_from_documents(read(spark, sf_dir, "documents"))
+    return report.recent(docs, doc_blocks(spark, sf_dir)).select("id", "title", "blocks")
+
+
+@query(f"""WITH {LINES} SELECT d.docs, b.blocks, printf('%.2f', b.blocks / d.docs) AS "avgBlocks" FROM (SELECT count(*) AS docs FROM documents) d, (SELECT count(*) AS blocks FROM blocks) b""")
+def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.corpus_counts(read(spark, sf_dir, "documents"), doc_blocks(spark, sf_dir))
+
+
+SNIPPET = "CASE WHEN length(text) > 200 THEN substring(text, 1, 197) || '…' ELSE text END"
+
+
+@query(f"""WITH {LINES} SELECT id, src AS "docId", page, role, {SNIPPET} AS snippet FROM blocks WHERE contains(lower(text), 'the') ORDER BY id LIMIT 20""")
+def search_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(doc_blocks(spark, sf_dir), " The ")
+
+
+@query(f"""WITH {LINES} SELECT id, src AS "docId", page, role, {SNIPPET} AS snippet FROM blocks WHERE contains(lower(text), 'ción')""")
+def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(doc_blocks(spark, sf_dir), "CIÓN", limit=None)
+
+
+@query("""WITH c AS (SELECT conv_id AS id FROM conversations UNION SELECT -1),
+b AS (SELECT conv_id AS id, count(*) AS n, bool_or(lower(role) = 'table') AS t, CAST(min(turn) AS INTEGER) AS f, CAST(max(turn) AS INTEGER) AS l, string_agg(turn || ':' || role, ',' ORDER BY turn) AS s FROM conversations GROUP BY conv_id)
+SELECT c.id, coalesce(n, 0) AS "blockCount", coalesce(t, false) AS "hasTables", f AS "firstPageWithContent", l AS "lastPage", coalesce(s, '') AS blocks FROM c LEFT JOIN b USING (id)""")
+def doc_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")).distinct().union(spark.range(-1, 0))
+    out = report.doc_view(docs, turn_blocks(spark, sf_dir))
+    return out.select("id", "blockCount", "hasTables", "firstPageWithContent", "lastPage", F.array_join(F.transform("blocks", lambda b: F.concat_ws(":", b["page"], b["role"])), ",").alias("blocks"))
+
+
+@query(f"""WITH {LINES}, {REPORT.format(known='NULL')} WHERE src IN (1, 7)""")
+def compare_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.docs_from_documents(read(spark, sf_dir, "documents"))
+    return flat_report(report.compare(report.report(docs, doc_blocks(spark, sf_dir)), 1, 7)).drop("side")
+
+
+@query(f"""WITH {LINES} SELECT src AS "docId", page, string_agg(id, ',' ORDER BY id) AS ids FROM blocks GROUP BY src, page""")
+def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.page_groups(doc_blocks(spark, sf_dir)).select(F.col("sourceDocId").alias("docId"), "page", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(f"""WITH {LINES} SELECT id, CASE WHEN text IS NULL OR text = '' THEN '(no text)' WHEN length(text) > 150 THEN substring(text, 1, 147) || '…' ELSE text END AS snippet FROM blocks""")
+def ui_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_blocks(spark, sf_dir).select("id", text.ui_snippet(F.col("text")).alias("snippet"))
+
+
+NORM = r"trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g'))"
+TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+HEAD = f"""coalesce(text <> '' AND (lower(role) LIKE '%heading%' OR (length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 2 AND regexp_replace(text, '[^a-zA-Z]', '', 'g') = upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AND length({TRIM}) <= 80) OR (length({TRIM}) <= 60 AND regexp_matches({TRIM}, '^[A-Z]'))), false)"""
+
+
+@query(f"WITH {LINES} SELECT id, {NORM} AS norm, CAST(len(list_filter(string_split({NORM}, ' '), lambda w: w <> '')) AS INTEGER) AS words FROM blocks")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norm = text.normalize(F.col("text"))
+    return doc_blocks(spark, sf_dir).select("id", norm.alias("norm"), F.when(F.col("text").isNotNull(), F.size(text.words(norm))).alias("words"))
+
+
+@query(f"WITH {LINES} SELECT id, {HEAD} AS head FROM blocks")
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_blocks(spark, sf_dir).select("id", text.is_heading(F.col("role"), F.col("text")).alias("head"))
+
+
+NEEDLES = ("the", "of and", "to in", "de la", "en", "absent word")
+
+
+@query(f"""WITH {LINES}, n AS (SELECT unnest({list(NEEDLES)}) AS needle), w AS (SELECT id, string_split({NORM}, ' ') AS w FROM blocks WHERE text IS NOT NULL)
+SELECT id, needle FROM w, n WHERE list_has_all(w, string_split(needle, ' '))""")
+def word_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needles = F.array(*(F.struct(F.lit(n).alias("needle"), F.array(*map(F.lit, n.split())).alias("words")) for n in NEEDLES))
+    blocks = doc_blocks(spark, sf_dir).where("text is not null").select("id", text.words(text.normalize(F.col("text"))).alias("w"))
+    return blocks.select("id", F.explode(F.filter(needles, lambda n: text.words_included(F.col("w"), n["words"]))).alias("n")).select("id", "n.needle")
+
+
+TEMPLATE = tuple(("corpus", "Corpus", f) for f in ("The", "of and", "to in", "the and", "En", "de la", "absent word"))
+ASSIGN = f"""WITH {LINES},
+e AS (SELECT src, id, page, role, text, y AS y0, coalesce({NORM}, '') AS norm, {HEAD} AS head, text IS NULL OR regexp_full_match(text, '\\s*') AS blank, min(id) OVER (PARTITION BY src, page) AS rank FROM blocks),
+g AS (SELECT *, sum(head::INT) OVER (PARTITION BY src, page ORDER BY y0, id) AS section FROM e),
+f AS (SELECT *, sum((NOT head AND NOT blank)::INT) OVER (PARTITION BY src, page, section ORDER BY y0, id) AS nth FROM g),
+fields AS (SELECT unnest({[f for _, _, f in TEMPLATE]}) AS field, unnest(range(0, {len(TEMPLATE)})) AS pos),
+w AS (SELECT field, CAST(pos AS INTEGER) AS pos, string_split(lower(field), ' ') AS words FROM fields),
+parts AS (SELECT src, page, section, string_agg({TRIM}, ' ' ORDER BY y0, id) AS value, string_agg(id, ',' ORDER BY y0, id) AS ids FROM f WHERE NOT head AND NOT blank AND nth <= 3 AND section > 0 GROUP BY src, page, section),
+one AS (SELECT f.src, pos, coalesce(p.value, substring(f.text, 1, 120)) AS value, coalesce(p.ids, CAST(f.id AS VARCHAR)) AS ids, row_number() OVER (PARTITION BY f.src, pos ORDER BY f.rank, f.y0, f.id) AS k
+  FROM f JOIN w ON f.head AND f.norm <> '' AND list_has_all(string_split(f.norm, ' '), w.words) LEFT JOIN parts p ON p.src = f.src AND p.page = f.page AND p.section = f.section),
+two AS (SELECT src, pos, substring(text, 1, 160) AS value, CAST(id AS VARCHAR) AS ids, row_number() OVER (PARTITION BY src, pos ORDER BY id) AS k FROM e JOIN w ON norm <> '' AND list_has_all(string_split(norm, ' '), w.words)),
+cells AS (SELECT src, w.field, w.pos FROM (SELECT DISTINCT src FROM blocks), w)
+SELECT c.src AS "docId", c.field, coalesce(one.value, two.value) AS value, coalesce(one.ids, two.ids, '') AS ids FROM cells c LEFT JOIN one ON one.src = c.src AND one.pos = c.pos AND one.k = 1 LEFT JOIN two ON two.src = c.src AND two.pos = c.pos AND two.k = 1"""
+
+
+def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = assign.auto_assign(doc_blocks(spark, sf_dir), TEMPLATE)
+    return out.select("docId", "field", "value", F.array_join(F.transform("evidence", lambda x: x["blockId"].cast("string")), ",").alias("ids"))
+
+
+@query(f"SELECT \"docId\", field, value FROM ({ASSIGN})")
+def auto_assign_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assigned(spark, sf_dir).select("docId", "field", "value")
+
+
+@query(f"SELECT \"docId\", field, ids FROM ({ASSIGN})")
+def auto_assign_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assigned(spark, sf_dir).select("docId", "field", "ids")
+
+
+ROLE = "CASE WHEN contains(t, 'title') OR contains(t, 'heading') OR t = 'header' THEN 'heading' WHEN contains(t, 'list') THEN 'list' WHEN contains(t, 'table') THEN 'table' ELSE 'paragraph' END"
+
+
+@query(f"SELECT type, {ROLE} AS role, count(*) AS n FROM (SELECT type, lower(type) AS t FROM (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS type FROM pages)) GROUP BY ALL")
+def map_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.elements_from_pages(read(spark, sf_dir, "pages")).groupBy("type", "role").agg(F.count("*").alias("n"))
+
+
+HASH = "sha1(page || role || '[0,' || y || ',100,' || (y + 8) || ']' || coalesce(text, ''))"
+
+
+@query(f"WITH {LINES} SELECT id, {HASH} AS hash FROM blocks")
+def block_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = geometry.parse_bbox(F.col("bbox"))
+    return doc_blocks(spark, sf_dir).select("id", normalize.block_hash(F.col("page"), F.col("role"), box, F.col("text")).alias("hash"))
+
+
+@query(f"WITH {LINES} SELECT hash, count(*) AS n FROM (SELECT {HASH} AS hash FROM blocks) GROUP BY hash HAVING count(*) > 1")
+def duplicate_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.duplicate_keys(block_hash(spark, sf_dir), ["hash"])
+
+
+@query(r"""SELECT page_id, CASE WHEN size <= 0 THEN 'empty file' WHEN size > 31457280 THEN 'file too large' WHEN ext NOT IN ('.pdf', '.png') THEN 'unsupported type' END AS rejected
+FROM (SELECT page_id, length(html) * (page_id % 5) * 2000 AS size, CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' ELSE '.html' END AS ext FROM pages)""")
+def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    ext = F.when(F.col("page_id") % 3 == 0, ".PDF").when(F.col("page_id") % 3 == 1, ".png").otherwise(".html")
+    return pages.select("page_id", normalize.admission(F.concat(F.lit("f."), F.col("page_id").cast("string"), ext), F.length("html") * (F.col("page_id") % 5) * 2000).alias("rejected"))
+
+
+@query(r"""SELECT page_id, TRY_CAST(regexp_extract(s, '^\s*([+-]?\d+)', 1) AS BIGINT) AS loose, CASE WHEN regexp_full_match(s, '\s*[+-]?\d+\s*') THEN TRY_CAST(trim(s) AS BIGINT) END AS strict
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN page_id || 'abc' WHEN 1 THEN ' ' || page_id WHEN 2 THEN 'x' || page_id ELSE '-' || page_id END AS s FROM pages)""")
+def parse_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, s = F.col("page_id") % 4, F.col("page_id").cast("string")
+    raw = F.when(n == 0, F.concat(s, F.lit("abc"))).when(n == 1, F.concat(F.lit(" "), s)).when(n == 2, F.concat(F.lit("x"), s)).otherwise(F.concat(F.lit("-"), s))
+    return read(spark, sf_dir, "pages").select("page_id", text.parse_int(raw).alias("loose"), text.strict_int(raw).alias("strict"))
+
+
+@query("SELECT page_id, 'p ' || page_id || '&' AS q, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
+def url_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("http://x/search?a=1&q=p%20"), F.col("page_id").cast("string"), F.lit("%26&b=2"))
+    return read(spark, sf_dir, "pages").select("page_id", text.query_param(url, "q").alias("q"), F.parse_url("url", F.lit("HOST")).alias("host"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS event, count(*) AS n FROM events GROUP BY ALL")
+def log_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = adapters.log_from_events(read(spark, sf_dir, "events"))
+    return log.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN value < 0 THEN 'error' ELSE 'info' END AS level, event_type AS event, count(*) AS n FROM events GROUP BY ALL")
+def log_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.log_from_events(read(spark, sf_dir, "events")).groupBy("level", "event").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, len(json_keys(props)) AS keys, props ->> json_keys(props)[1] AS first FROM events WHERE props IS NOT NULL")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.json_object_keys("props")
+    entries = F.from_json("props", "map<string,string>")
+    return read(spark, sf_dir, "events").where("props is not null").select("event_id", F.size(keys).cast("long").alias("keys"), F.try_element_at(entries, F.get(keys, 0)).alias("first"))
+
+
+@query("""WITH new AS (SELECT * FROM (VALUES (2, 'OTHER'), (7, 'NORTH'), (7, 'NORTH'), (8, 'SOUTH')) v(k, n))
+SELECT CAST(r_regionkey AS INTEGER) AS r_regionkey, r_name FROM region UNION ALL SELECT DISTINCT k, n FROM new WHERE k NOT IN (SELECT r_regionkey FROM region)""")
+def seed_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = spark.createDataFrame([(2, "OTHER"), (7, "NORTH"), (7, "NORTH"), (8, "SOUTH")], "r_regionkey int, r_name string")
+    return catalog.insert_if_absent(read(spark, sf_dir, "region").select("r_regionkey", "r_name"), new, ["r_regionkey"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1)")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.orphans(read(spark, sf_dir, "customer"), "c_nationkey", read(spark, sf_dir, "nation").where("n_regionkey <> 1"), "n_nationkey").select("c_custkey")
+
+
+@query("""WITH gone AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) SELECT 'customer' AS child, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT * FROM gone)
+UNION ALL SELECT 'nation', count(*) FROM nation WHERE n_regionkey <> 1""")
+def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read(spark, sf_dir, "nation")
+    gone = read(spark, sf_dir, "region").where("r_regionkey = 1")
+    left = catalog.cascade(nation, "n_regionkey", gone, "r_regionkey")
+    lost = nation.join(gone, nation["n_regionkey"] == gone["r_regionkey"], "left_semi")
+    customers = catalog.cascade(read(spark, sf_dir, "customer"), "c_nationkey", lost, "n_nationkey")
+    return customers.agg(F.lit("customer").alias("child"), F.count("*").alias("n")).union(left.agg(F.lit("nation"), F.count("*")))
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES (1, 2.0, 'P1', 0.5), (3, 3.0, '', NULL), (5, NULL, NULL, 0.9)) v(id, k, profile, score))
+SELECT doc_id AS id, CASE WHEN p.id IS NOT NULL THEN CAST(p.k AS DOUBLE) ELSE 1.0 END AS scale, coalesce(nullif(p.profile, ''), lang) AS profile, coalesce(CAST(p.score AS DOUBLE), CAST(n_chars AS DOUBLE)) AS score FROM documents LEFT JOIN p ON p.id = doc_id""")
+def patch_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(1.0).alias("canvasTransform"), F.col("lang").alias("canvasProfileId"), F.col("n_chars").cast("double").alias("canvasMatchScore"))
+    patch = spark.createDataFrame([(1, 2.0, "P1", 0.5), (3, 3.0, "", None), (5, None, None, 0.9)], "id long, transform double, profile string, score double")
+    return catalog.patch_canvas(docs, patch).select("id", F.col("canvasTransform").alias("scale"), F.col("canvasProfileId").alias("profile"), F.col("canvasMatchScore").alias("score"))
+
+
+@query("""SELECT r_name AS title, n_name AS frame, coalesce(c.fields, '') AS fields FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN
+(SELECT c_nationkey, string_agg(c_name, ',' ORDER BY o NULLS FIRST, c_custkey) AS fields FROM (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey % 7 END AS o FROM customer) GROUP BY 1) c ON c_nationkey = n_nationkey""")
+def frames_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    methodologies = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("title"))
+    frames = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("methodologyId"), F.col("n_name").alias("name"), F.lower("n_name").alias("slug"), F.col("n_nationkey").alias("order"))
+    fields = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("frameId"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 7).cast("int").alias("order"))
+    return catalog.hierarchy(methodologies, frames, fields).select("title", "frame", F.array_join("fields", ",").alias("fields"))
+
+
+@query("""WITH p AS (SELECT vec_id, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM embeddings, LATERAL (SELECT unnest(range(0, len(embedding) // 2)) AS i))
+SELECT vec_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM p GROUP BY vec_id""")
+def to_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = adapters.points_from_embeddings(read(spark, sf_dir, "embeddings"))
+    return points.select("vec_id", geometry.bbox_from_points(F.col("points")).alias("b")).select("vec_id", *(F.col("b")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+@query(f"WITH {LINES} SELECT id, 0.0::DOUBLE AS x0, (700.0 - (y + 8)) * 2.0 AS y0, 200.0::DOUBLE AS x1, (700.0 - y) * 2.0 AS y1 FROM (SELECT id, CAST(y AS DOUBLE) AS y FROM blocks)")
+def bbox_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.lit(700.0)
+    t = geometry.fit(F.lit(500.0), h, *schema.CANVAS)
+    box = geometry.apply_transform(geometry.parse_bbox(F.col("bbox")), t, h)
+    return doc_blocks(spark, sf_dir).select("id", *(box[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+@query(f"WITH {LINES} SELECT id, 0.0::DOUBLE AS x, (800.0 - (y + 8)) * 6.0 AS y, 600.0::DOUBLE AS w, 48.0::DOUBLE AS h FROM (SELECT id, CAST(y AS DOUBLE) AS y FROM blocks)")
+def overlay_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.overlays(doc_blocks(spark, sf_dir), 600.0, 800.0).select("id", "rect.x", "rect.y", "rect.w", "rect.h")
+
+
+SCALE = "(CAST(embedding[2 * i + 1] AS DOUBLE) * 500 + 500) AS x, (CAST(embedding[2 * i + 2] AS DOUBLE) * 700 + 500) AS y"
+
+
+@query(f"""WITH p AS (SELECT vec_id, {SCALE} FROM embeddings, LATERAL (SELECT unnest(range(0, len(embedding) // 2)) AS i)),
+z AS (SELECT * FROM (VALUES ('core-services', 60, 260, 460, 520), ('core-value-proposition', 540, 260, 940, 520), ('value-capture', 60, 560, 460, 800), ('cost-structure', 540, 560, 940, 800)) v(zone, x0, y0, x1, y1))
+SELECT vec_id, zone, count(*) AS n FROM p JOIN z ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY ALL""")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = adapters.points_from_embeddings(read(spark, sf_dir, "embeddings")).select("vec_id", F.explode("points").alias("p"))
+    points = points.select("vec_id", (F.col("p")[0] * 500 + 500).alias("x"), (F.col("p")[1] * 700 + 500).alias("y"))
+    zones = F.array(*(F.struct(F.lit(z).alias("zone"), F.array(*(F.array(F.lit(float(a)), F.lit(float(b))) for a, b in poly)).alias("poly")) for z, _, poly in schema.ZONES))
+    hits = points.select("vec_id", F.explode(F.filter(zones, lambda z: geometry.point_in_polygon(F.col("x"), F.col("y"), z["poly"]))).alias("z"))
+    return hits.groupBy("vec_id", "z.zone").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS image, l_linenumber AS id, CAST(l_quantity AS INTEGER) - 5 AS w, CAST(l_quantity AS INTEGER) % 40 + 1 AS h FROM lineitem), a AS (SELECT *, w * h * 2 AS area FROM r)
+SELECT image, id, w, h, area FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY area DESC, id) AS k FROM a WHERE area > 1000 AND w > 0 AND h > 0) WHERE k <= 2""")
+def region_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("int")
+    boxes = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("id"), (q - 5).alias("w"), (q % 40 + 1).alias("h"))
+    return regions.top_regions(boxes.withColumn("area", F.col("w") * F.col("h") * 2), n=2)
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'playbooks/d' || page_id WHEN 1 THEN 'frames-pdf/d' || page_id WHEN 2 THEN 'frames/p' || page_id WHEN 3 THEN 'frames/x-p' || page_id ELSE 'misc' END AS unit FROM pages""")
+def unit_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("page_id") % 5, F.col("page_id").cast("string")
+    path = (
+        F.when(k == 0, F.concat(F.lit(f"{regions.PAGES_PLAYBOOKS}/d"), s, F.lit("/page-1.png"))).when(k == 1, F.concat(F.lit(f"{regions.PAGES_FRAMES}/d"), s, F.lit("/page-1.png")))
+        .when(k == 2, F.concat(F.lit(f"{regions.FRAMES_RAW}/p"), s, F.lit(".png"))).when(k == 3, F.concat(F.lit(f"{regions.FRAMES_RAW}/x/p"), s, F.lit(".png"))).otherwise(F.concat(F.lit("/tmp/p"), s, F.lit(".png")))
+    )
+    return read(spark, sf_dir, "pages").select("page_id", regions.unit_of(path).alias("unit"))
+
+
+@query("SELECT DISTINCT '/img/' || source || '-' || (doc_id % 50) || '.png' AS image FROM documents WHERE doc_id % 50 >= 20")
+def manifest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id") % 50
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('{"image": "/img/'), F.col("source"), F.lit("-"), n.cast("string"), F.lit('.png"}')).alias("value"))
+    broken = lines.where("doc_id % 7 = 0").withColumn("value", F.lit("{not json")).union(lines.where("doc_id % 7 = 1").withColumn("value", F.lit("  ")))
+    return catalog.new_manifest_rows(files.manifest_lines(lines.where(n < 20)), files.manifest_lines(lines.union(broken)).where(F.regexp_extract("image", r"-(\d+)\.png$", 1).try_cast("int") >= 20))
+
+
+@query(r"SELECT p_partkey, 'part-' || regexp_replace(lower(p_name), '\s+', '-', 'g') AS slug FROM part")
+def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", text.slug(F.lit("part"), F.col("p_name")).alias("slug"))
+
+
+@query("""WITH e AS (SELECT CASE event_id % 3 WHEN 0 THEN 'token' WHEN 1 THEN 'assets' ELSE 'extract' END AS step, CASE event_id % 8 WHEN 0 THEN 0 WHEN 1 THEN 400 WHEN 2 THEN 401 WHEN 3 THEN 403 WHEN 4 THEN 404 WHEN 5 THEN 503 ELSE 200 END AS status, CASE WHEN event_id % 8 = 6 THEN 'Read TIMEOUT' END AS error FROM events)
+SELECT step, status, CASE WHEN status = 0 THEN 'Network / DNS issue – verify connectivity & host resolution' WHEN step = 'token' AND status IN (401, 403) THEN 'Check client id/secret and project entitlements' WHEN step = 'token' AND status >= 500 THEN 'Service error – retry later'
+WHEN step = 'assets' AND status = 401 THEN 'Token invalid/expired – refresh credentials' WHEN step = 'assets' AND status = 403 THEN 'Insufficient permissions for assets scope' WHEN step = 'assets' AND status = 404 THEN 'Endpoint not found – confirm host/region'
+WHEN step = 'extract' AND status = 404 THEN 'Auth OK (invalid fake asset is expected)' WHEN step = 'extract' AND status = 400 THEN 'Auth OK (payload invalid – expected with dry run)' WHEN step = 'extract' AND status = 401 THEN 'Token rejected for extract operation' WHEN step = 'extract' AND status = 403 THEN 'Entitlement missing for extract operation'
+WHEN contains(lower(error), 'timeout') THEN 'Timeout – check network latency / firewall' ELSE 'Inspect status and logs' END AS advice, count(*) AS n FROM e GROUP BY ALL""")
+def status_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 8
+    status = F.when(k == 0, 0).when(k == 1, 400).when(k == 2, 401).when(k == 3, 403).when(k == 4, 404).when(k == 5, 503).otherwise(200)
+    step = F.when(F.col("event_id") % 3 == 0, "token").when(F.col("event_id") % 3 == 1, "assets").otherwise("extract")
+    e = read(spark, sf_dir, "events").select(step.alias("step"), status.alias("status"), F.when(k == 6, "Read TIMEOUT").alias("error"))
+    return e.groupBy("step", "status", catalog.advice(F.col("step"), F.col("status"), F.col("error")).alias("advice")).agg(F.count("*").alias("n"))
