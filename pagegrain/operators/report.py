@@ -60,7 +60,7 @@ def top_roles(blocks: DataFrame, n: int = 10) -> DataFrame:
 
 
 def corpus_counts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Documents, blocks and blocks a document with two decimals ('0' if there are none)."""
+    """Documents, blocks and blocks a document with two decimals, halves going up ('0' if there are none)."""
     both = docs.agg(F.count("*").alias("docs")).join(blocks.agg(F.count("*").alias("blocks")))
     return both.withColumn("avgBlocks", F.when(F.col("docs") > 0, F.format_string("%.2f", F.floor(F.col("blocks") / F.col("docs") * 100 + 0.5) / 100)).otherwise("0"))
 

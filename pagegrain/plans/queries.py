@@ -87,7 +87,7 @@ def recent_docs_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.recent(docs, doc_blocks(spark, sf_dir)).select("id", "title", "blocks")
 
 
-@query(f"""WITH {LINES} SELECT d.docs, b.blocks, printf('%.2f', b.blocks / d.docs) AS "avgBlocks" FROM (SELECT count(*) AS docs FROM documents) d, (SELECT count(*) AS blocks FROM blocks) b""")
+@query(f"""WITH {LINES} SELECT d.docs, b.blocks, printf('%.2f', floor(b.blocks / d.docs * 100 + 0.5) / 100) AS "avgBlocks" FROM (SELECT count(*) AS docs FROM documents) d, (SELECT count(*) AS blocks FROM blocks) b""")
 def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.corpus_counts(read(spark, sf_dir, "documents"), doc_blocks(spark, sf_dir))
 
