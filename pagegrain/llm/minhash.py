@@ -8,11 +8,11 @@ collections agree. m is the least for which a pair just at the threshold meets n
 ``MISS`` at most.
 
 Documents with equal sets form one class and go on as one. Those that meet become candidates, and candidates
-become links only after their full sets have been compared. Pairs that known links connect aren't compared:
-first every class is compared with the smallest class that it meets, then each table entry whose classes aren't yet in
-one component takes leaders of its own, fourfold more each round, until every class in it has been a leader or
-all are in one component. So copies by the thousand need a comparison each, and no link between components goes
-untested.
+become links only after their full sets have been compared. Pairs that known links connect aren't compared: first
+every class is compared with one leader, the most met of those in its table entries. Copies by the thousand
+need a comparison each. Classes of entries that aren't in one component then are compared across components, as far as
+their rarest shingles leave it open whether they are similar enough: an exact join by prefix and position, so that no link
+goes untested.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import freed, written
@@ -132,11 +132,32 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def picked(entries: DataFrame, done: int, step: int) -> DataFrame:
-    """The next ``step`` leaders of each table entry, in an order of its own. Only so many rows of an entry are ever brought together."""
-    order = Window.partitionBy("entry").orderBy(F.xxhash64("entry", "rep"), "rep")
-    ranked = entries.withColumn("k", F.row_number().over(order)).where(F.col("k") <= done + step)
-    return ranked.where(F.col("k") > done).select("entry", "rep", "n", "comp")
+def possible(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of members (rep, n, comp) of different components that may be similar enough; no others are.
+
+    With shingles ordered from rare to common, similar sets share one among the first n - ceil(n * percent / 100) + 1 of
+    each, and what may be common behind the first such one bounds their intersection. Shingles of one member alone are only
+    counted, as they come first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h, first = shingles(Texts(*utf8(part.column("text")), lower=True))
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))), pa.array(h.view(np.int64))], names=["rep", "token"])
+
+    tokens = written(texts.join(members.select("rep").distinct(), "rep").select("rep", "text").mapInArrow(run, "rep long, token long").distinct())
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(common, "token").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))).withColumn("of", F.count("*").over(Window.partitionBy("rep")))
+    sizes = tokens.groupBy("rep").agg(F.count("*").alias("n")).join(members.select("rep", "comp").distinct(), "rep")
+    placed = ranked.join(sizes, "rep").withColumn("at", F.col("n") - F.col("of") + F.col("k"))
+    prefix = written(placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("token", "rep", "n", "comp", "at"))
+    mixed = prefix.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    left = prefix.join(mixed, "token")
+    right = left.select("token", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "comp", "at")))
+    most = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")) + 1
+    met = left.join(right, "token").where((F.col("rep") < F.col("rep_")) & (F.col("comp") != F.col("comp_")) & (most * (100 + percent) >= (F.col("n") + F.col("n_")) * percent))
+    return met.select(F.col("rep").alias("x"), F.col("rep_").alias("y")).distinct()
 
 
 def components(df: DataFrame, percent: int = 80, text: str = "text", r: int = 3) -> DataFrame:
@@ -158,35 +179,20 @@ def components(df: DataFrame, percent: int = 80, text: str = "text", r: int = 3)
     some = by_key.join(shared, ["i", "key"]).groupBy("rep", "n").agg(F.collect_list(F.struct("i", "key")).alias("c")).where(F.size("c") > 1)
     pair = F.transform("c", lambda x: F.transform(F.filter("c", lambda y: y["i"] > x["i"]), lambda y: F.xxhash64(x["i"], y["i"], x["key"], y["key"])))
     entries = some.select("rep", "n", F.explode(F.flatten(pair)).alias("entry"))
-    full = entries.groupBy("entry").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("entry", "least")
+    full = entries.groupBy("entry").agg(F.count("*").alias("size")).where("size > 1")
     members = written(entries.join(full, "entry"))
     freed(docs.sparkSession)
-    reps = members.select("rep").distinct()
-    own = written(docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "text"))
+    reps = members.groupBy("rep").agg(F.sum("size").alias("met"))
+    own = written(docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text"))
     freed(docs.sparkSession)
-
-    def similar_size(x: str, y: str) -> Column:
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    labels = reps.select("rep", F.col("rep").alias("comp"))
-    first = members.where("least < rep").groupBy("rep").agg(F.min("least").alias("x")).select("x", F.col("rep").alias("y"))
-    tested = written(first)
-    labels = joined(labels, written(linked(tested, own, percent)))
-    done, step = 0, 1
-    while True:
-        placed = members.join(labels, "rep")
-        mixed = placed.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > done + 1)).select("entry")
-        open_ = written(placed.join(mixed, "entry").select("entry", "rep", "n", "comp"))
-        if open_.isEmpty():
-            break
-        leaders = picked(open_, done, step)
-        others = open_.select("entry", F.col("rep").alias("o"), F.col("n").alias("no"), F.col("comp").alias("co"))
-        met = others.join(leaders, "entry").where((F.col("comp") != F.col("co")) & similar_size("n", "no"))
-        new = met.select(F.least("rep", "o").alias("x"), F.greatest("rep", "o").alias("y")).distinct().join(tested, ["x", "y"], "left_anti")
-        new = written(new)
-        labels = joined(labels, written(linked(new, own, percent)))
-        tested = written(tested.unionByName(new))
-        done, step = done + step, step * 4
+    known = members.join(reps, "rep")
+    leader = known.groupBy("entry").agg(F.max(F.struct("met", (-F.col("rep")).alias("rep"))).alias("top"))
+    first = members.join(leader, "entry").groupBy("rep").agg(F.max("top").alias("top")).select(F.col("rep").alias("y"), (-F.col("top")["rep"]).alias("x")).where("x != y")
+    labels = joined(reps.select("rep", F.col("rep").alias("comp")), written(linked(written(first), own, percent)))
+    placed = members.join(labels, "rep")
+    mixed = placed.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("entry")
+    rest = written(placed.join(mixed, "entry").select("rep", "comp").distinct())
+    labels = joined(labels, written(linked(written(possible(rest, own, percent)), own, percent)))
     rep_of = classes.select("a", "b", "n", "rep").join(labels, "rep", "left").select("a", "b", "n", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "a", "b").join(rep_of, ["a", "b", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("comp"))
