@@ -1,0 +1,254 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagegrain import schema
+from pagegrain.functions import geometry, text
+from pagegrain.operators import assign, catalog, normalize, regions, report
+from pagegrain.sources import adapters, files
+
+BLOCK = "id long, sourceDocId long, page int, bbox string, role string, text string"
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_mock_report(spark):
+    blocks = adapters.mock_blocks(spark.createDataFrame([("A.pdf",)], "name string")).withColumn("sourceDocId", F.lit(1))
+    docs = spark.createDataFrame([(1, 2)], "id long, pages int")
+    r = report.report(docs, blocks).first()
+    assert (r["totalBlocks"], r["tablesCount"], r["emptyTextBlocks"], r["pages"], r["emptyPages"], r["emptyPagesShare"], r["avgBlockLen"]) == (5, 1, 1, 2, [0], 0.5, 19)
+    assert r["byRole"] == {"heading": 1, "paragraph": 2, "list": 1, "table": 1}
+    v = report.doc_view(docs.drop("pages"), blocks.withColumn("id", F.col("pos"))).first()
+    assert (v["blockCount"], v["hasTables"], v["firstPageWithContent"], v["lastPage"]) == (5, True, 1, 2)
+
+
+def test_report_needs_document_and_blocks(spark):
+    blocks = spark.createDataFrame([(1, 5, 3, "[]", "x", None)], BLOCK)
+    docs = spark.createDataFrame([(5, None), (6, 1)], "id long, pages int")
+    r = report.report(docs, blocks).collect()
+    assert [(x["docId"], x["pages"], x["emptyPages"], x["avgBlockLen"]) for x in r] == [(5, 4, [0, 1, 2], 0)]
+    assert report.doc_view(docs, blocks).where("id = 6").first()["blocks"] == []
+
+
+def test_elements(spark):
+    raw = """[{"type":"Title","metadata":{"page_number":1},"coordinates":{"points":[[0,0],[0,5],[9,5],[9,0]]},"text":"T"},{"type":"ListItem","metadata":{"page_number":3}},
+    {"type":"Table","text_as_html":"<table/>"},{"type":"Header"},{"type":"PageHeader"},{"type":"Table Title","page_number":0},{"type":"x","page_number":"x","coordinates":{"points":[[1,1],[2,2],[3,3]]}}]"""
+    df = spark.createDataFrame([(1, raw), (2, '{"elements":[{"category":"List"}]}'), (3, "{}"), (4, "no json")], "doc long, json string")
+    got = [(r["doc"], r["role"], r["page"], r["bbox"], r["tableJson"]) for r in files.elements(df).orderBy("doc", "pos").collect()]
+    zero = [0.0] * 4
+    assert got == [
+        (1, "heading", 0, [0.0, 0.0, 9.0, 5.0], None), (1, "list", 2, zero, None), (1, "table", 0, zero, '{"html":"<table/>"}'), (1, "heading", 0, zero, None),
+        (1, "paragraph", 0, zero, None), (1, "heading", 0, zero, None), (1, "paragraph", 0, zero, None), (2, "list", 0, zero, None),
+    ]
+
+
+def test_structured(spark):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        raw = '{"content":[{"Page":2,"Bounds":[1,2,3,4,5],"Type":"Table","Text":"a","Table":{"r":1}},{"bounds":[1,2]},{"page":1,"type":"table","table":"t"}],"elements":[{}]}'
+        rows = files.structured(spark.createDataFrame([(raw,)], "json string")).orderBy("pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert [(r["page"], r["bbox"], r["role"], r["text"], r["tableJson"]) for r in rows] == [(2, [1.0, 2.0, 3.0, 4.0], "Table", "a", '{"r":1}'), (0, [0.0] * 4, "unknown", None, None), (1, [0.0] * 4, "table", None, "t")]
+
+
+def test_hash(spark):
+    h = normalize.block_hash(F.lit(1), F.lit("heading"), F.array(*map(F.lit, (10.0, 20.0, 30.0, 40.0))), F.lit("Hi"))
+    assert one(spark, h) == "b3b8b3988098f968cfd0808a13e35295f961517c"
+
+
+def test_assignment_golden(spark):
+    rows = [(1, "heading", "USP", 0, 0), (2, "paragraph", "  ", 0, 1), (3, "paragraph", "fast delivery ", 0, 2), (4, "paragraph", "low cost", 0, 3), (5, "heading", "Mission", 0, 4), (6, "heading", "Other", 0, 5), (7, "paragraph", "we have a crm system", 1, 0), (8, "paragraph", "Миссия", 1, 1)]
+    blocks = spark.createDataFrame([(i, 1, p, f"[0,{y},1,{y}]", r, t) for i, r, t, p, y in rows], BLOCK)
+    got = {(r["slug"], r["field"]): (r["value"], [e["blockId"] for e in r["evidence"]]) for r in assign.auto_assign(blocks).collect()}
+    assert len(got) == 31
+    assert got.pop(("platform-business-model", "USP")) == ("fast delivery low cost", [3, 4])
+    assert got.pop(("platform-business-model", "Mission")) == ("Mission", [5])
+    assert got.pop(("platform-experience", "CRM")) == ("we have a crm system", [7])
+    assert all(v == (None, []) for v in got.values())
+    frames = assign.nested(assign.auto_assign(blocks)).first()["frames"]
+    assert [(f["slug"], len(f["fields"])) for f in frames] == [("platform-experience", 13), ("platform-business-model", 18)]
+
+
+def scalar_assignment(blocks, fields):
+    """The rules for one document, block by block."""
+    import re
+
+    def norm(t):
+        return re.sub("[^a-z0-9 ]", "", re.sub(r"\s+", " ", t.lower())).strip(" ")
+
+    def head(b):
+        t = (b["text"] or "").strip()
+        letters = re.sub("[^a-zA-Z]", "", t)
+        return bool(b["text"]) and ("heading" in b["role"].lower() or (len(letters) >= 2 and letters == letters.upper() and len(t) <= 80) or (len(t) <= 60 and bool(re.match("[A-Z]", t))))
+
+    pages = {}
+    for b in sorted(blocks, key=lambda b: b["id"]):
+        pages.setdefault(b["page"], []).append(b)
+    out = {}
+    for field in fields:
+        need = set(norm(field).split())
+        fits = lambda b: b["text"] and norm(b["text"]) and need <= set(norm(b["text"]).split(" "))
+        found = None
+        for page in pages.values():
+            ordered = sorted(page, key=lambda b: (b["y"], b["id"]))
+            k = next((k for k, b in enumerate(ordered) if head(b) and fits(b)), None)
+            if k is not None:
+                after = []
+                for b in ordered[k + 1 :]:
+                    if head(b) or len(after) == 3:
+                        break
+                    if b["text"] and b["text"].strip():
+                        after.append(b)
+                found = (" ".join(b["text"].strip() for b in after), [b["id"] for b in after]) if after else (ordered[k]["text"][:120], [ordered[k]["id"]])
+                break
+        if not found:
+            b = next((b for b in sorted(blocks, key=lambda b: b["id"]) if fits(b)), None)
+            found = (b["text"][:160], [b["id"]]) if b else (None, [])
+        out[field] = found
+    return out
+
+
+def test_assignment_against_scalar_rules(spark):
+    rng = random.Random(7)
+    texts = ["Alpha", "alpha beta", "BETA GAMMA", "gamma", "  ", None, "", "Beta alpha!", "delta. Alpha", "Привет", "x" * 70, "Gamma " * 20]
+    fields = ("Alpha", "beta alpha", "Gamma", "nothing")
+    docs = {d: [{"id": d * 100 + i, "page": rng.choice((3, 0, 1)), "y": rng.randint(0, 4), "role": rng.choice(("paragraph", "list", "heading")), "text": rng.choice(texts)} for i in range(rng.randint(1, 14))] for d in range(60)}
+    df = spark.createDataFrame([(b["id"], d, b["page"], f"[0,{b['y']},1,{b['y']}]", b["role"], b["text"]) for d, bs in docs.items() for b in bs], BLOCK)
+    got = {(r["docId"], r["field"]): (r["value"], [e["blockId"] for e in r["evidence"]]) for r in assign.auto_assign(df, tuple(("s", "n", f) for f in fields)).collect()}
+    assert got == {(d, f): v for d, bs in docs.items() for f, v in scalar_assignment(bs, fields).items()}
+
+
+def test_geometry(spark):
+    t = geometry.fit(F.lit(500.0), F.lit(700.0), *schema.CANVAS)
+    assert one(spark, geometry.apply_transform(F.array(*map(F.lit, (10.0, 20.0, 30.0, 40.0))), t, F.lit(700.0))) == [20.0, 1320.0, 60.0, 1360.0]
+    assert one(spark, geometry.parse_bbox(F.lit("broken"))) == [0.0] * 4
+    pixels = geometry.to_pixels(F.array(*map(F.lit, (0.1, 0.2, 0.5, 1.0))), F.lit(100.0), F.lit(50.0))
+    assert one(spark, pixels) == [10.0, 10.0, 50.0, 50.0]
+    assert tuple(one(spark, geometry.clip_xywh(F.array(*map(F.lit, (-3.5, 2.9, 7.2, 9.9)))))) == (0, 2, 7, 7)
+    assert len(one(spark, geometry.grid())) == 25
+    blocks = spark.createDataFrame([(1, "[45,545,55,555]"), (2, "[295,545,305,555]"), (3, "[245,545,255,555]")], "id long, bbox string")
+    got = regions.by_zone(blocks, [(z, p) for z, _, p in schema.ZONES], 500.0, 700.0, schema.CANVAS).orderBy("id").collect()
+    assert [r["zone"] for r in got] == ["core-services", "core-value-proposition", None]
+
+
+def test_point_in_polygon_random(spark):
+    rng = random.Random(3)
+    polys = [[[rng.uniform(0, 10), rng.choice((0.0, 2.0, 5.0, 9.0))] for _ in range(rng.randint(3, 8))] for _ in range(300)]
+    points = [(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in polys]
+
+    def inside(x, y, poly):
+        odd = False
+        for (ax, ay), (bx, by) in zip(poly, poly[-1:] + poly[:-1], strict=True):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / ((by - ay) or 1e-9) + ax:
+                odd = not odd
+        return odd
+
+    df = spark.createDataFrame([(i, *p, q) for i, (p, q) in enumerate(zip(points, polys, strict=True))], "i int, x double, y double, poly array<array<double>>")
+    got = [r["hit"] for r in df.select("i", geometry.point_in_polygon(F.col("x"), F.col("y"), F.col("poly")).alias("hit")).orderBy("i").collect()]
+    assert got == [inside(*p, q) for p, q in zip(points, polys, strict=True)]
+
+
+def test_snippets(spark):
+    assert len(one(spark, text.snippet(F.lit("x" * 201)))) == 198
+    assert one(spark, text.snippet(F.lit("x" * 200))) == "x" * 200
+    assert one(spark, text.snippet(F.lit(None).cast("string"))) is None
+    assert one(spark, text.ui_snippet(F.lit(""))) == "(no text)"
+    assert one(spark, text.trim(F.lit("﻿  a b "))) == "a b"
+    assert one(spark, text.normalize(F.lit(" A - b\n\nÉx! "))) == "a  b x"
+    assert one(spark, text.slug(F.lit("platform-experience"), F.lit("Key Expectations"))) == "platform-experience-key-expectations"
+    assert one(spark, text.title_of(F.lit("a.b.pdf"))) == "a.b"
+    assert [one(spark, text.extension(F.lit(x))) for x in ("/a/B.PDF", "/a/.env", "/a.b/c")] == [".pdf", "", ""]
+
+
+def test_units(spark):
+    cases = {"/content/pages_src/playbooks/D/page-1.png": "playbooks/D", "/content/pages_src/frames/D/page-1.png": "frames-pdf/D", "/content/src_gcs/frames/a.png": "frames/a", "/content/src_gcs/frames/x/a.png": "frames/x-a", "/other/a.png": "misc"}
+    df = spark.createDataFrame([(p,) for p in cases], "path string")
+    assert {r["path"]: r["unit"] for r in df.select("path", regions.unit_of(F.col("path")).alias("unit")).collect()} == cases
+
+
+def test_admission(spark):
+    rows = [(None, 5), ("a.pdf", 0), ("a.pdf", 31 << 20), ("a.txt", 5), ("A.PNG", 30 << 20), ("a.pdf", None)]
+    df = spark.createDataFrame(rows, "name string, size long")
+    assert [r["why"] for r in df.select(normalize.admission(F.col("name"), F.col("size")).alias("why")).collect()] == ["no file", "empty file", "file too large", "unsupported type", None, "empty file"]
+    assert one(spark, normalize.engine_of(F.lit(None).cast("string"))) == "adobe"
+    assert [one(spark, normalize.job_state(F.lit(s))) for s in ("DONE", "error", "x")] == ["success", "failure", "running"]
+
+
+def test_catalog(spark):
+    table = spark.createDataFrame([(1, "a"), (2, None)], "id long, k string")
+    new = spark.createDataFrame([(9, "a"), (9, None), (9, "b"), (9, "b")], "id long, k string")
+    once = catalog.insert_if_absent(table, new, ["k"])
+    assert sorted(map(str, once.collect())) == sorted(map(str, catalog.insert_if_absent(once, new, ["k"]).collect()))
+    assert once.count() == 3
+    ids = catalog.append_with_ids(table, spark.range(0, 50, 1, 7).selectExpr("id", "cast(id as string) k"))
+    assert sorted(r["id"] for r in ids.collect()) == list(range(1, 53))
+    assert catalog.reset(table, table)[2] == {"docs": 2, "blocks": 2}
+    assert catalog.append_with_ids(table.limit(0), table.limit(0)).count() == 0
+    totals = catalog.batch_totals(spark.createDataFrame([(1, False, 0, None), (2, True, 5, 7), (3, True, 2, 4)], "seq int, ok boolean, blocks int, docId long")).first()
+    assert tuple(totals) == (True, 7, 7, 4)
+
+
+def test_hierarchy_falls_back(spark):
+    empty = spark.createDataFrame([], schema.FRAME)
+    fallback = spark.createDataFrame([("m", "s", "f", None, ["x"])], "title string, slug string, frame string, `order` int, fields array<string>")
+    out = catalog.hierarchy(spark.createDataFrame([], schema.METHODOLOGY), empty, spark.createDataFrame([], schema.FIELD), fallback)
+    assert [r["slug"] for r in out.collect()] == ["s"]
+    assert schema.target_fields(spark).count() == 31
+    assert schema.frame_fields(spark).count() == 51
+
+
+def test_files(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    with zipfile.ZipFile(tmp_path / "in" / "a.zip", "w") as z:
+        z.writestr("x.txt", "no")
+        z.writestr("out/StructuredData.json", '{"elements":[{"text":"hi"}]}')
+    (tmp_path / "in" / "sub" / "b.pdf").write_bytes(b"%PDF")
+    listed = files.listing(spark, str(tmp_path / "in"))
+    assert sorted((r["name"], r["ext"]) for r in listed.collect()) == [("a.zip", ".zip"), ("b.pdf", ".pdf")]
+    assert [r["name"] for r in files.uploads(listed).where("rejected is null").collect()] == ["b.pdf"]
+    assert files.unzipped(files.whole(spark, str(tmp_path / "in" / "a.zip"))).first()["json"].startswith("{")
+    (tmp_path / "m.jsonl").write_text('{"image": "a"}\n\nnot json\n{"x": 1}\n{"image": "b"}\n')
+    assert sorted(r["image"] for r in files.manifest(spark, str(tmp_path / "m.jsonl")).collect()) == ["a", "b"]
+    lines = spark.createDataFrame([("A=1",), ("# no",), ("B = 'x y' ",)], "value string")
+    assert [tuple(r) for r in files.env_lines(lines).collect()] == [("A", "1"), ("B", "x y")]
+    assert one(spark, files.page_count(F.lit("Title: x\nPages:   12\n"))) == 12
+    assert one(spark, files.page_count(F.lit("none"))) == 0
+    log = adapters.log_from_events(spark.createDataFrame([(1, "a", -1.0, None)], "event_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp(F.lit("2024-05-06 23:00:00"))))
+    files.write_log(log.drop("day"), str(tmp_path / "log"))
+    assert (tmp_path / "log" / "day=2024-05-06").is_dir()
+    found = files.first_string(spark.createDataFrame([(1, '{"a":{"downloadUri":"https://x"},"b":"https://y"}'), (2, "bad"), (3, None)], "i int, json string"), "download", "^https?://").orderBy("i").collect()
+    assert [r["found"] for r in found] == ["https://x", None, None]
+
+
+def test_regions(spark):
+    pixels = spark.createDataFrame([(1, 2, 3), (1, 5, 1), (2, None, None)], "mask int, x int, y int")
+    assert [tuple(r) for r in regions.mask_box(pixels).orderBy("mask").collect()] == [(1, 2, 1, 5, 3, 2), (2, 0, 0, -1, -1, 0)]
+    paths = spark.createDataFrame([("/o/playbooks/d/region-0.json",), ("/o/playbooks/d/region-0.png",), ("/o/frames/e/region-0.json",)], "path string")
+    assert tuple(regions.summary(paths).first()) == (2, 1, 2)
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, None)]])
+def test_empty_and_null(spark, rows):
+    blocks = spark.createDataFrame(rows, BLOCK)
+    assert report.report(spark.createDataFrame([], "id long, pages int"), blocks).count() == 0
+    assert report.page_groups(blocks).count() == len(rows)
+    assert assign.auto_assign(blocks).count() == 31 * len(rows)
+
+
+def test_stream(spark, tmp_path):
+    from pagegrain import streaming
+
+    rows = spark.range(100).selectExpr("id", "timestamp_seconds(id * 600) as ts", "if(id % 3 = 0, 'a', 'b') as event_type")
+    rows.repartition(3).write.parquet(str(tmp_path / "events"))
+    schema_ = "id long, ts timestamp, event_type string"
+    stream = streaming.windowed_counts(streaming.event_stream(spark, str(tmp_path / "events"), schema_), late="100 days")
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    batch = streaming.windowed_counts(rows)
+    assert sorted(map(str, spark.table("counts").collect())) == sorted(map(str, batch.collect()))
