@@ -69,13 +69,12 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, dt
             off_out.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
                 for part in slices(batch):
-                    found = list(encoder.encode(part.column("text").to_pylist()))
-                    for ids in found:
-                        ids_out.write(ids.astype(kind).tobytes())
-                        ids_out.write(end.tobytes())
-                    off_out.write((total + np.cumsum([x.size + end.size for x in found])).astype("<i8").tobytes())
+                    flat, bounds = encoder.encode(part.column("text"))
+                    bounds = bounds + end.size * np.arange(bounds.size)
+                    ids_out.write(np.insert(flat, bounds[1:] - end.size * np.arange(1, bounds.size), end_id or 0).astype(kind).tobytes() if end.size else flat.astype(kind).tobytes())
+                    off_out.write((total + bounds[1:]).astype("<i8").tobytes())
                     doc_out.write(part.column("doc_id").fill_null(NULL_ID).to_numpy().astype("<i8").tobytes())
-                    docs, total = docs + len(found), total + sum(x.size + end.size for x in found)
+                    docs, total = docs + part.num_rows, total + int(bounds[-1])
         for ending in ("bin", "off", "doc"):
             if docs and files.get_file_info(f"{top}/{name}.{ending}").type == fs.FileType.NotFound:
                 files.move(f"{temporary}.{ending}", f"{top}/{name}.{ending}")

@@ -12,19 +12,21 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from .words import mix, span_hash, utf8
+
 #: The split pattern of byte-level tokenizer files with use_regex. White space is
 #: Unicode White_Space, as in the library; regex's own \s also takes U+001C to U+001F.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
-
-_SPACED = [" " + c for c in sorted(SPACES)]
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 NEVER = np.iinfo(np.int64).max
+LONG = 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -34,6 +36,51 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+OTHER, LETTER, NUMBER, SPACE = range(4)
+_kinds: list[np.ndarray] = []
+
+
+def char_kinds() -> np.ndarray:
+    """The split pattern's kind of every code point."""
+    if not _kinds:
+        kinds = np.full(0x110000, OTHER, np.uint8)
+        codes = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype(np.uint32)
+        every = codes.tobytes().decode("utf-32-le")
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+            for m in regex.finditer(pattern, every):
+                kinds[codes[m.start() : m.end()]] = kind
+        _kinds.append(kinds)
+    return _kinds[0]
+
+
+class Table:
+    """A hash table from whole numbers to whole numbers, probed for many keys at once. Absent keys give -1."""
+
+    def __init__(self, keys: list[int], values: list[int], bits: int) -> None:
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        for key, value, at in zip(keys, values, self._slot(np.array(keys, np.int64)).tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.mask
+            self.keys[at], self.values[at] = key, value
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], -1)
+        more = np.flatnonzero((found != keys) & (found >= 0))
+        while more.size:
+            slot[more] = (slot[more] + 1) & self.mask
+            found = self.keys[slot[more]]
+            hit = found == keys[more]
+            out[more[hit]] = self.values[slot[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
+
+
 class Vocabulary:
     """A byte-level BPE tokenizer file of the tokenizers library."""
 
@@ -63,25 +110,48 @@ class Vocabulary:
             self.rank[a, b] = (r, made)
             if self.born[made] < 0:
                 self.born[made], self.left[made], self.right[made] = r, a, b
-        keys = np.array([(a << 32) | b for a, b in self.rank], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.rank.values()], np.int64)[order]
-        self.longest: dict[bytes, int] = {}
-        for b in self.id_of:
-            self.longest[b[:2]] = max(self.longest.get(b[:2], 1), len(b))
+        self.pairs = Table([(a << 24) | b for a, b in self.rank], [(r << 24) | made for r, made in self.rank.values()], 18)
+        nodes, edges, accepts = {b"": 0}, {}, [-1]
+        for word, token in self.id_of.items():
+            for i in range(len(word)):
+                if word[: i + 1] not in nodes:
+                    nodes[word[: i + 1]] = len(accepts)
+                    edges[nodes[word[:i]] << 8 | word[i]] = len(accepts)
+                    accepts.append(-1)
+            accepts[nodes[word]] = token
+        self.trie, self.accepts = Table(list(edges), list(edges.values()), 20), np.array(accepts)
+        self.byte_ids = np.array([self.id_of[bytes([b])] for b in range(256)])
+        self.lengths = np.array([len(p) for p in self.pieces])
         self.split = regex.compile(PATTERN)
 
-    def greedy(self, word: bytes) -> list[int]:
-        """Longest vocabulary entry first, from the left."""
-        out, at, n = [], 0, len(word)
-        longest, id_of = self.longest, self.id_of
-        while at < n:
-            stop = min(n, at + longest.get(word[at : at + 2], 1))
-            while (token := id_of.get(word[at:stop])) is None:
-                stop -= 1
-            out.append(token)
-            at = stop
-        return out
+    def greedy(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words cut into longest vocabulary entries from the left: tokens and each one's word, in order.
+
+        All words walk the trie of the vocabulary side by side, a byte a step; one that can't go on
+        emits the last token it passed and starts again behind it.
+        """
+        word, at, stop = np.arange(starts.size), starts.copy(), ends
+        node, token, behind = np.zeros(word.size, np.int64), np.full(word.size, -1), at.copy()
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+        while word.size:
+            inside = at < stop
+            to = np.where(inside, self.trie.get((node << 8) | data[np.where(inside, at, 0)]), -1)
+            go = to >= 0
+            at = np.where(go, at + 1, behind)
+            node = np.where(go, to, 0)
+            accepted = np.where(go, self.accepts[node], -1)
+            fresh = accepted >= 0
+            if not go.all():
+                made.append((word[~go], token[~go]))
+            token, behind = np.where(fresh, accepted, token), np.where(fresh, at, behind)
+            open_ = go | (at < stop)
+            if not open_.all():
+                word, at, stop, node, token, behind = (x[open_] for x in (word, at, stop, node, token, behind))
+        if not made:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words, tokens = (np.concatenate(x) for x in zip(*made, strict=True))
+        order = np.argsort(words, kind="stable")
+        return tokens[order], words[order]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair of tokens: would merging their joined bytes give just these two?
@@ -95,9 +165,8 @@ class Vocabulary:
         at, x, y = np.arange(a.size), a.astype(np.int64), b.astype(np.int64)
         x_gone, y_gone = np.full(a.size, NEVER), np.full(a.size, NEVER)
         while at.size:
-            keys = (x << 32) | y
-            found = np.minimum(np.searchsorted(self.pair_keys, keys), self.pair_keys.size - 1)
-            rank = np.where(self.pair_keys[found] == keys, self.pair_ranks[found], NEVER)
+            found = self.pairs.get((x << 24) | y)
+            rank = np.where(found >= 0, found >> 24, NEVER)
             crossed = (rank < x_gone) & ((rank < y_gone) | ((rank == y_gone) & (rank != NEVER)))
             ok[at[crossed]] = False
             x_born, y_born = self.born[x], self.born[y]
@@ -107,25 +176,47 @@ class Vocabulary:
             x, y, at = np.where(undo_x, self.right[x], x)[go], np.where(undo_x, y, self.left[y])[go], at[go]
         return ok
 
-    def merged(self, word: bytes) -> list[int]:
-        """Exact merging: always the pair of lowest rank, leftmost first."""
-        tokens = [self.id_of[word[i : i + 1]] for i in range(len(word))]
-        if len(tokens) > 64:
-            return self._merged_long(tokens)
-        rank = self.rank
-        ranks = [rank.get(p, (NEVER, 0))[0] for p in zip(tokens, tokens[1:], strict=False)]
-        while ranks and (low := min(ranks)) != NEVER:
-            i = ranks.index(low)
-            tokens[i : i + 2] = [rank[tokens[i], tokens[i + 1]][1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank.get((tokens[i - 1], tokens[i]), (NEVER, 0))[0]
-            if i < len(ranks):
-                ranks[i] = rank.get((tokens[i], tokens[i + 1]), (NEVER, 0))[0]
-        return tokens
-
-    def _merged_long(self, tokens: list[int]) -> list[int]:
+    def merged(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+        """Exact merging of words up to LONG bytes: always the pair of lowest rank, leftmost first, a merge of each word a turn."""
+        size = ends - starts
+        width = int(size.max())
+        column = np.arange(width)
+        tokens = np.where(column < size[:, None], self.byte_ids[data[np.minimum(starts[:, None] + column, data.size - 1)]], -1)
+        rank = self._ranks(tokens[:, :-1], tokens[:, 1:])
+        out: list[list[int]] = [[]] * size.size
+        word = np.arange(size.size)
+        while word.size:
+            i = rank.argmin(axis=1) if width > 1 else np.zeros(word.size, np.int64)
+            low = rank[np.arange(word.size), i] if width > 1 else np.full(word.size, NEVER)
+            done = low == NEVER
+            if done.any():
+                for w, t in zip(word[done].tolist(), tokens[done].tolist(), strict=True):
+                    out[w] = [x for x in t if x >= 0]
+                go = ~done
+                word, tokens, rank, i, low = word[go], tokens[go], rank[go], i[go], low[go]
+                if not word.size:
+                    break
+            rows = np.arange(word.size)
+            tokens[rows, i] = low & 0xFFFFFF
+            behind = column[:-1] > i[:, None]
+            tokens[:, :-1] = np.where(behind, tokens[:, 1:], tokens[:, :-1])
+            tokens[:, -1] = -1
+            rank[:, :-1] = np.where(behind[:, :-1] | (column[:-2] == i[:, None]), rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = NEVER
+            rank[rows, i] = self._ranks(tokens[rows, i], tokens[rows, np.minimum(i + 1, width - 1)])
+            left = np.maximum(i - 1, 0)
+            rank[rows, left] = np.where(i > 0, self._ranks(tokens[rows, left], tokens[rows, i]), rank[rows, left])
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and product (rank << 24 | token) of pairs; NEVER where there is none."""
+        a, b = np.broadcast_arrays(a, b)
+        found = self.pairs.get(((a << 24) | b).ravel()).reshape(a.shape)
+        return np.where((found >= 0) & (b >= 0), found, NEVER)
+
+    def merged_long(self, word: np.ndarray) -> list[int]:
         """The same with a heap and linked neighbours, for words of any length."""
+        tokens = self.byte_ids[word].tolist()
         n, rank = len(tokens), self.rank
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(rank[p][0], i, *p) for i, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in rank]
@@ -144,118 +235,208 @@ class Vocabulary:
                     heapq.heappush(heap, (rank[p][0], left, *p))
         return [t for t in tokens if t >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Greedy proposals, checked all at once; exact merging for those that fail."""
-        out = [self.greedy(w) for w in words]
-        counts = np.array([len(t) for t in out])
-        flat = np.array([t for w in out for t in w], np.int64)
-        if flat.size > 1:
-            word = np.repeat(np.arange(len(words)), counts)
-            inside = np.flatnonzero(word[1:] == word[:-1])
-            pairs, back = np.unique((flat[inside] << 32) | flat[inside + 1], return_inverse=True)
-            ok = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
-            for i in np.unique(word[inside[~ok]]).tolist():
-                out[i] = self.merged(words[i])
-        return out
-
-    def words(self, text: str) -> list[bytes]:
-        """Words by the split pattern; that of letters, or letters and a full stop or comma, is plain."""
-        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-            return [text.encode()]
-        if text[-1:] in (".", ",") and text[1:-1].isalpha() and (text[0] == " " or text[0].isalpha()):
-            return [text[:-1].encode(), text[-1].encode()]
-        return [w.encode() for w in self.split.findall(text)]
-
-    def encode_pieces(self, texts: list[str]) -> list[list[int]]:
-        words = [self.words(t) for t in texts]
-        new = list({w for ws in words for w in ws})
-        ids = dict(zip(new, self.encode_words(new), strict=True))
-        return [[t for w in ws for t in ids[w]] for ws in words]
+    def encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy proposals, checked all at once; exact merging for words that fail. Tokens of all words, and counts."""
+        size = ends - starts
+        short = np.flatnonzero(size <= LONG)
+        tokens, word = self.greedy(data, starts[short], ends[short])
+        word = short[word]
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        pairs, back = np.unique((tokens[inside] << 24) | tokens[inside + 1], return_inverse=True)
+        bad = np.zeros(size.size, bool)
+        bad[word[inside[~self.compatible(pairs >> 24, pairs & 0xFFFFFF)[back]]]] = True
+        good = ~bad[word]
+        parts, of = [tokens[good]], [word[good]]
+        failed = np.flatnonzero(bad)
+        failed = failed[np.argsort(size[failed], kind="stable")]
+        for some in np.array_split(failed, max(1, failed.size // 2048)):
+            if some.size:
+                exact = self.merged(data, starts[some], ends[some])
+                parts.append(np.fromiter((t for w in exact for t in w), np.int64))
+                of.append(np.repeat(some, [len(w) for w in exact]))
+        for i in np.flatnonzero(size > LONG).tolist():
+            exact = self.merged_long(data[starts[i] : ends[i]])
+            parts.append(np.array(exact))
+            of.append(np.full(len(exact), i))
+        tokens, word = np.concatenate(parts), np.concatenate(of)
+        return tokens[np.argsort(word, kind="stable")], np.bincount(word, minlength=size.size)
+
+    def encode_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces, and counts by piece.
+
+        Within a piece without white space behind its first place and without apostrophes, words end where the kind
+        of character changes (a space in front goes with what follows). The pattern cuts the others.
+        """
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(size)
+        starts = ends - size
+        kinds = char_kinds()[chars]
+        piece = np.repeat(np.arange(len(texts)), size)
+        odd = (kinds == SPACE) | (chars == 0x27)
+        led = starts[(size > 1) & (chars[np.minimum(starts, max(0, chars.size - 1))] == 0x20)]
+        odd[led] = False
+        plain = np.ones(len(texts), bool)
+        plain[piece[odd]] = False
+        cut = np.ones(chars.size, bool)
+        cut[1:] = kinds[1:] != kinds[:-1]
+        cut[starts] = True
+        cut[led + 1] = False
+        where = np.flatnonzero(cut & plain[piece])
+        width = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+        place = np.concatenate([[0], np.cumsum(width)])
+        last = np.append(where[1:], chars.size)
+        last = np.minimum(last, ends[piece[where]])
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        tokens, counts = self.encode_words(data, place[where], place[last])
+        of = np.repeat(piece[where], counts)
+        if not plain.all():
+            rest = [(i, w.encode()) for i in np.flatnonzero(~plain).tolist() for w in self.split.findall(texts[i])]
+            size = np.fromiter((len(w) for _, w in rest), np.int64, len(rest))
+            more, counts = self.encode_words(np.frombuffer(b"".join(w for _, w in rest), np.uint8), np.cumsum(size) - size, np.cumsum(size))
+            tokens, of = np.concatenate([tokens, more]), np.concatenate([of, np.repeat([i for i, _ in rest], counts)])
+            tokens, of = tokens[np.argsort(of, kind="stable")], np.sort(of)
+        return tokens, np.bincount(of, minlength=len(texts))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Bytes that are no UTF-8 become U+FFFD; ids out of range raise."""
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Cache:
+    """From 64-bit keys to numbers counted up from 0; open addressing, probed and filled for many keys at once."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.size, self.bits = 0, bits
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], -1).astype(np.int64)
+        more = np.flatnonzero((found != keys) & (found != 0))
+        while more.size:
+            slot[more] = (slot[more] + 1) & (self.keys.size - 1)
+            found = self.keys[slot[more]]
+            hit = found == keys[more]
+            out[more[hit]] = self.values[slot[more[hit]]]
+            more = more[~hit & (found != 0)]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """New, distinct keys get the next numbers."""
+        while 2 * (self.size + keys.size) > self.keys.size:
+            old = np.flatnonzero(self.keys)
+            was, value = self.keys[old], self.values[old]
+            self.__init__(self.bits + 1)
+            self._put(was, value)
+            self.size = was.size
+        self._put(keys, np.arange(self.size, self.size + keys.size, dtype=np.int32))
+        self.size += keys.size
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slot = self._slot(keys)
+        while keys.size:
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]  # of several for one slot, one stays
+            won = free & (self.keys[slot] == keys)
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & (self.keys.size - 1)
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut without changing their tokens: at their starts, and before each space that a non-space of the same text follows."""
+    at = np.flatnonzero(data[:-1] == 0x20)
+    follows = data[at + 1]
+    blank = (follows == 0x20) | ((follows >= 0x09) & (follows <= 0x0D))
+    wide = np.flatnonzero(np.isin(follows, _WIDE_FIRST))
+    if wide.size:
+        raw = data.tobytes()
+        blank[wide] = [raw.startswith(_WIDE, i) for i in (at[wide] + 1).tolist()]
+    cut = np.zeros(data.size, bool)
+    cut[at[~blank]] = True
+    starts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    cut[starts[starts > 0] - 1] = False
+    cut[starts] = True
+    return np.flatnonzero(cut)
+
+
+_WIDE = tuple(c.encode() for c in SPACES if ord(c) > 0x7F)
+_WIDE_FIRST = np.array(sorted({c[0] for c in _WIDE}), np.uint8)
+
+
 class Encoder:
-    """Encodes texts piece by piece with a bounded cache. ``encode_new`` encodes unseen pieces."""
+    """Encodes texts piece by piece; pieces' tokens are cached by a 64-bit hash and the length. ``encode_new`` encodes unseen pieces."""
 
-    def __init__(self, vocabulary: Vocabulary, encode_new: Callable[[list[str]], list[list[int]]] | None = None, cache_chars: int = 6 << 20) -> None:
-        self.v, self.encode_new, self.cache_chars = vocabulary, encode_new or vocabulary.encode_pieces, cache_chars
+    def __init__(self, vocabulary: Vocabulary, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, cache_pieces: int = 2_000_000) -> None:
+        self.v, self.encode_new, self.cache_pieces = vocabulary, encode_new or vocabulary.encode_pieces, cache_pieces
+        self.added = [a.encode() for a in vocabulary.added]
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.cache = Cache()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length, self.chars = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def _pieces(self, text: str) -> list[str]:
-        """Cut before each space that a non-space follows. That space is left out; the first piece, which has none, is marked by one."""
-        cut = text.split(" ")
-        if text[-1:] == " " or any(p in text for p in (_SPACED[:6] if text.isascii() else _SPACED)):
-            joined = [cut[0]]
-            for p in cut[1:]:
-                if p and p[0] not in SPACES:
-                    joined.append(p)
-                else:
-                    joined[-1] += " " + p
-            cut = joined
-        cut[0] = " " + cut[0]
-        return cut
-
-    def _add(self, new: list[str]) -> None:
-        ids = self.encode_new([p[1:] if p[:1] == " " else " " + p for p in new])
-        counts = np.array([len(t) for t in ids], np.int64)
-        total, n = int(counts.sum()), len(self.index)
-        while self.used + total > self.flat.size:
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids, counts = self.encode_new(pieces)
+        n = self.cache.size
+        while self.used + ids.size > self.flat.size:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(new) > self.start.size:
+        while n + counts.size > self.start.size:
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + total] = [t for w in ids for t in w]
-        self.start[n : n + len(new)] = self.used + np.cumsum(counts) - counts
-        self.length[n : n + len(new)] = counts
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
-        self.used += total
-        self.chars += sum(map(len, new))
-
-    def _plain(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if self.chars > self.cache_chars:
+        self.flat[self.used : self.used + ids.size] = ids
+        self.start[n : n + counts.size] = self.used + np.cumsum(counts) - counts
+        self.length[n : n + counts.size] = counts
+        self.cache.add(keys)
+        self.used += ids.size
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of texts without added tokens, and their bounds."""
+        if not data.size:
+            return np.zeros(0, np.int32), np.zeros(offsets.size, np.int64)
+        if self.cache.size > self.cache_pieces:
             self.clear()
-        cut = [self._pieces(t) if t else [] for t in texts]
-        every = [p for c in cut for p in c]
-        at = list(map(self.index.get, every))
-        if None in at:
-            self._add(list({p for p, i in zip(every, at, strict=True) if i is None}))
-            at = list(map(self.index.__getitem__, every))
-        at = np.array(at, np.int64)
-        counts, stops = self.length[at], np.cumsum(self.length[at])
-        flat = self.flat[np.repeat(self.start[at] - stops + counts, counts) + np.arange(stops[-1] if stops.size else 0)]
-        ends = np.concatenate([[0], stops])[np.cumsum([0, *map(len, cut)])]
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            yield flat[a:b]
-
-    def encode(self, texts: list[str | None], chars: int = 1 << 20) -> Iterator[np.ndarray]:
-        """Token ids of each text (null: none), with added tokens found in the text."""
-        group: list[str] = []
-        marks: list[list[int | None]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            text = text or ""
-            mark: list[int | None] = [None]
-            if self.v.added_split and any(a in text for a in self.v.added):
-                parts = self.v.added_split.split(text)
-                mark = [self.v.added[p] if k % 2 else None for k, p in enumerate(parts)]
-                group += parts[::2]
-            else:
-                group.append(text)
-            marks.append(mark)
-            size += len(text)
-            if size >= chars or i == len(texts) - 1:
-                ids = self._plain(group)
-                for m in marks:
-                    got = [next(ids) if x is None else np.array([x], np.int32) for x in m]
-                    yield got[0] if len(got) == 1 else np.concatenate(got)
-                group, marks, size = [], [], 0
+        starts = piece_starts(data, offsets)
+        ends = np.append(starts[1:], data.size)
+        keys = mix(span_hash(data, starts, ends) + (ends - starts).astype(np.uint64)) | np.uint64(1)
+        at = self.cache.get(keys)
+        missing = np.flatnonzero(at < 0)
+        if missing.size:
+            new, first = np.unique(keys[missing], return_index=True)
+            raw = data.tobytes()
+            where = missing[first]
+            self._add(new, [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            at[missing] = self.cache.get(keys[missing])
+        counts = self.length[at]
+        stops = np.cumsum(counts, dtype=np.int64)
+        flat = self.flat[np.repeat(self.start[at] - stops + counts, counts) + np.arange(stops[-1])]
+        return flat, np.concatenate([[0], stops])[np.searchsorted(starts, offsets)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts one after another (null: none), with added tokens found in them, and each text's bounds."""
+        data, offsets = utf8(texts)
+        raw = data.tobytes() if self.added else b""
+        if not any(a in raw for a in self.added):
+            return self._plain(data, offsets)
+        parts, text, token = [], [], []
+        for i, t in enumerate(texts.to_pylist()):
+            for k, p in enumerate(self.v.added_split.split(t or "")):
+                parts.append("" if k % 2 else p)
+                text.append(i)
+                token.append(self.v.added[p] if k % 2 else -1)
+        flat, bounds = self._plain(*utf8(pa.array(parts, pa.string())))
+        text, token = np.array(text), np.array(token)
+        special = np.flatnonzero(token >= 0)
+        counts = np.bincount(text, np.diff(bounds) + (token >= 0), minlength=len(texts)).astype(np.int64)
+        return np.insert(flat, bounds[special], token[special]), np.concatenate([[0], np.cumsum(counts)])
+
+    def encode_texts(self, texts: list[str | None]) -> list[np.ndarray]:
+        flat, bounds = self.encode(pa.array(texts, pa.string()))
+        return np.split(flat, bounds[1:-1])
 
 
 _loaded: dict[tuple[str, str], Encoder] = {}
@@ -271,14 +452,33 @@ def worker_encoder(path: str) -> Encoder:
 def library_encoder(path: str) -> Encoder:
     """This Python worker's encoder whose unseen pieces the tokenizers library encodes."""
     if (key := ("library", path)) not in _loaded:
-        from tokenizers import Tokenizer
-
         import os
 
+        from tokenizers import Tokenizer
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
         t.encode_special_tokens = True  # the encoder has cut them out
-        _loaded[key] = Encoder(Vocabulary(path), lambda new: [e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)])
+        v = Vocabulary(path)
+
+        def encode_new(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """All pieces that start with a space as one text, as no token crosses their bounds; token lengths tell whose they are."""
+            spaced = np.fromiter((p[0] == " " and p[1:2] not in SPACES for p in new), bool, len(new))
+            parts, of = [], []
+            rows = np.flatnonzero(spaced)
+            if rows.size:
+                ids = np.array(t.encode_batch_fast(["".join(new[i] for i in rows.tolist())], add_special_tokens=False)[0].ids)
+                stops = np.cumsum([len(new[i].encode()) for i in rows.tolist()])
+                parts.append(ids)
+                of.append(rows[np.searchsorted(stops, np.cumsum(v.lengths[ids]))])
+            rows = np.flatnonzero(~spaced)
+            for i, e in zip(rows.tolist(), t.encode_batch_fast([new[i] for i in rows.tolist()], add_special_tokens=False), strict=True):
+                parts.append(np.array(e.ids, np.int64))
+                of.append(np.full(len(e.ids), i))
+            tokens, piece = np.concatenate(parts), np.concatenate(of)
+            return tokens[np.argsort(piece, kind="stable")], np.bincount(piece, minlength=len(new))
+
+        _loaded[key] = Encoder(v, encode_new)
     return _loaded[key]

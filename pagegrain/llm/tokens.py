@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,11 +35,12 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
         decode = encoder.v.decode
         for batch in batches:
             for part in slices(batch, "__text"):
-                found = list(encoder.encode(part.column("__text").to_pylist()))
+                flat, bounds = encoder.encode(part.column("__text"))
+                found = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 back = [decode(x.tolist()) for x in found]
-                columns = list(part.columns[: len(keep)]) + [pa.array([x.size for x in found], pa.int64())]
+                columns = list(part.columns[: len(keep)]) + [pa.array(np.diff(bounds), pa.int64())]
                 if ids:
-                    columns += [pa.array(found, pa.list_(pa.int32())), pa.array(back, pa.string())]
+                    columns += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())), pa.array(back, pa.string())]
                 if digests:
                     columns += [pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *["ids", "decoded"] * ids, *["ids_sha256", "decoded_sha256"] * digests])
