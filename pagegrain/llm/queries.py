@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, language_model, licences, minhash, quality, secrets, substrings, tiling, tokens, toxicity
+from . import binary, language_model, licences, minhash, quality, secrets, sql, substrings, tiling, tokens, toxicity
 from .shared import fold, read, shared_dir
 
 #: Where the tokenizer files are, on the driver and every executor.
@@ -66,4 +66,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express; tests hold the others against brute force."""
+    return dict(sql.ORACLE)
