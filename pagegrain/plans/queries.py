@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema
+from .. import schema, streaming
 from ..functions import geometry, text
 from ..operators import assign, catalog, normalize, regions, report, search
 from ..sources import adapters, files
@@ -365,3 +365,95 @@ def status_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.when(F.col("event_id") % 3 == 0, "token").when(F.col("event_id") % 3 == 1, "assets").otherwise("extract")
     e = read(spark, sf_dir, "events").select(step.alias("step"), status.alias("status"), F.when(k == 6, "Read TIMEOUT").alias("error"))
     return e.groupBy("step", "status", catalog.advice(F.col("step"), F.col("status"), F.col("error")).alias("advice")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(abs(embedding[3]) AS DOUBLE) AS c, CAST(abs(embedding[4]) AS DOUBLE) AS d FROM embeddings),
+p AS (SELECT vec_id, CASE WHEN greatest(a, b, c, d) <= 1.01 THEN [a * 640, b * 480, c * 640, d * 480] ELSE [a, b, c, d] END AS p FROM b),
+q AS (SELECT vec_id, list_transform(p, lambda x: greatest(CAST(trunc(x) AS INTEGER), 0)) AS q FROM p)
+SELECT vec_id, q[1] AS x, q[2] AS y, q[3] - q[1] AS w, q[4] - q[2] AS h FROM q""")
+def pixel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = [F.get("embedding", i).cast("double") for i in range(4)]
+    box = geometry.to_pixels(F.array(e[0], e[1], F.abs(e[2]), F.abs(e[3])), F.lit(640), F.lit(480))
+    return read(spark, sf_dir, "embeddings").select("vec_id", geometry.clip_xywh(box).alias("r")).select("vec_id", "r.x", "r.y", "r.w", "r.h")
+
+
+@query("""SELECT count(*) FILTER (page_id % 2 = 0) AS json, count(*) FILTER (page_id % 2 = 1) AS png, count(DISTINCT page_id % 7) FILTER (page_id % 2 = 0) AS units FROM pages""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    path = F.concat(F.lit("/out/frames/u"), (n % 7).cast("string"), F.lit("/region-"), n.cast("string"), F.when(n % 2 == 0, ".json").otherwise(".png"))
+    return regions.summary(read(spark, sf_dir, "pages").select(path.alias("path")))
+
+
+@query("""SELECT bool_or(ok) AS ok, CAST(sum(blocks) AS BIGINT) AS blocks, min_by(doc, seq) FILTER (ok) AS "firstDocId", max_by(doc, seq) FILTER (ok) AS "lastDocId" FROM (SELECT doc_id AS seq, n_chars % 3 <> 0 AS ok, n_chars AS blocks, doc_id * 7 AS doc FROM documents)""")
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), (F.col("n_chars") % 3 != 0).alias("ok"), F.col("n_chars").alias("blocks"), (F.col("doc_id") * 7).alias("docId"))
+    return catalog.batch_totals(rows)
+
+
+@query("SELECT user_id % 2 + 3000 AS port, bool_and(value > 0) AS ok, count(*) AS n FROM events GROUP BY ALL")
+def health_by_port(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").groupBy((F.col("user_id") % 2 + 3000).alias("port")).agg(F.bool_and(F.col("value") > 0).alias("ok"), F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 'failure' WHEN o_orderstatus = 'O' THEN 'success' ELSE 'running' END AS state, count(*) AS n FROM orders GROUP BY ALL""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("o_orderstatus")
+    orders = read(spark, sf_dir, "orders").withColumn("raw", F.when(s == "F", "FAILED").when(s == "O", "Succeeded").otherwise(s))
+    return orders.groupBy(s.alias("status"), normalize.job_state(F.col("raw")).alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(i * 5 + j AS INTEGER) AS k, round(CAST(0.1 + 0.2 * j AS DOUBLE), 6) AS x, round(CAST(0.1 + 0.2 * i AS DOUBLE), 6) AS y FROM (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(range(0, 5)) AS j)""")
+def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(F.posexplode(geometry.grid()).alias("k", "p")).select("k", F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y"))
+
+
+@query("SELECT page_id, base64(encode(url)) AS image_b64, CAST(octet_length(encode(url)) AS INTEGER) AS bytes FROM pages")
+def image_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.base64(F.col("url").cast("binary")), r"\s", "").alias("image_b64"))
+    return files.image_bytes(rows).select("page_id", "image_b64", F.octet_length("image").alias("bytes"))
+
+
+@query(f"WITH {LINES} SELECT type, role, count(*) AS n, count(DISTINCT page) AS pages FROM (SELECT b.*, type FROM blocks b JOIN typed ON b.id = typed.doc_id * 100000 + typed.pos) GROUP BY ALL")
+def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_blocks(spark, sf_dir).groupBy("type", "role").agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages"))
+
+
+@query(f"""WITH {LINES} SELECT src AS "docId", CAST(id % 100000 AS INTEGER) AS pos, page, role, text FROM blocks WHERE src % 3 = 0 AND id % 100000 < 5""")
+def elements_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = doc_blocks(spark, sf_dir).where("sourceDocId % 3 = 0 and id % 100000 < 5")
+    element = F.struct((F.col("id") % 100000).alias("pos"), F.struct(F.col("type"), F.col("text"), F.struct((F.col("page") + 1).alias("page_number")).alias("metadata")).alias("e"))
+    raw = blocks.groupBy(F.col("sourceDocId").alias("docId")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(element)), lambda x: x["e"])).alias("json"))
+    raw = raw.withColumn("json", F.when(F.col("docId") % 2 == 0, F.col("json")).otherwise(F.concat(F.lit('{"elements":'), F.col("json"), F.lit("}"))))
+    return files.elements(raw).select("docId", "pos", "page", "role", "text")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://h/' || page_id END AS found FROM pages""")
+def json_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    body = F.concat(F.lit('{"job":{"outputs":[{"assetID":"urn:x"},{"'), F.when(n % 2 == 0, "downloadUri").otherwise("other"), F.lit('":"https://h/'), n.cast("string"), F.lit('"}]},"status":"done"}'))
+    return files.first_string(read(spark, sf_dir, "pages").select("page_id", body.alias("json")), "download", "^https?://")
+
+
+@query("SELECT page_id, CAST(CASE WHEN page_id % 4 = 3 THEN 0 ELSE page_id END AS INTEGER) AS pages FROM pages")
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    out = F.when(n % 4 == 3, F.lit("Syntax error")).otherwise(F.concat(F.lit("Title: x\nPages:          "), n.cast("string"), F.lit("\nEncrypted: no\n")))
+    return read(spark, sf_dir, "pages").select("page_id", files.page_count(out).alias("pages"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streaming.windowed_counts(read(spark, sf_dir, "events"))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT 'dup' AS rule, count(*) AS n FROM (SELECT c_nationkey, c_mktsegment FROM customer GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'orphan', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)""")
+def constraint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dup = catalog.duplicate_keys(read(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"]).agg(F.lit("dup").alias("rule"), F.count("*").alias("n"))
+    lost = catalog.orphans(read(spark, sf_dir, "nation"), "n_regionkey", read(spark, sf_dir, "region"), "r_regionkey").agg(F.lit("orphan"), F.count("*"))
+    return dup.union(lost)
+
+
+@query(f"""WITH {LINES}, z AS (SELECT id, 100.0 AS x, (700.0 - y - 4) * 2.0 AS y FROM blocks) SELECT id, CASE WHEN y > 260 AND y < 520 THEN 'core-services' WHEN y > 560 AND y < 800 THEN 'value-capture' END AS zone FROM z""")
+def blocks_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.by_zone(doc_blocks(spark, sf_dir), [(z, p) for z, _, p in schema.ZONES], 500.0, 700.0, schema.CANVAS).select("id", "zone")
