@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import freed, written
+from .shared import freed, small_batches, written
 from .words import Texts, mix, slices, utf8
 
 _U = np.uint64
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, percent: int, r: int) -> DataFrame:
 
 def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose full sets are similar enough. texts: rep, text."""
-    with_y = pairs.join(texts.select(F.col("rep").alias("y"), F.col("text").alias("ty")), "y")
+    with_y = texts.select(F.col("rep").alias("y"), F.col("text").alias("ty")).join(pairs.hint("shuffle_hash"), "y")
     both = with_y.join(texts.select(F.col("rep").alias("x"), F.col("text").alias("tx")), "x").select("x", "y", "tx", "ty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def possible(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 h, first = shingles(Texts(*utf8(part.column("text")), lower=True))
                 yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))), pa.array(h.view(np.int64))], names=["rep", "token"])
 
-    tokens = written(texts.join(members.select("rep").distinct(), "rep").select("rep", "text").mapInArrow(run, "rep long, token long").distinct())
+    tokens = written(texts.join(members.select("rep").distinct().hint("shuffle_hash"), "rep").select("rep", "text").mapInArrow(run, "rep long, token long").distinct())
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = tokens.join(common, "token").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))).withColumn("of", F.count("*").over(Window.partitionBy("rep")))
     sizes = tokens.groupBy("rep").agg(F.count("*").alias("n")).join(members.select("rep", "comp").distinct(), "rep")
@@ -171,6 +171,7 @@ def components(df: DataFrame, percent: int = 80, text: str = "text", r: int = 3)
     are linked with nothing either: component_id is null, kept is true. Rows of one doc_id with equal sets get the same
     result; with different sets, each is linked by its own. Columns other than doc_id and text are dropped.
     """
+    small_batches(df.sparkSession)
     docs = df.select(df["doc_id"].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
     sigs = written(signatures(docs, percent, r))
     classes = written(sigs.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
@@ -183,7 +184,7 @@ def components(df: DataFrame, percent: int = 80, text: str = "text", r: int = 3)
     members = written(entries.join(full, "entry"))
     freed(docs.sparkSession)
     reps = members.groupBy("rep").agg(F.sum("size").alias("met"))
-    own = written(docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text"))
+    own = written(docs.join(reps.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "text"))
     freed(docs.sparkSession)
     known = members.join(reps, "rep")
     leader = known.groupBy("entry").agg(F.max(F.struct("met", (-F.col("rep")).alias("rep"))).alias("top"))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
 from .words import Texts, covered, per_doc, slices, span_hash, utf8
 
 SYMBOLS = np.zeros(256, bool)
@@ -132,6 +133,7 @@ def rate(df: DataFrame, rules: Rules = Rules(), text: str = "text", keep: tuple[
     and no repeat over rules.max_repeat). Null and empty texts have figures of 0 and are not kept. Rows
     are independent: repeated rows and null ids stay as they are. Columns not in ``keep`` are dropped. No shuffle.
     """
+    small_batches(df.sparkSession)
     plain = df.select(*keep, df[text].cast("string").alias("__text"))
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[: len(keep)]) + "".join(f", {c} long" for c in numbers) + ", base_failed boolean, kept boolean"

@@ -19,6 +19,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
 from .words import slices
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -124,6 +125,7 @@ def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     no spans; a null text's redacted one is null. Rows are independent: repeated rows and null ids
     stay as they are. Columns not in ``keep`` are dropped. Needs no shuffle.
     """
+    small_batches(df.sparkSession)
     plain = df.select(*keep, df[text].cast("string").alias("__text"))
     names = [*keep, "n_assign", "n_access", "n_hex", "n_literal", "base_sha256", "spans", *["redacted"] * redacted]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[: len(keep)])

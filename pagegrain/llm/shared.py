@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +23,56 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, columns_by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    In a mounted folder (file:), Python workers write the files, as Hadoop's local file system starts a process for each file and
+    folder to set permissions. A task's file gets its name once it is whole, and the same name if the task is run again.
+    """
+    spark, schema, path = df.sparkSession, df.schema, shared_dir(df.sparkSession)
+    scheme, _, folder = path.partition(":")
+    if scheme != "file":
+        if folder:
+            df.write.option("compression", "zstd").parquet(path)
+            return spark.read.schema(schema).parquet(path)
+        folder = path
+    folder = f"/{folder.lstrip('/')}"
+    os.makedirs(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, waiting, size, writer = TaskContext.get(), [], 0, None
+        temporary = f"{folder}/.part-{task.partitionId():06d}-{task.taskAttemptId()}"
+
+        def put() -> pq.ParquetWriter:
+            out = writer or pq.ParquetWriter(temporary, waiting[0].schema, compression="zstd")
+            out.write_table(pa.Table.from_batches(waiting))
+            waiting.clear()
+            return out
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                size += batch.nbytes
+            if size > 16 << 20:
+                writer, size = put(), 0
+        if waiting:
+            writer = put()
+        if writer:
+            writer.close()
+            os.rename(temporary, f"{folder}/part-{task.partitionId():06d}.parquet")
+            yield pa.RecordBatch.from_pydict({"files": pa.array([1], pa.int64())})
+
+    if not df.mapInArrow(run, "files long").agg(F.sum("files").alias("n")).first()["n"]:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"file://{folder}")
+
+
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
+    """Texts go to Python workers a few at a time, as one may be long. Settings that are lower already stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def freed(spark: SparkSession) -> None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import freed, written
+from .shared import freed, small_batches, written
 from .words import Texts, mix, slices, utf8
 
 _U = np.uint64
@@ -70,6 +70,7 @@ def dedup(df: DataFrame, k: int = 50, text: str = "text", kept_text: bool = Fals
     and text are dropped.
     """
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(df["doc_id"].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +104,7 @@ def dedup(df: DataFrame, k: int = 50, text: str = "text", kept_text: bool = Fals
                 hashes = [t.ranges(at, at + k, which).view(np.int64) for which in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), part.column("doc_id").take(pa.array(doc)), pa.array(at - t.first[doc], pa.int32())], names=["a", "b", "doc_id", "lo"])
 
-    windows = written(docs.join(unfold, "doc_id").mapInArrow(second, "a long, b long, doc_id long, lo int"))
+    windows = written(docs.join(unfold.hint("shuffle_hash"), "doc_id").mapInArrow(second, "a long, b long, doc_id long, lo int"))
     freed(spark)
     firsts = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
     single = windows.join(firsts, ["a", "b"]).where("first < doc_id").select("doc_id", F.struct("lo", F.lit(0).alias("n"), F.col("a").alias("h")).alias("part"))
@@ -125,7 +126,7 @@ def dedup(df: DataFrame, k: int = 50, text: str = "text", kept_text: bool = Fals
                 columns = [part.column("doc_id"), pa.array(t.counts, pa.int64()), pa.array(t.counts - (left[t.first[1:]] - left[t.first[:-1]]), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary()).cast(pa.string())] * kept_text, names=["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * kept_text])
 
-    return docs.join(removed, "doc_id", "left").mapInArrow(last, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept_text)
+    return docs.join(removed.hint("shuffle_hash"), "doc_id", "left").mapInArrow(last, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept_text)
 
 
 def chosen(t: Texts, parts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

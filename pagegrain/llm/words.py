@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -41,7 +41,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if self.up.size < n:
-            size = max(n, 2 * self.up.size)
+            size = max(n, self.up.size * 5 // 4)
             with np.errstate(over="ignore"):
                 self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, b, _U)])) for b in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
