@@ -6,8 +6,8 @@ on counts of held-out training documents that the mixed estimates leave out.
 
 Counts are of all training documents. To keep counting and scoring free of rows by the token, documents are dealt by hash to
 blocks of bounded size. A block counts its own words and pairs; only their distinct hashes travel, packed by ranges of
-hash, to where all blocks' counts are summed; and back to a block go only those sums that differ from what it has counted
-itself. With these a block knows the counts of every word and pair in its documents.
+hash, to where all blocks' counts are summed. What goes back to a block are the sums alone, in the order of its own hashes,
+which it finds again by counting its documents again.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, freed, written
+from .shared import fold, freed, small_batches, written
 from .words import Texts, mix, slices, utf8
 
 _U = np.uint64
@@ -29,6 +30,7 @@ HELD_BLOCKS = 10
 BUCKETS = 24
 FLOOR = 1e-6
 GRID = 64  # steps a decade by which held-out probabilities are summed up for the mixture
+FIGURES = ("types", "n_train", "n_held", "docs_train", "docs_held")
 COUNTS = np.dtype([("key", "<u8"), ("c", "<u4"), ("d", "<u4")])
 
 
@@ -63,6 +65,32 @@ def summed(keys: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return out
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte of equal weight, so that their zeros lie together."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(values.size, -1).T.tobytes() if values.size else b""
+
+
+def numbers(raw: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() if raw.size else np.zeros(0, kind)
+
+
+def packed(counts: np.ndarray, keys: bool) -> bytes:
+    """Counts, compressed; with steps between ascending keys if asked."""
+    parts = [np.diff(counts["key"], prepend=_U(0))] * keys + [counts["c"], counts["d"]]
+    return zstandard.compress(b"".join(map(planes, parts)), 1)
+
+
+def unpacked(blob: bytes, keys: bool) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    size = raw.size // (16 if keys else 8)
+    out = np.zeros(size, COUNTS)
+    if keys:
+        out["key"] = np.cumsum(numbers(raw[: 8 * size], "<u8"), dtype=_U)
+        raw = raw[8 * size :]
+    out["c"], out["d"] = numbers(raw[: 4 * size], "<u4"), numbers(raw[4 * size :], "<u4")
+    return out
+
+
 def merged(parts: list[np.ndarray]) -> np.ndarray:
     every = np.concatenate(parts) if parts else np.zeros(0, COUNTS)
     return summed(every["key"], every["c"], every["d"])
@@ -77,7 +105,7 @@ def counted(table: pa.Table, held: bool) -> tuple[np.ndarray, np.ndarray]:
             c = np.repeat(part.column("training").to_numpy(zero_copy_only=False).astype(np.int64), e.counts)
             for out, keys in ((words, e.word), (pairs, e.pair)):
                 out.append(summed(keys, c, c * held))
-                if len(out) == 8:
+                if len(out) == 4:
                     out[:] = [merged(out)]
     return merged(words), merged(pairs)
 
@@ -112,13 +140,14 @@ def mixture(cells: np.ndarray, uniform: float, turns: int = 60) -> np.ndarray:
 
 
 class Known:
-    """A block's counts after sums over all blocks: its own, but for keys that came back."""
+    """A block's counts after sums over all blocks: its own keys with what came back, range by range in their order."""
 
     def __init__(self, own: np.ndarray, back: list[bytes]) -> None:
-        got = np.concatenate([np.frombuffer(b, COUNTS) for b in back]) if back else np.zeros(0, COUNTS)
+        got = np.concatenate([unpacked(b, False) for b in back]) if back else np.zeros(0, COUNTS)
+        if got.size != own.size:
+            raise ValueError("the documents of a block have changed between two reads")
         self.table = own
-        if got.size:
-            self.table[np.searchsorted(own["key"], got["key"])] = got
+        self.table["c"], self.table["d"] = got["c"], got["d"]
 
     def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of keys; a key that isn't there (the document's begin) has none."""
@@ -137,6 +166,7 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
     and are scored each. Without training documents all counts are 0. Columns other than doc_id and text are dropped.
     """
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(df["doc_id"].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     blocks = max(HELD_BLOCKS, -(-size // block_bytes))
@@ -151,50 +181,43 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
         own = counted(table, block % HELD_BLOCKS == 0)
         edges = [np.searchsorted(x["key"], (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(_U)) for x in own]
         for part, (words, pairs) in enumerate(zip(*(np.split(x, e) for x, e in zip(own, edges, strict=True)), strict=True)):
-            for name, value in (("part", part), ("block", block), ("words", words.tobytes()), ("pairs", pairs.tobytes())):
+            for name, value in (("part", part), ("block", block), ("words", packed(words, True)), ("pairs", packed(pairs, True))):
                 out[name].append(value)
         return pa.table({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "words": pa.array(out["words"], pa.binary()), "pairs": pa.array(out["pairs"], pa.binary())})
 
     def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Sums of one range of keys: each block's list of those that it doesn't know by itself, and the number of trained words."""
-        names = table.column("block").to_pylist()
-        lists: list[list[bytes]] = []
-        types = 0
+        """Sums of one range of keys: for each block those of its own keys, in their order, and the number of trained words."""
+        out = {"block": table.column("block"), "part": pa.array([key[0].as_py()] * table.num_rows, pa.int32())}
+        figures = [0] * 5
         for kind in ("words", "pairs"):
-            own = [np.frombuffer(x, COUNTS) for x in table.column(kind).to_pylist()]
+            own = [unpacked(x, True) for x in table.column(kind).to_pylist()]
             every = merged(own)
             if kind == "words":
-                types = int((every["c"] > 0).sum())
-            back = []
-            for x in own:
-                now = every[np.searchsorted(every["key"], x["key"])]
-                back.append(now[(now["c"] != x["c"]) | (now["d"] != x["d"])].tobytes())
-            lists.append(back)
-        return pa.table({"block": pa.array(names, pa.int32()), "words": pa.array(lists[0], pa.binary()), "pairs": pa.array(lists[1], pa.binary()), "types": pa.array([types] + [0] * (len(names) - 1), pa.int64())})
+                end = every[every["key"] == mix(np.array([END]) ^ WORD_SALT)[0]]
+                figures = [int(x) for x in ((every["c"] > 0).sum(), every["c"].sum(dtype=np.int64), every["d"].sum(dtype=np.int64), end["c"].sum(), end["d"].sum())]
+            out[kind] = pa.array([packed(every[np.searchsorted(every["key"], x["key"])], False) for x in own], pa.binary())
+        return pa.table({**out, **{n: pa.array([x] + [0] * (table.num_rows - 1), pa.int64()) for n, x in zip(FIGURES, figures, strict=True)}})
 
     counts = dealt.select("block", "text", "training").groupBy("block").applyInArrow(count, "part int, block int, words binary, pairs binary")
-    sums = written(counts.groupBy("part").applyInArrow(total, "block int, words binary, pairs binary, types long"))
+    sums = written(counts.groupBy("part").applyInArrow(total, "block int, part int, words binary, pairs binary" + "".join(f", {n} long" for n in FIGURES)))
     freed(spark)
-    types = sums.agg(F.sum("types").alias("v")).first()["v"] or 0
-    tokens = dealt.where("training").select((F.col("block") % HELD_BLOCKS == 0).alias("held"), F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")), " ")).alias("n"), F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]").alias("worded"))
-    figures = {r["held"]: r for r in tokens.groupBy("held").agg(F.sum(F.when(F.col("worded"), F.col("n")).otherwise(0) + 1).alias("n"), F.count("*").alias("docs")).collect()}
-    n_main, n_held = (figures[h]["n"] if h in figures else 0 for h in (False, True))
-    docs_main, docs_held = (figures[h]["docs"] if h in figures else 0 for h in (False, True))
+    types, n_train, n_held, docs_train, docs_held = (x or 0 for x in sums.agg(*(F.sum(n) for n in FIGURES)).first())
     uniform = 1 / (types + 1)
     begin = mix(np.array([BEGIN]) ^ WORD_SALT)[0]
 
     def known(table: pa.Table, back: pa.Table, held: bool) -> tuple[Known, Known]:
         own = counted(table, held)
+        back = back.sort_by("part")
         return tuple(Known(x, back.column(c).to_pylist()) for x, c in zip(own, ("words", "pairs"), strict=True))
 
     def estimates(e: Events, words: Known, pairs: Known, main: bool) -> tuple[np.ndarray, ...]:
         """Of each token: its count, bucket, pair estimate and word estimate; main leaves held-out counts out."""
         (w, wd), (h, hd), (p, pd) = words.at(e.word), words.at(e.context), pairs.at(e.pair)
         begins = e.context == begin
-        h, hd = np.where(begins, docs_main + docs_held, h), np.where(begins, docs_held, hd)
+        h, hd = np.where(begins, docs_train, h), np.where(begins, docs_held, hd)
         if main:
             w, h, p = w - wd, h - hd, p - pd
-        n = n_main if main else n_main + n_held
+        n = n_train - n_held if main else n_train
         return w, bucket(h), np.where(h > 0, p / np.maximum(h, 1), 0.0), w / max(1, n)
 
     def held_cells(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
@@ -209,7 +232,7 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
         cell, n = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    back = sums.select("block", "words", "pairs")
+    back = sums.select("block", "part", "words", "pairs")
     held_docs, held_back = (x.where(F.col("block") % HELD_BLOCKS == 0) for x in (dealt.select("block", "text", "training"), back))
     cells = held_docs.groupBy("block").cogroup(held_back.groupBy("block")).applyInArrow(held_cells, "cell long, n long")
     got = np.array([(r["cell"], r["n"]) for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()], np.int64).reshape(-1, 2)
@@ -225,9 +248,9 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
                 e = Events(Texts(*utf8(part.column("text")), lower=True))
                 c, b, p2, p1 = estimates(e, words, pairs, False)
                 mixed = np.log10(weights[b, 0] * p2 + weights[b, 1] * p1 + weights[b, 2] * uniform)
-                base = np.log10((c + 1) / (n_main + n_held + types + 1))
+                base = np.log10((c + 1) / (n_train + types + 1))
                 starts = e.first[:-1]
-                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(e.counts, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(part.num_rows, n_main + n_held), pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mixed, starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(e.counts, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(part.num_rows, n_train), pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mixed, starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
