@@ -1,15 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of toxic documents and one on windows
-of ordinary ones. A window that the first compresses into fewer bytes than the second is more
-like toxic text. Then both are sharpened in a few rounds: the toxic dictionary on those windows
-that stand out, the ordinary one on ordinary windows and those of them that stood out wrongly.
-What a document's windows gain is summed up in a few figures, whose weights and threshold are
-fitted on further labelled documents.
+Two zstandard dictionaries are trained, one on windows of toxic documents and one on windows of ordinary ones. A window that
+the first compresses into fewer bytes than the second is more like toxic text. Both have one trained part in common, of ordinary
+text, so that ordinary windows come out alike; each goes on with the words that its class has many times as often as the other, the
+commonest last, where matches cost least. What a document's windows of two lengths gain is summed up in a few figures, whose weights
+and threshold are fitted on further labelled documents.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,12 +32,12 @@ class Limits:
     train_docs: int = 1500
     calibration_docs: int = 1500
     windows: int = 60_000
-    window_words: int = 4
+    sample_words: int = 10
+    scales: tuple[int, ...] = (6, 16)
     shared_bytes: int = 32_768
-    own_bytes: int = 8_192
-    dictionary_windows: int = 12_000
-    rounds: int = 3
-    bar: float = 0.99
+    own_bytes: int = 2_048
+    ratio: float = 8.0
+    least: int = 6
     level: int = 12
 
 
@@ -55,41 +55,50 @@ def dictionary(samples: list[bytes], size: int, level: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def loaded(raw: bytes, level: int) -> zstandard.ZstdCompressor:
+def loaded(raw: bytes) -> zstandard.ZstdCompressor:
+    """A compressor that searches a dictionary well also for windows of a few words."""
+    at = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTLAZY2, min_match=4, search_log=4, window_log=17, hash_log=15, chain_log=16, write_content_size=False, write_dict_id=False, write_checksum=False)
     data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_dict_id=False, write_checksum=False)
+    data.precompute_compress(compression_params=at)
+    return zstandard.ZstdCompressor(dict_data=data, compression_params=at)
 
 
 def gains(ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, parts: list[bytes]) -> np.ndarray:
     """Bytes by which the toxic dictionary beats the ordinary one, by window."""
-    a, b = toxic.compress, ordinary.compress
-    return np.array([len(b(w)) - len(a(w)) for w in parts], float)
-
-
-def figures(gain: np.ndarray) -> list[float]:
-    """What a document's window gains come to."""
-    return [gain.mean(), gain.max() / 10, *((gain >= t).mean() * 10 for t in THRESHOLDS), *(float((gain >= t).any()) for t in THRESHOLDS[1:])]
+    a, b = (np.fromiter(map(len, map(c.compress, parts)), np.int64, len(parts)) for c in (ordinary, toxic))
+    return (a - b).astype(float)
+
+
+def figures(pair: list[zstandard.ZstdCompressor], texts: list[str | None], scales: tuple[int, ...]) -> np.ndarray:
+    """A row for each document: what its windows' gains of each length come to."""
+    out = []
+    for k in scales:
+        cut = [windows(t, k) for t in texts]
+        first = np.cumsum([0, *map(len, cut[:-1])]) if cut else np.zeros(0, np.int64)
+        n = np.array([len(c) for c in cut])
+        gain = gains(*pair, [w for c in cut for w in c])
+        over = [np.add.reduceat((gain >= t).astype(float), first) for t in THRESHOLDS] if n.size else []
+        if n.size:
+            out += [np.add.reduceat(gain, first) / n, np.maximum.reduceat(gain, first) / 10, *(o / n * 10 for o in over), *((o > 0).astype(float) for o in over[1:])]
+    return np.column_stack(out) if out else np.zeros((0, 0))
+
+
+def own_words(mine: list[bytes], other: list[bytes], at: Limits) -> bytes:
+    """The words of so many windows that the other class lacks or has far less often, rare ones first."""
+    a, b = (Counter(x for w in ws for x in set(w.split())) for ws in (mine, other))
+    marked = [x for x, n in a.items() if n >= at.least and n / len(mine) > at.ratio * (b[x] + 1) / max(1, len(other))]
+    out = b""
+    for x in sorted(marked, key=lambda x: (-a[x], x)):
+        if len(out) + len(x) + 2 > at.own_bytes:
+            break
+        out = x + b" " + out
+    return b" " + out
 
 
 def trained(toxic: list[bytes], ordinary: list[bytes], at: Limits) -> tuple[bytes, bytes]:
-    """Both dictionaries (ordinary, toxic). They share a part of ordinary text, so that ordinary windows compress alike."""
-    half = len(ordinary) // 2
-    shared = dictionary(ordinary[:half] or ordinary, at.shared_bytes, at.level)
-    bad, good = toxic[: at.dictionary_windows], ordinary[half : half + at.dictionary_windows]
-    for last in [False] * at.rounds + [True]:
-        pair = [shared + dictionary(x, at.own_bytes, at.level)[-at.own_bytes :] for x in (good, bad)]
-        if last:
-            break
-        ready = [loaded(x, at.level) for x in pair]
-        of_toxic, of_ordinary = gains(*ready, toxic), gains(*ready, ordinary)
-        bar = np.quantile(of_ordinary, at.bar)
-        mined = [w for w, g in zip(toxic, of_toxic, strict=True) if g > bar]
-        if len(mined) < 100:
-            break
-        bad = mined[: at.dictionary_windows]
-        good = ([w for w, g in zip(ordinary, of_ordinary, strict=True) if g > 2] * 3 + ordinary[half:])[: at.dictionary_windows]
-    return pair[0], pair[1]
+    """Both dictionaries (ordinary, toxic)."""
+    shared = dictionary(ordinary, at.shared_bytes, at.level)
+    return shared + own_words(ordinary, toxic, at), shared + own_words(toxic, ordinary, at)
 
 
 def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -128,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, at: Limits = Limits()) -> dict | Non
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(i, *v) for i, v in sample.items()], "doc_id long, toxic int, part int")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    k = at.window_words
+    k = at.sample_words
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, at: Limits = Limits()) -> dict | Non
     if not all(lists):
         return None
     raw = trained(*lists, at)
-    model = {"ordinary": raw[0], "toxic": raw[1], "k": k, "level": at.level, "weights": None}
+    model = {"ordinary": raw[0], "toxic": raw[1], "scales": at.scales, "weights": None}
     rows = score(texts.where("part = 1"), model, keep=("doc_id", "toxic"), details=True).collect()
     y = np.array([r["toxic"] for r in rows], float)
     if not rows or y.min() == y.max():
@@ -172,10 +181,10 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", keep: tuple[s
                 if model is None:
                     found, scores = [[] for _ in texts], np.zeros(len(texts))
                 else:
-                    ready = ready or [loaded(model[x], model["level"]) for x in ("ordinary", "toxic")]
-                    found = [figures(gains(*ready, windows(t, model["k"]))) for t in texts]
-                    z = np.array(found) @ model["weights"][1:] + model["weights"][0] if model["weights"] else np.zeros(len(texts))
-                    scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                    ready = ready or [loaded(model[x]) for x in ("ordinary", "toxic")]
+                    found = figures(ready, texts, model["scales"])
+                    z = found @ model["weights"][1:] + model["weights"][0] if model["weights"] else np.zeros(len(texts))
+                    scores, found = 1 / (1 + np.exp(-np.clip(z, -30, 30))), found.tolist()
                 columns = list(part.columns[: len(keep)]) + [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(found, pa.list_(pa.float64()))] * details, names=names)
 

@@ -189,17 +189,16 @@ def test_toxicity_held_out():
     rng = random.Random(5)
     common = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
     bad = ["worthlessly", "disgusting", "scumbags"]
-    at = toxicity.Limits(dictionary_windows=4000)
+    at = toxicity.Limits()
 
     def text(mark):
         return " ".join(rng.choice(bad) if mark and rng.random() < 0.06 else rng.choice(common) for _ in range(150))
 
     def cut(docs):
-        return [w for t in docs for w in toxicity.windows(t, at.window_words)]
+        return [w for t in docs for w in toxicity.windows(t, at.sample_words)]
 
-    raw = toxicity.trained(cut([text(True) for _ in range(300)]), cut([text(False) for _ in range(300)]), at)
-    ready = [toxicity.loaded(r, at.level) for r in raw]
-    x = np.array([toxicity.figures(toxicity.gains(*ready, toxicity.windows(text(i % 2), at.window_words))) for i in range(400)])
+    ready = [toxicity.loaded(r) for r in toxicity.trained(cut([text(True) for _ in range(300)]), cut([text(False) for _ in range(300)]), at)]
+    x = toxicity.figures(ready, [text(i % 2) for i in range(400)], at.scales)
     y = np.arange(400) % 2
     w = toxicity.fitted(x[:200], y[:200].astype(float), np.ones(200))
     z = x[200:] @ w[1:] + w[0]
