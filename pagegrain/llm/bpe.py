@@ -371,7 +371,7 @@ _WIDE_FIRST = np.array(sorted({c[0] for c in _WIDE}), np.uint8)
 class Encoder:
     """Encodes texts piece by piece; pieces' tokens are cached by a 64-bit hash and the length. ``encode_new`` encodes unseen pieces."""
 
-    def __init__(self, vocabulary: Vocabulary, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, cache_pieces: int = 500_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, cache_pieces: int = 1_000_000) -> None:
         self.v, self.encode_new, self.cache_pieces = vocabulary, encode_new or vocabulary.encode_pieces, cache_pieces
         self.added = [a.encode() for a in vocabulary.added]
         self.clear()
