@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group that links of similarity 0.8 or more hold together."""
+    """One document, that of the least doc_id, of each group that links of similarity 0.8 or more hold together. Rows of one doc_id stay or go together."""
     gone = minhash.components(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 
