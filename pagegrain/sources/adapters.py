@@ -1,4 +1,4 @@
-"""Blocks and other reference shapes from general tables."""
+"""Blocks and other catalog shapes from general tables."""
 
 from __future__ import annotations
 
