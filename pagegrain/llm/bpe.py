@@ -443,9 +443,9 @@ _loaded: dict[tuple[str, str], Encoder] = {}
 
 
 def worker_encoder(path: str) -> Encoder:
-    """This Python worker's encoder of a file: speculate and verify."""
+    """This Python worker's encoder of a file: speculate and verify. Its cache is small, as other steps go on in the same worker."""
     if (key := ("own", path)) not in _loaded:
-        _loaded[key] = Encoder(Vocabulary(path))
+        _loaded[key] = Encoder(Vocabulary(path), cache_pieces=250_000)
     return _loaded[key]
 
 

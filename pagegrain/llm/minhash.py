@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, percent: int, r: int) -> DataFrame:
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), m).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[:, 0].copy().view(np.int64)), pa.array(sums[:, 1].copy().view(np.int64)), flat], names=["doc_id", "n", "a", "b", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>")
+    return written(docs, run, "doc_id long, n long, a long, b long, keys array<long>")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -106,7 +106,7 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                         found.append(common > 0 and 100 * common >= percent * (sx.size + sy.size - common))
                 yield part.select(["x", "y"]).filter(pa.array(found, pa.bool_()))
 
-    return both.mapInArrow(run, "x long, y long")
+    return written(both, run, "x long, y long")
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def components(df: DataFrame, percent: int = 80, text: str = "text", r: int = 3)
     """
     small_batches(df.sparkSession)
     docs = df.select(df["doc_id"].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
-    sigs = written(signatures(docs, percent, r))
+    sigs = signatures(docs, percent, r)
     classes = written(sigs.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
     by_key = classes.select("rep", "n", F.posexplode("keys").alias("i", "key"))
     shared = by_key.groupBy("i", "key").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("i", "key")
@@ -189,11 +189,11 @@ def components(df: DataFrame, percent: int = 80, text: str = "text", r: int = 3)
     known = members.join(reps, "rep")
     leader = known.groupBy("entry").agg(F.max(F.struct("met", (-F.col("rep")).alias("rep"))).alias("top"))
     first = members.join(leader, "entry").groupBy("rep").agg(F.max("top").alias("top")).select(F.col("rep").alias("y"), (-F.col("top")["rep"]).alias("x")).where("x != y")
-    labels = joined(reps.select("rep", F.col("rep").alias("comp")), written(linked(written(first), own, percent)))
+    labels = joined(reps.select("rep", F.col("rep").alias("comp")), linked(written(first), own, percent))
     placed = members.join(labels, "rep")
     mixed = placed.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("entry")
     rest = written(placed.join(mixed, "entry").select("rep", "comp").distinct())
-    labels = joined(labels, written(linked(written(possible(rest, own, percent)), own, percent)))
+    labels = joined(labels, linked(written(possible(rest, own, percent)), own, percent))
     rep_of = classes.select("a", "b", "n", "rep").join(labels, "rep", "left").select("a", "b", "n", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "a", "b").join(rep_of, ["a", "b", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("comp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -23,17 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+def written(df: DataFrame, change: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, kind: str = "") -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors. Batches first go through ``change``, if given, which makes columns of ``kind``.
 
     In a mounted folder (file:), Python workers write the files, as Hadoop's local file system starts a process for each file and
     folder to set permissions. A task's file gets its name once it is whole, and the same name if the task is run again.
     """
-    spark, schema, path = df.sparkSession, df.schema, shared_dir(df.sparkSession)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    schema = df.mapInArrow(change, kind).schema if change else df.schema
     scheme, _, folder = path.partition(":")
     if scheme != "file":
         if folder:
-            df.write.option("compression", "zstd").parquet(path)
+            (df.mapInArrow(change, kind) if change else df).write.option("compression", "zstd").parquet(path)
             return spark.read.schema(schema).parquet(path)
         folder = path
     folder = f"/{folder.lstrip('/')}"
@@ -49,7 +50,7 @@ def written(df: DataFrame) -> DataFrame:
             waiting.clear()
             return out
 
-        for batch in batches:
+        for batch in change(batches) if change else batches:
             if batch.num_rows:
                 waiting.append(batch)
                 size += batch.nbytes

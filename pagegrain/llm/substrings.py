@@ -80,7 +80,7 @@ def dedup(df: DataFrame, k: int = 50, text: str = "text", kept_text: bool = Fals
                 ids = part.column("doc_id").take(pa.array(r["doc"]))
                 yield pa.RecordBatch.from_arrays([pa.array(r["owner"]), pa.array(r["run"]), ids, pa.array(r["lo"], pa.int32()), pa.array(r["n"], pa.int32())], names=["owner", "run", "doc_id", "lo", "n"])
 
-    every = written(docs.where("doc_id is not null").mapInArrow(first, "owner long, run long, doc_id long, lo int, n int"))
+    every = written(docs.where("doc_id is not null"), first, "owner long, run long, doc_id long, lo int, n int")
     repeated = every.groupBy("owner").agg(F.min("doc_id").alias("owner_first"), F.max("doc_id").alias("owner_last")).where("owner_first < owner_last").select("owner", "owner_first")
     survivors = written(every.join(repeated, "owner"))
     freed(spark)
@@ -104,7 +104,7 @@ def dedup(df: DataFrame, k: int = 50, text: str = "text", kept_text: bool = Fals
                 hashes = [t.ranges(at, at + k, which).view(np.int64) for which in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), part.column("doc_id").take(pa.array(doc)), pa.array(at - t.first[doc], pa.int32())], names=["a", "b", "doc_id", "lo"])
 
-    windows = written(docs.join(unfold.hint("shuffle_hash"), "doc_id").mapInArrow(second, "a long, b long, doc_id long, lo int"))
+    windows = written(docs.join(unfold.hint("shuffle_hash"), "doc_id"), second, "a long, b long, doc_id long, lo int")
     freed(spark)
     firsts = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
     single = windows.join(firsts, ["a", "b"]).where("first < doc_id").select("doc_id", F.struct("lo", F.lit(0).alias("n"), F.col("a").alias("h")).alias("part"))

@@ -46,5 +46,6 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
                 if digests:
                     columns += [pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *["ids", "decoded"] * ids, *["ids_sha256", "decoded_sha256"] * digests])
+        encoder.clear()
 
     return plain.mapInArrow(run, schema)
