@@ -57,7 +57,7 @@ def test_pair_check_equals_exact_merging():
     a, b = rng.integers(0, 3000, 4000), rng.integers(0, 50000, 4000)
     expected = [v.merged_long(np.frombuffer(v.pieces[x] + v.pieces[y], np.uint8)) == [x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     assert v.compatible(a, b).tolist() == expected
-    assert 100 < sum(expected) < 3900
+    assert 50 < sum(expected) < 3950  # both kinds are there
 
 
 def test_greedy_fails_and_is_mended(library):
