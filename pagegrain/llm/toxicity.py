@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows of toxic documents and one on windows of ordinary ones. A window that
-the first compresses into fewer bytes than the second is more like toxic text. Both have one trained part in common, of ordinary
-text, so that ordinary windows come out alike; each goes on with the words that its class has many times as often as the other, the
-commonest last, where matches cost least. What a document's windows of two lengths gain is summed up in a few figures, whose weights
-and threshold are fitted on further labelled documents.
+the first compresses into fewer bytes than the second is more like toxic text. Both have one trained part in common, of one half of
+the ordinary windows, so that ordinary windows come out alike; each goes on with a part trained on its own class (toxic windows, or the
+other half of the ordinary ones), which also holds phrases of words that both classes have, and then with the words that its class has
+many times as often as the other, the commonest last, where matches cost least. What a document's windows of two lengths gain is summed up
+in a few figures, whose weights and threshold are fitted on further labelled documents.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ class Limits:
     sample_words: int = 10
     scales: tuple[int, ...] = (6, 16)
     shared_bytes: int = 32_768
+    class_bytes: int = 4_096
     own_bytes: int = 2_048
     ratio: float = 8.0
     least: int = 6
@@ -97,8 +99,10 @@ def own_words(mine: list[bytes], other: list[bytes], at: Limits) -> bytes:
 
 def trained(toxic: list[bytes], ordinary: list[bytes], at: Limits) -> tuple[bytes, bytes]:
     """Both dictionaries (ordinary, toxic)."""
-    shared = dictionary(ordinary, at.shared_bytes, at.level)
-    return shared + own_words(ordinary, toxic, at), shared + own_words(toxic, ordinary, at)
+    half = len(ordinary) // 2
+    shared = dictionary(ordinary[:half] or ordinary, at.shared_bytes, at.level)
+    good, bad = (dictionary(x, at.class_bytes, at.level)[-at.class_bytes :] for x in (ordinary[half:], toxic))
+    return shared + good + own_words(ordinary, toxic, at), shared + bad + own_words(toxic, ordinary, at)
 
 
 def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:

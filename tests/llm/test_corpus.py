@@ -205,6 +205,28 @@ def test_toxicity_held_out():
     assert ((z >= 0) == y[200:]).mean() > 0.95
 
 
+def test_toxicity_phrases_of_common_words():
+    """Planted phrases of words that ordinary documents have as often: no single word tells the classes apart."""
+    rng = random.Random(7)
+    common = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    bad = [rng.sample(common, 5) for _ in range(12)]
+    at = toxicity.Limits()
+
+    def text(mark):
+        return " ".join(x for _ in range(150) for x in (rng.choice(bad) if mark and rng.random() < 0.03 else [rng.choice(common)]))
+
+    def cut(docs):
+        return [w for t in docs for w in toxicity.windows(t, at.sample_words)]
+
+    samples = cut([text(True) for _ in range(400)]), cut([text(False) for _ in range(400)])
+    assert toxicity.own_words(*samples, at).strip() == b""
+    ready = [toxicity.loaded(r) for r in toxicity.trained(*samples, at)]
+    x = toxicity.figures(ready, [text(i % 2) for i in range(600)], at.scales)
+    y = np.arange(600) % 2
+    w = toxicity.fitted(x[:300], y[:300].astype(float), np.ones(300))
+    assert ((x[300:] @ w[1:] + w[0] >= 0) == y[300:]).mean() > 0.9
+
+
 def test_toxicity_rows(spark, sf_dir):
     out = op3_toxicity(spark, sf_dir).collect()
     assert len(out) == len(documents(spark, sf_dir))
