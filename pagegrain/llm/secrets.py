@@ -1,7 +1,8 @@
 """Secrets in source code, configuration and prose.
 
 Fixed patterns find spans of known shape. Beyond them, text is read as assignments: names and
-what they are set to (string literals, other names, sums of both). Names keep the literals
+what they are set to (string literals, other names, sums of both; where a line starts with the name, as in
+configuration, also unquoted values). Type annotations between a name and its value are skipped. Names keep the literals
 they were last set to, so that a literal is also judged by every name that it reaches. A
 literal whose target's words say that it is sensitive, and that looks like no placeholder, is
 a span of kind ``literal``.
@@ -37,7 +38,17 @@ SENSITIVE = {
 HARMLESS = {"name", "path", "file", "url", "uri", "type", "length", "size", "count", "id", "label", "field", "column", "public", "hash", "expiry", "timeout", "hint"}
 PLACEHOLDER = re.compile(r"^(?:change.?me|example|sample|dummy|test|todo|none|null|true|false|undefined|password|secret|token|xxx+|\*+|\.+|your.*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$", re.I)
 
-NAME = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w.$-]*+)(["']?+\]?+[ \t]*+)(:=|=>|=|:)(?![=:])[ \t]*+""", re.ASCII)
+TYPE = r"""[&*?]?(?:'\w+[ \t]+)?(?:mut[ \t]+)?(?:\[\])?([A-Za-z_][\w.]*+)(?:::\w+)*+(?:\[[^\n=]{0,80}?\]|<[^\n=]{0,80}?>)?[?!*]?(?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.\[\]]*+)*+"""
+#: Groups: start of a line up to the name, name, type's name (name: type =), type's name (name type =), operator.
+NAME = re.compile(
+    r"""(?:(^[ \t]*+(?:(?:[-#;*]++|//|export|set|ENV|ARG)[ \t]++)*["']?)|(?<![\w.$-]))([A-Za-z_$][\w.$-]*+)["']?+\]?+"""
+    rf"""(?:[?!]?[ \t]*+:[ \t]*+{TYPE}(?:[ \t]++(?==[ \t])|[ \t]*+(?==[ \t]*+[rbuf]*["']))|[ \t]++[*&]?(?:\[\])?(string|str|String|text|byte|char|rune)(?:\(\d+\))?[ \t]*+(?=:?=))?[ \t]*+(:=|=>|=|:)(?![=:])[ \t]*+""",
+    re.ASCII | re.MULTILINE,
+)
+BARE = re.compile(r"""[^\s"'`]\S*+""")
+REST = re.compile(r"[ \t]*+(?:(?<=[ \t])(?:#|;|//)[^\n]*+)?\r?(?:\n|\Z)")
+#: Unquoted values that are code or point elsewhere: calls and subscripts, attributes, other names as statements, variables, type names.
+CODE = re.compile(r"(?:[A-Za-z_$][\w$]*(?:(?:\.|->|::)[\w$]+)*)?[(\[{](?:.*(?:[)\]}][,;]?|,))?|[A-Za-z_$]+(?:(?:\.|->|::)[A-Za-z_$]+)+[,;]*|[A-Za-z_$]+;|\$\w+|\$[({].*|[*&]\w+|%\w+%|<.*>|(?:string|str|String|bytes|number|boolean|bool|integer|object|SecretStr|required|optional|enabled|disabled)[,;]?", re.ASCII)
 STRING = re.compile(r"""[rRbBuUfF]{0,2}("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')""")
 TERM = re.compile(r"[A-Za-z_$][\w.$-]*+", re.ASCII)
 JOIN = re.compile(r"[ \t]*+(?:\+|\.\.)[ \t]*+")
@@ -65,6 +76,13 @@ def literal_score(name: str, value: str) -> float:
     return sensitivity(name) * min(1.0, randomness(value) / 2.5)
 
 
+def bare(text: str, at: int, tight: bool) -> tuple[int, int] | None:
+    """The unquoted value at a place: up to a blank behind a tight =, else all of the line but a comment; None if it is code or prose."""
+    if not (m := BARE.match(text, at)) or CODE.fullmatch(m[0]) or not (tight or REST.match(text, m.end())):
+        return None
+    return at, at + len(m[0].rstrip(",;"))
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Name-literal pairs, in order: each name with the spans (within quotes) of all literals that it is set to, also through other names."""
     known: dict[str, list[tuple[int, int]]] = {}
@@ -73,7 +91,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         while True:
             if s := STRING.match(text, at):
                 found.append((s.start(1) + 1, s.end(1) - 1))
-            elif s := TERM.match(text, at):
+            elif (s := TERM.match(text, at)) and (s[0] in known or m[1] is None):
                 found += known.get(s[0], [])
             else:
                 break
@@ -81,10 +99,13 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
             if not (more := JOIN.match(text, at)):
                 break
             at = more.end()
+        if at == m.end() and m[1] is not None and (value := bare(text, at, m[5] == "=" and m.end(2) + 1 == at)):
+            found.append(value)
         found = list(dict.fromkeys(found))
-        known[m[1]] = found
-        if found:
-            yield m[1], found
+        for name in filter(None, dict.fromkeys((m[2], m[3]))):  # what looks like a type may be a name behind a label
+            known[name] = found
+            if found:
+                yield name, found
 
 
 def scan(text: str, threshold: float = 0.6) -> list[tuple[str, int, int]]:
@@ -96,7 +117,7 @@ def scan(text: str, threshold: float = 0.6) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if "=" in text or ":" in text else []
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if '"' in text or "'" in text:
+    if "=" in text or ":" in text:
         base = sorted((a, b) for _, a, b in found)
         literals = dict.fromkeys(span for name, spans in pairs(text) for span in spans if literal_score(name, text[slice(*span)]) >= threshold)
         found += [("literal", a, b) for a, b in literals if not any(x <= a and b <= y for x, y in base)]

@@ -65,6 +65,28 @@ def test_literals_by_their_targets(source, found):
     assert [source[a:b] for k, a, b in secrets.scan(source) if k == "literal"] == found
 
 
+@pytest.mark.parametrize(("source", "found"), [
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG+bPxRfi", ["wJalrXUtnFEMI/K7MDENG+bPxRfi"]),
+    ("x: 1\n  private_key: MIIEvZx9Qw8Rt  # old\n", ["MIIEvZx9Qw8Rt"]),
+    ("export DB_PASS=Zx9Q#w8Rt make", ["Zx9Q#w8Rt"]),
+    ("[db]\r\ndb_pwd = Zx9Qw8Rt\r\n", ["Zx9Qw8Rt"]),
+    ("credentials: Zx9Qw8Rt", ["Zx9Qw8Rt"]),
+    ("DB_PASS=!Zx9(Qw8Rt", ["!Zx9(Qw8Rt"]),
+    ("private-key => Zx9Qw8Rt", ["Zx9Qw8Rt"]),
+    ("K=Zx9Qw8Rt\ndb_pwd=K", ["Zx9Qw8Rt"]),
+    ("db_pwd = get_pwd(vault)\nauth_pwd = vault.pwd\nDB_PASS=${PASS_WORD}\ncredentials: ask the owner", []),
+    ('api_key: str = "Zx9Qw8Rt"', ["Zx9Qw8Rt"]),
+    ('api_key: Optional[str] = "Zx9Qw8Rt"', ["Zx9Qw8Rt"]),
+    ('const authToken: string | null = "Zx9Qw8Rt";', ["Zx9Qw8Rt"]),
+    ('var dbPwd string = "Zx9Qw8Rt"', ["Zx9Qw8Rt"]),
+    ("let db_pwd: &'static str = \"Zx9Qw8Rt\";", ["Zx9Qw8Rt"]),
+    ('const string DbPwd = "Zx9Qw8Rt";', ["Zx9Qw8Rt"]),
+    ('default: db_pwd = "Zx9Qw8Rt"', ["Zx9Qw8Rt"]),
+])
+def test_unquoted_and_typed_values(source, found):
+    assert [source[a:b] for k, a, b in secrets.scan(source) if k == "literal"] == found
+
+
 def test_redaction():
     text = 'x token="abcdefgh1" y'
     assert secrets.redact(text, secrets.scan(text)) == 'x [assign]" y'
