@@ -26,3 +26,8 @@ def test_entry_names_match_sql():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(queries.SQL) == set(queries.QUERIES)
+
+
+def test_all_lines_go_through_elements(spark, sf_dir):
+    lines = sum(len((r["text"] or "").split("\n")) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect())
+    assert queries.QUERIES["elements_json_whole"](spark, sf_dir).count() == lines
