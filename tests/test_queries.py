@@ -31,3 +31,11 @@ def test_entry_names_match_sql():
 def test_all_lines_go_through_elements(spark, sf_dir):
     lines = sum(len((r["text"] or "").split("\n")) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect())
     assert queries.QUERIES["elements_json_whole"](spark, sf_dir).count() == lines
+
+
+def test_manifest_is_what_drops_images(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.catalog, "new_manifest_rows", lambda manifest, images: seen.append((manifest, images)) or images)
+    queries.manifest_dedupe(spark, sf_dir)
+    manifest, images = ({r["image"] for r in df.select("image").distinct().collect()} for df in seen[0])
+    assert manifest and manifest < images
