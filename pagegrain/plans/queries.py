@@ -69,11 +69,16 @@ def conv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_report(report.report(docs, turn_blocks(spark, sf_dir)))
 
 
+def gapped(blocks: DataFrame) -> DataFrame:
+    """All blocks, those of every third page from 1 on moved to the page before."""
+    return blocks.withColumn("page", F.col("page") - (F.col("page") % 3 == 1).cast("int"))
+
+
 @query(f"""WITH {TURNS}, odd AS (SELECT * FROM blocks WHERE page % 3 <> 1), top AS (SELECT src, max(page) AS top, list(page) AS seen FROM odd GROUP BY src)
 SELECT src AS "docId", CAST(p AS INTEGER) AS page FROM (SELECT src, unnest(list_filter(range(0, top + 1), lambda x: NOT list_contains(seen, x))) AS p FROM top)""")
 def empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = adapters.docs_from_conversations(read(spark, sf_dir, "conversations")).withColumn("pages", F.lit(0))
-    return report.report(docs, turn_blocks(spark, sf_dir).where("page % 3 <> 1")).select("docId", F.explode("emptyPages").alias("page"))
+    return report.report(docs, gapped(turn_blocks(spark, sf_dir))).select("docId", F.explode("emptyPages").alias("page"))
 
 
 @query("SELECT role, count(*) AS n FROM conversations GROUP BY role ORDER BY n DESC, role LIMIT 10")

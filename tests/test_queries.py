@@ -39,3 +39,10 @@ def test_manifest_is_what_drops_images(spark, sf_dir, monkeypatch):
     queries.manifest_dedupe(spark, sf_dir)
     manifest, images = ({r["image"] for r in df.select("image").distinct().collect()} for df in seen[0])
     assert manifest and manifest < images
+
+
+def test_gaps_keep_all_turns(spark, sf_dir, monkeypatch):
+    seen, real = [], queries.report.report
+    monkeypatch.setattr(queries.report, "report", lambda docs, blocks: seen.append(blocks) or real(docs, blocks))
+    queries.empty_pages(spark, sf_dir)
+    assert seen[0].count() == spark.read.parquet(f"{sf_dir}/conversations.parquet").count()
