@@ -269,6 +269,16 @@ def test_pipeline_stages(spark, sf_dir):
     assert [n for n, _ in p.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secret_scan", "bpe_tokens"]
 
 
+def test_decontamination_goes_by_row(spark, sf_dir):
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    rows = [(d, t, None, None, None) for d, t in [(None, item), (None, "clean"), (1, item), (1, "clean too"), (2, None)]]
+    left = p.decontamination(spark, spark.createDataFrame(rows, schema), sf_dir).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == sorted(map(str, [(None, "clean"), (1, "clean too"), (2, None)]))
+
+
 def test_stages_take_nothing(spark, sf_dir):
     import corpus_pipeline as p
 
