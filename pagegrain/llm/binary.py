@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import library_encoder
-from .shared import small_batches
 from .words import slices
 
 MANIFEST = "shard int, name string, n_docs long, n_ids long"
@@ -52,7 +51,6 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, dt
     once, leaves one whole shard. The driver gets a row per shard.
     """
     spark = df.sparkSession
-    small_batches(spark)
     rows = df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())

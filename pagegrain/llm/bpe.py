@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from .words import mix, span_hash, utf8
+from .words import SHORT, joined, span_codes, utf8
 
 #: The split pattern of byte-level tokenizer files with use_regex. White space is
 #: Unicode White_Space, as in the library; regex's own \s also takes U+001C to U+001F.
@@ -304,47 +304,50 @@ class Vocabulary:
 
 
 class Cache:
-    """From 64-bit keys to numbers counted up from 0; open addressing, probed and filled for many keys at once."""
+    """From codes of 128 bits to whole numbers; open addressing, probed and filled for many codes at once. High halves are never 0."""
 
     def __init__(self, bits: int = 16) -> None:
         self.size, self.bits = 0, bits
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.low, self.high, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (joined(low, high) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        found = self.keys[slot]
-        out = np.where(found == keys, self.values[slot], -1).astype(np.int64)
-        more = np.flatnonzero((found != keys) & (found != 0))
+    def get(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        slot = self._slot(low, high)
+        there = self.high[slot]
+        hit = (there == high) & (self.low[slot] == low)
+        out = np.where(hit, self.values[slot], -1).astype(np.int64)
+        more = np.flatnonzero(~hit & (there != 0))
         while more.size:
-            slot[more] = (slot[more] + 1) & (self.keys.size - 1)
-            found = self.keys[slot[more]]
-            hit = found == keys[more]
+            slot[more] = (slot[more] + 1) & (self.high.size - 1)
+            there = self.high[slot[more]]
+            hit = (there == high[more]) & (self.low[slot[more]] == low[more])
             out[more[hit]] = self.values[slot[more[hit]]]
-            more = more[~hit & (found != 0)]
+            more = more[~hit & (there != 0)]
         return out
 
-    def add(self, keys: np.ndarray) -> None:
-        """New, distinct keys get the next numbers."""
-        while 2 * (self.size + keys.size) > self.keys.size:
-            old = np.flatnonzero(self.keys)
-            was, value = self.keys[old], self.values[old]
+    def add(self, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> None:
+        """New, distinct codes and their numbers."""
+        while 2 * (self.size + low.size) > self.high.size:
+            old = np.flatnonzero(self.high)
+            was = self.low[old], self.high[old], self.values[old]
             self.__init__(self.bits + 1)
-            self._put(was, value)
-            self.size = was.size
-        self._put(keys, np.arange(self.size, self.size + keys.size, dtype=np.int32))
-        self.size += keys.size
-
-    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        slot = self._slot(keys)
-        while keys.size:
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = keys[free]  # of several for one slot, one stays
-            won = free & (self.keys[slot] == keys)
-            self.values[slot[won]] = values[won]
-            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & (self.keys.size - 1)
+            self._put(*was)
+            self.size = old.size
+        self._put(low, high, values.astype(np.int32))
+        self.size += low.size
+
+    def _put(self, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> None:
+        slot = self._slot(low, high)
+        while low.size:
+            free = np.flatnonzero(self.high[slot] == 0)
+            taken = np.unique(slot[free], return_index=True)[1]  # of several for one slot, the first
+            won = free[taken]
+            self.low[slot[won]], self.high[slot[won]], self.values[slot[won]] = low[won], high[won], values[won]
+            left = np.ones(low.size, bool)
+            left[won] = False
+            low, high, values, slot = low[left], high[left], values[left], (slot[left] + 1) & (self.high.size - 1)
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -369,7 +372,11 @@ _WIDE_FIRST = np.array(sorted({c[0] for c in _WIDE}), np.uint8)
 
 
 class Encoder:
-    """Encodes texts piece by piece; pieces' tokens are cached by a 64-bit hash and the length. ``encode_new`` encodes unseen pieces."""
+    """Encodes texts piece by piece; pieces' tokens are cached. ``encode_new`` encodes unseen pieces.
+
+    A hit is always the very piece: up to SHORT bytes, a piece's code is its bytes, and longer ones are looked up by their
+    bytes. A cache of more pieces or ids than its bounds is emptied.
+    """
 
     def __init__(self, vocabulary: Vocabulary, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, cache_pieces: int = 1_000_000) -> None:
         self.v, self.encode_new, self.cache_pieces = vocabulary, encode_new or vocabulary.encode_pieces, cache_pieces
@@ -378,12 +385,14 @@ class Encoder:
 
     def clear(self) -> None:
         self.cache = Cache()
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.long: dict[bytes, int] = {}
+        self.flat, self.used, self.known = np.zeros(1 << 16, np.int32), 0, 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
-        ids, counts = self.encode_new(pieces)
-        n = self.cache.size
+    def _add(self, pieces: list[bytes]) -> None:
+        """Encodes new, distinct pieces; they get the next numbers."""
+        ids, counts = self.encode_new([p.decode() for p in pieces])
+        n = self.known
         while self.used + ids.size > self.flat.size:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + counts.size > self.start.size:
@@ -391,26 +400,33 @@ class Encoder:
         self.flat[self.used : self.used + ids.size] = ids
         self.start[n : n + counts.size] = self.used + np.cumsum(counts) - counts
         self.length[n : n + counts.size] = counts
-        self.cache.add(keys)
-        self.used += ids.size
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(size)
+        short = np.flatnonzero(size <= SHORT)
+        self.cache.add(*span_codes(np.frombuffer(b"".join(pieces), np.uint8), (ends - size)[short], ends[short]), n + short)
+        self.long.update((pieces[i], n + i) for i in np.flatnonzero(size > SHORT).tolist())
+        self.used, self.known = self.used + ids.size, n + counts.size
 
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of texts without added tokens, and their bounds."""
         if not data.size:
             return np.zeros(0, np.int32), np.zeros(offsets.size, np.int64)
-        if self.cache.size > self.cache_pieces:
+        if self.known > self.cache_pieces or self.used > 16 * self.cache_pieces:
             self.clear()
         starts = piece_starts(data, offsets)
         ends = np.append(starts[1:], data.size)
-        keys = mix(span_hash(data, starts, ends) + (ends - starts).astype(np.uint64)) | np.uint64(1)
-        at = self.cache.get(keys)
+        raw = data.tobytes()
+        at = np.empty(starts.size, np.int64)
+        short = np.flatnonzero(ends - starts <= SHORT)
+        at[short] = self.cache.get(*span_codes(data, starts[short], ends[short]))
+        long = np.flatnonzero(ends - starts > SHORT)
+        at[long] = [self.long.get(raw[a:b], -1) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
         missing = np.flatnonzero(at < 0)
         if missing.size:
-            new, first = np.unique(keys[missing], return_index=True)
-            raw = data.tobytes()
-            where = missing[first]
-            self._add(new, [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            at[missing] = self.cache.get(keys[missing])
+            pieces = [raw[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
+            number = {p: self.known + i for i, p in enumerate(dict.fromkeys(pieces))}
+            self._add(list(number))
+            at[missing] = [number[p] for p in pieces]
         counts = self.length[at]
         stops = np.cumsum(counts, dtype=np.int64)
         flat = self.flat[np.repeat(self.start[at] - stops + counts, counts) + np.arange(stops[-1])]

@@ -1,18 +1,24 @@
 """An n-gram language model with deleted interpolation.
 
-The probability of a word after another mixes maximum-likelihood estimates of the pair, of the word alone, and a uniform one. The
-mixture depends on how often the context was seen, in buckets of doubling width, and is learned by expectation-maximisation
-on counts of held-out training documents that the mixed estimates leave out.
-
-Counts are of all training documents. To keep counting and scoring free of rows by the token, documents are dealt by hash to
-blocks of bounded size. A block counts its own words and pairs; only their distinct hashes travel, packed by ranges of
-hash, to where all blocks' counts are summed. What goes back to a block are the sums alone, in the order of its own hashes,
-which it finds again by counting its documents again.
+The probability of a token after a context mixes the maximum-likelihood estimate of that n-gram with the probability after the context
+shortened by one word, down to single words, which are mixed with a uniform estimate. The mixtures depend on how often the context
+was seen, in buckets of doubling width, and are learned by expectation-maximisation, order by order, on counts of
+held-out training documents that the mixed estimates leave out.
+
+Counts are of all training documents. There are no rows by the token: each task deals its documents to blocks of bounded size, held-out
+ones apart, and a block is one row from then on. A block counts its own n-grams; only their distinct keys travel,
+sorted and packed by ranges of keys, to where all blocks' counts are summed. What goes back to a block are the sums alone, in the
+order of its own keys, which it finds again by counting its documents again.
+
+A range is as large as a task can sum, so ranges grow in number with the corpus, as blocks do. Packs that would be empty
+aren't sent: their number is that of blocks times ranges while a block has many keys for each, and never more than that of keys. Raise
+``block_bytes`` and ``range_bytes`` with the memory of the executors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,49 +26,81 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, freed, small_batches, written
-from .words import Texts, mix, slices, utf8
+from .shared import fold, written
+from .words import Texts, joined, slices, utf8
 
 _U = np.uint64
-END, BEGIN = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
-WORD_SALT, PAIR = _U(0x2545F4914F6CDD1D), _U(0x9FB21C651E98DF25)
-HELD_BLOCKS = 10
-BUCKETS = 24
+END, BEGIN = (_U(0x5851F42D4C957F2D), _U(0x2545F4914F6CDD1D)), _U(0x14057B7EF767814F)
+HELD = 10  # one training document in so many is held out for the mixtures
+BUCKETS = 40
 FLOOR = 1e-6
-GRID = 64  # steps a decade by which held-out probabilities are summed up for the mixture
+GRID = 8  # steps a decade by which held-out probabilities are summed up for a mixture
+LEVELS = 14 * GRID + 2  # at most BUCKETS * LEVELS ** 2 sums go to the driver
 FIGURES = ("types", "n_train", "n_held", "docs_train", "docs_held")
-COUNTS = np.dtype([("key", "<u8"), ("c", "<u4"), ("d", "<u4")])
+
+
+class Keys(NamedTuple):
+    """Keys of n-grams: 64 bits, and for single words another 64 that tell words apart for certain."""
+
+    key: np.ndarray
+    more: np.ndarray | None
 
 
 class Events:
-    """The tokens of some documents: each document's words and one end, with the keys of the token and of its pair."""
+    """The tokens of some documents: each document's words and one end, with the keys of the n-grams that end there."""
 
-    def __init__(self, t: Texts) -> None:
+    def __init__(self, t: Texts, order: int) -> None:
         n = t.doc.size + t.n
         self.first = t.first + np.arange(t.n + 1)
-        ends = self.first[1:] - 1
-        token = np.zeros(n, _U)
-        is_end = np.zeros(n, bool)
-        is_end[ends] = True
-        token[~is_end] = t.hash
-        token[is_end] = END
-        context = np.empty(n, _U)
-        context[1:] = token[:-1]
-        context[self.first[:-1]] = BEGIN
-        self.word, self.context, self.pair = mix(token ^ WORD_SALT), mix(context ^ WORD_SALT), mix(mix(context * PAIR) + token)
         self.counts = np.diff(self.first)
-
-
-def summed(keys: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Counts by key, ascending."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, np.int64)
-    out = np.zeros(starts.size, COUNTS)
-    out["key"] = keys[starts]
-    if starts.size:
-        out["c"], out["d"] = np.add.reduceat(c[order].astype(np.int64), starts), np.add.reduceat(d[order].astype(np.int64), starts)
-    return out
+        is_end = np.zeros(n, bool)
+        is_end[self.first[1:] - 1] = True
+        token, more = np.empty(n, _U), np.empty(n, _U)
+        for lane, out in enumerate((token, more)):
+            out[~is_end], out[is_end] = t.lane(lane), END[lane]
+        self.grams = [Keys(token, more)]
+        begin = BEGIN
+        for _ in range(order - 1):
+            self.grams.append(Keys(joined(self.behind(self.grams[-1].key, begin), token), None))
+            begin = joined(np.array([begin]), np.array([BEGIN]))[0]
+
+    def behind(self, values: np.ndarray, first: int | np.ndarray) -> np.ndarray:
+        """The values of the token before; ``first`` for a document's first token."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first[:-1]] = first
+        return out
+
+
+class Counts(NamedTuple):
+    """Distinct keys, ascending, with counts."""
+
+    key: np.ndarray
+    more: np.ndarray | None
+    c: np.ndarray
+    d: np.ndarray
+
+
+def summed(k: Keys, c: np.ndarray, d: np.ndarray | None = None) -> Counts:
+    """Counts by key, ascending. Without d, it is 0."""
+    order = np.argsort(k.key)
+    key = k.key[order]
+    new = np.append(True, key[1:] != key[:-1])[: key.size]
+    more = None
+    if k.more is not None:
+        more = k.more[order]
+        if ((more[1:] != more[:-1]) & ~new[1:]).any():  # two words of one key
+            order = np.lexsort((k.more, k.key))
+            key, more = k.key[order], k.more[order]
+        new[1:] |= more[1:] != more[:-1]
+    starts = np.flatnonzero(new)
+    total = [np.add.reduceat(x[order], starts) if starts.size and x is not None else np.zeros(starts.size, np.int64) for x in (c, d)]
+    return Counts(key[starts], None if more is None else more[starts], *total)
+
+
+def merged(parts: list[Counts]) -> Counts:
+    key, c, d = (np.concatenate([getattr(p, x) for p in parts]) for x in ("key", "c", "d"))
+    return summed(Keys(key, None if parts[0].more is None else np.concatenate([p.more for p in parts])), c, d)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -70,187 +108,280 @@ def planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).view(np.uint8).reshape(values.size, -1).T.tobytes() if values.size else b""
 
 
-def numbers(raw: np.ndarray, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() if raw.size else np.zeros(0, kind)
+def packed(*columns: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(planes(x.astype("<u8", copy=False)) for x in columns), 1)
+
+
+def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    """``n`` columns of 64-bit numbers."""
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in raw]
+
 
+def dealt(block_bytes: int):
+    """Rows of blocks: block, held, size of the texts, and the documents as a compressed Arrow stream."""
 
-def packed(counts: np.ndarray, keys: bool) -> bytes:
-    """Counts, compressed; with steps between ascending keys if asked."""
-    parts = [np.diff(counts["key"], prepend=_U(0))] * keys + [counts["c"], counts["d"]]
-    return zstandard.compress(b"".join(map(planes, parts)), 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        waiting: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
+        sizes, made = {False: 0, True: 0}, 0
 
-def unpacked(blob: bytes, keys: bool) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    size = raw.size // (16 if keys else 8)
-    out = np.zeros(size, COUNTS)
-    if keys:
-        out["key"] = np.cumsum(numbers(raw[: 8 * size], "<u8"), dtype=_U)
-        raw = raw[8 * size :]
-    out["c"], out["d"] = numbers(raw[: 4 * size], "<u4"), numbers(raw[4 * size :], "<u4")
-    return out
+        def block(held: bool) -> pa.RecordBatch:
+            nonlocal made
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, waiting[held][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in waiting[held]:
+                    out.write_batch(b)
+            number = TaskContext.get().partitionId() << 32 | made
+            row = [pa.array([number], pa.int64()), pa.array([held]), pa.array([sizes[held]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            waiting[held], sizes[held], made = [], 0, made + 1
+            return pa.RecordBatch.from_arrays(row, names=["block", "held", "size", "data"])
 
+        for batch in batches:
+            for part in slices(batch, size=block_bytes):
+                for held in (False, True):
+                    own = part.filter(pa.compute.equal(part.column("held"), held)).drop_columns(["held"])
+                    if own.num_rows:
+                        waiting[held].append(own)
+                        sizes[held] += int(utf8(own.column("text"))[1][-1]) + own.num_rows
+                    if sizes[held] >= block_bytes:
+                        yield block(held)
+        for held in (False, True):
+            if waiting[held]:
+                yield block(held)
 
-def merged(parts: list[np.ndarray]) -> np.ndarray:
-    every = np.concatenate(parts) if parts else np.zeros(0, COUNTS)
-    return summed(every["key"], every["c"], every["d"])
+    return run
 
 
-def counted(table: pa.Table, held: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A block's own counts of words and of pairs (c: in training documents, d: in held-out ones of them)."""
-    words, pairs = [], []
-    for batch in table.select(["text", "training"]).to_batches():
-        for part in slices(batch):
-            e = Events(Texts(*utf8(part.column("text")), lower=True))
-            c = np.repeat(part.column("training").to_numpy(zero_copy_only=False).astype(np.int64), e.counts)
-            for out, keys in ((words, e.word), (pairs, e.pair)):
-                out.append(summed(keys, c, c * held))
-                if len(out) == 4:
-                    out[:] = [merged(out)]
-    return merged(words), merged(pairs)
+def documents(data: bytes) -> Iterator[pa.RecordBatch]:
+    """A block's documents, a slice at a time."""
+    for batch in pa.ipc.open_stream(data):
+        yield from slices(batch)
+
+
+def counted(data: bytes, order: int) -> list[Counts]:
+    """A block's own counts in training documents, by order."""
+    parts: list[list[Counts]] = [[] for _ in range(order)]
+    for part in documents(data):
+        e = Events(Texts(*utf8(part.column("text")), lower=True), order)
+        c = np.repeat(part.column("training").to_numpy(zero_copy_only=False).astype(np.int64), e.counts)
+        for out, keys in zip(parts, e.grams, strict=True):
+            out.append(summed(keys, c))
+            if len(out) == 4:
+                out[:] = [merged(out)]
+    return [merged(p) for p in parts]
 
 
 def bucket(context_count: np.ndarray) -> np.ndarray:
     """0 for contexts never seen, then one for each doubling."""
-    return np.where(context_count > 0, np.minimum(1 + np.log2(np.maximum(context_count, 1)).astype(np.int64), BUCKETS - 1), 0)
+    return np.where(context_count > 0, np.minimum(np.frexp(np.maximum(context_count, 1).astype(float))[1], BUCKETS - 1), 0)
 
 
 def mixture(cells: np.ndarray, uniform: float, turns: int = 60) -> np.ndarray:
-    """Weights (pair, word, uniform) by bucket, by expectation-maximisation.
+    """Weights (each estimate, uniform) by bucket, by expectation-maximisation.
 
-    cells: rows of (bucket, pair estimate, word estimate, held-out tokens). Buckets without tokens get the weights of all.
+    cells: rows of (bucket, estimates, held-out tokens). Buckets without tokens get the weights of all.
     """
-    weights = np.full((BUCKETS + 1, 3), 1 / 3)
+    k = cells.shape[1] - 1
+    weights = np.full((BUCKETS + 1, k), 1 / k)
     for b in range(BUCKETS + 1):
         own = cells if b == BUCKETS else cells[cells[:, 0] == b]
         if not len(own):
             continue
-        p = np.column_stack([own[:, 1], own[:, 2], np.full(len(own), uniform)])
+        p = np.column_stack([own[:, 1:-1], np.full(len(own), uniform)])
         for _ in range(turns):
             share = p * weights[b]
             total = share.sum(axis=1, keepdims=True)
-            weights[b] = (share / np.maximum(total, 1e-300) * own[:, 3:4]).sum(axis=0) / own[:, 3].sum()
+            weights[b] = (share / np.maximum(total, 1e-300) * own[:, -1:]).sum(axis=0) / own[:, -1].sum()
     for b in range(BUCKETS):
         if not (cells[:, 0] == b).any():
             weights[b] = weights[BUCKETS]
-    weights[0, 1:] += weights[0, 0] / 2
+    weights[0, 1:] += weights[0, 0] / (k - 1)
     weights[0, 0] = 0
-    weights = np.maximum(weights, [0, FLOOR, FLOOR])
+    weights = np.maximum(weights, [0, *[FLOOR] * (k - 1)])
     return (weights / weights.sum(axis=1, keepdims=True))[:BUCKETS]
 
 
-class Known:
-    """A block's counts after sums over all blocks: its own keys with what came back, range by range in their order."""
+def mixed(f: list[np.ndarray], b: list[np.ndarray], shares: list[np.ndarray], uniform: float) -> np.ndarray:
+    """Probabilities: of each order's estimates f, the share by bucket b, the rest of the order below."""
+    p = np.full(f[0].size, uniform)
+    for estimate, own, share in zip(f, b, shares, strict=False):
+        p = share[own] * estimate + (1 - share[own]) * p
+    return p
+
 
-    def __init__(self, own: np.ndarray, back: list[bytes]) -> None:
-        got = np.concatenate([unpacked(b, False) for b in back]) if back else np.zeros(0, COUNTS)
-        if got.size != own.size:
-            raise ValueError("the documents of a block have changed between two reads")
-        self.table = own
-        self.table["c"], self.table["d"] = got["c"], got["d"]
+def steps_of(p: np.ndarray) -> np.ndarray:
+    """Probabilities on the grid: 0 for 0, else 1 and on."""
+    return np.where(p > 0, np.minimum(1 + np.round(-np.log10(np.maximum(p, 1e-14)) * GRID), LEVELS - 1), 0).astype(np.int64)
 
-    def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of keys; a key that isn't there (the document's begin) has none."""
-        found = np.minimum(np.searchsorted(self.table["key"], keys), max(0, self.table.size - 1))
-        hit = self.table["key"][found] == keys
-        return np.where(hit, self.table["c"][found], 0).astype(np.int64), np.where(hit, self.table["d"][found], 0).astype(np.int64)
 
+def value_of(step: np.ndarray) -> np.ndarray:
+    return np.where(step > 0, 10.0 ** (-(step - 1) / GRID), 0.0)
 
-def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+
+class Known:
+    """A block's counts after sums over all blocks: its own keys with what came back, range by range in their order."""
+
+    def __init__(self, own: Counts, back: list[bytes]) -> None:
+        got = [unpacked(x, 2) for x in back]
+        self.key, self.more = own.key, own.more
+        self.c, self.d = (np.concatenate([g[i] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64) for i in (0, 1))
+        if self.c.size != self.key.size:
+            raise ValueError("counts have come back for other keys than the block's own")
+
+    def at(self, k: Keys) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams of the block."""
+        order = np.argsort(k.key)
+        found = np.empty(order.size, np.int64)
+        found[order] = np.searchsorted(self.key, k.key[order])
+        if self.more is not None:
+            while (other := np.flatnonzero(self.more[found] != k.more)).size:
+                found[other] += 1
+        return self.c[found], self.d[found]
+
+
+def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2, block_bytes: int = 8 << 20, order: int = 2, range_bytes: int = 16 << 20) -> DataFrame:
     """Score every whole text by a model of those whose crc32 of doc_id, modulo ``folds``, isn't ``held_fold``.
 
     Tokens are words in lower case (A-Z) and one end. Columns: doc_id, held_out, n_tokens, n_known (tokens seen in
-    training), train_tokens, base_score (add-one unigrams) and score (the interpolated model), both sums of log10 over the tokens.
+    training), train_tokens, base_score (add-one unigrams) and score (the interpolated model of up to ``order`` words), both sums
+    of log10 over the tokens.
 
     Null and empty texts are one end. Rows with a null doc_id are scored, but neither trained on nor held out. Repeated rows count
-    and are scored each. Without training documents all counts are 0. Columns other than doc_id and text are dropped.
+    and are scored each. Without training documents all counts are 0. Columns other than doc_id and text are dropped. Texts are read
+    whole; a text longer than ``block_bytes`` is a block by itself, and its worker holds some 20 numbers a word of it.
+
+    Words are told apart by 128 bits, from their own bytes up; longer n-grams are counted by 64-bit hashes of words so told apart.
+    Counts are 64 bits wide. range_bytes: of texts, for each range of keys.
     """
     spark = df.sparkSession
-    small_batches(spark)
     docs = df.select(df["doc_id"].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    blocks = max(HELD_BLOCKS, -(-size // block_bytes))
-    parts = max(4, blocks)
     in_fold = fold(docs["doc_id"], folds)
-    dealt = docs.withColumn("held_out", F.coalesce(in_fold == held_fold, F.lit(False))).withColumn("training", F.coalesce(in_fold != held_fold, F.lit(False)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-
-    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        out = {"part": [], "block": [], "words": [], "pairs": []}
-        own = counted(table, block % HELD_BLOCKS == 0)
-        edges = [np.searchsorted(x["key"], (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(_U)) for x in own]
-        for part, (words, pairs) in enumerate(zip(*(np.split(x, e) for x, e in zip(own, edges, strict=True)), strict=True)):
-            for name, value in (("part", part), ("block", block), ("words", packed(words, True)), ("pairs", packed(pairs, True))):
-                out[name].append(value)
-        return pa.table({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "words": pa.array(out["words"], pa.binary()), "pairs": pa.array(out["pairs"], pa.binary())})
+    docs = docs.withColumn("held_out", F.coalesce(in_fold == held_fold, F.lit(False))).withColumn("training", F.coalesce(in_fold != held_fold, F.lit(False)))
+    docs = docs.withColumn("held", F.col("training") & (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(HELD)) == 0))
+    blocks = written(docs, dealt(block_bytes), "block long, held boolean, size long, data binary")
+    size = blocks.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    parts = max(1, -(-(size["bytes"] or 0) // range_bytes))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size["n"] // 2)
+    names = [f"g{i}" for i in range(1, order + 1)]
+    edges = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(_U)
+    binaries = "".join(f", {g} binary" for g in names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs of each block's keys and counts, by range."""
+        for batch in batches:
+            for block, held, data in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "data")), strict=True):
+                own = counted(data, order)
+                cuts = [np.concatenate([[0], np.searchsorted(x.key, edges), [x.key.size]]) for x in own]
+                used = np.flatnonzero(np.sum([np.diff(c) for c in cuts], axis=0))
+                columns = []
+                for x, cut in zip(own, cuts, strict=True):
+                    blobs = []
+                    for part in used.tolist():
+                        at = slice(cut[part], cut[part + 1])
+                        key = np.diff(x.key[at], prepend=_U(0))
+                        blobs.append(packed(key, x.c[at]) if x.more is None else packed(key, x.c[at], x.more[at]))
+                    columns.append(pa.array(blobs, pa.binary()))
+                same = [pa.array(used, pa.int32()), pa.array([block] * used.size, pa.int64()), pa.array([held] * used.size, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*same, *columns], names=["part", "block", "held", *names])
 
     def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Sums of one range of keys: for each block those of its own keys, in their order, and the number of trained words."""
-        out = {"block": table.column("block"), "part": pa.array([key[0].as_py()] * table.num_rows, pa.int32())}
-        figures = [0] * 5
-        for kind in ("words", "pairs"):
-            own = [unpacked(x, True) for x in table.column(kind).to_pylist()]
+        held = table.column("held").to_pylist()
+        out, figures = {"block": table.column("block"), "part": pa.array([key[0].as_py()] * table.num_rows, pa.int32())}, [0] * 5
+        for i, name in enumerate(names):
+            own = []
+            for is_held, blob in zip(held, table.column(name).to_pylist(), strict=True):
+                key_, c, *more = unpacked(blob, 2 if i else 3)
+                c = c.astype(np.int64)
+                own.append(Counts(np.cumsum(key_, dtype=_U), more[0] if more else None, c, c if is_held else np.zeros_like(c)))
             every = merged(own)
-            if kind == "words":
-                end = every[every["key"] == mix(np.array([END]) ^ WORD_SALT)[0]]
-                figures = [int(x) for x in ((every["c"] > 0).sum(), every["c"].sum(dtype=np.int64), every["d"].sum(dtype=np.int64), end["c"].sum(), end["d"].sum())]
-            out[kind] = pa.array([packed(every[np.searchsorted(every["key"], x["key"])], False) for x in own], pa.binary())
+            if not i:
+                end = np.flatnonzero((every.key == END[0]) & (every.more == END[1]))
+                figures = [int(x) for x in ((every.c > 0).sum(), every.c.sum(), every.d.sum(), every.c[end].sum(), every.d[end].sum())]
+            back = Known(every, [packed(every.c, every.d)])
+            out[name] = pa.array([packed(*back.at(Keys(x.key, x.more))) for x in own], pa.binary())
+            del own, every, back
         return pa.table({**out, **{n: pa.array([x] + [0] * (table.num_rows - 1), pa.int64()) for n, x in zip(FIGURES, figures, strict=True)}})
 
-    counts = dealt.select("block", "text", "training").groupBy("block").applyInArrow(count, "part int, block int, words binary, pairs binary")
-    sums = written(counts.groupBy("part").applyInArrow(total, "block int, part int, words binary, pairs binary" + "".join(f", {n} long" for n in FIGURES)))
-    freed(spark)
+    counts = blocks.select("block", "held", "data").mapInArrow(count, f"part int, block long, held boolean{binaries}")
+    sums = counts.repartition(parts, "part").groupBy("part").applyInArrow(total, f"block long, part int{binaries}" + "".join(f", {n} long" for n in FIGURES))
+    sums = written(sums)
     types, n_train, n_held, docs_train, docs_held = (x or 0 for x in sums.agg(*(F.sum(n) for n in FIGURES)).first())
     uniform = 1 / (types + 1)
-    begin = mix(np.array([BEGIN]) ^ WORD_SALT)[0]
 
-    def known(table: pa.Table, back: pa.Table, held: bool) -> tuple[Known, Known]:
-        own = counted(table, held)
+    def known(data: bytes, back: pa.Table) -> list[Known]:
         back = back.sort_by("part")
-        return tuple(Known(x, back.column(c).to_pylist()) for x, c in zip(own, ("words", "pairs"), strict=True))
-
-    def estimates(e: Events, words: Known, pairs: Known, main: bool) -> tuple[np.ndarray, ...]:
-        """Of each token: its count, bucket, pair estimate and word estimate; main leaves held-out counts out."""
-        (w, wd), (h, hd), (p, pd) = words.at(e.word), words.at(e.context), pairs.at(e.pair)
-        begins = e.context == begin
-        h, hd = np.where(begins, docs_train, h), np.where(begins, docs_held, hd)
-        if main:
-            w, h, p = w - wd, h - hd, p - pd
-        n = n_train - n_held if main else n_train
-        return w, bucket(h), np.where(h > 0, p / np.maximum(h, 1), 0.0), w / max(1, n)
-
-    def held_cells(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
-        """How often tokens of held-out documents have which estimates, on a grid of logarithms."""
-        words, pairs = known(table, back, True)
-        found = []
-        for batch in table.filter(table.column("training")).select(["text"]).to_batches():
-            for part in slices(batch):
-                _, b, p2, p1 = estimates(Events(Texts(*utf8(part.column("text")), lower=True)), words, pairs, True)
-                q2, q1 = (np.where(p > 0, 1 + np.round(-np.log10(np.maximum(p, 1e-14)) * GRID), 0).astype(np.int64) for p in (p2, p1))
-                found.append(np.unique((b * 2048 + q2) * 2048 + q1, return_counts=True))
-        cell, n = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-        return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    back = sums.select("block", "part", "words", "pairs")
-    held_docs, held_back = (x.where(F.col("block") % HELD_BLOCKS == 0) for x in (dealt.select("block", "text", "training"), back))
-    cells = held_docs.groupBy("block").cogroup(held_back.groupBy("block")).applyInArrow(held_cells, "cell long, n long")
-    got = np.array([(r["cell"], r["n"]) for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()], np.int64).reshape(-1, 2)
-    freed(spark)
-    value = [np.where(q > 0, 10.0 ** (-(q - 1) / GRID), 0.0) for q in (got[:, 0] // 2048 % 2048, got[:, 0] % 2048)]
-    weights = mixture(np.column_stack([got[:, 0] // 2048 // 2048, *value, got[:, 1]]), uniform)
+        return [Known(x, back.column(g).to_pylist()) for x, g in zip(counted(data, order), names, strict=True)]
+
+    def estimates(e: Events, tables: list[Known], main: bool) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of each token: its count, and by order its estimate and its context's bucket; main leaves held-out counts out."""
+        f, b, words, above = [], [], None, None
+        for table, keys in zip(tables, e.grams, strict=True):
+            c, d = table.at(keys)
+            c = c - d if main else c
+            if words is None:
+                words, context = c, np.full(c.size, n_train - n_held if main else n_train)
+                b.append(np.ones(c.size, np.int64))
+            else:
+                context = e.behind(above, docs_train - docs_held if main else docs_train)
+                b.append(bucket(context))
+            f.append(np.where(context > 0, c / np.maximum(context, 1), 0.0))
+            above = c
+        return words, f, b
+
+    def held_estimates(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
+        blobs = []
+        for data in table.column("data").to_pylist():
+            tables = known(data, back)
+            for part in documents(data):
+                _, f, b = estimates(Events(Texts(*utf8(part.column("text")), lower=True), order), tables, True)
+                blobs.append(zstandard.compress(np.concatenate(f).astype("<f4").tobytes() + np.concatenate(b).astype(np.uint8).tobytes(), 1))
+        return pa.table({"data": pa.array(blobs, pa.binary())})
+
+    def cells(shares: list[np.ndarray]):
+        """How many held-out tokens have which bucket, estimate and probability of the order below, for the next order."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    raw = zstandard.decompress(data)
+                    n = len(raw) // (5 * order)
+                    f = list(np.frombuffer(raw, "<f4", n * order).reshape(order, n).astype(float))
+                    b = list(np.frombuffer(raw, np.uint8, offset=4 * n * order).reshape(order, n))
+                    k = len(shares)
+                    below = steps_of(mixed(f, b, shares, uniform)) if k else 0
+                    cell, times = np.unique((b[k].astype(np.int64) * LEVELS + steps_of(f[k])) * LEVELS + below, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(times)], names=["cell", "n"])
+
+        return run
+
+    back = sums.select("block", "part", *names)
+    own = blocks.where("held").select("block", "data")
+    held_back = back.join(F.broadcast(own.select("block")) if size["n"] <= 100_000 else own.select("block"), "block", "left_semi")
+    pair = own.repartition(tasks, "block").groupBy("block").cogroup(held_back.repartition(tasks, "block").groupBy("block"))
+    held = written(pair.applyInArrow(held_estimates, "data binary"))
+    shares: list[np.ndarray] = []
+    for k in range(order):
+        found = held.mapInArrow(cells(shares), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+        got = np.array([(r["cell"], r["n"]) for r in found], np.int64).reshape(-1, 2)
+        cell, n = got[:, 0], got[:, 1]
+        columns = [cell // LEVELS // LEVELS, value_of(cell // LEVELS % LEVELS), *([value_of(cell % LEVELS)] if k else []), n]
+        weights = mixture(np.column_stack(columns).astype(float), 0.0 if k else uniform)
+        shares.append(weights[:, 0] / (weights[:, 0] + weights[:, 1]))
 
     def judge(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
-        words, pairs = known(table, back, key[0].as_py() % HELD_BLOCKS == 0)
         out = []
-        for batch in table.to_batches():
-            for part in slices(batch):
-                e = Events(Texts(*utf8(part.column("text")), lower=True))
-                c, b, p2, p1 = estimates(e, words, pairs, False)
-                mixed = np.log10(weights[b, 0] * p2 + weights[b, 1] * p1 + weights[b, 2] * uniform)
-                base = np.log10((c + 1) / (n_train + types + 1))
-                starts = e.first[:-1]
-                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(e.counts, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(part.num_rows, n_train), pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mixed, starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.Table.from_batches(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for data in table.column("data").to_pylist():
+            tables = known(data, back)
+            for part in documents(data):
+                e = Events(Texts(*utf8(part.column("text")), lower=True), order)
+                c, f, b = estimates(e, tables, False)
+                sums_of = [np.add.reduceat(x, e.first[:-1]) for x in ((c > 0).astype(np.int64), np.log10((c + 1) / (n_train + types + 1)), np.log10(mixed(f, b, shares, uniform)))]
+                columns = [part.column("doc_id"), part.column("held_out"), pa.array(e.counts, pa.int64()), pa.array(sums_of[0]), pa.array(np.full(part.num_rows, n_train), pa.int64()), *map(pa.array, sums_of[1:])]
+                out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.Table.from_batches(out)
+
+    pair = blocks.select("block", "data").repartition(tasks, "block").groupBy("block").cogroup(back.repartition(tasks, "block").groupBy("block"))
+    return pair.applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import freed, small_batches, written
+from .shared import spread_join, written
 from .words import Texts, mix, slices, utf8
 
 _U = np.uint64
 SHINGLE = 5
 MISS = 2e-5
+GROUP = 256
 
 
 def collections(percent: int, r: int) -> int:
@@ -40,23 +41,22 @@ def collections(percent: int, r: int) -> int:
     return m
 
 
-def shingles(t: Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all documents, ascending within each, and each document's first (one more at the end).
+def shingles(t: Texts, k: int = SHINGLE, lanes: int = 1) -> tuple[np.ndarray, ...]:
+    """Distinct shingles of all documents, by ascending hash within each, and each document's first (one more at the end).
 
-    With 1 to k - 1 words, the whole sequence is the one shingle.
+    A hash of 64 bits, or with two lanes 128 in two arrays. With 1 to k - 1 words, the whole sequence is the one shingle.
     """
-    hashes, inside = t.windows(k)
-    hashes, doc = hashes[inside], t.doc[: inside.size][inside]
+    inside = t.windows(k)[1]
     short = np.flatnonzero((t.counts > 0) & (t.counts < k))
-    if short.size:
-        own = mix(t.ranges(t.first[short], t.first[short + 1]) + t.counts[short].astype(_U))
-        hashes, doc = np.concatenate([hashes, own]), np.concatenate([doc, short])
-    order = np.lexsort((hashes, doc))
-    hashes, doc = hashes[order], doc[order]
-    new = np.ones(hashes.size, bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    hashes, doc = hashes[new], doc[new]
-    return hashes, np.searchsorted(doc, np.arange(t.n + 1))
+    doc = np.concatenate([t.doc[: inside.size][inside], short])
+    both = [np.concatenate([t.windows(k, lane)[0][inside], t.ranges(t.first[short], t.first[short + 1], lane)]) for lane in range(lanes)]
+    order = np.lexsort((*reversed(both), doc))
+    both, doc = [h[order] for h in both], doc[order]
+    new = np.ones(doc.size, bool)
+    new[1:] = doc[1:] != doc[:-1]
+    for h in both:
+        new[1:] |= h[1:] != h[:-1]
+    return *(h[new] for h in both), np.searchsorted(doc[new], np.arange(t.n + 1))
 
 
 def signatures(docs: DataFrame, percent: int, r: int) -> DataFrame:
@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, percent: int, r: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                h, first = shingles(Texts(*utf8(part.column("text")), lower=True))
+                h, other, first = shingles(Texts(*utf8(part.column("text")), lower=True), lanes=2)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
                 keys = np.zeros((part.num_rows, m), _U)
@@ -81,30 +81,52 @@ def signatures(docs: DataFrame, percent: int, r: int) -> DataFrame:
                             x = (h ^ seeds[j]) * odd[j]
                             key = mix(key + np.minimum.reduceat(x ^ (x >> _U(32)), starts))
                         keys[full, c] = key
-                    sums[full, 0], sums[full, 1] = np.add.reduceat(mix(h), starts), np.add.reduceat(mix(h ^ _U(0x5851F42D4C957F2D)), starts)
+                    sums[full, 0], sums[full, 1] = np.add.reduceat(mix(h), starts), np.add.reduceat(mix(other), starts)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), m).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[:, 0].copy().view(np.int64)), pa.array(sums[:, 1].copy().view(np.int64)), flat], names=["doc_id", "n", "a", "b", "keys"])
+                digest = [pa.array(sums[:, lane].copy().view(np.int64)) for lane in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *digest, flat], names=["doc_id", "n", "a", "b", "keys"])
 
     return written(docs, run, "doc_id long, n long, a long, b long, keys array<long>")
 
 
+def with_text(rows: DataFrame, pairs: DataFrame, texts: DataFrame, side: str, most: int = 256) -> DataFrame:
+    """rows, one for each of pairs, with the text t_x or t_y of ``side``. texts: rep, text.
+
+    A rep with more than ``most`` pairs and a thousandth of all has its text sent to as many tasks as it needs. Such reps are fewer than a thousand,
+    so that they can be broadcast; all others have few pairs.
+    """
+    total = max(1, pairs.count())
+    sizes = pairs.groupBy(side).agg(F.count("*").alias("size"))
+    hot = sizes.where((F.col("size") > most) & (F.col("size") * 1000 > total)).select(side, F.ceil(F.col("size") / max(most, total // 1000)).cast("int").alias("shares"))
+    hot = F.broadcast(written(hot))
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = rows.join(hot, side, "left").withColumn("share", F.pmod(F.xxhash64("x", "y"), shares).cast("int")).drop("shares")
+    sent = texts.select(F.col("rep").alias(side), F.col("text").alias(f"t_{side}")).join(hot, side, "left")
+    sent = sent.select(side, f"t_{side}", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    return sent.join(dealt.hint("shuffle_hash"), [side, "share"]).drop("share")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose full sets are similar enough. texts: rep, text."""
-    with_y = texts.select(F.col("rep").alias("y"), F.col("text").alias("ty")).join(pairs.hint("shuffle_hash"), "y")
-    both = with_y.join(texts.select(F.col("rep").alias("x"), F.col("text").alias("tx")), "x").select("x", "y", "tx", "ty")
+    """The pairs (x, y), each listed once, whose full sets are similar enough. texts: rep, text."""
+    both = with_text(with_text(pairs, pairs, texts, "y"), pairs, texts, "x").select("x", "y", "t_x", "t_y")
+
+    def sets(part: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of the slice's different reps, their bounds, and each row's rep among them."""
+        _, at, row = np.unique(part.column(side).to_numpy(), return_index=True, return_inverse=True)
+        return *shingles(Texts(*utf8(part.column(f"t_{side}").take(pa.array(at))), lower=True)), row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "tx"):
-                found = []
-                for piece in slices(part, "ty"):
-                    (hx, fx), (hy, fy) = (shingles(Texts(*utf8(piece.column(c)), lower=True)) for c in ("tx", "ty"))
-                    for i in range(piece.num_rows):
-                        sx, sy = hx[fx[i] : fx[i + 1]], hy[fy[i] : fy[i + 1]]
+            for part in slices(batch, "t_x"):
+                for piece in slices(part, "t_y"):
+                    (hx, fx, rx), (hy, fy, ry) = (sets(piece, side) for side in ("x", "y"))
+                    found = []
+                    for i, j in zip(rx.tolist(), ry.tolist(), strict=True):
+                        sx, sy = hx[fx[i] : fx[i + 1]], hy[fy[j] : fy[j + 1]]
                         at = np.searchsorted(sx, sy)
                         common = int((sx[np.minimum(at, sx.size - 1)] == sy).sum()) if sx.size else 0
                         found.append(common > 0 and 100 * common >= percent * (sx.size + sy.size - common))
-                yield part.select(["x", "y"]).filter(pa.array(found, pa.bool_()))
+                    yield piece.select(["x", "y"]).filter(pa.array(found, pa.bool_()))
 
     return written(both, run, "x long, y long")
 
@@ -147,16 +169,20 @@ def possible(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))), pa.array(h.view(np.int64))], names=["rep", "token"])
 
     tokens = written(texts.join(members.select("rep").distinct().hint("shuffle_hash"), "rep").select("rep", "text").mapInArrow(run, "rep long, token long").distinct())
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(common, "token").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))).withColumn("of", F.count("*").over(Window.partitionBy("rep")))
+    common = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    per_rep = Window.partitionBy("rep")
+    ranked = spread_join(tokens, common, ["token"], "df").withColumn("k", F.row_number().over(per_rep.orderBy("df", "token"))).withColumn("of", F.count("*").over(per_rep))
     sizes = tokens.groupBy("rep").agg(F.count("*").alias("n")).join(members.select("rep", "comp").distinct(), "rep")
     placed = ranked.join(sizes, "rep").withColumn("at", F.col("n") - F.col("of") + F.col("k"))
     prefix = written(placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("token", "rep", "n", "comp", "at"))
-    mixed = prefix.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    left = prefix.join(mixed, "token")
-    right = left.select("token", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "comp", "at")))
+    # Tokens of several components. Their members are dealt to groups of some hundred, and each member meets one group in a task.
+    mixed = prefix.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    mixed = written(mixed.select("token", "size", F.ceil(F.col("size") / GROUP).cast("int").alias("groups")))
+    left = written(spread_join(prefix, mixed, ["token"], "size").drop("size"))
+    right = left.select("token", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "comp", "at")), F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("group"))
+    left = left.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
     most = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")) + 1
-    met = left.join(right, "token").where((F.col("rep") < F.col("rep_")) & (F.col("comp") != F.col("comp_")) & (most * (100 + percent) >= (F.col("n") + F.col("n_")) * percent))
+    met = left.join(right, ["token", "group"]).where((F.col("rep") < F.col("rep_")) & (F.col("comp") != F.col("comp_")) & (most * (100 + percent) >= (F.col("n") + F.col("n_")) * percent))
     return met.select(F.col("rep").alias("x"), F.col("rep_").alias("y")).distinct()
 
 
@@ -169,30 +195,31 @@ def components(df: DataFrame, percent: int = 80, text: str = "text", r: int = 3)
 
     Null texts and texts without words have empty sets, which are linked with nothing. Rows with a null doc_id
     are linked with nothing either: component_id is null, kept is true. Rows of one doc_id with equal sets get the same
-    result; with different sets, each is linked by its own. Columns other than doc_id and text are dropped.
+    result; with different sets, each is linked by its own. Columns other than doc_id and text are dropped. A text is worked on
+    as a whole, however long: a worker holds some 20 numbers a word of it.
+
+    Shingles are 64-bit hashes of words' own bytes, sets are told apart by 128 bits.
     """
-    small_batches(df.sparkSession)
     docs = df.select(df["doc_id"].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
     sigs = signatures(docs, percent, r)
     classes = written(sigs.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
     by_key = classes.select("rep", "n", F.posexplode("keys").alias("i", "key"))
     shared = by_key.groupBy("i", "key").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("i", "key")
-    some = by_key.join(shared, ["i", "key"]).groupBy("rep", "n").agg(F.collect_list(F.struct("i", "key")).alias("c")).where(F.size("c") > 1)
+    some = written(by_key.join(shared, ["i", "key"]).groupBy("rep", "n").agg(F.collect_list(F.struct("i", "key")).alias("c")).where(F.size("c") > 1))
     pair = F.transform("c", lambda x: F.transform(F.filter("c", lambda y: y["i"] > x["i"]), lambda y: F.xxhash64(x["i"], y["i"], x["key"], y["key"])))
     entries = some.select("rep", "n", F.explode(F.flatten(pair)).alias("entry"))
-    full = entries.groupBy("entry").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(entries.join(full, "entry"))
-    freed(docs.sparkSession)
-    reps = members.groupBy("rep").agg(F.sum("size").alias("met"))
-    own = written(docs.join(reps.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "text"))
-    freed(docs.sparkSession)
+    full = written(entries.groupBy("entry").agg(F.count("*").alias("size")).where("size > 1"))
+    members = written(spread_join(entries, full, ["entry"], "size"))
+    reps = written(members.groupBy("rep").agg(F.sum("size").alias("met")))
+    own = docs.join(reps.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    own = written(own.groupBy("rep", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h"))  # repeated rows once
     known = members.join(reps, "rep")
-    leader = known.groupBy("entry").agg(F.max(F.struct("met", (-F.col("rep")).alias("rep"))).alias("top"))
-    first = members.join(leader, "entry").groupBy("rep").agg(F.max("top").alias("top")).select(F.col("rep").alias("y"), (-F.col("top")["rep"]).alias("x")).where("x != y")
+    leader = written(known.groupBy("entry").agg(F.max(F.struct("met", (-F.col("rep")).alias("rep"))).alias("top"), F.count("*").alias("size")))
+    first = spread_join(members.select("entry", "rep"), leader, ["entry"], "size").groupBy("rep").agg(F.max("top").alias("top")).select(F.col("rep").alias("y"), (-F.col("top")["rep"]).alias("x")).where("x != y")
     labels = joined(reps.select("rep", F.col("rep").alias("comp")), linked(written(first), own, percent))
-    placed = members.join(labels, "rep")
-    mixed = placed.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("entry")
-    rest = written(placed.join(mixed, "entry").select("rep", "comp").distinct())
+    placed = written(members.select("entry", "rep").join(labels, "rep"))
+    mixed = written(placed.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("entry", "size"))
+    rest = written(spread_join(placed, mixed, ["entry"], "size").select("rep", "comp").distinct())
     labels = joined(labels, linked(written(possible(rest, own, percent)), own, percent))
     rep_of = classes.select("a", "b", "n", "rep").join(labels, "rep", "left").select("a", "b", "n", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "a", "b").join(rep_of, ["a", "b", "n"], "left")

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import small_batches
-from .words import Texts, covered, per_doc, slices, span_hash, utf8
+from .shared import new_columns
+from .words import Texts, covered, per_doc, slices, span_codes, utf8
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True  # fixed values
@@ -88,7 +88,7 @@ def measures(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[str, n
     """The figures of each document, as whole numbers."""
     t = Texts(data, offsets)
     n = t.doc.size
-    order, shared = suffixes(t.hash.astype(np.int64), t.doc, t.first[1:][t.doc] if n else np.zeros(0, np.int64))
+    order, shared = suffixes(t.numbers(), t.doc, t.first[1:][t.doc] if n else np.zeros(0, np.int64))
     longest = np.zeros(n, np.int64)
     if n:
         longest[order] = np.maximum(shared, np.append(shared[1:], 0))
@@ -108,12 +108,12 @@ def measures(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[str, n
     worded = np.searchsorted(t.starts, stops) > np.searchsorted(t.starts, starts)
     starts, stops = starts[worded], stops[worded]
     line_doc = np.searchsorted(offsets, starts, side="right") - 1
-    line = span_hash(data, starts, stops)
+    low, high = span_codes(data, starts, stops)
     lines = np.bincount(line_doc, minlength=t.n)
-    by = np.lexsort((line, line_doc))
+    by = np.lexsort((low, high, line_doc))
     fresh = np.ones(by.size, bool)
     if by.size:
-        fresh[1:] = (line[by][1:] != line[by][:-1]) | (line_doc[by][1:] != line_doc[by][:-1])
+        fresh[1:] = (low[by][1:] != low[by][:-1]) | (high[by][1:] != high[by][:-1]) | (line_doc[by][1:] != line_doc[by][:-1])
     return {
         "n_words": t.counts,
         "word_chars": bytes_per_doc(((data & 0xC0) != 0x80) & ~_SPACE[data]),
@@ -131,11 +131,14 @@ def rate(df: DataFrame, rules: Rules = Rules(), text: str = "text", keep: tuple[
     that equal an earlier line), n_repeat_words (words in repeats of rules.repeat_words or more, first occurrences
     included), longest_repeat (words), base_failed (too few words or too much repeated) and kept (not base_failed,
     and no repeat over rules.max_repeat). Null and empty texts have figures of 0 and are not kept. Rows
-    are independent: repeated rows and null ids stay as they are. Columns not in ``keep`` are dropped. No shuffle.
+    are independent: repeated rows and null ids stay as they are. Columns not in ``keep`` are dropped; names in it that are made here raise. No shuffle.
+
+    A text is worked on as a whole, however long: a worker holds some 20 numbers a word of it, and one more for each doubling of its longest repeat.
+    Words and lines are compared by their bytes (beyond 15, by 120 bits of BLAKE2b).
     """
-    small_batches(df.sparkSession)
     plain = df.select(*keep, df[text].cast("string").alias("__text"))
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
+    new_columns(keep, [*numbers, "base_failed", "kept"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[: len(keep)]) + "".join(f", {c} long" for c in numbers) + ", base_failed boolean, kept boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score(read(spark, sf_dir, "documents"))
+    return language_model.score(read(spark, sf_dir, "documents"), order=3)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

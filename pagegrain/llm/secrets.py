@@ -20,7 +20,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import small_batches
+from .shared import new_columns
 from .words import slices
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -144,9 +144,9 @@ def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     Columns: those in ``keep``, n_assign, n_access, n_hex, n_literal, base_sha256 (of the base spans listed as
     kind:start:end, comma-joined), spans (all, listed likewise) and maybe redacted. Null and empty texts have
     no spans; a null text's redacted one is null. Rows are independent: repeated rows and null ids
-    stay as they are. Columns not in ``keep`` are dropped. Needs no shuffle.
+    stay as they are. Columns not in ``keep`` are dropped; names in it that are made here raise. Texts of any length are read whole. Needs no shuffle.
     """
-    small_batches(df.sparkSession)
+    new_columns(keep, ["n_assign", "n_access", "n_hex", "n_literal", "base_sha256", "spans", "redacted"])
     plain = df.select(*keep, df[text].cast("string").alias("__text"))
     names = [*keep, "n_assign", "n_access", "n_hex", "n_literal", "base_sha256", "spans", *["redacted"] * redacted]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[: len(keep)])

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
 from .words import NOT_ALPHANUMERIC, Texts, slices, utf8
 
 SCHEMA = "n_tokens long, n_matched long, n_tiles long, longest_tile long, coverage double"
@@ -110,7 +109,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, seed: int =
     pass over docs, so that a large one costs passes and not memory. Needs no shuffle of docs.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0

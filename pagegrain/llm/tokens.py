@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import worker_encoder
-from .shared import small_batches
+from .shared import new_columns
 from .words import slices
 
 
@@ -25,9 +25,10 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
             ``decoded_sha256``, lowercase hex.
 
     Null and empty texts have no tokens. Rows are independent: repeated rows and ids come out as often as
-    they went in, null ids stay null. Added tokens' strings in a text become those tokens. Needs no shuffle.
+    they went in, null ids stay null. Added tokens' strings in a text become those tokens. A text of any length is encoded as a
+    whole, and held a few times over. Names in ``keep`` that are made here raise. Needs no shuffle.
     """
-    small_batches(df.sparkSession)
+    new_columns(keep, ["n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
     plain = df.select(*keep, df[text].cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[: len(keep)])
     schema += ", n_tokens long" + ", ids array<int>, decoded string" * ids + ", ids_sha256 string, decoded_sha256 string" * digests

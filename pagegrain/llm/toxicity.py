@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, small_batches
+from .shared import fold, new_columns
 from .words import slices
 
 THRESHOLDS = (3, 4, 5, 6, 7)
@@ -130,7 +130,6 @@ def fit(docs: DataFrame, labels: DataFrame, at: Limits = Limits()) -> dict | Non
     labels has doc_id and toxic (0 or 1; other values and nulls are left out). Bounded by ``at``, whatever the
     table's size: the driver gets ids, windows and figures of so many documents at most.
     """
-    small_batches(docs.sparkSession)
     known = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(fold(known["doc_id"], 5) != 0).withColumn("h", F.xxhash64(F.lit(7), "doc_id"))
     prior = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -169,10 +168,10 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", keep: tuple[s
     """Every whole text's score (0 to 1) and predicted (1 if score >= 0.5); with details, its figures.
 
     Null and empty texts are one empty window. Without a model every score is 0. Rows are independent: repeated
-    rows and null ids stay as they are. Columns not in ``keep`` are dropped. The model (two dictionaries of bounded
+    rows and null ids stay as they are. Columns not in ``keep`` are dropped; names in it that are made here raise. Texts of any length are cut up whole. The model (two dictionaries of bounded
     size and a few weights) goes to the workers with the function. Needs no shuffle.
     """
-    small_batches(docs.sparkSession)
+    new_columns(keep, ["score", "predicted", "figures"])
     plain = docs.select(*keep, docs[text].cast("string").alias("__text"))
     names = [*keep, "score", "predicted", *["figures"] * details]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[: len(keep)]) + ", score double, predicted int" + ", figures array<double>" * details
