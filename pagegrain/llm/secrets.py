@@ -1,11 +1,14 @@
 """Secrets in source code, configuration and prose.
 
-Fixed patterns find spans of known shape. Beyond them, text is read as assignments: names and
-what they are set to (string literals, other names, sums of both; where a line starts with the name, as in
-configuration, also unquoted values). Type annotations between a name and its value are skipped. Names keep the literals
-they were last set to, so that a literal is also judged by every name that it reaches. A
-literal whose target's words say that it is sensitive, and that looks like no placeholder, is
-a span of kind ``literal``.
+Fixed patterns find spans of known shape. Beyond them, text is lexed as assignments: names and
+what they are set to (string literals in any quotes, also on the next line, other names, sums of both and neighbouring literals;
+where a line starts with the name, as in configuration, also unquoted values and blocks). Type annotations between a name and its value are
+skipped. Names get the path of braces, indented keys and sections that they stand in; elements and
+attributes of markup, and pairs of a name entry and a value entry, are assignments too.
+
+Names keep the literals they were last set to, so that a literal is also judged by every name that it reaches; what comments
+set is judged, but not kept. A value is put together before it is judged. A value whose target's words say that it is
+sensitive, and that looks like no placeholder, gives spans of kind ``literal``.
 """
 
 from __future__ import annotations
@@ -13,9 +16,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,18 +53,38 @@ BARE = re.compile(r"""[^\s"'`]\S*+""")
 REST = re.compile(r"[ \t]*+(?:(?<=[ \t])(?:#|;|//)[^\n]*+)?\r?(?:\n|\Z)")
 #: Unquoted values that are code or point elsewhere: calls and subscripts, attributes, other names as statements, variables, type names.
 CODE = re.compile(r"(?:[A-Za-z_$][\w$]*(?:(?:\.|->|::)[\w$]+)*)?[(\[{](?:.*(?:[)\]}][,;]?|,))?|[A-Za-z_$]+(?:(?:\.|->|::)[A-Za-z_$]+)+[,;]*|[A-Za-z_$]+;|\$\w+|\$[({].*|[*&]\w+|%\w+%|<.*>|(?:string|str|String|bytes|number|boolean|bool|integer|object|SecretStr|required|optional|enabled|disabled)[,;]?", re.ASCII)
-STRING = re.compile(r"""[rRbBuUfF]{0,2}("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')""")
+#: Groups: what stands within triple, back, double and single quotes.
+STRING = re.compile(r"""[rRbBuUfF]{0,2}(?:\"""((?:[^\\"]|\\.|"(?!""))*+)\"""|\'\'\'((?:[^\\']|\\.|'(?!''))*+)\'\'\'|`((?:[^`\\]|\\.)*+)`|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""", re.DOTALL)
 TERM = re.compile(r"[A-Za-z_$][\w.$-]*+", re.ASCII)
-JOIN = re.compile(r"[ \t]*+(?:\+|\.\.)[ \t]*+")
+JOIN = re.compile(r"[ \t]*+(?:\+|\.\.|\\\n)\s*+")
+#: Behind an operator, up to a quoted value on a line to come.
+AHEAD = re.compile(r"""[(]?[ \t]*+(?:\\?\r?\n[ \t]*+){1,2}[(]?(?=[rbuf]{0,2}["'`])|[(][ \t]*+(?=[rbuf]{0,2}["'`])""", re.IGNORECASE)
+#: Neighbouring literals are one value, on other lines within parentheses.
+NEXT = re.compile(r"""\s++(?=[rbuf]{0,2}["'])""", re.IGNORECASE)
+#: A value in lines of its own below its name (groups: indentation, value).
+BELOW = re.compile(r"[ \t]*+(?:[|>][+-]?[ \t]*+)?\r?\n([ \t]++)([^\s\"'`#:=]++)[ \t]*+(?=\r?\n|\Z)")
+COMMENT = re.compile(r"""^[ \t]*+(?:#|//|;|--|/?\*|<!--|REM\b)|[ \t](?:#|//)[ \t]""")
+QUOTED = re.compile(r"""\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'""")
+BRACE = re.compile(r"""\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[{}]|^[ \t]*+\[\[?([\w.\- \"']++)\]\]?[ \t]*+\r?$""", re.MULTILINE)
+#: Groups of markup: element, attributes, content.
+ELEMENT = re.compile(r"<([A-Za-z_][\w:.-]*+)((?:\s++[\w:.-]++\s*+=\s*+(?:\"[^\"<]*+\"|'[^'<]*+'))*+)\s*+(?:>([^<]*+)</\1\s*+>|/>)")
+ATTRIBUTE = re.compile(r"([\w:.-]++)\s*+=\s*+(?:\"([^\"<]*+)\"|'([^'<]*+)')")
+NAMING, VALUED = ("name", "key", "id"), ("value", "val", "content", "default")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
-def sensitivity(name: str) -> float:
-    """How far a name says that its value is secret: its words' weights as independent hints."""
+def weigh(name: str) -> tuple[list[str], float]:
+    """A name's words, and how far they say that its value is secret: their weights as independent hints."""
     parts = [p.lower() for p in PARTS.findall(name)]
-    if not parts or parts[-1] in HARMLESS:
+    return parts, 1 - math.prod(1 - SENSITIVE.get(p, 0.0) for p in parts)
+
+
+def sensitivity(path: tuple[str, ...]) -> float:
+    """How far a name (last) and the path to it say that its value is secret. What it stands in only adds to what it says by itself."""
+    parts, own = weigh(path[-1])
+    if not parts or parts[-1] in HARMLESS or not (own or parts[-1] in VALUED):
         return 0.0
-    return 1 - math.prod(1 - SENSITIVE.get(p, 0.0) for p in parts)
+    return 1 - (1 - own) * math.prod(1 - 0.75 * weigh(p)[1] for p in path[:-1])
 
 
 def randomness(value: str) -> float:
@@ -69,11 +93,11 @@ def randomness(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def literal_score(name: str, value: str) -> float:
-    """From 0 to 1: the name's sensitivity, lowered for values that are short, repetitive or prose."""
+def plausibility(value: str) -> float:
+    """From 0 to 1: how far a value may be a secret, less for those that are short, repetitive or prose."""
     if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value.strip()):
         return 0.0
-    return sensitivity(name) * min(1.0, randomness(value) / 2.5)
+    return min(1.0, randomness(value) / 2.5)
 
 
 def bare(text: str, at: int, tight: bool) -> tuple[int, int] | None:
@@ -83,29 +107,162 @@ def bare(text: str, at: int, tight: bool) -> tuple[int, int] | None:
     return at, at + len(m[0].rstrip(",;"))
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Name-literal pairs, in order: each name with the spans (within quotes) of all literals that it is set to, also through other names."""
-    known: dict[str, list[tuple[int, int]]] = {}
+Span = tuple[int, int]
+
+
+class Value:
+    """What a name is set to: spans of literals, and values of other names, which are put together only when they are judged."""
+
+    def __init__(self) -> None:
+        self.parts: list[Span | Value] = []
+
+    def spans(self) -> tuple[Span, ...]:
+        out, stack = {}, [self]
+        while stack:
+            top = stack.pop()
+            if isinstance(top, Value):
+                stack += reversed(top.parts)
+            else:
+                out[top] = None
+        return tuple(out)
+
+
+class Scopes:
+    """Where a place in a text stands: open braces, indented keys above it, and the section."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at, self.braces, self.keys, self.section = text, 0, [], [], ""
+        self.waiting = ""  # the name before a brace that may open
+        self.nested = "{" in text or "\n[" in text or text.startswith("[")
+
+    def to(self, place: int) -> None:
+        if self.nested:
+            for m in BRACE.finditer(self.text, self.at, place):
+                if m[0] == "{":
+                    self.braces.append(self.waiting)
+                elif m[0] == "}":
+                    del self.braces[-1:]
+                elif m[1] is not None:
+                    self.section = m[1]
+                self.waiting = ""
+        self.at = max(self.at, place)
+
+    def line(self, name: str, indent: int, opens: bool) -> None:
+        """A name at the start of a line; it opens a scope if its value is to come on lines that are indented more."""
+        while self.keys and self.keys[-1][0] >= indent:
+            self.keys.pop()
+        if opens:
+            self.keys.append((indent, name))
+
+    def path(self) -> tuple[str, ...]:
+        return tuple(filter(None, (self.section, *(n for _, n in self.keys), *self.braces)))
+
+
+class Lines:
+    """Where the comment of a line starts, line after line."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.end, self.comment = text, -1, 0
+
+    def in_comment(self, place: int) -> bool:
+        if place > self.end:
+            start = self.text.rfind("\n", max(0, self.end), place) + 1
+            self.end = self.text.find("\n", place)
+            self.end = len(self.text) if self.end < 0 else self.end
+            m = COMMENT.search(QUOTED.sub(lambda q: "'" * len(q[0]), self.text[start : self.end]))
+            self.comment = start + m.start() if m else self.end + 1
+        return place > self.comment
+
+
+def pairs(text: str) -> Iterator[tuple[tuple[str, ...], Value]]:
+    """Name-literal pairs, in order: each name, behind the path to it, with the spans (within quotes) of all literals that make up its value, also through other names."""
+    known: dict[str, Value] = {}
+    scopes, lines, entry = Scopes(text), Lines(text), ("", 0)
     for m in NAME.finditer(text):
-        at, found = m.end(), []
+        inside = m.start(2) < scopes.at  # of a value that has been read
+        scopes.to(m.start())
+        comment = inside or lines.in_comment(m.start(2))
+        at, found, wrapped = m.end(), Value(), False
+        if ahead := AHEAD.match(text, at):
+            at, wrapped = ahead.end(), "(" in ahead[0]
+        begin = at
         while True:
             if s := STRING.match(text, at):
-                found.append((s.start(1) + 1, s.end(1) - 1))
+                found.parts.append(s.span(s.lastindex))
+                if (more := NEXT.match(text, s.end())) and (wrapped or "\n" not in more[0]):
+                    at = more.end()
+                    continue
             elif (s := TERM.match(text, at)) and (s[0] in known or m[1] is None):
-                found += known.get(s[0], [])
+                if s[0] in known and known[s[0]].parts:
+                    found.parts.append(known[s[0]])
             else:
                 break
             at = s.end()
             if not (more := JOIN.match(text, at)):
                 break
             at = more.end()
-        if at == m.end() and m[1] is not None and (value := bare(text, at, m[5] == "=" and m.end(2) + 1 == at)):
-            found.append(value)
-        found = list(dict.fromkeys(found))
+        indent = len(m[1]) - len(m[1].lstrip(" \t")) if m[1] is not None else 0
+        opens = False
+        if at == begin and m[1] is not None:
+            below = BELOW.match(text, at) if m[5] == ":" else None
+            if below and len(below[1]) > indent and not CODE.fullmatch(below[2]):
+                found.parts.append(below.span(2))
+                at = below.end()
+            elif value := bare(text, at, m[5] == "=" and m.end(2) + 1 == at):
+                found.parts.append(value)
+                at = value[1]
+            opens = m[5] == ":" and not found.parts and bool(REST.match(text, at))
+        if not comment:
+            if m[1] is not None:
+                scopes.line(m[2], indent, opens)
+            scopes.to(m.end())
+            scopes.waiting = m[2] if at == begin else ""
+            scopes.at = max(scopes.at, at)
+        path = scopes.path() if found.parts and not inside else ()
         for name in filter(None, dict.fromkeys((m[2], m[3]))):  # what looks like a type may be a name behind a label
-            known[name] = found
-            if found:
-                yield name, found
+            if not comment:
+                known[name] = found
+            if found.parts:
+                yield (*path, name), found
+        if found.parts and m[2].lower() in VALUED and entry[0] and text.count("\n", entry[1], m.start()) <= 1:
+            yield (entry[0],), found
+        entry = ("", 0)
+        if found.parts and m[2].lower() in NAMING and not isinstance(named := found.parts[0], Value):
+            entry = text[slice(*named)], named[1]
+
+
+def marked_up(text: str) -> Iterator[tuple[tuple[str, ...], Value]]:
+    """The same of elements: content by element, or value attribute by the naming attribute."""
+    for m in ELEMENT.finditer(text):
+        named, value = m[1], m.span(3) if m[3] is not None else None
+        for a in ATTRIBUTE.finditer(text, *m.span(2)):
+            if a[1].lower() in NAMING:
+                named = a[2] if a[2] is not None else a[3]
+            elif a[1].lower() in VALUED:
+                value = a.span(2) if a[2] is not None else a.span(3)
+        if value and (inner := text[slice(*value)].strip()):
+            at = text.index(inner, value[0])
+            found = Value()
+            found.parts.append((at, at + len(inner)))
+            yield (named,), found
+
+
+def literals(text: str, threshold: float) -> list[Span]:
+    """Parts of sensitive values. Of a value of several parts, those of six characters or more; if none is so long, all."""
+    found: dict[Span, None] = {}
+    judged: dict[tuple[Span, ...], float] = {}
+    weight: dict[tuple[str, ...], float] = {}
+    for source in (pairs, marked_up):
+        for path, value in source(text):
+            if path not in weight:
+                weight[path] = sensitivity(path)
+            if weight[path] >= threshold:
+                spans = value.spans()
+                if spans not in judged:
+                    judged[spans] = plausibility("".join(text[slice(*s)] for s in spans))
+                if weight[path] * judged[spans] >= threshold:
+                    found |= dict.fromkeys([s for s in spans if s[1] - s[0] >= 6] or spans)
+    return list(found)
 
 
 def scan(text: str, threshold: float = 0.6) -> list[tuple[str, int, int]]:
@@ -117,10 +274,11 @@ def scan(text: str, threshold: float = 0.6) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if "=" in text or ":" in text else []
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "</" in text:
         base = sorted((a, b) for _, a, b in found)
-        literals = dict.fromkeys(span for name, spans in pairs(text) for span in spans if literal_score(name, text[slice(*span)]) >= threshold)
-        found += [("literal", a, b) for a, b in literals if not any(x <= a and b <= y for x, y in base)]
+        starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+        own = [(a, b, bisect_right(starts, a)) for a, b in literals(text, threshold)]
+        found += [("literal", a, b) for a, b, k in own if not k or reach[k - 1] < b]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -144,7 +302,8 @@ def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     Columns: those in ``keep``, n_assign, n_access, n_hex, n_literal, base_sha256 (of the base spans listed as
     kind:start:end, comma-joined), spans (all, listed likewise) and maybe redacted. Null and empty texts have
     no spans; a null text's redacted one is null. Rows are independent: repeated rows and null ids
-    stay as they are. Columns not in ``keep`` are dropped; names in it that are made here raise. Texts of any length are read whole. Needs no shuffle.
+    stay as they are. Columns not in ``keep`` are dropped; names in it that are made here raise. Texts of any length are read whole; time grows with
+    the length, and where a sensitive name is appended to again and again, with the lengths of all its values. Needs no shuffle.
     """
     new_columns(keep, ["n_assign", "n_access", "n_hex", "n_literal", "base_sha256", "spans", "redacted"])
     plain = df.select(*keep, df[text].cast("string").alias("__text"))
