@@ -1,11 +1,14 @@
 """Licence scans over a positional rare-token index, in DataFrame functions alone.
 
 The index is built from template passages (constants of this module): for each of a template's
-words with high inverse document frequency, its positions in the template. A file's words are looked up in it; each
+words with the highest inverse document frequency among the documents to be scanned, its positions in the template. A file's words are looked up in it; each
 place of such a word, less the word's place in the template, votes for where the template would start. Votes
-for one start are what intersecting the postings by relative position gives. A start with enough votes is
+for neighbouring starts are what intersecting the postings by relative position gives. Starts with enough votes are
 verified: the template's key phrases must stand in the file word by word. Base phrases are templates of their own
 whose one key phrase is all of them, so that each verified start is an occurrence.
+
+Templates are the notices by which licences are applied to files, and openings or clauses of the licences' own texts. A
+licence without a template is not seen.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import new_columns
+
 # Words, phrases and labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,6 +50,15 @@ TEMPLATES = (
     Template("cc-by-nc", "this work is licensed under the creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     Template("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     Template("cc-by", "this work is licensed under the creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Template("gpl", "the gnu general public license is a free copyleft license for software and other kinds of works the licenses for most software and other practical works are designed to take away your freedom to share and change the works", ("gnu general public license is a free copyleft license",)),
+    Template("lgpl", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below", ("gnu lesser general public license incorporates the terms and conditions",)),
+    Template("agpl", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software", ("gnu affero general public license is a free copyleft license",)),
+    Template("apache-2", "apache license version 2 0 january 2004 terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document", ("terms and conditions for use reproduction and distribution",)),
+    Template("mpl-2", "mozilla public license version 2 0 1 definitions contributor means each individual or legal entity that creates contributes to the creation of or owns covered software", ("contributes to the creation of or owns covered software",)),
+    Template("epl-2", "the accompanying program is provided under the terms of this eclipse public license agreement any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement", ("eclipse public license",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("in no event will the authors be held liable", "alter it and redistribute it freely")),
+    Template("bsl-1", "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("boost software license",)),
+    Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1 this license is copied below and is also available with a faq at", ("sil open font license",)),
     Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
 )
 
@@ -58,17 +72,20 @@ class Index:
     weight: list[float]
 
 
-def index(templates: tuple[Template, ...] = TEMPLATES, rare: int = 8) -> Index:
-    """The ``rare`` words of each template with the highest inverse document frequency among the templates; of equals, the longest, then the first."""
-    texts = [t.text.split() for t in templates]
-    df = Counter(w for t in texts for w in set(t))
+def index(df: dict[str, int], templates: tuple[Template, ...] = TEMPLATES, rare: int = 8) -> Index:
+    """The ``rare`` words of each template with the highest inverse document frequency; of equals, the longest, then the first.
+
+    df: how many documents have a word. Words that none has can't be looked up; they are taken only where a template has too few others.
+    """
+    docs = max([1, *df.values()])
     postings, words, weight = [], defaultdict(list), []
-    for k, t in enumerate(texts):
-        best = sorted(set(t), key=lambda w: (df[w], -len(w), t.index(w)))[:rare]
+    for k, template in enumerate(templates):
+        t = template.text.split()
+        best = sorted(set(t), key=lambda w: (not df.get(w), df.get(w, 0), -len(w), t.index(w)))[:rare]
         total = 0.0
         for place, w in enumerate(t):
             if w in best:
-                idf = math.log(1 + len(texts) / df[w])
+                idf = math.log(1 + docs / max(1, df.get(w, 0)))
                 words[w].append(len(postings))
                 postings.append((k, place, idf))
                 total += idf
@@ -76,6 +93,13 @@ def index(templates: tuple[Template, ...] = TEMPLATES, rare: int = 8) -> Index:
     return Index(dict(words), postings, weight)
 
 
+def frequencies(words: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
+    """Of each template word, how many documents (rows of an array ``words``) have it."""
+    wanted = F.array(*map(F.lit, sorted({w for t in templates for w in t.text.split()})))
+    seen = words.select(F.explode(F.array_intersect("words", wanted)).alias("w"))
+    return {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -95,18 +119,38 @@ def anchor(phrase: str, df: Counter) -> int:
     return min(range(len(parts)), key=lambda i: (df[parts[i]], -len(parts[i]), i))
 
 
-def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.6) -> DataFrame:
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+
+
+SPREAD = 4  # votes for starts that are so many words apart still go together
+
+
+def least_votes(weights: list[float], share: float) -> int:
+    """How many votes a start needs at least to get a share of all weights."""
+    total, n = sum(weights), 0
+    for w in sorted(weights, reverse=True):
+        if total and sum(sorted(weights, reverse=True)[:n]) >= share * total:
+            break
+        n += 1
+    return max(1, n)
+
+
+def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.6, rare: int = 8) -> DataFrame:
     """Licences of every whole text.
 
     Columns: those in ``keep``, n_words, n_base (places where a base phrase stands), first_word and last_word (their
     least and greatest start, words from 0; null if there is none), base_labels and labels (distinct, sorted,
-    comma-joined; labels has those of the templates too) and score (1 if there is a base phrase, else the greatest share of a
-    template's index weight that votes for one verified start).
+    comma-joined; labels has those of the templates too) and score (1 if there is a base phrase, else the greatest share, up to 1, of a
+    template's index weight that votes for verified starts at most SPREAD words apart).
 
-    Null and empty texts have no words, no labels and score 0. Rows are independent: repeated rows and null ids stay as
-    they are. Columns not in ``keep`` are dropped. Needs no shuffle; what it holds grows with the longest text alone.
+    Null and empty texts have no words, no labels and score 0. Rows are independent but for the words' frequencies, which are counted
+    over all rows in a pass before: repeated rows and null ids stay as they are. Columns not in ``keep`` are dropped; names in it that are
+    made here raise. Needs no shuffle but for the frequencies of some hundred words. A text of any length is held as an array of its words, and its time grows with its length.
     """
-    ix = index()
+    new_columns(keep, ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+    words_only = df.select(words_of(df[text]).alias("words"))
+    ix = index(frequencies(words_only), rare=rare)
     phrase_df = Counter(w for t in (*(x.text for x in TEMPLATES), *PHRASES) for w in set(t.split()))
     phrases = [(p, label, anchor(p, phrase_df)) for p, label in PHRASES.items()]
     wanted = sorted({*ix.words, *(p.split()[a] for p, _, a in phrases)})
@@ -124,33 +168,35 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
 
     def judge(words: Column, hits: Column) -> Column:
         base = F.concat(*(standing(words, hits, *p) for p in phrases))
-        none = F.array().cast("array<struct<label:string,score:double>>")
-        return F.struct(F.size(words).cast("long").alias("n_words"), base.alias("base"), F.when(F.size(hits) > 2, matched(words, hits)).otherwise(none).alias("found"))
+        found = F.filter(F.array(*(one(words, hits, k) for k in range(len(TEMPLATES)))), lambda x: x["score"].isNotNull())
+        return F.struct(F.size(words).cast("long").alias("n_words"), base.alias("base"), found.alias("found"))
 
-    def votes(hits: Column, k: int) -> Column:
-        """Starts that hits vote for, with the weight of their words: (s, v)."""
+    def one(words: Column, hits: Column, k: int) -> Column:
+        """A template's label and the greatest score of its verified starts; null if there is none."""
         own = [(w, ix.postings[p][1], ix.postings[p][2]) for w, ps in ix.words.items() for p in ps if ix.postings[p][0] == k]
-        cast = F.transform(hits, lambda h: F.filter(F.array(*(F.when(h["w"] == w, F.struct((h["i"] - place).cast("int").alias("s"), F.lit(idf).alias("v"))) for w, place, idf in own)), lambda x: x.isNotNull()))
-        return F.flatten(cast)
-
-    def best(words: Column, cast: Column, k: int) -> Column:
-        """The greatest score of a verified start; null if there is none. Votes may be off by two words."""
+        need, most = least_votes([x[2] for x in own], threshold), (SPREAD + 1) * len(own)
 
-        def scored(s: Column) -> Column:
-            near = F.filter(cast, lambda x: F.abs(x["s"] - s) <= 2)
-            return F.struct((F.aggregate(near, F.lit(0.0), lambda total, x: total + x["v"]) / ix.weight[k]).alias("score"), s.alias("s"))
+        def cast(h: Column) -> Column:
+            votes = F.array(*(F.when(h["w"] == w, F.struct((h["i"] - place).cast("int").alias("s"), F.lit(idf).alias("v"))) for w, place, idf in own))
+            return F.filter(votes, lambda x: x.isNotNull())
 
-        starts = F.transform(F.array_distinct(F.transform(cast, lambda x: x["s"])), scored)
-        good = F.filter(starts, lambda x: (x["score"] >= threshold) & keyed(words, x["s"], TEMPLATES[k]))
-        return F.array_max(F.transform(good, lambda x: F.least(x["score"], F.lit(1.0))))
+        def best(votes: Column) -> Column:
+            """Votes are in order of starts. Of each that has enough others within SPREAD behind it, at most ``most`` neighbours can be so near."""
+            last = F.size(votes) - need
+            firsts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+            near = F.filter(firsts, lambda j: F.get(votes, j + need - 1)["s"] - F.get(votes, j)["s"] <= SPREAD)
 
-    def matched(words: Column, hits: Column) -> Column:
-        """Templates with a verified start: (label, score)."""
+            def window(j: Column) -> Column:
+                s = F.get(votes, j)["s"]
+                total = F.aggregate(F.slice(votes, j + 1, most), F.lit(0.0), lambda sum_, x: sum_ + F.when(x["s"] - s <= SPREAD, x["v"]).otherwise(0.0))
+                return F.struct((total / ix.weight[k]).alias("score"), s.alias("s"))
 
-        def one(k: int) -> Column:
-            return F.struct(F.lit(TEMPLATES[k].label).alias("label"), let(votes(hits, k), lambda cast: best(words, cast, k)).alias("score"))
+            good = F.filter(F.transform(near, window), lambda x: (x["score"] >= threshold) & keyed(words, x["s"] + SPREAD // 2, TEMPLATES[k]))
+            return F.array_max(F.transform(good, lambda x: F.least(x["score"], F.lit(1.0))))
 
-        return F.filter(F.array(*(one(k) for k in range(len(TEMPLATES)))), lambda x: x["score"].isNotNull())
+        mine = F.filter(hits, lambda h: h["w"].isin(sorted({x[0] for x in own})))
+        score = F.when(F.size(mine) > 0, let(F.array_sort(F.flatten(F.transform(mine, cast))), best))
+        return F.struct(F.lit(TEMPLATES[k].label).alias("label"), score.alias("score"))
 
     def keyed(words: Column, s: Column, t: Template) -> Column:
         """Whether every key phrase stands near its place: the template's start may be off by a few words."""
@@ -165,12 +211,21 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
             out = out & near(key)
         return out
 
-    words = F.regexp_extract_all(F.translate(F.coalesce(df[text].cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
-    found = df.select(*keep, let(words, look).alias("__found"))
+    found = df.select(*keep, let(words_of(df[text]), look).alias("__found"))
     f = F.col("__found")
-    starts, base, more = F.transform(f["base"], lambda x: x["i"]), F.transform(f["base"], lambda x: x["label"]), F.transform(f["found"], lambda x: x["label"])
+    starts, base, more = f["base"]["i"], f["base"]["label"], f["found"]["label"]
 
     def listed(labels: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
-    return found.select(*keep, f["n_words"].alias("n_words"), F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), listed(base).alias("base_labels"), listed(F.concat(base, more)).alias("labels"), F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(f["found"], lambda x: x["score"])), F.lit(0.0))).alias("score"))
+    by_template = F.coalesce(F.array_max(f["found"]["score"]), F.lit(0.0))
+    return found.select(
+        *keep,
+        f["n_words"].alias("n_words"),
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(F.concat(base, more)).alias("labels"),
+        F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(by_template).alias("score"),
+    )
