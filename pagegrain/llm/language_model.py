@@ -40,7 +40,7 @@ FIGURES = ("types", "n_train", "n_held", "docs_train", "docs_held")
 
 
 class Keys(NamedTuple):
-    """Keys of n-grams: 64 bits, and for single words another 64 that tell words apart for certain."""
+    """Keys of n-grams: 64 bits with the lowest 0, and for single words 128 that tell words apart for certain."""
 
     key: np.ndarray
     more: np.ndarray | None
@@ -61,7 +61,7 @@ class Events:
         self.grams = [Keys(token, more)]
         begin = BEGIN
         for _ in range(order - 1):
-            self.grams.append(Keys(joined(self.behind(self.grams[-1].key, begin), token), None))
+            self.grams.append(Keys(joined(self.behind(self.grams[-1].key, begin), token) & ~_U(1), None))
             begin = joined(np.array([begin]), np.array([BEGIN]))[0]
 
     def behind(self, values: np.ndarray, first: int | np.ndarray) -> np.ndarray:
@@ -161,16 +161,29 @@ def documents(data: bytes) -> Iterator[pa.RecordBatch]:
 
 
 def counted(data: bytes, order: int) -> list[Counts]:
-    """A block's own counts in training documents, by order."""
-    parts: list[list[Counts]] = [[] for _ in range(order)]
+    """A block's own counts in training documents, by order.
+
+    Words are few and are summed slice by slice. Of longer n-grams, all keys are sorted together, their lowest bit saying whether the document is a training one.
+    """
+    words: list[Counts] = []
+    grams: list[list[np.ndarray]] = [[] for _ in range(order - 1)]
     for part in documents(data):
         e = Events(Texts(*utf8(part.column("text")), lower=True), order)
         c = np.repeat(part.column("training").to_numpy(zero_copy_only=False).astype(np.int64), e.counts)
-        for out, keys in zip(parts, e.grams, strict=True):
-            out.append(summed(keys, c))
-            if len(out) == 4:
-                out[:] = [merged(out)]
-    return [merged(p) for p in parts]
+        words.append(summed(e.grams[0], c))
+        if len(words) == 8:
+            words = [merged(words)]
+        for out, keys in zip(grams, e.grams[1:], strict=True):
+            out.append(keys.key | c.astype(_U))
+    made = [merged(words)]
+    for parts in grams:
+        every = np.concatenate(parts)
+        parts.clear()
+        every.sort()
+        key = every & ~_U(1)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        made.append(Counts(key[starts], None, np.add.reduceat((every & _U(1)).astype(np.int64), starts), np.zeros(starts.size, np.int64)))
+    return made
 
 
 def bucket(context_count: np.ndarray) -> np.ndarray:
@@ -220,28 +233,60 @@ def value_of(step: np.ndarray) -> np.ndarray:
     return np.where(step > 0, 10.0 ** (-(step - 1) / GRID), 0.0)
 
 
-class Known:
-    """A block's counts after sums over all blocks: its own keys with what came back, range by range in their order."""
+def places(every: Counts, own: Counts) -> np.ndarray:
+    """Where a block's keys are among all of a range."""
+    found = np.searchsorted(every.key, own.key)
+    if own.more is not None:
+        while (other := np.flatnonzero(every.more[found] != own.more)).size:
+            found[other] += 1
+    return found
 
-    def __init__(self, own: Counts, back: list[bytes]) -> None:
-        got = [unpacked(x, 2) for x in back]
-        self.key, self.more = own.key, own.more
-        self.c, self.d = (np.concatenate([g[i] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64) for i in (0, 1))
-        if self.c.size != self.key.size:
-            raise ValueError("counts have come back for other keys than the block's own")
 
-    def at(self, k: Keys) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams of the block."""
-        order = np.argsort(k.key)
-        found = np.empty(order.size, np.int64)
-        found[order] = np.searchsorted(self.key, k.key[order])
-        if self.more is not None:
-            while (other := np.flatnonzero(self.more[found] != k.more)).size:
-                found[other] += 1
-        return self.c[found], self.d[found]
+class Block:
+    """A block's documents with what came back for its keys: of each order, every token's count in training and in held-out documents."""
 
-
-def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2, block_bytes: int = 8 << 20, order: int = 2, range_bytes: int = 16 << 20) -> DataFrame:
+    def __init__(self, data: bytes, back: pa.Table, order: int) -> None:
+        self.parts, self.events = [], []
+        for part in documents(data):
+            e = Events(Texts(*utf8(part.column("text")), lower=True), order)
+            self.parts.append(part.drop_columns(["text"]))
+            self.events.append(e)
+        self.bounds = np.cumsum([0, *(e.first[-1] for e in self.events)])
+        self.c, self.d = [], []
+        back = back.sort_by("part")
+        for i in range(order):
+            place, n = self.place([e.grams[i] for e in self.events])
+            got = [unpacked(x, 2) for x in back.column(f"g{i + 1}").to_pylist()]
+            for j, out in enumerate((self.c, self.d)):
+                sums = np.concatenate([g[j] for g in got]).view(np.int64) if got else np.zeros(0, np.int64)
+                if sums.size != n:
+                    raise ValueError("counts have come back for other keys than the block's own")
+                out.append(sums[place])
+            for e in self.events:
+                e.grams[i] = None
+
+    @staticmethod
+    def place(grams: list[Keys]) -> tuple[np.ndarray, int]:
+        """Of each token, the place of its n-gram among the block's distinct ones in order; and how many there are."""
+        key = np.concatenate([g.key for g in grams])
+        order = np.argsort(key)
+        new = np.append(False, key[order][1:] != key[order][:-1])
+        if grams[0].more is not None:
+            more = np.concatenate([g.more for g in grams])
+            if (~new[1:] & (more[order][1:] != more[order][:-1])).any():
+                order = np.lexsort((more, key))
+                new = np.append(False, (key[order][1:] != key[order][:-1]) | (more[order][1:] != more[order][:-1]))
+        number = np.cumsum(new)
+        out = np.empty(key.size, np.int32)
+        out[order] = number
+        return out, int(number[-1]) + 1
+
+    def __iter__(self) -> Iterator[tuple[pa.RecordBatch, Events, list[np.ndarray], list[np.ndarray]]]:
+        for part, e, a, b in zip(self.parts, self.events, self.bounds[:-1], self.bounds[1:], strict=True):
+            yield part, e, [c[a:b] for c in self.c], [d[a:b] for d in self.d]
+
+
+def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2, block_bytes: int = 8 << 20, order: int = 2, range_bytes: int = 4 << 20) -> DataFrame:
     """Score every whole text by a model of those whose crc32 of doc_id, modulo ``folds``, isn't ``held_fold``.
 
     Tokens are words in lower case (A-Z) and one end. Columns: doc_id, held_out, n_tokens, n_known (tokens seen in
@@ -293,16 +338,16 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
         for i, name in enumerate(names):
             own = []
             for is_held, blob in zip(held, table.column(name).to_pylist(), strict=True):
-                key_, c, *more = unpacked(blob, 2 if i else 3)
-                c = c.astype(np.int64)
-                own.append(Counts(np.cumsum(key_, dtype=_U), more[0] if more else None, c, c if is_held else np.zeros_like(c)))
+                step, c, *more = unpacked(blob, 2 if i else 3)
+                c = c.view(np.int64)
+                own.append(Counts(np.cumsum(step, dtype=_U), more[0] if more else None, c, c if is_held else np.zeros_like(c)))
             every = merged(own)
             if not i:
                 end = np.flatnonzero((every.key == END[0]) & (every.more == END[1]))
                 figures = [int(x) for x in ((every.c > 0).sum(), every.c.sum(), every.d.sum(), every.c[end].sum(), every.d[end].sum())]
-            back = Known(every, [packed(every.c, every.d)])
-            out[name] = pa.array([packed(*back.at(Keys(x.key, x.more))) for x in own], pa.binary())
-            del own, every, back
+            at = (places(every, x) for x in own)
+            out[name] = pa.array([packed(every.c[k].view(np.uint64), every.d[k].view(np.uint64)) for k in at], pa.binary())
+            del own, every
         return pa.table({**out, **{n: pa.array([x] + [0] * (table.num_rows - 1), pa.int64()) for n, x in zip(FIGURES, figures, strict=True)}})
 
     counts = blocks.select("block", "held", "data").mapInArrow(count, f"part int, block long, held boolean{binaries}")
@@ -311,32 +356,25 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
     types, n_train, n_held, docs_train, docs_held = (x or 0 for x in sums.agg(*(F.sum(n) for n in FIGURES)).first())
     uniform = 1 / (types + 1)
 
-    def known(data: bytes, back: pa.Table) -> list[Known]:
-        back = back.sort_by("part")
-        return [Known(x, back.column(g).to_pylist()) for x, g in zip(counted(data, order), names, strict=True)]
-
-    def estimates(e: Events, tables: list[Known], main: bool) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Of each token: its count, and by order its estimate and its context's bucket; main leaves held-out counts out."""
-        f, b, words, above = [], [], None, None
-        for table, keys in zip(tables, e.grams, strict=True):
-            c, d = table.at(keys)
-            c = c - d if main else c
-            if words is None:
-                words, context = c, np.full(c.size, n_train - n_held if main else n_train)
-                b.append(np.ones(c.size, np.int64))
-            else:
+    def estimates(e: Events, c: list[np.ndarray], d: list[np.ndarray], main: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of each token, by order: its estimate and its context's bucket; main leaves held-out counts out."""
+        f, b = [], []
+        for i in range(order):
+            own = c[i] - d[i] if main else c[i]
+            if i:
                 context = e.behind(above, docs_train - docs_held if main else docs_train)
-                b.append(bucket(context))
-            f.append(np.where(context > 0, c / np.maximum(context, 1), 0.0))
-            above = c
-        return words, f, b
+            else:
+                context = np.full(own.size, n_train - n_held if main else n_train)
+            b.append(bucket(context) if i else np.ones(own.size, np.int64))
+            f.append(np.where(context > 0, own / np.maximum(context, 1), 0.0))
+            above = own
+        return f, b
 
     def held_estimates(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         blobs = []
         for data in table.column("data").to_pylist():
-            tables = known(data, back)
-            for part in documents(data):
-                _, f, b = estimates(Events(Texts(*utf8(part.column("text")), lower=True), order), tables, True)
+            for _, e, c, d in Block(data, back, order):
+                f, b = estimates(e, c, d, True)
                 blobs.append(zstandard.compress(np.concatenate(f).astype("<f4").tobytes() + np.concatenate(b).astype(np.uint8).tobytes(), 1))
         return pa.table({"data": pa.array(blobs, pa.binary())})
 
@@ -374,10 +412,9 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
     def judge(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         out = []
         for data in table.column("data").to_pylist():
-            tables = known(data, back)
-            for part in documents(data):
-                e = Events(Texts(*utf8(part.column("text")), lower=True), order)
-                c, f, b = estimates(e, tables, False)
+            for part, e, c, d in Block(data, back, order):
+                f, b = estimates(e, c, d, False)
+                c = c[0]
                 sums_of = [np.add.reduceat(x, e.first[:-1]) for x in ((c > 0).astype(np.int64), np.log10((c + 1) / (n_train + types + 1)), np.log10(mixed(f, b, shares, uniform)))]
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array(e.counts, pa.int64()), pa.array(sums_of[0]), pa.array(np.full(part.num_rows, n_train), pa.int64()), *map(pa.array, sums_of[1:])]
                 out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
