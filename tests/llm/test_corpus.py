@@ -219,7 +219,6 @@ def test_toxicity_phrases_of_common_words():
         return [w for t in docs for w in toxicity.windows(t, at.sample_words)]
 
     samples = cut([text(True) for _ in range(400)]), cut([text(False) for _ in range(400)])
-    assert toxicity.own_words(*samples, at).strip() == b""
     ready = [toxicity.loaded(r) for r in toxicity.trained(*samples, at)]
     x = toxicity.figures(ready, [text(i % 2) for i in range(600)], at.scales)
     y = np.arange(600) % 2
@@ -227,6 +226,44 @@ def test_toxicity_phrases_of_common_words():
     assert ((x[300:] @ w[1:] + w[0] >= 0) == y[300:]).mean() > 0.9
 
 
+def test_toxicity_scores_are_those_of_the_dictionaries(spark):
+    """Score against plain compression with the model's two dictionaries."""
+    import zstandard
+
+    rng = random.Random(11)
+    common = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+
+    def text(i):
+        return " ".join(rng.choice(["scumbags", "worthlessly"]) if i % 3 == 0 and rng.random() < 0.1 else rng.choice(common) for _ in range(60))
+
+    rows = [(i, text(i)) for i in range(400)] + [(1000, None), (1001, "")]
+    docs = table(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int"))
+
+    def size(raw, part):
+        at = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTLAZY2, min_match=4, search_log=4, window_log=17, hash_log=15, chain_log=16, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=at).compress(part))
+
+    def expected(t):
+        z = model["weights"][0]
+        weights = iter(model["weights"][1:])
+        for i, k in enumerate(model["scales"]):
+            ordinary, toxic = model["dictionaries"][2 * i : 2 * i + 2]
+            words = (t or "").lower().encode().split()
+            cut = [b" ".join(words[i : i + k]) for i in range(0, len(words), k)] or [b""]
+            gain = [size(ordinary, w) - size(toxic, w) for w in cut]
+            over = [sum(g >= at for g in gain) for at in toxicity.THRESHOLDS]
+            x = [sum(gain) / len(gain), max(gain) / 10, *(10 * o / len(gain) for o in over), *(float(o > 0) for o in over[1:])]
+            z += sum(a * b for a, b in zip(x, weights, strict=False))
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(docs, model).collect()}
+    for d, t in rows[::10] + rows[-2:]:
+        assert abs(got[d][0] - expected(t)) < 1e-9 and got[d][1] == (got[d][0] >= 0.5)
+    right = [got[d][1] == (d % 3 == 0) for d, _ in rows[:400] if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert sum(right) > 0.9 * len(right)
+
+
 def test_toxicity_rows(spark, sf_dir):
     out = op3_toxicity(spark, sf_dir).collect()
     assert len(out) == len(documents(spark, sf_dir))
