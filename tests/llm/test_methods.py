@@ -5,9 +5,11 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from pagegrain.llm import licences, secrets
+from pagegrain.llm import licences, secrets, tiling
 
 DOC = "doc_id long, text string"
 
@@ -163,3 +165,44 @@ def test_least_votes():
     assert licences.least_votes([1.0, 1.0, 1.0, 1.0], 0.5) == 2
     assert licences.least_votes([3.0, 1.0], 0.6) == 1
     assert licences.least_votes([], 0.6) == 1
+
+
+def test_items_shorter_than_a_seed(spark):
+    items = spark.createDataFrame([(1, "The quick brown fox"), (2, "fox"), (3, "日本語の文"), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "quick brown the fox"), (3, "前日本語の文後"), (4, "")], DOC)
+    got = {(r["doc_id"], r["item_id"], r["n_matched"], r["coverage"]) for r in tiling.leaks(docs, items).collect()}
+    assert got == {(1, 1, 4, 1.0), (1, 2, 1, 1.0), (2, 2, 1, 1.0), (3, 3, 5, 1.0)}
+
+
+def test_both_ways_to_tiles(monkeypatch):
+    """Pairing all seeds and searching by length give the same tiles."""
+    rng = random.Random(3)
+    for _ in range(400):
+        letters = rng.choice(("a", "ab", "abcdefgh"))
+        item = [rng.choice(letters) for _ in range(rng.randint(3, 25))]
+        doc = [rng.choice(letters + "z") for _ in range(rng.randint(0, 60))]
+        if rng.random() < 0.5:
+            at = rng.randint(0, len(doc))
+            doc[at:at] = item[: rng.randint(1, len(item))]
+        items, t = tiling.Items([" ".join(item)], 3), tiling.words_of(pa.array([" ".join(doc)]))
+        monkeypatch.setattr(tiling, "PAIRS", 1 << 16)
+        paired = tiling.tiled(t, 0, items, 0, 3)
+        monkeypatch.setattr(tiling, "PAIRS", -1)
+        assert sorted(tiling.tiled(t, 0, items, 0, 3)) == sorted(paired)
+
+
+def test_repeated_words_do_not_multiply():
+    items = tiling.Items(["w " * 500], 5)
+    t = tiling.words_of(pa.array(["w " * 200_000, "w " * 32_000]))
+    began = time.perf_counter()
+    assert list(tiling.matched(t, items, 5, 80)) == [(0, 0, 500, 1, 500), (1, 0, 500, 1, 500)]
+    assert time.perf_counter() - began < 20
+
+
+def test_false_seeds_are_dropped(monkeypatch):
+    """Hashes that are all equal propose everything; words decide."""
+    items, t = tiling.Items(["a b c d e f"], 5), tiling.words_of(pa.array(["u v w x y z", "a b c d e f"]))
+    different, first, of_item, at_item = items.seeds[5]
+    items.seeds[5] = np.zeros(1, np.uint64), np.array([0, at_item.size]), of_item, at_item
+    monkeypatch.setattr(type(t), "windows", lambda self, k, which=0: (np.zeros(max(0, self.starts.size - k + 1), np.uint64), self.doc[: self.starts.size - k + 1] == self.doc[k - 1 :]))
+    assert list(tiling.matched(t, items, 5, 80)) == [(1, 0, 6, 1, 6)]
