@@ -115,15 +115,20 @@ def written(df: DataFrame, change: Callable[[Iterator[pa.RecordBatch]], Iterator
 def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], size: str, hot: int = 1000) -> DataFrame:
     """rows and, by ``keys``, the columns of ``small`` (inner). small has a row for each key, with the number of rows that have it in ``size``.
 
-    Keys of more than one in ``hot`` of all these rows are fewer than ``hot``, so they can be broadcast, and their rows stay where
+    Keys of more than one in ``hot`` of all these rows are fewer than ``hot``, so they can be listed and broadcast, and their rows stay where
     they are. The others are shuffled, and none of them fills a task.
     """
     total = small.agg(F.sum(size).alias("n")).first()["n"] or 0
     is_hot = F.col(size) * hot > total
     few = small.where(is_hot)
-    lead = rows.join(F.broadcast(few), keys)
-    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(small.where(~is_hot), keys)
-    return lead.unionByName(rest)
+    listed = few.select(*keys).collect()
+    if not listed:
+        return rows.join(small, keys)
+    if len(keys) == 1:
+        own = F.col(keys[0]).isin([r[0] for r in listed])
+    else:
+        own = F.struct(*keys).isin([F.struct(*(F.lit(v).alias(k) for k, v in zip(keys, r, strict=True))) for r in listed])
+    return rows.where(own).join(F.broadcast(few), keys).unionByName(rows.where(~own).join(small.where(~is_hot), keys))
 
 
 def new_columns(keep: tuple[str, ...], made: list[str]) -> None:
