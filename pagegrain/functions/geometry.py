@@ -9,8 +9,9 @@ ZERO = "array(0D, 0D, 0D, 0D)"
 
 
 def parse_bbox(text: Column) -> Column:
-    """A box from JSON; zeros if it is malformed."""
-    return F.coalesce(F.from_json(text, "array<double>"), F.expr(ZERO))
+    """A box from JSON, parsed once; zeros if it is malformed or has fewer than four numbers."""
+    read = F.transform(F.array(F.from_json(text, "array<double>")), lambda box: F.when(F.size(box) >= 4, box))
+    return F.coalesce(F.get(read, 0), F.expr(ZERO))
 
 
 def bbox_from_points(points: Column) -> Column:
@@ -28,24 +29,27 @@ def bbox_from_bounds(bounds: Column) -> Column:
     return F.when(F.size(bounds) >= 4, first).otherwise(F.expr(ZERO))
 
 
-def fit(page_w: Column, page_h: Column, width: float, height: float) -> Column:
-    """The transform that fits a page into a canvas."""
+def fit(page_w: Column, page_h: Column, width: float, height: float, image: bool = False) -> Column:
+    """The transform that fits a page into a canvas. Pages count y from below and are flipped, images aren't."""
     k = F.least(F.lit(width) / page_w, F.lit(height) / page_h)
-    return F.struct(k.alias("scaleX"), k.alias("scaleY"), F.lit(0.0).alias("offsetX"), F.lit(0.0).alias("offsetY"), F.lit(0.0).alias("rotation"), F.lit(True).alias("flipY"))
+    none = F.lit(0.0)
+    return F.struct(k.alias("scaleX"), k.alias("scaleY"), none.alias("offsetX"), none.alias("offsetY"), none.alias("rotation"), F.lit(not image).alias("flipY"))
 
 
 def apply_transform(box: Column, t: Column, page_h: Column | None = None) -> Column:
     """Optional flip, scale and offset; rotation is not applied."""
     flip = (t["flipY"] & page_h.isNotNull()) if page_h is not None else F.lit(False)
     h = page_h if page_h is not None else F.lit(None).cast("double")
-    y0, y1 = F.when(flip, h - box[3]).otherwise(box[1]), F.when(flip, h - box[1]).otherwise(box[3])
-    return F.array(box[0] * t["scaleX"] + t["offsetX"], y0 * t["scaleY"] + t["offsetY"], box[2] * t["scaleX"] + t["offsetX"], y1 * t["scaleY"] + t["offsetY"])
+    x0, y0, x1, y1 = (F.get(box, i) for i in range(4))
+    y0, y1 = F.when(flip, h - y1).otherwise(y0), F.when(flip, h - y0).otherwise(y1)
+    return F.array(x0 * t["scaleX"] + t["offsetX"], y0 * t["scaleY"] + t["offsetY"], x1 * t["scaleX"] + t["offsetX"], y1 * t["scaleY"] + t["offsetY"])
 
 
 def overlay_rect(box: Column, k: Column, height: Column, flip: Column, dx: Column, dy: Column) -> Column:
     """A box as x, y, w, h on screen."""
-    y0, y1 = F.when(flip, height - box[3]).otherwise(box[1]), F.when(flip, height - box[1]).otherwise(box[3])
-    return F.struct((box[0] * k + dx).alias("x"), (y0 * k + dy).alias("y"), ((box[2] - box[0]) * k).alias("w"), ((y1 - y0) * k).alias("h"))
+    x0, y0, x1, y1 = (F.get(box, i) for i in range(4))
+    y0, y1 = F.when(flip, height - y1).otherwise(y0), F.when(flip, height - y0).otherwise(y1)
+    return F.struct((x0 * k + dx).alias("x"), (y0 * k + dy).alias("y"), ((x1 - x0) * k).alias("w"), ((y1 - y0) * k).alias("h"))
 
 
 def point_in_polygon(x: Column, y: Column, polygon: Column) -> Column:
@@ -67,8 +71,8 @@ def to_pixels(box: Column, width: Column, height: Column) -> Column:
 
 
 def clip_xywh(box: Column) -> Column:
-    """Whole pixels from 0 on, as x, y, w, h."""
-    x0, y0, x1, y1 = (F.greatest(box[i].cast("int"), F.lit(0)) for i in range(4))
+    """Whole pixels from 0 on, as x, y, w, h; 0 for what is no 32-bit number."""
+    x0, y0, x1, y1 = (F.greatest(F.get(box, i).try_cast("int"), F.lit(0)) for i in range(4))
     return F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
 
 

@@ -21,38 +21,57 @@ def auto_assign(blocks: DataFrame, template: Sequence[tuple[str, str, str]] = TE
     next ``followers`` blocks with text up to the next heading on the page, or its own text. Else the first block, by id, with all the
     words. Else null. Columns: docId, slug, name, field, pos, value, evidence (blockId, page, bbox, textSnippet).
 
-    The template is a constant, so it is matched within each block's row; a document's candidates for a field then meet in one
-    aggregate that takes the least.
+    The template is a constant, so it is matched once within each block's row. Blocks are read once and dealt once, by page; a document's candidates
+    for a field then meet in one aggregate that takes the least.
     """
-    e = blocks.select(F.col("sourceDocId").alias("docId"), "id", "page", parse_bbox(F.col("bbox")).alias("bbox"), "role", "text")
-    e = e.withColumns({"norm": F.coalesce(normalize(F.col("text")), F.lit("")), "head": is_heading(F.col("role"), F.col("text")), "y0": F.least(F.get("bbox", 1), F.get("bbox", 3)), "blank": is_blank(F.col("text"))})
+    fields = F.array(*(F.struct(F.lit(i).alias("pos"), words(normalize(F.lit(field))).alias("words")) for i, (_, _, field) in enumerate(template)))
+
+    def matches(hay: Column) -> Column:
+        """Positions of the fields whose words are all there; a block without words has none."""
+        found = F.filter(fields, lambda f: words_included(hay, f["words"]))
+        return F.when(F.size(hay) > 0, F.transform(found, lambda f: f["pos"])).otherwise(F.array().cast("array<int>"))
+
+    e = blocks.select(F.col("sourceDocId").alias("docId"), "id", "page", F.col("bbox").alias("raw"), "role", "text")
+    e = e.withColumn("bbox", parse_bbox(F.col("raw"))).drop("raw")
+    hay = words(F.coalesce(normalize(F.col("text")), F.lit("")))
+    e = e.withColumns({"fits": F.get(F.transform(F.array(hay), matches), 0), "head": is_heading(F.col("role"), F.col("text")), "y0": F.least(F.get("bbox", 1), F.get("bbox", 3)), "blank": is_blank(F.col("text"))})
     page = Window.partitionBy("docId", "page")
     e = e.withColumn("pageRank", F.min("id").over(page)).withColumn("section", F.sum(F.col("head").cast("int")).over(page.orderBy("y0", "id")))
     evidence = F.struct(F.col("id").alias("blockId"), "page", "bbox", F.substring("text", 1, 200).alias("textSnippet"))
+    section = Window.partitionBy("docId", "page", "section")
     follows = ~F.col("head") & ~F.col("blank") & (F.col("section") > 0)
-    nth = F.sum(follows.cast("int")).over(Window.partitionBy("docId", "page", "section").orderBy("y0", "id"))
-    sections = e.withColumn("nth", nth).where(F.col("head") | (follows & (F.col("nth") <= followers))).groupBy("docId", "page", "section").agg(
-        F.first(F.when(F.col("head"), F.struct("pageRank", "y0", "id", "norm", "text", evidence.alias("evidence"))), ignorenulls=True).alias("h"),
-        F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("y0", "id", trim(F.col("text")).alias("part"), evidence.alias("evidence"))))).alias("parts"),
-    )
-    fields = F.array(*(F.struct(F.lit(i).alias("pos"), words(normalize(F.lit(field))).alias("words")) for i, (_, _, field) in enumerate(template)))
-
-    def matches(norm: Column) -> Column:
-        """Positions of the fields whose words are all there; a block without normalized text has none."""
-        hay = words(norm)
-        return F.when(norm != "", F.transform(F.filter(fields, lambda f: words_included(hay, f["words"])), lambda f: f["pos"])).otherwise(F.array().cast("array<int>"))
+    e = e.withColumn("nth", F.sum(follows.cast("int")).over(section.orderBy("y0", "id")))
+    part = F.when(follows & (F.col("nth") <= followers), F.struct("y0", "id", trim(F.col("text")).alias("part"), evidence.alias("evidence")))
+    e = e.withColumn("parts", F.array_sort(F.collect_list(part).over(section)))
 
     has = F.size("parts") > 0
-    by_heading = sections.select("docId", F.explode(matches(F.col("h.norm"))).alias("pos"), F.struct(F.lit(1).alias("way"), F.col("h.pageRank").alias("a"), F.col("h.y0").alias("b"), F.col("h.id").alias("c"), F.when(has, F.array_join(F.transform("parts", lambda p: p["part"]), " ")).otherwise(F.substring("h.text", 1, 120)).alias("value"), F.when(has, F.transform("parts", lambda p: p["evidence"])).otherwise(F.array("h.evidence")).alias("evidence")).alias("found"))
-    by_text = e.select("docId", F.explode(matches(F.col("norm"))).alias("pos"), F.struct(F.lit(2).alias("way"), F.col("id").alias("a"), F.lit(0.0).alias("b"), F.col("id").alias("c"), F.substring("text", 1, 160).alias("value"), F.array(evidence).alias("evidence")).alias("found"))
-    kind = dict(by_heading.dtypes)["found"]
-    nothing = e.select("docId").distinct().select("docId", F.explode(F.sequence(F.lit(0), F.lit(len(template) - 1))).alias("pos"), F.lit(None).cast(kind).alias("found"))
-    best = by_heading.unionByName(by_text).unionByName(nothing).groupBy("docId", "pos").agg(F.min("found").alias("found"))
+    below = F.array_join(F.transform("parts", lambda p: p["part"]), " ")
+    from_heading = F.struct(
+        F.lit(1).alias("way"), F.col("pageRank").alias("a"), F.col("y0").alias("b"), F.col("id").alias("c"),
+        F.when(has, below).otherwise(F.substring("text", 1, 120)).alias("value"),
+        F.when(has, F.transform("parts", lambda p: p["evidence"])).otherwise(F.array(evidence)).alias("evidence"),
+    )
+    from_text = F.struct(
+        F.lit(2).alias("way"), F.col("id").alias("a"), F.lit(0.0).alias("b"), F.col("id").alias("c"), F.substring("text", 1, 160).alias("value"), F.array(evidence).alias("evidence")
+    )
+    kind = "struct<way:int,a:bigint,b:double,c:bigint,value:string,evidence:array<struct<blockId:bigint,page:int,bbox:array<double>,textSnippet:string>>>"
+    found = F.when(F.col("head"), from_heading).otherwise(from_text).cast(kind)
+    # A heading's own text is a candidate by text too, but comes behind it as a heading. The first block of a page stands for all fields, without a value.
+    first = F.col("id").eqNullSafe(F.col("pageRank"))
+    every = F.when(first, F.sequence(F.lit(0), F.lit(len(template) - 1))).otherwise(F.array().cast("array<int>"))
+    cells = F.concat(F.transform("fits", lambda p: F.struct(p.alias("pos"), F.lit(True).alias("hit"))), F.transform(every, lambda p: F.struct(p.alias("pos"), F.lit(False).alias("hit"))))
+    rows = e.select("docId", found.alias("found"), F.explode(cells).alias("cell")).select("docId", "cell.pos", F.when(F.col("cell.hit"), F.col("found")).alias("found"))
+    best = rows.groupBy("docId", "pos").agg(F.min("found").alias("found"))
     names = F.array(*(F.struct(F.lit(s).alias("slug"), F.lit(n).alias("name"), F.lit(f).alias("field")) for s, n, f in template))
-    return best.withColumn("t", F.get(names, F.col("pos"))).select("docId", "t.slug", "t.name", "t.field", "pos", "found.value", F.coalesce(F.col("found.evidence"), F.array()).alias("evidence"))
+    named = best.withColumn("t", F.get(names, F.col("pos")))
+    return named.select("docId", "t.slug", "t.name", "t.field", "pos", "found.value", F.coalesce(F.col("found.evidence"), F.array()).alias("evidence"))
 
 
 def nested(assigned: DataFrame) -> DataFrame:
     """Assignments as one row for each document: frames with their fields, in template order."""
-    frames = assigned.groupBy("docId", "slug", "name").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("field").alias("name"), "value", "evidence").alias("f")))).alias("fields"))
-    return frames.groupBy("docId").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "slug", "name", "fields"))), lambda x: F.struct(x["slug"].alias("slug"), x["name"].alias("name"), F.transform(x["fields"], lambda y: y["f"]).alias("fields"))).alias("frames"))
+    field = F.struct("pos", F.struct(F.col("field").alias("name"), "value", "evidence").alias("f"))
+    frames = assigned.groupBy("docId", "slug", "name").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(field)).alias("fields"))
+    listed = F.array_sort(F.collect_list(F.struct("first", "slug", "name", "fields")))
+    return frames.groupBy("docId").agg(
+        F.transform(listed, lambda x: F.struct(x["slug"].alias("slug"), x["name"].alias("name"), F.transform(x["fields"], lambda y: y["f"]).alias("fields"))).alias("frames")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,23 +18,51 @@ def insert_if_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataF
     return table.unionByName(fresh.join(table, condition, "left_anti").select(*table.columns))
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df as it is now, written to the checkpoint folder: reading it again gives the same rows in the same partitions."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagegrain-"))
+    return df.checkpoint()
+
+
 def append_with_ids(table: DataFrame, new: DataFrame, id_: str = "id") -> DataFrame:
-    """table and new rows numbered on from its greatest id.
+    """table and new rows numbered on from its greatest id."""
+    return table.unionByName(numbered(table, new, id_).select(*table.columns))
+
 
-    Rows of new are numbered within partitions, which start from a prefix sum of partition sizes: one small row for
-    each partition, and no global sort.
+def numbered(table: DataFrame, new: DataFrame, id_: str = "id") -> DataFrame:
+    """new rows with ids that go on from the greatest of table.
+
+    Rows of new are checkpointed, so that they are numbered as they were counted, and numbered within partitions, which start from a prefix sum of
+    partition sizes: one small row for each partition, and no global sort.
     """
     spark = table.sparkSession
     last = table.agg(F.coalesce(F.max(id_), F.lit(0))).first()[0]
-    marked = new.withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
+    marked = stable(new.withColumn("__m", F.monotonically_increasing_id())).withColumn("__p", F.shiftright("__m", 33))
     sizes = sorted((r["__p"], r["n"]) for r in marked.groupBy("__p").agg(F.count("*").alias("n")).collect())
     starts, at = [], last
     for p, n in sizes:
         starts.append((p, at))
         at += n
     base = F.broadcast(spark.createDataFrame(starts, "__p long, __s long"))
-    numbered = marked.join(base, "__p").withColumn(id_, F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1)
-    return table.unionByName(numbered.select(*table.columns))
+    return marked.join(base, "__p").withColumn(id_, F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1).drop("__m", "__p", "__s")
+
+
+def ingest(docs: DataFrame, blocks: DataFrame, new_docs: DataFrame, new_blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after an ingest: new documents (key and columns of docs) get ids, and their blocks (key and a stored block's columns) those of their documents.
+
+    Columns that new rows lack are null. Blocks of no document are left out.
+    """
+
+    def filled(df: DataFrame, like: DataFrame) -> DataFrame:
+        return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema))
+
+    with_ids = stable(numbered(docs, new_docs))
+    owned = new_blocks.join(with_ids.select("key", F.col("id").alias("sourceDocId")), "key")
+    return docs.unionByName(filled(with_ids, docs)), blocks.unionByName(filled(numbered(blocks, owned), blocks))
 
 
 def patch_canvas(docs: DataFrame, patch: DataFrame) -> DataFrame:
@@ -62,13 +92,13 @@ def reset(docs: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame, dic
 
 
 def hierarchy(methodologies: DataFrame, frames: DataFrame, fields: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    """Frames (null order first) with their fields in order; of an empty table, the fallback."""
+    """Frames in order (null first) with their fields in order; of an empty table, the fallback."""
     listed = fields.groupBy("frameId").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("order", F.lit(-(1 << 31))).alias("o"), "id", "name"))).alias("f"))
     out = frames.join(methodologies.select(F.col("id").alias("methodologyId"), "title"), "methodologyId").join(listed, F.col("id") == F.col("frameId"), "left")
     out = out.select("title", "slug", F.col("name").alias("frame"), "order", F.coalesce(F.transform("f", lambda x: x["name"]), F.array()).alias("fields"))
-    if fallback is None:
-        return out
-    return out.unionByName(fallback) if out.isEmpty() else out
+    if fallback is not None and out.isEmpty():
+        out = out.unionByName(fallback)
+    return out.orderBy(F.col("order").asc_nulls_first(), "slug")
 
 
 def new_manifest_rows(manifest: DataFrame, images: DataFrame) -> DataFrame:
@@ -107,3 +137,13 @@ def batch_totals(results: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, by: list[Column], within: list[str], n: int) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*within).orderBy(*by))).where(F.col("__r") <= n).drop("__r")
+
+
+def lookup(table: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key: the filter reaches the scan."""
+    return table.where(F.col(key) == F.lit(value))
+
+
+def newest(table: DataFrame, key: str = "id") -> DataFrame:
+    """All rows, the greatest key first."""
+    return table.orderBy(F.desc(key))

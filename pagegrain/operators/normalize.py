@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bbox_from_bounds, bbox_from_points
-from ..functions.text import extension, number_text
+from ..functions.text import extension, number_text, title_of
 
 MAX_UPLOAD = 30 * 1024 * 1024
 EXTENSIONS = (".pdf", ".png")
+PROFILE = "PIK_BusinessModel_v5"
 SUCCESS, FAILURE = ("done", "succeeded", "success", "finished", "ok"), ("failed", "error")  # fixed values
 
 
@@ -20,10 +21,10 @@ def map_role(kind: Column) -> Column:
 
 
 def page_from_one(*sources: Column) -> Column:
-    """The first source that isn't null, as a number; 0 and no number count as 1; counted from 0, never below."""
+    """The first source that isn't null, as a number; 0 and no number count as 1; counted from 0, never below; 0 beyond 32 bits."""
     number = F.coalesce(*(s.cast("string") for s in sources), F.lit("1")).try_cast("double")
     number = F.when(number.isNull() | F.isnan(number) | (number == 0), F.lit(1.0)).otherwise(number)
-    return F.greatest(F.lit(0), number.cast("int") - 1)
+    return F.greatest(F.lit(0), number.try_cast("int") - 1)
 
 
 def block_hash(page: Column, role: Column, box: Column, text: Column) -> Column:
@@ -43,14 +44,20 @@ def from_elements(df: DataFrame) -> DataFrame:
 
 
 def from_structured(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Blocks of structured elements with alternative spellings: page, Page, bounds, Bounds, bound, Boundary, type, Type, text, Text, table, Table.
+    """Blocks of structured elements (a variant e) with alternative spellings: page, Page, bounds, Bounds, bound, Boundary, type, Type, text, Text, table, Table.
 
-    Read such JSON with spark.sql.caseSensitive on. Pages and roles pass through; tables keep their JSON.
+    Pages and roles pass through; tables keep their JSON. Numbers of a box that are none count as 0.
     """
-    role = F.coalesce(F.nullif("type", F.lit("")), F.nullif("Type", F.lit("")), F.lit("unknown"))
-    box = bbox_from_bounds(F.coalesce("bounds", "Bounds", "bound", "Boundary"))
-    box = F.coalesce(box, F.expr("array(0D, 0D, 0D, 0D)"))
-    return df.select(*keep, F.coalesce("page", "Page", F.lit(0)).cast("int").alias("page"), box.alias("bbox"), role.alias("role"), F.coalesce("text", "Text").alias("text"), F.when(F.lower(role) == "table", F.coalesce("table", "Table")).alias("tableJson"))
+
+    def found(kind: str, *names: str) -> Column:
+        return F.coalesce(*(F.try_variant_get("e", f"$.{n}", kind) for n in names))
+
+    role = F.coalesce(*(F.nullif(found("string", n), F.lit("")) for n in ("type", "Type")), F.lit("unknown"))
+    bounds = F.transform(found("array<variant>", "bounds", "Bounds", "bound", "Boundary"), lambda x: F.try_variant_get(x, "$", "double"))
+    box = F.coalesce(bbox_from_bounds(bounds), F.expr("array(0D, 0D, 0D, 0D)"))
+    table = F.when(F.lower(role) == "table", found("string", "table", "Table"))
+    page = F.coalesce(found("int", "page", "Page"), F.lit(0))
+    return df.select(*keep, page.alias("page"), box.alias("bbox"), role.alias("role"), found("string", "text", "Text").alias("text"), table.alias("tableJson"))
 
 
 def shaped_for_insert(blocks: DataFrame, doc: Column) -> DataFrame:
@@ -64,7 +71,7 @@ def admission(name: Column, size: Column) -> Column:
     return F.when(name.isNull() | (name == ""), "no file").when(F.coalesce(size, F.lit(0)) <= 0, "empty file").when(size > MAX_UPLOAD, "file too large").when(~extension(name).isin(*EXTENSIONS), "unsupported type")
 
 
-def engine_of(requested: Column, default: str = "adobe") -> Column:
+def engine_of(requested: Column, default: str = "unstructured") -> Column:
     return F.when(F.lower(F.coalesce(F.nullif(requested, F.lit("")), F.lit(default))) == "unstructured", "unstructured").otherwise("adobe")
 
 
@@ -76,3 +83,12 @@ def job_state(status: Column) -> Column:
 def observed_pages(blocks: DataFrame) -> DataFrame:
     """Pages of each document by its blocks: the greatest page and one."""
     return blocks.groupBy("sourceDocId").agg((F.max("page") + 1).alias("pages"))
+
+
+def source_docs(uploads: DataFrame) -> DataFrame:
+    """Documents as they are inserted: columns key, name, path, engine, profile, score and pages, which is null if it isn't known."""
+    score = F.nullif(F.col("score").try_cast("double"), F.lit(0.0))
+    return uploads.select(
+        "key", title_of(F.col("name")).alias("title"), F.coalesce(F.nullif(F.regexp_replace(extension(F.col("name")), r"^\.", ""), F.lit("")), F.lit("pdf")).alias("type"), "path",
+        engine_of(F.col("engine")).alias("engine"), F.coalesce(F.nullif("profile", F.lit("")), F.lit(PROFILE)).alias("canvasProfileId"), score.alias("canvasMatchScore"), "pages",
+    )

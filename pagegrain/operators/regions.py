@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import apply_transform, fit, overlay_rect, parse_bbox, point_in_polygon
@@ -49,12 +49,23 @@ def aligned(docs: DataFrame, profile: str, width: float, height: float) -> DataF
 
 
 def by_zone(blocks: DataFrame, zones: list[tuple[str, list]], page_w: float, page_h: float, canvas: tuple[float, float]) -> DataFrame:
-    """Extension: blocks with the first zone that has the centre of their box after the fit, or null. Zones are few and constant, so they are matched within each row."""
+    """Extension: blocks with the first zone that has the centre of their box after the fit, or null. Zones are few and constant, so they are matched within each row.
+
+    Boxes are parsed once; a zone's edges are looked at only where the centre is within its hull.
+    """
     t = fit(F.lit(page_w), F.lit(page_h), *canvas)
-    box = apply_transform(parse_bbox(F.col("bbox")), t, F.lit(page_h))
-    x, y = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
-    hits = F.coalesce(*(F.when(point_in_polygon(x, y, F.array(*(F.array(F.lit(float(a)), F.lit(float(b))) for a, b in poly))), F.lit(name)) for name, poly in zones))
-    return blocks.withColumn("zone", hits)
+    placed = blocks.withColumn("__box", parse_bbox(F.col("bbox")))
+    placed = placed.withColumn("__box", apply_transform(F.col("__box"), t, F.lit(page_h)))
+    placed = placed.withColumns({"__x": (F.get("__box", 0) + F.get("__box", 2)) / 2, "__y": (F.get("__box", 1) + F.get("__box", 3)) / 2}).drop("__box")
+    x, y = F.col("__x"), F.col("__y")
+
+    def hit(name: str, poly: list) -> Column:
+        xs, ys = ([float(p[i]) for p in poly] for i in (0, 1))
+        hull = x.between(min(xs), max(xs)) & y.between(min(ys), max(ys))
+        edges = F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in zip(xs, ys, strict=True)))
+        return F.when(hull, F.when(point_in_polygon(x, y, edges), F.lit(name)))
+
+    return placed.withColumn("zone", F.coalesce(*(hit(name, poly) for name, poly in zones))).drop("__x", "__y")
 
 
 def summary(files: DataFrame) -> DataFrame:
@@ -65,3 +76,39 @@ def summary(files: DataFrame) -> DataFrame:
 
 def sam_arch(name: Column) -> Column:
     return F.when(name.contains("vit_b"), "vit_b").when(name.contains("vit_l"), "vit_l").otherwise("vit_h")
+
+
+def first_boxes(boxes: DataFrame, n: int = TOP_REGIONS) -> DataFrame:
+    """Of each image, the first n boxes in the detector's order (pos), numbered from 1."""
+    return ranked(boxes, [F.asc("pos")], ["image"], n).withColumn("region", F.row_number().over(Window.partitionBy("image").orderBy("pos")))
+
+
+def newest_run(files: DataFrame) -> DataFrame:
+    """The run (first folder of path) whose files changed last; of equals, the greatest name."""
+    run = F.element_at(F.filter(F.split("path", "/"), lambda p: p != ""), 1)
+    return files.groupBy(run.alias("run")).agg(F.max("modificationTime").alias("changed")).orderBy(F.desc("changed"), F.desc("run")).limit(1)
+
+
+def sample_units(units: DataFrame, n: int = 10) -> DataFrame:
+    """The first n different units in order."""
+    return units.select("unit").distinct().orderBy("unit").limit(n)
+
+
+def unit_of_page(path: Column) -> Column:
+    """The unit by the folder alone: the document of a page's own folder (page-1/...) or of pages/<document>, else the file's stem."""
+    parts = F.split(path, "/")
+    parent, above = F.get(parts, F.size(parts) - 2), F.get(parts, F.size(parts) - 3)
+    return F.when(parent.startswith("page-"), above).when((parent != "") & (above == "pages"), parent).otherwise(stem(path))
+
+
+def unit_of_region(path: Column) -> Column:
+    """The unit of a region file: the folder above that of the regions."""
+    parts = F.split(path, "/")
+    return F.get(parts, F.size(parts) - 3)
+
+
+def regions_or_whole(images: DataFrame, regions: DataFrame) -> DataFrame:
+    """Regions (image, region, x, y, w, h), and of images (image, width, height) without any, the whole image as region 1."""
+    whole = images.join(regions.select("image").distinct(), "image", "left_anti")
+    whole = whole.select("image", F.lit(1).alias("region"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
+    return regions.select("image", "region", "x", "y", "w", "h").unionByName(whole)

@@ -40,11 +40,11 @@ def turn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = r"""
 lines AS (SELECT doc_id, u.pos - 1 AS pos, u.line AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos) u),
 typed AS (SELECT *, CASE WHEN pos = 0 THEN 'Title' WHEN pos % 7 = 3 THEN 'ListItem' WHEN pos % 11 = 5 THEN 'Table' ELSE 'NarrativeText' END AS type FROM lines),
-blocks AS (SELECT doc_id * 100000 + pos AS id, doc_id AS src, CAST(pos // 10 AS INTEGER) AS page, CAST(pos % 10 * 10 AS INTEGER) AS y,
+blocks AS (SELECT doc_id * 4294967296 + pos AS id, doc_id AS src, CAST(pos // 10 AS INTEGER) AS page, CAST(pos % 10 * 10 AS INTEGER) AS y,
   CASE type WHEN 'Title' THEN 'heading' WHEN 'ListItem' THEN 'list' WHEN 'Table' THEN 'table' ELSE 'paragraph' END AS role,
   CASE WHEN type = 'Table' THEN NULL ELSE line END AS text FROM typed)"""
 TURNS = """
-blocks AS (SELECT conv_id * 1000 + turn AS id, conv_id AS src, CAST(turn AS INTEGER) AS page, role, text FROM conversations)"""
+blocks AS (SELECT conv_id * 4294967296 + turn AS id, conv_id AS src, CAST(turn AS INTEGER) AS page, role, text FROM conversations)"""
 REPORT = r"""
 per AS (SELECT src, count(*) AS total, count(*) FILTER (role = 'table') AS tables, count(*) FILTER (text IS NULL OR regexp_full_match(text, '\s*')) AS empty, sum(coalesce(length(text), 0)) AS chars, greatest(max(page), 0) AS top, list(DISTINCT page) AS seen FROM blocks GROUP BY src),
 roles AS (SELECT src, string_agg(role || ':' || n, ', ' ORDER BY role) AS roles FROM (SELECT src, role, count(*) AS n FROM blocks GROUP BY src, role) GROUP BY src),
@@ -122,7 +122,7 @@ def doc_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LINES}, {REPORT.format(known='NULL')} WHERE src IN (1, 7)""")
 def compare_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = adapters.docs_from_documents(read(spark, sf_dir, "documents"))
-    return flat_report(report.compare(report.report(docs, doc_blocks(spark, sf_dir)), 1, 7)).drop("side")
+    return flat_report(report.compare(report.report(docs, doc_blocks(spark, sf_dir)), 1, 7)).drop("side").where("totalBlocks is not null")
 
 
 @query(f"""WITH {LINES} SELECT src AS "docId", page, string_agg(id, ',' ORDER BY id) AS ids FROM blocks GROUP BY src, page""")
@@ -418,21 +418,15 @@ def image_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.image_bytes(rows).select("page_id", "image_b64", F.octet_length("image").alias("bytes"))
 
 
-@query(f"WITH {LINES} SELECT type, role, count(*) AS n, count(DISTINCT page) AS pages FROM (SELECT b.*, type FROM blocks b JOIN typed ON b.id = typed.doc_id * 100000 + typed.pos) GROUP BY ALL")
+@query(f"WITH {LINES} SELECT type, role, count(*) AS n, count(DISTINCT page) AS pages FROM (SELECT b.*, type FROM blocks b JOIN typed ON b.id = typed.doc_id * 4294967296 + typed.pos) GROUP BY ALL")
 def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_blocks(spark, sf_dir).groupBy("type", "role").agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages"))
 
 
-@query(f"""WITH {LINES} SELECT src AS "docId", CAST(id % 100000 AS INTEGER) AS pos, page, role, text FROM blocks WHERE src % 3 = 0 AND id % 100000 < 5""")
+@query(f"""WITH {LINES} SELECT src AS "docId", CAST(id % 4294967296 AS INTEGER) AS pos, page, role, text FROM blocks""")
 def elements_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Its SQL has five elements of a third of the documents; elements_json_whole has all."""
-    return elements_json_whole(spark, sf_dir).where("docId % 3 = 0 and pos < 5")
-
-
-@query(f"""WITH {LINES} SELECT src AS "docId", CAST(id % 100000 AS INTEGER) AS pos, page, role, text FROM blocks""")
-def elements_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = doc_blocks(spark, sf_dir)
-    element = F.struct((F.col("id") % 100000).alias("pos"), F.struct(F.col("type"), F.col("text"), F.struct((F.col("page") + 1).alias("page_number")).alias("metadata")).alias("e"))
+    element = F.struct((F.col("id") % adapters.LINES).alias("pos"), F.struct(F.col("type"), F.col("text"), F.struct((F.col("page") + 1).alias("page_number")).alias("metadata")).alias("e"))
     raw = blocks.groupBy(F.col("sourceDocId").alias("docId")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(element)), lambda x: x["e"])).alias("json"))
     raw = raw.withColumn("json", F.when(F.col("docId") % 2 == 0, F.col("json")).otherwise(F.concat(F.lit('{"elements":'), F.col("json"), F.lit("}"))))
     return files.elements(raw).select("docId", "pos", "page", "role", "text")
@@ -468,3 +462,219 @@ def constraint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LINES}, z AS (SELECT id, 100.0 AS x, (700.0 - y - 4) * 2.0 AS y FROM blocks) SELECT id, CASE WHEN y > 260 AND y < 520 THEN 'core-services' WHEN y > 560 AND y < 800 THEN 'value-capture' END AS zone FROM z""")
 def blocks_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.by_zone(doc_blocks(spark, sf_dir), [(z, p) for z, _, p in schema.ZONES], 500.0, 700.0, schema.CANVAS).select("id", "zone")
+
+
+@query("SELECT doc_id AS id, 'doc-' || doc_id AS title FROM documents WHERE doc_id = 7")
+def doc_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.lookup(adapters.docs_from_documents(read(spark, sf_dir, "documents")), "id", 7).select("id", "title")
+
+
+@query("SELECT conv_id * 4294967296 + turn AS id, CAST(turn AS INTEGER) AS page, role, text FROM conversations WHERE conv_id = 5")
+def blocks_of_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.lookup(turn_blocks(spark, sf_dir), "sourceDocId", 5).select("id", "page", "role", "text")
+
+
+@query(f"WITH {LINES} SELECT id, role FROM blocks WHERE page = 1")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.page_of(doc_blocks(spark, sf_dir), 2).select("id", "role")
+
+
+FRAME_ROWS = [(i, slug, name, j, field) for i, (slug, name, fields) in enumerate(schema.FRAMES) for j, field in enumerate(fields)]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(str(r) for r in FRAME_ROWS)}) v(frame_pos, slug, frame, field_pos, field)")
+def frame_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.frame_fields(spark)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(str(r[1:]) for r in FRAME_ROWS if r[1] in schema.TARGET_FRAMES)}) v(slug, frame, field_pos, field)")
+def target_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.target_fields(spark).drop("frame_pos")
+
+
+@query("SELECT r_name AS profile, 'zone-' || n_nationkey AS zone, n_name AS name, CAST(n_nationkey AS DOUBLE) AS x0 FROM region JOIN nation ON n_regionkey = r_regionkey")
+def zone_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    polygon = F.array(F.array(n, F.lit(0)), F.array(n, F.lit(9)), F.array(F.lit(99), F.lit(9)))
+    zone = F.struct(F.concat(F.lit("zone-"), n.cast("string")).alias("id"), F.col("n_name").alias("name"), polygon.alias("polygon"))
+    per_region = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(zone).alias("zones"))
+    joined = read(spark, sf_dir, "region").join(per_region, F.col("r_regionkey") == F.col("n_regionkey"))
+    canvas = F.struct(F.lit(1000).alias("width"), F.lit(1400).alias("height"))
+    raw = joined.select(F.to_json(F.struct(F.col("r_name").alias("id"), F.col("r_name").alias("name"), canvas.alias("canonical"), "zones")).alias("json"))
+    return files.profile_zones(raw).select("profile", "zone", "name", F.col("polygon")[0][0].alias("x0"))
+
+
+@query("""SELECT conv_id AS "docId", CAST(turn AS INTEGER) AS page, CASE WHEN turn % 3 = 0 THEN 'Table' WHEN turn % 3 = 1 THEN role ELSE 'unknown' END AS role, text,
+CASE WHEN turn % 3 = 0 THEN '{"n":' || turn || '}' END AS "tableJson", CASE WHEN turn % 2 = 0 THEN '0,0,0,0' ELSE '1,2,' || turn || ',4' END AS box FROM conversations""")
+def structured_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured output with both spellings of its keys; odd turns have boxes."""
+    t = F.col("turn")
+    table = F.map_from_arrays(F.array(F.lit("n")), F.array(t))
+    entries = {
+        "page": F.when(t % 2 == 0, t), "Page": F.when(t % 2 == 1, t), "bounds": F.when(t % 4 == 1, F.array(F.lit(1), F.lit(2), t, F.lit(4), F.lit(5))), "Boundary": F.when(t % 4 == 3, F.array(F.lit(1), F.lit(2), t, F.lit(4))),
+        "type": F.when(t % 3 == 0, "Table"), "Type": F.when(t % 3 == 1, F.col("role")), "text": F.when(t % 5 < 3, F.col("text")), "Text": F.when(t % 5 >= 3, F.col("text")), "Table": table,
+    }
+    listed_in_json = {k: F.to_json(F.array(c)) for k, c in entries.items()}
+    named = F.array(*(F.when(c.isNotNull(), F.concat(F.lit(f'"{k}":'), F.substring(j, F.lit(2), F.length(j) - 2))) for (k, c), j in zip(entries.items(), listed_in_json.values(), strict=True)))
+    element = F.concat(F.lit("{"), F.array_join(F.filter(named, lambda x: x.isNotNull()), ","), F.lit("}"))
+    listed = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("docId")).agg(F.array_join(F.collect_list(element), ",").alias("l"))
+    raw = listed.select("docId", F.concat(F.when(F.col("docId") % 2 == 0, '{"content":[').otherwise('{"elements":['), "l", F.lit("]}")).alias("json"))
+    box = F.array_join(F.transform("bbox", text.number_text), ",")
+    return files.structured(raw).select("docId", "page", "role", "text", "tableJson", box.alias("box"))
+
+
+@query("""WITH d AS (SELECT conv_id, max(turn) + 1 AS pages FROM conversations GROUP BY conv_id)
+SELECT 'doc-' || conv_id AS title, CASE WHEN conv_id % 2 = 0 THEN 'pdf' ELSE 'png' END AS type, CASE WHEN conv_id % 3 = 0 THEN 'adobe' ELSE 'unstructured' END AS engine, CASE WHEN conv_id % 4 = 0 THEN 'own' ELSE 'PIK_BusinessModel_v5' END AS profile,
+CASE WHEN conv_id % 5 > 0 THEN CAST(conv_id % 5 AS DOUBLE) END AS score, CAST(pages AS INTEGER) AS pages, (SELECT count(*) FROM conversations c WHERE c.conv_id = d.conv_id) AS blocks FROM d""")
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations go into empty tables; each document then has its blocks by its new id."""
+    turns = read(spark, sf_dir, "conversations")
+    k = F.col("key")
+    pages = normalize.observed_pages(turn_blocks(spark, sf_dir)).select(F.col("sourceDocId").alias("key"), "pages")
+    uploads = pages.select(
+        "key", F.concat(F.lit("doc-"), k.cast("string"), F.when(k % 2 == 0, ".PDF").otherwise(".png")).alias("name"), F.lit("/x").alias("path"), F.when(k % 3 == 0, "ADOBE").otherwise("").alias("engine"),
+        F.when(k % 4 == 0, "own").otherwise("").alias("profile"), (k % 5).cast("string").alias("score"), "pages",
+    )
+    shaped = normalize.shaped_for_insert(turns.select(F.col("conv_id").alias("k"), F.col("turn").cast("int").alias("page"), F.expr("array(0D, 0D, 0D, 0D)").alias("bbox"), "role", "text", F.lit(None).cast("string").alias("tableJson")), F.col("k"))
+    empty = [spark.createDataFrame([], s) for s in (schema.SOURCE_DOC, schema.BLOCK)]
+    docs, blocks = catalog.ingest(*empty, normalize.source_docs(uploads), shaped.withColumnRenamed("sourceDocId", "key"))
+    counts = blocks.groupBy("sourceDocId").agg(F.count("*").alias("blocks"))
+    out = docs.join(counts, F.col("id") == F.col("sourceDocId"))
+    return out.select("title", "type", "engine", F.col("canvasProfileId").alias("profile"), F.col("canvasMatchScore").alias("score"), "pages", "blocks")
+
+
+@query(f"""WITH {LINES} SELECT src AS "sourceDocId", count(*) AS n, string_agg(role, ',' ORDER BY id) AS roles FROM blocks GROUP BY src""")
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised blocks as JSON documents, read again."""
+    made = files.artifacts(doc_blocks(spark, sf_dir).select("sourceDocId", "id", "page", "role", "text"))
+    back = made.select("sourceDocId", F.from_json("json", "array<struct<id:bigint,page:int,role:string,text:string>>").alias("b"))
+    return back.select("sourceDocId", F.size("b").cast("long").alias("n"), F.array_join(F.col("b")["role"], ",").alias("roles"))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM conversations) AS blocks, 0::BIGINT AS left_")
+def reset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, blocks, counts = catalog.reset(read(spark, sf_dir, "documents"), turn_blocks(spark, sf_dir))
+    left = docs.select("doc_id").union(blocks.select("id")).agg(F.count("*").alias("left_"))
+    return left.select(F.lit(counts["docs"]).cast("long").alias("docs"), F.lit(counts["blocks"]).cast("long").alias("blocks"), "left_")
+
+
+@query(r"SELECT page_id, 'a.' || page_id AS title, nullif(page_id % 3, 0) AS rest FROM pages")
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("a."), F.col("page_id").cast("string"), F.lit(".pdf"))
+    return read(spark, sf_dir, "pages").select("page_id", text.title_of(name).alias("title"), text.null_if_zero(F.col("page_id") % 3).alias("rest"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'table' ELSE 'paragraph' END AS role, CASE WHEN page_id % 2 = 0 THEN '{"html":"<table>' || page_id || '</table>"}' END AS "tableJson" FROM pages""")
+def table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    element = F.struct(F.when(n % 2 == 0, "Table").otherwise("Text").alias("type"), F.concat(F.lit("<table>"), n.cast("string"), F.lit("</table>")).alias("text_as_html"))
+    raw = read(spark, sf_dir, "pages").select("page_id", F.to_json(F.array(element)).alias("json"))
+    return files.elements(raw).select("page_id", "role", "tableJson")
+
+
+@query(f"""WITH {LINES} SELECT src AS "sourceDocId", max(page) + 1 AS pages FROM blocks GROUP BY src""")
+def observed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.observed_pages(doc_blocks(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS mask, CASE WHEN l_orderkey % 5 > 0 THEN CAST(l_quantity AS INTEGER) END AS x, CASE WHEN l_orderkey % 5 > 0 THEN l_linenumber END AS y FROM lineitem)
+SELECT mask, coalesce(min(x), 0) AS x0, coalesce(min(y), 0) AS y0, coalesce(max(x), -1) AS x1, coalesce(max(y), -1) AS y1, count(x) AS area FROM p GROUP BY mask""")
+def mask_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = F.col("l_orderkey") % 5 > 0
+    pixels = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mask"), F.when(there, F.col("l_quantity").cast("int")).alias("x"), F.when(there, F.col("l_linenumber")).alias("y"))
+    return regions.mask_box(pixels)
+
+
+@query("SELECT doc_id AS id, 'doc-' || doc_id AS title FROM documents ORDER BY doc_id DESC")
+def docs_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.newest(adapters.docs_from_documents(read(spark, sf_dir, "documents"))).select("id", "title")
+
+
+@query(f"""WITH {LINES} SELECT id, src AS "docId", page, role, {SNIPPET} AS snippet FROM blocks WHERE contains(lower(text), 'the') ORDER BY id LIMIT 10""")
+def search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(doc_blocks(spark, sf_dir), "the", limit=10)
+
+
+@query("SELECT l_orderkey AS image, l_linenumber AS pos, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INTEGER) AS region FROM lineitem QUALIFY region <= 3")
+def first_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("pos"))
+    return regions.first_boxes(boxes, 3)
+
+
+@query("SELECT DISTINCT 'u' || (page_id % 30) AS unit FROM pages ORDER BY unit LIMIT 10")
+def sample_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/out/u"), (F.col("page_id") % 30).cast("string"), F.lit("/regions/region-1.json"))
+    return regions.sample_units(read(spark, sf_dir, "pages").select(regions.unit_of_region(path).alias("unit")))
+
+
+@query("SELECT 'run' || (user_id % 9) AS run FROM events ORDER BY ts DESC, run DESC LIMIT 1")
+def newest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/run"), (F.col("user_id") % 9).cast("string"), F.lit("/f"))
+    return regions.newest_run(read(spark, sf_dir, "events").select(path.alias("path"), F.col("ts").alias("modificationTime"))).select("run")
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'd' || page_id WHEN 1 THEN 'e' || page_id ELSE 'p' || page_id END AS unit FROM pages")
+def unit_of_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("page_id") % 3, F.col("page_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("/x/d"), s, F.lit("/page-2/a.png"))).when(k == 1, F.concat(F.lit("/x/pages/e"), s, F.lit("/page-1.png"))).otherwise(F.concat(F.lit("/x/y/p"), s, F.lit(".png")))
+    return read(spark, sf_dir, "pages").select("page_id", regions.unit_of_page(path).alias("unit"))
+
+
+@query("""SELECT page_id AS image, CAST(CASE WHEN page_id % 3 = 0 THEN page_id ELSE 640 END AS INTEGER) AS w, 1 AS region FROM pages""")
+def regions_or_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = read(spark, sf_dir, "pages").select(F.col("page_id").alias("image"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    own = images.where("image % 3 = 0").select("image", F.lit(1).alias("region"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("image").cast("int").alias("w"), F.lit(9).alias("h"))
+    return regions.regions_or_whole(images, own).select("image", "w", "region")
+
+
+@query("SELECT page_id AS id, 0.7::DOUBLE AS score, least(1000.0::DOUBLE / (page_id + 1), 1400.0::DOUBLE / 700) AS k FROM pages")
+def aligned_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") + 1).cast("double").alias("pageWidth"), F.lit(700.0).alias("pageHeight"))
+    return regions.aligned(docs, normalize.PROFILE, *schema.CANVAS).select("id", F.col("matchScore").alias("score"), F.col("transform.scaleX").alias("k"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(extract(millisecond FROM ts) % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso, strftime(ts, '%H%M') AS hhmm, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, epoch_us(ts) // 1000 - 5000 AS since FROM events""")
+def time_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("ts").cast("timestamp")
+    return read(spark, sf_dir, "events").select("event_id", text.iso_time(t).alias("iso"), F.date_format(t, "HHmm").alias("hhmm"), F.unix_seconds(t).alias("seconds"), text.duration_ms(F.timestamp_millis(F.lit(5000)), t).alias("since"))
+
+
+@query("""SELECT page_id, 'a%20b%26' || page_id || '!' AS uri, CAST(floor(page_id / 300.0 * 100 + 0.5) AS INTEGER) || '%' AS share FROM pages""")
+def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    return read(spark, sf_dir, "pages").select("page_id", text.uri_encoded(F.concat(F.lit("a b&"), n.cast("string"), F.lit("!"))).alias("uri"), text.percent(n / 300.0).alias("share"))
+
+
+@query("""SELECT 'there' AS kind, count(*) AS n FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'missing', count(*) FROM pages WHERE page_id % 2 = 1""")
+def existing_and_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = read(spark, sf_dir, "pages").select(F.concat(F.lit("/f"), F.col("page_id").cast("string")).alias("path"), "page_id")
+    there, missing = files.present(wanted.where("page_id % 2 = 0").select("path"), wanted.select("path"))
+    return there.agg(F.lit("there").alias("kind"), F.count("*").alias("n")).union(missing.agg(F.lit("missing"), F.count("*")))
+
+
+@query("SELECT page_id, length(html) >= 2000 AS ok, CASE page_id % 3 WHEN 0 THEN 'vit_b' WHEN 1 THEN 'vit_l' ELSE 'vit_h' END AS arch FROM pages")
+def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 3
+    name = F.when(k == 0, "sam_vit_b_01.pth").when(k == 1, "sam_vit_l.pth").otherwise("other.pth")
+    return read(spark, sf_dir, "pages").select("page_id", files.file_ok(F.length("html"), 2000).alias("ok"), regions.sam_arch(name).alias("arch"))
+
+
+@query("SELECT 'K' || (page_id % 40) AS key, 'v ' || min(page_id) AS value FROM pages GROUP BY page_id % 40")
+def env_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    lines = read(spark, sf_dir, "pages").select(n.alias("pos"), F.concat(F.lit("K"), (n % 40).cast("string"), F.lit(" = 'v "), n.cast("string"), F.lit("' ")).alias("value"))
+    return files.env_lines(lines)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'adobe' ELSE 'unstructured' END AS engine FROM pages")
+def engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 3
+    return read(spark, sf_dir, "pages").select("page_id", normalize.engine_of(F.when(k == 0, "Adobe").when(k == 1, "")).alias("engine"))
+
+
+@query("SELECT p_partkey, 'a' || p_partkey || 'b' || p_size AS merged FROM part")
+def merged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    old = F.create_map(F.lit("a"), F.col("p_partkey"), F.lit("b"), F.lit(0).cast("long"))
+    out = part.select("p_partkey", files.merged_values(old, F.create_map(F.lit("b"), F.col("p_size").cast("long"))).alias("m"))
+    return out.select("p_partkey", F.concat(F.lit("a"), F.col("m")["a"].cast("string"), F.lit("b"), F.col("m")["b"].cast("string")).alias("merged"))

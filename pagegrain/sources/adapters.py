@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.normalize import map_role
 
+#: Block ids have room for so many lines or turns of a document.
+LINES = 1 << 32
+
 
 def blocks_from_documents(docs: DataFrame) -> DataFrame:
     """A block for each line of a document: ten lines a page, types by place; tables have no text."""
@@ -15,14 +18,14 @@ def blocks_from_documents(docs: DataFrame) -> DataFrame:
     top = F.col("pos") % 10 * 10
     lines = lines.withColumn("role", map_role(kind))
     return lines.select(
-        (F.col("doc_id") * 100000 + F.col("pos")).alias("id"), F.col("doc_id").alias("sourceDocId"), F.floor(F.col("pos") / 10).cast("int").alias("page"),
+        (F.col("doc_id") * LINES + F.col("pos")).alias("id"), F.col("doc_id").alias("sourceDocId"), F.floor(F.col("pos") / 10).cast("int").alias("page"),
         F.format_string("[0,%d,100,%d]", top, top + 8).alias("bbox"), "role", F.when(F.col("role") != "table", F.col("line")).alias("text"), kind.alias("type"),
     )
 
 
 def blocks_from_conversations(conversations: DataFrame) -> DataFrame:
     """A block for each turn, each on a page of its own."""
-    return conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("sourceDocId"), F.col("turn").cast("int").alias("page"), F.lit("[0,0,0,0]").alias("bbox"), "role", "text")
+    return conversations.select((F.col("conv_id") * LINES + F.col("turn")).alias("id"), F.col("conv_id").alias("sourceDocId"), F.col("turn").cast("int").alias("page"), F.lit("[0,0,0,0]").alias("bbox"), "role", "text")
 
 
 def elements_from_pages(pages: DataFrame) -> DataFrame:

@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from ..functions.text import basename, extension
 from ..operators.normalize import admission, from_elements, from_structured
 
-ELEMENT = "struct<type:string,category:string,text:string,text_as_html:string,coordinates:struct<points:array<array<double>>,page:string>,bbox:struct<points:array<array<double>>>,metadata:struct<page_number:string>,page_number:string>"
-STRUCTURED = "struct<page:int,Page:int,bounds:array<double>,Bounds:array<double>,bound:array<double>,Boundary:array<double>,type:string,Type:string,text:string,Text:string,table:string,Table:string>"
+# The keys of page elements.
+POINTS = "struct<points:array<array<double>>,page:string>"
+ELEMENT = f"struct<type:string,category:string,text:variant,text_as_html:string,coordinates:{POINTS},bbox:{POINTS},metadata:struct<page_number:string>,page_number:string>"
+PROFILE = "struct<id:string,name:string,canonical:struct<width:double,height:double>,zones:array<struct<id:string,name:string,polygon:array<array<double>>>>>"
 
 
 def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Files below a folder, however deep: path, name, length and extension; contents aren't read."""
+    """Files below a folder, however deep, in order of their paths: path, name, length and extension; contents aren't read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "length", "modificationTime")
-    return files.withColumn("name", basename(F.col("path"))).withColumn("ext", extension(F.col("path")))
+    return files.withColumn("name", basename(F.col("path"))).withColumn("ext", extension(F.col("path"))).orderBy("path")
 
 
 def whole(spark: SparkSession, path: str) -> DataFrame:
@@ -39,23 +41,39 @@ def json_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("json"))
 
 
+def zone_profile(spark: SparkSession, path: str) -> DataFrame:
+    """The zones of a profile file."""
+    return profile_zones(json_texts(spark, path))
+
+
+def profile_zones(raw: DataFrame, json: str = "json") -> DataFrame:
+    """The zones of profiles in JSON: profile, width, height, zone, name, polygon."""
+    p = raw.select(F.from_json(json, PROFILE).alias("p")).select("p.id", "p.canonical.*", F.explode("p.zones").alias("z"))
+    return p.select(F.col("id").alias("profile"), "width", "height", F.col("z.id").alias("zone"), "z.name", "z.polygon")
+
+
 def elements(raw: DataFrame, json: str = "json") -> DataFrame:
-    """Blocks of page elements: a JSON list, or an object's ``elements``; anything else has none. Other columns stay."""
+    """Blocks of page elements: a JSON list, or an object's ``elements``; anything else has none. Other columns stay.
+
+    An element's coordinates are taken whole, its bbox only if it has none. A text that is no string is dropped.
+    """
     kept = [c for c in raw.columns if c != json]
-    items = F.coalesce(F.from_json(json, f"array<{ELEMENT}>"), F.from_json(F.get_json_object(json, "$.elements"), f"array<{ELEMENT}>"))
     is_list = F.ltrim(F.col(json)).startswith("[")
-    items = F.when(is_list, items).otherwise(F.from_json(F.get_json_object(json, "$.elements"), f"array<{ELEMENT}>"))
+    items = F.when(is_list, F.from_json(json, f"array<{ELEMENT}>")).otherwise(F.from_json(F.get_json_object(json, "$.elements"), f"array<{ELEMENT}>"))
     e = raw.select(*kept, F.posexplode(items).alias("pos", "e"))
-    flat = e.select(*kept, "pos", "e.type", "e.category", "e.text", "e.text_as_html", F.coalesce("e.coordinates.points", "e.bbox.points").alias("points"), F.col("e.metadata.page_number").alias("page_a"), F.col("e.page_number").alias("page_b"), F.col("e.coordinates.page").alias("page_c"))
+    text = F.when(F.schema_of_variant("e.text") == "STRING", F.try_variant_get("e.text", "$", "string"))
+    flat = e.select(
+        *kept, "pos", "e.type", "e.category", text.alias("text"), "e.text_as_html", F.coalesce("e.coordinates", "e.bbox")["points"].alias("points"),
+        F.col("e.metadata.page_number").alias("page_a"), F.col("e.page_number").alias("page_b"), F.col("e.coordinates.page").alias("page_c"),
+    )
     return from_elements(flat).select(*kept, "pos", "page", "bbox", "role", "text", "tableJson", "hash")
 
 
 def structured(raw: DataFrame, json: str = "json") -> DataFrame:
-    """Blocks of structured extraction output: ``content``, or else ``elements``. Needs spark.sql.caseSensitive. Other columns stay."""
+    """Blocks of structured extraction output: ``content`` if it is a list, or else ``elements``. Other columns stay."""
     kept = [c for c in raw.columns if c != json]
-    items = F.coalesce(*(F.from_json(F.get_json_object(json, f"$.{k}"), f"array<{STRUCTURED}>") for k in ("content", "elements")))
-    e = raw.select(*kept, F.posexplode(items).alias("pos", "e")).select(*kept, "pos", "e.*")
-    return from_structured(e, (*kept, "pos"))
+    items = F.coalesce(*(F.from_json(F.get_json_object(json, f"$.{k}"), "array<variant>") for k in ("content", "elements")))
+    return from_structured(raw.select(*kept, F.posexplode(items).alias("pos", "e")), (*kept, "pos"))
 
 
 def unzipped(files: DataFrame, ending: str = "structureddata.json") -> DataFrame:
@@ -129,10 +147,13 @@ def write_manifest(images: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def env_lines(lines: DataFrame) -> DataFrame:
-    """key and value of NAME=value lines (value), quotes around values dropped; the first of a key counts if lines keep their order in ``pos``."""
+    """key and value of NAME=value lines (value), quotes around values dropped. With a column ``pos``, the first line of a key counts."""
     rule = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*$"
     raw = F.regexp_extract("value", rule, 2)
-    return lines.where(F.col("value").rlike(rule)).select(F.regexp_extract("value", rule, 1).alias("key"), F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2").alias("value"))
+    pairs = lines.where(F.col("value").rlike(rule)).withColumns({"key": F.regexp_extract("value", rule, 1), "value": F.regexp_replace(raw, r"""^(["'])(.*)\1$""", "$2")})
+    if "pos" in lines.columns:
+        return pairs.groupBy("key").agg(F.min_by("value", "pos").alias("value"))
+    return pairs.select("key", "value")
 
 
 def page_count(text: Column) -> Column:
@@ -155,9 +176,16 @@ def write_log(records: DataFrame, path: str) -> None:
     records.withColumn("day", F.date_format("t", "yyyy-MM-dd")).write.mode("append").partitionBy("day").json(path)
 
 
-def write_artifacts(blocks: DataFrame, path: str) -> None:
-    """Normalised blocks as JSON, a folder for each document."""
-    blocks.write.mode("overwrite").partitionBy("sourceDocId").json(path)
+def artifacts(blocks: DataFrame) -> DataFrame:
+    """Normalised blocks as JSON, a row for each document: sourceDocId, json."""
+    block = F.struct(*(c for c in blocks.columns if c != "sourceDocId"))
+    return blocks.groupBy("sourceDocId").agg(F.to_json(F.array_sort(F.collect_list(block))).alias("json"))
+
+
+def write_artifacts(raw: DataFrame, blocks: DataFrame, path: str) -> None:
+    """Raw output (sourceDocId, json) and normalised blocks as JSON lines, a line for each document, in a folder each."""
+    raw.select("sourceDocId", "json").write.mode("overwrite").json(f"{path}/raw")
+    artifacts(blocks).write.mode("overwrite").json(f"{path}/normalized")
 
 
 def write_regions(regions: DataFrame, path: str) -> None:

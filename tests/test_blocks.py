@@ -174,7 +174,8 @@ def test_admission(spark):
     rows = [(None, 5), ("a.pdf", 0), ("a.pdf", 31 << 20), ("a.txt", 5), ("A.PNG", 30 << 20), ("a.pdf", None)]
     df = spark.createDataFrame(rows, "name string, size long")
     assert [r["why"] for r in df.select(normalize.admission(F.col("name"), F.col("size")).alias("why")).collect()] == ["no file", "empty file", "file too large", "unsupported type", None, "empty file"]
-    assert one(spark, normalize.engine_of(F.lit(None).cast("string"))) == "adobe"
+    assert one(spark, normalize.engine_of(F.lit(None).cast("string"))) == "unstructured"
+    assert one(spark, normalize.engine_of(F.lit("Adobe"))) == "adobe"
     assert [one(spark, normalize.job_state(F.lit(s))) for s in ("DONE", "error", "x")] == ["success", "failure", "running"]
 
 
@@ -252,3 +253,75 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     batch = streaming.windowed_counts(rows)
     assert sorted(map(str, spark.table("counts").collect())) == sorted(map(str, batch.collect()))
+
+
+def test_odd_boxes_and_pages(spark):
+    """Short boxes and pages beyond 32 bits neither stop a query nor move others."""
+    blocks = spark.createDataFrame([(1, 1, 0, "[]", "x", "a"), (2, 1, 0, "[1,2]", "x", "b"), (3, 1, 0, "[0,0,300,10]", "x", "c"), (4, 1, 0, None, "x", "d")], BLOCK)
+    assert regions.overlays(blocks, 600.0, 800.0).count() == 4
+    assert [r["y0"] for r in blocks.orderBy("id").select(geometry.parse_bbox(F.col("bbox"))[3].alias("y0")).collect()] == [0.0, 0.0, 10.0, 0.0]
+    assert assign.auto_assign(blocks).count() == 31
+    assert [one(spark, normalize.page_from_one(F.lit(x))) for x in ("1e20", "3", "-5", "x")] == [0, 2, 0, 0]
+    assert one(spark, geometry.clip_xywh(F.array(*map(F.lit, (1e20, 1.0, 2.0, 3.0)))))["x"] == 0
+    t = geometry.fit(F.lit(500.0), F.lit(700.0), *schema.CANVAS, image=True)
+    assert one(spark, geometry.apply_transform(F.array(*map(F.lit, (10.0, 20.0, 30.0, 40.0))), t, F.lit(700.0))) == [20.0, 40.0, 60.0, 80.0]
+
+
+def test_elements_take_coordinates_whole(spark):
+    raw = '[{"coordinates":{"page":4},"bbox":{"points":[[0,0],[0,1],[1,1],[1,0]]},"text":5},{"bbox":{"points":[[0,0],[0,1],[1,1],[1,0]]},"text":"t"}]'
+    rows = files.elements(spark.createDataFrame([(raw,)], "json string")).orderBy("pos").collect()
+    assert [(r["page"], r["bbox"], r["text"]) for r in rows] == [(3, [0.0] * 4, None), (0, [0.0, 0.0, 1.0, 1.0], "t")]
+
+
+def test_ingest_twice(spark):
+    docs, blocks = spark.createDataFrame([], schema.SOURCE_DOC), spark.createDataFrame([], schema.BLOCK)
+    new = spark.createDataFrame([("k1", "A"), ("k2", "B")], "key string, title string")
+    own = spark.createDataFrame([("k1", 0, "x"), ("k1", 1, "y"), ("k2", 0, "z"), ("k3", 0, "lost")], "key string, page int, text string")
+    docs, blocks = catalog.ingest(docs, blocks, new, own)
+    docs, blocks = catalog.ingest(docs, blocks, new, own)
+    assert sorted(r["id"] for r in docs.collect()) == [1, 2, 3, 4] and docs.columns[0] == "id"
+    assert sorted(r["id"] for r in blocks.collect()) == [1, 2, 3, 4, 5, 6]
+    titles = {r["id"]: r["title"] for r in docs.collect()}
+    assert sorted((titles[r["sourceDocId"]], r["text"]) for r in blocks.collect()) == sorted([("A", "x"), ("A", "y"), ("B", "z")] * 2)
+
+
+def test_artifacts(spark, tmp_path):
+    blocks = spark.createDataFrame([(1, 7, 0, "[]", "x", "a"), (2, 7, 0, "[]", "x", "b"), (3, 8, 0, "[]", "x", "c")], BLOCK)
+    files.write_artifacts(spark.createDataFrame([(7, "{}")], "sourceDocId long, json string"), blocks, str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out" / "normalized"))
+    assert sorted(r["sourceDocId"] for r in back.collect()) == [7, 8]
+    assert not any(p.is_dir() for p in (tmp_path / "out" / "normalized").iterdir())
+    assert spark.read.json(str(tmp_path / "out" / "raw")).first()["json"] == "{}"
+
+
+def test_compare_with_a_missing_side(spark):
+    reports = spark.createDataFrame([(5, 3)], "docId long, totalBlocks long")
+    assert {r["side"]: r["totalBlocks"] for r in report.compare(reports, 5, 9).collect()} == {"A": 3, "B": None}
+
+
+def test_small_writers(spark, tmp_path):
+    files.write_manifest(spark.createDataFrame([("a",), ("a",)], "image string"), str(tmp_path / "m"), "overwrite")
+    files.write_manifest(spark.createDataFrame([("b",)], "image string"), str(tmp_path / "m"), "overwrite")
+    assert [r["image"] for r in files.manifest(spark, str(tmp_path / "m")).collect()] == ["b"]
+    region = spark.createDataFrame([("u", "t", "aGk=")], "unit string, text string, image_b64 string").withColumn("bbox", F.struct(F.lit(0).alias("x")))
+    files.write_regions(region, str(tmp_path / "r"))
+    assert (tmp_path / "r" / "unit=u").is_dir()
+    assert bytes(files.image_bytes(region).first()["image"]) == b"hi"
+    text_ = report.markdown(2, 5, [{"id": 1, "title": "a", "blocks": 3}], [{"role": "x", "n": 5}])
+    assert "- Blocks a document: 2.50" in text_ and "| 1 | a | 3 |" in text_ and "| x | 5 |" in text_
+    assert "- Blocks a document: 0" in report.markdown(0, 0, [], [])
+
+
+def test_plans(spark, tmp_path):
+    """Boxes are parsed once, assignment reads blocks once, and a key's filter reaches the scan."""
+    rows = spark.createDataFrame([(1, 1, 0, "[0,0,3,10]", "x", "a")], BLOCK)
+    rows.write.parquet(str(tmp_path / "b"))
+    blocks = spark.read.parquet(str(tmp_path / "b"))
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    zoned = regions.by_zone(blocks, [(z, p) for z, _, p in schema.ZONES], 500.0, 700.0, schema.CANVAS)
+    assert plan(zoned).count("from_json") == 1
+    assert plan(assign.auto_assign(blocks)).count("Relation") == 1
+    assert "EqualTo(sourceDocId,1)" in catalog.lookup(blocks, "sourceDocId", 1)._jdf.queryExecution().toString()

@@ -30,7 +30,7 @@ def test_entry_names_match_sql():
 
 def test_all_lines_go_through_elements(spark, sf_dir):
     lines = sum(len((r["text"] or "").split("\n")) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect())
-    assert queries.QUERIES["elements_json_whole"](spark, sf_dir).count() == lines
+    assert queries.QUERIES["elements_json"](spark, sf_dir).count() == lines
 
 
 def test_manifest_is_what_drops_images(spark, sf_dir, monkeypatch):
