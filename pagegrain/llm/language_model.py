@@ -243,25 +243,28 @@ def places(every: Counts, own: Counts) -> np.ndarray:
 
 
 class Block:
-    """A block's documents with what came back for its keys: of each order, every token's count in training and in held-out documents."""
+    """A block's documents with what came back for its keys: of each order, every token's count in training documents, without held-out ones if ``main``."""
 
-    def __init__(self, data: bytes, back: pa.Table, order: int) -> None:
+    def __init__(self, data: bytes, back: pa.Table, order: int, main: bool) -> None:
         self.parts, self.events = [], []
         for part in documents(data):
             e = Events(Texts(*utf8(part.column("text")), lower=True), order)
             self.parts.append(part.drop_columns(["text"]))
             self.events.append(e)
         self.bounds = np.cumsum([0, *(e.first[-1] for e in self.events)])
-        self.c, self.d = [], []
+        self.c = []
         back = back.sort_by("part")
         for i in range(order):
             place, n = self.place([e.grams[i] for e in self.events])
-            got = [unpacked(x, 2) for x in back.column(f"g{i + 1}").to_pylist()]
-            for j, out in enumerate((self.c, self.d)):
-                sums = np.concatenate([g[j] for g in got]).view(np.int64) if got else np.zeros(0, np.int64)
-                if sums.size != n:
-                    raise ValueError("counts have come back for other keys than the block's own")
-                out.append(sums[place])
+            got = [np.zeros(0, np.int64)]
+            for blob in back.column(f"g{i + 1}").to_pylist():
+                c, d = unpacked(blob, 2)
+                got.append((c - d if main else c).view(np.int64))
+            sums = np.concatenate(got)
+            if sums.size != n:
+                raise ValueError("counts have come back for other keys than the block's own")
+            self.c.append(sums[place])
+            del got, sums, place
             for e in self.events:
                 e.grams[i] = None
 
@@ -281,12 +284,12 @@ class Block:
         out[order] = number
         return out, int(number[-1]) + 1
 
-    def __iter__(self) -> Iterator[tuple[pa.RecordBatch, Events, list[np.ndarray], list[np.ndarray]]]:
+    def __iter__(self) -> Iterator[tuple[pa.RecordBatch, Events, list[np.ndarray]]]:
         for part, e, a, b in zip(self.parts, self.events, self.bounds[:-1], self.bounds[1:], strict=True):
-            yield part, e, [c[a:b] for c in self.c], [d[a:b] for d in self.d]
+            yield part, e, [c[a:b] for c in self.c]
 
 
-def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2, block_bytes: int = 8 << 20, order: int = 2, range_bytes: int = 4 << 20) -> DataFrame:
+def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2, block_bytes: int = 4 << 20, order: int = 2, range_bytes: int = 4 << 20) -> DataFrame:
     """Score every whole text by a model of those whose crc32 of doc_id, modulo ``folds``, isn't ``held_fold``.
 
     Tokens are words in lower case (A-Z) and one end. Columns: doc_id, held_out, n_tokens, n_known (tokens seen in
@@ -356,11 +359,11 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
     types, n_train, n_held, docs_train, docs_held = (x or 0 for x in sums.agg(*(F.sum(n) for n in FIGURES)).first())
     uniform = 1 / (types + 1)
 
-    def estimates(e: Events, c: list[np.ndarray], d: list[np.ndarray], main: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Of each token, by order: its estimate and its context's bucket; main leaves held-out counts out."""
+    def estimates(e: Events, c: list[np.ndarray], main: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of each token, by order: its estimate and its context's bucket; with main, held-out counts have been left out."""
         f, b = [], []
         for i in range(order):
-            own = c[i] - d[i] if main else c[i]
+            own = c[i]
             if i:
                 context = e.behind(above, docs_train - docs_held if main else docs_train)
             else:
@@ -373,8 +376,8 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
     def held_estimates(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         blobs = []
         for data in table.column("data").to_pylist():
-            for _, e, c, d in Block(data, back, order):
-                f, b = estimates(e, c, d, True)
+            for _, e, c in Block(data, back, order, True):
+                f, b = estimates(e, c, True)
                 blobs.append(zstandard.compress(np.concatenate(f).astype("<f4").tobytes() + np.concatenate(b).astype(np.uint8).tobytes(), 1))
         return pa.table({"data": pa.array(blobs, pa.binary())})
 
@@ -412,8 +415,8 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
     def judge(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         out = []
         for data in table.column("data").to_pylist():
-            for part, e, c, d in Block(data, back, order):
-                f, b = estimates(e, c, d, False)
+            for part, e, c in Block(data, back, order, False):
+                f, b = estimates(e, c, False)
                 c = c[0]
                 sums_of = [np.add.reduceat(x, e.first[:-1]) for x in ((c > 0).astype(np.int64), np.log10((c + 1) / (n_train + types + 1)), np.log10(mixed(f, b, shares, uniform)))]
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array(e.counts, pa.int64()), pa.array(sums_of[0]), pa.array(np.full(part.num_rows, n_train), pa.int64()), *map(pa.array, sums_of[1:])]
