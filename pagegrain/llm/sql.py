@@ -34,3 +34,21 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y F
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, c = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)"""
 
 ORACLE = {"op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op10_minhash_dedup": OP10}
+
+
+LICENCES = f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+phrases AS (SELECT * FROM (VALUES ('under the mit license', 'mit'), ('apache license version 2', 'apache-2'), ('cc by nc', 'cc-by-nc')) v(phrase, label)),
+places AS (SELECT doc_id, label, i FROM d, phrases, LATERAL (SELECT unnest(range(0, len(w))) AS i) WHERE w[i + 1] = string_split(phrase, ' ')[1] AND array_to_string(list_slice(w, i + 1, i + len(string_split(phrase, ' '))), ' ') = phrase),
+found AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM places GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels FROM d LEFT JOIN found USING (doc_id)"""
+
+BITS = "list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b: {BITS}), 4294967295)"
+
+UNIGRAMS = f"""WITH d AS (SELECT doc_id, {CRC} % 7 = 2 AS held, list_append(regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+'), ' ') AS w FROM documents),
+t AS (SELECT doc_id, held, unnest(w) AS x FROM d),
+c AS (SELECT x, count(*) AS c FROM t WHERE NOT held GROUP BY x),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score FROM t LEFT JOIN c USING (x), n GROUP BY doc_id, held"""
+
+BASE = {"licence_phrases": LICENCES, "unigram_scores": UNIGRAMS}

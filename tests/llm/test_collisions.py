@@ -147,13 +147,11 @@ def test_folders_get_their_scheme(spark, tmp_path):
 
 def test_files_that_do_not_arrive(spark, monkeypatch):
     """Workers write to a folder that the driver doesn't see: here, the driver's own list of files is one short."""
-    from pyspark.sql import DataFrame
-
     from pagegrain.llm import shared
 
-    real = DataFrame.inputFiles
-    monkeypatch.setattr(type(spark.range(1)), "inputFiles", lambda self: real(self)[1:])
-    monkeypatch.setattr(shared, "qualified", lambda spark, base: base)
+    kind = type(spark.range(1))
+    real = kind.inputFiles
+    monkeypatch.setattr(kind, "inputFiles", lambda self: real(self)[1:])
     with pytest.raises(RuntimeError, match="isn't shared"):
         shared.written(spark.range(10).repartition(3))
 
