@@ -13,31 +13,31 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
+    """The documents that the quality rules keep. Those without a word, null texts among them, go; of repeated rows, each stays or goes by itself."""
     return quality.rate(docs.withColumn("whole", docs["text"]), text="whole", keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group that links of similarity 0.8 or more hold together. Rows of one doc_id stay or go together."""
+    """One document, that of the least doc_id, of each group that links of similarity 0.8 or more hold together. Rows of one doc_id stay or go together; those of a null one, and texts without words, stay."""
     gone = minhash.components(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a benchmark item that is covered to 0.8 or more. Each row goes or stays by its own text, whatever its doc_id."""
+    """The documents without a benchmark item that is covered to 0.8 or more. Each row goes or stays by its own text, whatever its doc_id; null and empty texts stay."""
     own = F.xxhash64("text")
     leaked = tiling.leaks(docs.withColumn("doc_id", own), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__text")).distinct()
     return docs.withColumn("__text", own).join(leaked.hint("shuffle_hash"), "__text", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets redacted and n_chars as it then is."""
+    """All documents, with their secrets redacted and n_chars as it then is. A null text stays null, as does its n_chars; repeated rows stay."""
     found = secrets.find(docs, keep=("doc_id", "lang", "source"), redacted=True)
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as token ids."""
+    """All documents as token ids; none for a null or empty text. Repeated rows stay."""
     return tokens.encode(docs, BYTE_BPE, keep=("doc_id", "lang", "source")).select("doc_id", "lang", "source", "n_tokens", "ids")
 
 
