@@ -127,7 +127,8 @@ def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], size: str, h
     if len(keys) == 1:
         own = F.col(keys[0]).isin([r[0] for r in listed])
     else:
-        own = F.struct(*keys).isin([F.struct(*(F.lit(v).alias(k) for k, v in zip(keys, r, strict=True))) for r in listed])
+        kinds = [few.schema[k].dataType for k in keys]
+        own = F.struct(*keys).isin([F.struct(*(F.lit(v).cast(kind).alias(k) for k, kind, v in zip(keys, kinds, r, strict=True))) for r in listed])
     return rows.where(own).join(F.broadcast(few), keys).unionByName(rows.where(~own).join(small.where(~is_hot), keys))
 
 
