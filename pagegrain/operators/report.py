@@ -41,7 +41,7 @@ def doc_view(docs: DataFrame, blocks: DataFrame, fields: tuple[str, ...] = ("id"
 def compare(reports: DataFrame, a: int, b: int) -> DataFrame:
     """Two documents' reports, a row for each side; of one that is missing, the rest is null."""
     sides = reports.sparkSession.createDataFrame([("A", a), ("B", b)], "side string, docId long")
-    return F.broadcast(sides).join(reports.where(F.col("docId").isin(a, b)), "docId", "left").select(*reports.columns, "side")
+    return sides.join(reports.where(F.col("docId").isin(a, b)), "docId", "left").select(*reports.columns, "side")
 
 
 def page_of(blocks: DataFrame, number: int) -> DataFrame:
