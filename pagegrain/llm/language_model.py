@@ -160,30 +160,30 @@ def documents(data: bytes) -> Iterator[pa.RecordBatch]:
         yield from slices(batch)
 
 
-def counted(data: bytes, order: int) -> list[Counts]:
-    """A block's own counts in training documents, by order.
+def counted(data: bytes, n: int) -> Counts:
+    """A block's own counts of n-grams in training documents.
 
     Words are few and are summed slice by slice. Of longer n-grams, all keys are sorted together, their lowest bit saying whether the document is a training one.
     """
     words: list[Counts] = []
-    grams: list[list[np.ndarray]] = [[] for _ in range(order - 1)]
+    grams: list[np.ndarray] = []
     for part in documents(data):
-        e = Events(Texts(*utf8(part.column("text")), lower=True), order)
+        e = Events(Texts(*utf8(part.column("text")), lower=True), n)
         c = np.repeat(part.column("training").to_numpy(zero_copy_only=False).astype(np.int64), e.counts)
+        if n > 1:
+            grams.append(e.grams[-1].key | c.astype(_U))
+            continue
         words.append(summed(e.grams[0], c))
         if len(words) == 8:
             words = [merged(words)]
-        for out, keys in zip(grams, e.grams[1:], strict=True):
-            out.append(keys.key | c.astype(_U))
-    made = [merged(words)]
-    for parts in grams:
-        every = np.concatenate(parts)
-        parts.clear()
-        every.sort()
-        key = every & ~_U(1)
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        made.append(Counts(key[starts], None, np.add.reduceat((every & _U(1)).astype(np.int64), starts), np.zeros(starts.size, np.int64)))
-    return made
+    if n == 1:
+        return merged(words)
+    every = np.concatenate(grams)
+    grams.clear()
+    every.sort()
+    key = every & ~_U(1)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return Counts(key[starts], None, np.add.reduceat((every & _U(1)).astype(np.int64), starts), np.zeros(starts.size, np.int64))
 
 
 def bucket(context_count: np.ndarray) -> np.ndarray:
@@ -253,11 +253,10 @@ class Block:
             self.events.append(e)
         self.bounds = np.cumsum([0, *(e.first[-1] for e in self.events)])
         self.c = []
-        back = back.sort_by("part")
         for i in range(order):
             place, n = self.place([e.grams[i] for e in self.events])
             got = [np.zeros(0, np.int64)]
-            for blob in back.column(f"g{i + 1}").to_pylist():
+            for blob in back.filter(pa.compute.equal(back.column("n"), i + 1)).sort_by("part").column("pack").to_pylist():
                 c, d = unpacked(blob, 2)
                 got.append((c - d if main else c).view(np.int64))
             sums = np.concatenate(got)
@@ -312,51 +311,53 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
     size = blocks.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     parts = max(1, -(-(size["bytes"] or 0) // range_bytes))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size["n"] // 2)
-    names = [f"g{i}" for i in range(1, order + 1)]
     edges = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(_U)
-    binaries = "".join(f", {g} binary" for g in names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs of each block's keys and counts, by range."""
-        for batch in batches:
-            for block, held, data in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "data")), strict=True):
-                own = counted(data, order)
-                cuts = [np.concatenate([[0], np.searchsorted(x.key, edges), [x.key.size]]) for x in own]
-                used = np.flatnonzero(np.sum([np.diff(c) for c in cuts], axis=0))
-                columns = []
-                for x, cut in zip(own, cuts, strict=True):
+    def count(n: int):
+        """Packs of each block's keys and counts of n-grams, by range."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, held, data in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "data")), strict=True):
+                    x = counted(data, n)
+                    cut = np.concatenate([[0], np.searchsorted(x.key, edges), [x.key.size]])
+                    used = np.flatnonzero(np.diff(cut))
                     blobs = []
-                    for part in used.tolist():
-                        at = slice(cut[part], cut[part + 1])
-                        key = np.diff(x.key[at], prepend=_U(0))
-                        blobs.append(packed(key, x.c[at]) if x.more is None else packed(key, x.c[at], x.more[at]))
-                    columns.append(pa.array(blobs, pa.binary()))
-                same = [pa.array(used, pa.int32()), pa.array([block] * used.size, pa.int64()), pa.array([held] * used.size, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*same, *columns], names=["part", "block", "held", *names])
-
-    def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Sums of one range of keys: for each block those of its own keys, in their order, and the number of trained words."""
-        held = table.column("held").to_pylist()
-        out, figures = {"block": table.column("block"), "part": pa.array([key[0].as_py()] * table.num_rows, pa.int32())}, [0] * 5
-        for i, name in enumerate(names):
-            own = []
-            for is_held, blob in zip(held, table.column(name).to_pylist(), strict=True):
-                step, c, *more = unpacked(blob, 2 if i else 3)
+                    for a, b in zip(cut[used].tolist(), cut[used + 1].tolist(), strict=True):
+                        key = np.diff(x.key[a:b], prepend=_U(0))
+                        blobs.append(packed(key, x.c[a:b]) if x.more is None else packed(key, x.c[a:b], x.more[a:b]))
+                    same = [pa.array(used, pa.int32()), pa.array([block] * used.size, pa.int64()), pa.array([held] * used.size, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(blobs, pa.binary())], names=["part", "block", "held", "pack"])
+
+        return run
+
+    def total(n: int):
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            """Sums of one range of keys: for each block those of its own keys, in their order, and the number of trained words."""
+            own, figures = [], [0] * 5
+            for is_held, blob in zip(table.column("held").to_pylist(), table.column("pack").to_pylist(), strict=True):
+                step, c, *more = unpacked(blob, 2 if n > 1 else 3)
                 c = c.view(np.int64)
                 own.append(Counts(np.cumsum(step, dtype=_U), more[0] if more else None, c, c if is_held else np.zeros_like(c)))
             every = merged(own)
-            if not i:
+            if n == 1:
                 end = np.flatnonzero((every.key == END[0]) & (every.more == END[1]))
                 figures = [int(x) for x in ((every.c > 0).sum(), every.c.sum(), every.d.sum(), every.c[end].sum(), every.d[end].sum())]
             at = (places(every, x) for x in own)
-            out[name] = pa.array([packed(every.c[k].view(np.uint64), every.d[k].view(np.uint64)) for k in at], pa.binary())
-            del own, every
-        return pa.table({**out, **{n: pa.array([x] + [0] * (table.num_rows - 1), pa.int64()) for n, x in zip(FIGURES, figures, strict=True)}})
-
-    counts = blocks.select("block", "held", "data").mapInArrow(count, f"part int, block long, held boolean{binaries}")
-    sums = counts.repartition(parts, "part").groupBy("part").applyInArrow(total, f"block long, part int{binaries}" + "".join(f", {n} long" for n in FIGURES))
-    sums = written(sums)
-    types, n_train, n_held, docs_train, docs_held = (x or 0 for x in sums.agg(*(F.sum(n) for n in FIGURES)).first())
+            back = pa.array([packed(every.c[k].view(np.uint64), every.d[k].view(np.uint64)) for k in at], pa.binary())
+            rows = {"block": table.column("block"), "part": pa.array([key[0].as_py()] * table.num_rows, pa.int32()), "n": pa.array([n] * table.num_rows, pa.int32()), "pack": back}
+            return pa.table({**rows, **{f: pa.array([x] + [0] * (table.num_rows - 1), pa.int64()) for f, x in zip(FIGURES, figures, strict=True)}})
+
+        return run
+
+    back = None
+    for n in range(1, order + 1):  # one after the other, so that only one order's keys are on the way
+        counts = blocks.select("block", "held", "data").mapInArrow(count(n), "part int, block long, held boolean, pack binary").repartition(parts, "part")
+        sums = written(counts.groupBy("part").applyInArrow(total(n), "block long, part int, n int, pack binary" + "".join(f", {f} long" for f in FIGURES)))
+        if n == 1:
+            types, n_train, n_held, docs_train, docs_held = (x or 0 for x in sums.agg(*(F.sum(f) for f in FIGURES)).first())
+        sums = sums.select("block", "part", "n", "pack")
+        back = sums if back is None else back.unionByName(sums)
     uniform = 1 / (types + 1)
 
     def estimates(e: Events, c: list[np.ndarray], main: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -398,7 +399,6 @@ def score(df: DataFrame, text: str = "text", folds: int = 7, held_fold: int = 2,
 
         return run
 
-    back = sums.select("block", "part", *names)
     own = blocks.where("held").select("block", "data")
     held_back = back.join(F.broadcast(own.select("block")) if size["n"] <= 100_000 else own.select("block"), "block", "left_semi")
     pair = own.repartition(tasks, "block").groupBy("block").cogroup(held_back.repartition(tasks, "block").groupBy("block"))

@@ -97,7 +97,7 @@ def test_lines_and_counts(spark):
     scored = {r["doc_id"]: r["n_known"] for r in language_model.score(spark.createDataFrame([(1, a), (3, a), (5, b)], DOC)).collect()}
     assert scored == {1: 2, 3: 2, 5: 2}
     totals = language_model.counted(_block(a, a, b), 1)
-    assert sorted(totals[0].c.tolist()) == [1, 2, 3]
+    assert sorted(totals.c.tolist()) == [1, 2, 3]
 
 
 def _block(*texts):
