@@ -152,13 +152,16 @@ def test_licences_against_plain(spark):
 
 
 def test_long_texts_take_linear_time(spark):
+    """Four times the words take far less than sixteen times as long, also where common words have to serve as rare ones."""
     rng = random.Random(1)
     plain = "the of and to a in is it you that was for on are with as this from by not or any can may if has all no".split()
-    df = spark.createDataFrame([(1, " ".join(rng.choice(plain) for _ in range(128_000))), (2, "software " * 128_000)], DOC)
-    licences.scan(df.limit(0)).collect()
-    began = time.perf_counter()
-    assert [r["labels"] for r in licences.scan(df).collect()] == ["", ""]
-    assert time.perf_counter() - began < 60
+    taken = []
+    for n in (1_000, 16_000, 64_000):  # the first warms up
+        df = spark.createDataFrame([(1, " ".join(rng.choice(plain) for _ in range(n))), (2, "software " * n)], DOC)
+        began = time.perf_counter()
+        assert [r["labels"] for r in licences.scan(df).collect()] == ["", ""]
+        taken.append(time.perf_counter() - began)
+    assert taken[2] < 9 * taken[1]
 
 
 def test_least_votes():
