@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, language_model, licences, minhash, quality, secrets, sql, substrings, tiling, tokens, toxicity
+from . import binary, fim, language_model, licences, minhash, quality, secrets, sql, substrings, tiling, tokens, toxicity
 from .shared import fold, read, shared_dir
 
 #: The tokenizer file, which the driver and every executor have. Another one may be set.
@@ -71,6 +71,11 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and digests of all documents, half of them cut. A null text is plain and empty."""
+    return fim.transform(read(spark, sf_dir, "documents"), output=False, digests=True)
+
+
 def licence_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2 says on base phrases, which SQL can say too."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -84,7 +89,8 @@ def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     scans = (op1_secret_scan, op2_license_scan, op3_toxicity, op4_bpe, op5_substring_dedup, op6_decontamination)
-    return {f.__name__: f for f in (*scans, op7_quality_rules, op8_lm_score, op9_token_files, op10_minhash_dedup)}
+    rest = (op7_quality_rules, op8_lm_score, op9_token_files, op10_minhash_dedup, op12_fill_in_middle)
+    return {f.__name__: f for f in (*scans, *rest)}
 
 
 def base_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
