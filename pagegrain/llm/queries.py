@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, fim, language_model, licences, minhash, quality, secrets, sql, substrings, tiling, tokens, toxicity
+from . import binary, fim, language_model, licences, minhash, periods, quality, secrets, sql, substrings, tiling, tokens, toxicity
 from .shared import fold, read, shared_dir
 
 #: The tokenizer file, which the driver and every executor have. Another one may be set.
@@ -71,6 +71,26 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(read(spark, sf_dir, "documents"), percent=85)
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text, a tenth of the texts with a stretch of words over and over up to their end; which, and how, goes by the id's crc32.
+
+    Where h = crc32 is divisible by 10, the words from a = h // 10 % n on become those from a on with the period p. Null ids and texts without words stay.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("w")).withColumn("n", F.when(F.size("w") > 0, F.size("w")))
+    cut = cut.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    a, p = F.col("a"), F.col("p")
+    again = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i < a, i).otherwise(a + (i - a) % p)))
+    return cut.select("doc_id", F.when(F.col("n").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, those of looped() among them. A null text has no words."""
+    return periods.find(looped(read(spark, sf_dir, "documents")), listed=False, collapsed=False, digests=True)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms and digests of all documents, half of them cut. A null text is plain and empty."""
     return fim.transform(read(spark, sf_dir, "documents"), output=False, digests=True)
@@ -89,7 +109,7 @@ def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     scans = (op1_secret_scan, op2_license_scan, op3_toxicity, op4_bpe, op5_substring_dedup, op6_decontamination)
-    rest = (op7_quality_rules, op8_lm_score, op9_token_files, op10_minhash_dedup, op12_fill_in_middle)
+    rest = (op7_quality_rules, op8_lm_score, op9_token_files, op10_minhash_dedup, op11_periodic_runs, op12_fill_in_middle)
     return {f.__name__: f for f in (*scans, *rest)}
 
 

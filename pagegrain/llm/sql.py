@@ -33,6 +33,25 @@ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.g = b.g A
 reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, c = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)"""
 
+BITS = "list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b: {BITS}), 4294967295)"
+
+OP11 = f"""WITH d AS (SELECT doc_id, {WORDS} AS o, {CRC} AS h FROM documents),
+e AS (SELECT doc_id, o, h, len(o) AS n, h // 10 AS g FROM d),
+k AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM e),
+w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: o[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE o END AS w FROM k),
+pos AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS x FROM w),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i AND 4 * (b.i - a.i) <= a.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM islands GROUP BY doc_id, q, k),
+runs AS (SELECT doc_id, s, l, min(q) AS q FROM stretches WHERE l >= greatest(6, 4 * q) GROUP BY doc_id, s, l),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l / q DESC, s, q) AS k FROM runs) WHERE k = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS r FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i, true AS g FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM pos LEFT JOIN gone USING (doc_id, i) WHERE g IS NULL GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli, sha256(coalesce(r, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 OP12 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
   sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 g AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS UBIGINT)) AS x FROM d),
@@ -42,7 +61,7 @@ s AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(l
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM s"""
 
-ORACLE = {"op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op10_minhash_dedup": OP10, "op12_fill_in_middle": OP12}
+ORACLE = {"op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op10_minhash_dedup": OP10, "op11_periodic_runs": OP11, "op12_fill_in_middle": OP12}
 
 
 LICENCES = f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
@@ -51,9 +70,6 @@ places AS (SELECT doc_id, label, i FROM d, phrases, LATERAL (SELECT unnest(range
 found AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM places GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels FROM d LEFT JOIN found USING (doc_id)"""
 
-BITS = "list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
-CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b: {BITS}), 4294967295)"
-
 UNIGRAMS = f"""WITH d AS (SELECT doc_id, {CRC} % 7 = 2 AS held, list_append(regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+'), ' ') AS w FROM documents),
 t AS (SELECT doc_id, held, unnest(w) AS x FROM d),
 c AS (SELECT x, count(*) AS c FROM t WHERE NOT held GROUP BY x),
