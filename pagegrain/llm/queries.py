@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, fim, language_model, licences, minhash, periods, quality, secrets, sql, substrings, tiling, tokens, toxicity
+from . import binary, fim, language_model, licences, minhash, packing, periods, quality, secrets, sql, substrings, tiling, tokens, toxicity
 from .shared import fold, read, shared_dir
 
-#: The tokenizer file, which the driver and every executor have. Another one may be set.
+#: The tokenizer files, which the driver and every executor have. Others may be set.
 BYTE_BPE = os.environ.get("PAGEGRAIN_BYTE_BPE") or str(public_tokenizers.path("byte_bpe_50k.json"))
+WORD_BPE = os.environ.get("PAGEGRAIN_WORD_BPE") or str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +97,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.transform(read(spark, sf_dir, "documents"), output=False, digests=True)
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens at most. A null text has the end id alone."""
+    return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE, room=4096, end_id=1)
+
+
 def licence_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2 says on base phrases, which SQL can say too."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -109,7 +115,7 @@ def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     scans = (op1_secret_scan, op2_license_scan, op3_toxicity, op4_bpe, op5_substring_dedup, op6_decontamination)
-    rest = (op7_quality_rules, op8_lm_score, op9_token_files, op10_minhash_dedup, op11_periodic_runs, op12_fill_in_middle)
+    rest = (op7_quality_rules, op8_lm_score, op9_token_files, op10_minhash_dedup, op11_periodic_runs, op12_fill_in_middle, op13_best_fit_packing)
     return {f.__name__: f for f in (*scans, *rest)}
 
 

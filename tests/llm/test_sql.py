@@ -9,8 +9,8 @@ def test_same_rows_as_sql(spark, sf_dir, name):
     assert compare.difference((queries.queries() | queries.base_queries())[name](spark, sf_dir), compare.connect(sf_dir), queries.oracle_sql()[name]) is None
 
 
-def test_ten_operators():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+def test_thirteen_operators():
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
 
 
 def test_entry_lives_without_the_subpackage(tmp_path):
