@@ -31,6 +31,7 @@ _U = np.uint64
 SHINGLE = 5
 MISS = 2e-5
 GROUP = 256
+TOKEN = ["token", "other"]  # both lanes of a shingle's hash
 
 
 def collections(percent: int, r: int) -> int:
@@ -59,6 +60,42 @@ def shingles(t: Texts, k: int = SHINGLE, lanes: int = 1) -> tuple[np.ndarray, ..
     return *(h[new] for h in both), np.searchsorted(doc[new], np.arange(t.n + 1))
 
 
+def sets(t: Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct shingles as numbers, ascending, and each document's first (one more at the end). Equal numbers mean the same words.
+
+    Shingles are sorted by hash, and the words of neighbours with one hash are compared. Should they differ, all are sorted by their words.
+    """
+    word = np.append(t.numbers(), np.full(k, -1))
+    inside = t.windows(k)[1]
+    short = np.flatnonzero((t.counts > 0) & (t.counts < k))
+    at = np.concatenate([np.flatnonzero(inside), t.first[short]])
+    size = np.concatenate([np.full(at.size - short.size, k), t.counts[short]])
+    words = [np.where(size > i, word[at + i], -1) for i in range(k)]
+    hashes = np.concatenate([t.windows(k)[0][inside], t.ranges(t.first[short], t.first[short + 1])])
+    order = np.argsort(hashes, kind="stable")
+
+    def fresh(order: np.ndarray) -> np.ndarray:
+        new = np.zeros(order.size, bool)
+        new[:1] = True
+        for w in words:
+            new[1:] |= w[order][1:] != w[order][:-1]
+        return new
+
+    new = fresh(order)
+    hashes = hashes[order]
+    if (new[1:] & (hashes[1:] == hashes[:-1])).any():  # different shingles of one hash may take turns
+        order = np.lexsort(words)
+        new = fresh(order)
+    number = np.empty(order.size, np.int64)
+    number[order] = np.cumsum(new) - 1
+    doc = t.doc[at]
+    by = np.lexsort((number, doc))
+    number, doc = number[by], doc[by]
+    once = np.ones(by.size, bool)
+    once[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
+    return number[once], np.searchsorted(doc[once], np.arange(t.n + 1))
+
+
 def signatures(docs: DataFrame, percent: int, r: int) -> DataFrame:
     """doc_id, the set's size n and digest (a, b), and a key of each collection. Empty sets have n = 0."""
     m = collections(percent, r)
@@ -110,22 +147,22 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y), each listed once, whose full sets are similar enough. texts: rep, text."""
     both = with_text(with_text(pairs, pairs, texts, "y"), pairs, texts, "x").select("x", "y", "t_x", "t_y")
 
-    def sets(part: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shingles of the slice's different reps, their bounds, and each row's rep among them."""
-        _, at, row = np.unique(part.column(side).to_numpy(), return_index=True, return_inverse=True)
-        return *shingles(Texts(*utf8(part.column(f"t_{side}").take(pa.array(at))), lower=True)), row
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t_x"):
                 for piece in slices(part, "t_y"):
-                    (hx, fx, rx), (hy, fy, ry) = (sets(piece, side) for side in ("x", "y"))
+                    at, texts_of, row = [], [], []
+                    for side in ("x", "y"):  # the slice's different reps
+                        _, first, own = np.unique(piece.column(side).to_numpy(), return_index=True, return_inverse=True)
+                        row.append(own + len(at))
+                        at += first.tolist()
+                        texts_of.append(piece.column(f"t_{side}").take(pa.array(first)))
+                    numbers, first = sets(Texts(*utf8(pa.concat_arrays(texts_of)), lower=True))
                     found = []
-                    for i, j in zip(rx.tolist(), ry.tolist(), strict=True):
-                        sx, sy = hx[fx[i] : fx[i + 1]], hy[fy[j] : fy[j + 1]]
-                        at = np.searchsorted(sx, sy)
-                        common = int((sx[np.minimum(at, sx.size - 1)] == sy).sum()) if sx.size else 0
-                        found.append(common > 0 and 100 * common >= percent * (sx.size + sy.size - common))
+                    for i, j in zip(row[0].tolist(), row[1].tolist(), strict=True):
+                        x, y = numbers[first[i] : first[i + 1]], numbers[first[j] : first[j + 1]]
+                        common = int((x[np.minimum(np.searchsorted(x, y), x.size - 1)] == y).sum()) if x.size else 0
+                        found.append(common > 0 and 100 * common >= percent * (x.size + y.size - common))
                     yield piece.select(["x", "y"]).filter(pa.array(found, pa.bool_()))
 
     return written(both, run, "x long, y long")
@@ -165,24 +202,25 @@ def possible(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                h, first = shingles(Texts(*utf8(part.column("text")), lower=True))
-                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))), pa.array(h.view(np.int64))], names=["rep", "token"])
+                h, other, first = shingles(Texts(*utf8(part.column("text")), lower=True), lanes=2)
+                rep = part.column("rep").take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(first))))
+                yield pa.RecordBatch.from_arrays([rep, pa.array(h.view(np.int64)), pa.array(other.view(np.int64))], names=["rep", *TOKEN])
 
-    tokens = written(texts.join(members.select("rep").distinct().hint("shuffle_hash"), "rep").select("rep", "text").mapInArrow(run, "rep long, token long").distinct())
-    common = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    tokens = written(texts.join(members.select("rep").distinct().hint("shuffle_hash"), "rep").select("rep", "text").mapInArrow(run, "rep long, token long, other long").distinct())
+    common = written(tokens.groupBy(*TOKEN).agg(F.count("*").alias("df")).where("df > 1"))
     per_rep = Window.partitionBy("rep")
-    ranked = spread_join(tokens, common, ["token"], "df").withColumn("k", F.row_number().over(per_rep.orderBy("df", "token"))).withColumn("of", F.count("*").over(per_rep))
+    ranked = spread_join(tokens, common, TOKEN, "df").withColumn("k", F.row_number().over(per_rep.orderBy("df", *TOKEN))).withColumn("of", F.count("*").over(per_rep))
     sizes = tokens.groupBy("rep").agg(F.count("*").alias("n")).join(members.select("rep", "comp").distinct(), "rep")
     placed = ranked.join(sizes, "rep").withColumn("at", F.col("n") - F.col("of") + F.col("k"))
-    prefix = written(placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("token", "rep", "n", "comp", "at"))
+    prefix = written(placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select(*TOKEN, "rep", "n", "comp", "at"))
     # Tokens of several components. Their members are dealt to groups of some hundred, and each member meets one group in a task.
-    mixed = prefix.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    mixed = written(mixed.select("token", "size", F.ceil(F.col("size") / GROUP).cast("int").alias("groups")))
-    left = written(spread_join(prefix, mixed, ["token"], "size").drop("size"))
-    right = left.select("token", *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "comp", "at")), F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("group"))
+    mixed = prefix.groupBy(*TOKEN).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    mixed = written(mixed.select(*TOKEN, "size", F.ceil(F.col("size") / GROUP).cast("int").alias("groups")))
+    left = written(spread_join(prefix, mixed, TOKEN, "size").drop("size"))
+    right = left.select(*TOKEN, *(F.col(c).alias(f"{c}_") for c in ("rep", "n", "comp", "at")), F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int").alias("group"))
     left = left.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
     most = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")) + 1
-    met = left.join(right, ["token", "group"]).where((F.col("rep") < F.col("rep_")) & (F.col("comp") != F.col("comp_")) & (most * (100 + percent) >= (F.col("n") + F.col("n_")) * percent))
+    met = left.join(right, [*TOKEN, "group"]).where((F.col("rep") < F.col("rep_")) & (F.col("comp") != F.col("comp_")) & (most * (100 + percent) >= (F.col("n") + F.col("n_")) * percent))
     return met.select(F.col("rep").alias("x"), F.col("rep_").alias("y")).distinct()
 
 
@@ -198,7 +236,8 @@ def components(df: DataFrame, percent: int = 80, text: str = "text", r: int = 3)
     result; with different sets, each is linked by its own. Columns other than doc_id and text are dropped. A text is worked on
     as a whole, however long: a worker holds some 20 numbers a word of it.
 
-    Shingles are 64-bit hashes of words' own bytes, sets are told apart by 128 bits.
+    Links are confirmed by the words of the shingles (beyond 15 bytes of a word, by 120 bits of BLAKE2b); sets are told apart, and shingles
+    counted for the search, by 128 bits.
     """
     docs = df.select(df["doc_id"].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
     sigs = signatures(docs, percent, r)

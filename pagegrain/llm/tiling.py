@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import new_columns
 from .words import NOT_ALPHANUMERIC, Texts, covered, joined, mix, slices, utf8
 
 SCHEMA = "n_tokens long, n_matched long, n_tiles long, longest_tile long, coverage double"
@@ -203,23 +204,26 @@ def matched(t: Texts, items: Items, seed: int, percent: int) -> Iterator[tuple[i
                 yield int(doc[a]), int(item[a]), total, len(found_tiles), max(x[2] for x in found_tiles)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, seed: int = 5, text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, seed: int = 5, text: str = "text", block_bytes: int = 16 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Pairs of a document and a benchmark item whose tiles in the whole document cover ``percent`` of its words or more.
 
-    Columns: doc_id, item_id, n_tokens (the item's words), n_matched, n_tiles, longest_tile, coverage. One row for each pair of
+    Columns: those in ``keep``, item_id, n_tokens (the item's words), n_matched, n_tiles, longest_tile, coverage. One row for each pair of
     rows, so repeated rows give repeated pairs; null ids stay null. Null texts and texts without words, on either side, match nothing. An item of
     fewer than ``seed`` words matches where it stands as a whole, word by word. Of matches of one length, that first in the item, then in the document is
-    marked first. Columns other than ids and texts are dropped. Texts of any length are tiled as a whole.
+    marked first. Columns other than ids, texts and those to keep are dropped; names in ``keep`` that are made here raise. Texts of any length are tiled as a whole.
 
     The benchmark goes to the executors in blocks of about ``block_bytes`` of text, by a hash of its rows, each with a
     pass over docs, so that a large one costs passes and not memory. Needs no shuffle of docs.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    made = ["item_id", "n_tokens", "n_matched", "n_tiles", "longest_tile", "coverage"]
+    new_columns(keep, made)
+    rows = docs.select(*((docs[k].cast("long") if k == "doc_id" else docs[k]).alias(k) for k in keep), docs[text].cast("string").alias("__text"))
+    own_kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     blocks = max(1, -(-size // block_bytes))
-    schema = f"doc_id long, item_id long, {SCHEMA}"
+    schema = f"{own_kinds}, item_id long, {SCHEMA}"
 
     def against(block: int) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -228,14 +232,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, seed: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, index = shared.value
             for batch in batches:
-                for part in slices(batch):
-                    t = words_of(part.column("text"))
+                for part in slices(batch, "__text"):
+                    t = words_of(part.column("__text"))
                     found = list(matched(t, index, seed, percent))
                     sizes = [int(index.size[x[1]]) for x in found]
-                    columns = [part.column("doc_id").take(pa.array([x[0] for x in found], pa.int64())), pa.array([ids[x[1]] for x in found], pa.int64()), pa.array(sizes, pa.int64())]
+                    at = pa.array([x[0] for x in found], pa.int64())
+                    columns = [c.take(at) for c in part.columns[: len(keep)]] + [pa.array([ids[x[1]] for x in found], pa.int64()), pa.array(sizes, pa.int64())]
                     columns += [pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4)]
                     columns.append(pa.array([x[2] / s for x, s in zip(found, sizes, strict=True)], pa.float64()))
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "n_tokens", "n_matched", "n_tiles", "longest_tile", "coverage"])
+                    yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
 
         return rows.mapInArrow(run, schema)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from pagegrain.llm import binary, bpe, language_model, minhash, quality, substrings, tiling, tokens
+from pagegrain.llm import binary, bpe, language_model, minhash, quality, substrings, tiling, tokens, words
 from pagegrain.llm.queries import BYTE_BPE
 from pagegrain.llm.shared import new_columns, qualified, settings, shared_dir, spread_join
 from pagegrain.llm.words import NOT_ALPHANUMERIC, Texts, span_codes
@@ -167,3 +167,57 @@ def test_spread_join(spark):
 def test_names_that_clash():
     with pytest.raises(ValueError, match="n_words"):
         new_columns(("doc_id", "N_words"), ["n_words"])
+
+
+def unmixed(x):
+    """The inverse of words.mix."""
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        y = x
+        for _ in range(64 // shift + 1):
+            y = x ^ (y >> np.uint64(shift))
+        x = y * np.uint64(pow(factor, -1, 1 << 64))
+    return x
+
+
+def same_lane(word, rng, tries=200_000):
+    """Another word of 15 printable bytes with the same hash in lane 0, by solving for its first eight."""
+    target = (unmixed(texts_of(word).lane(0)) - words._SIZE[0])[0]
+    tail = rng.integers(0x61, 0x7B, (tries, 7), np.uint8)
+    padded = np.concatenate([tail, np.full((tries, 1), 15, np.uint8)], 1)
+    high = np.ascontiguousarray(padded).view("<u8").ravel()
+    left = (target - words.mix(high + words._LEFT[0]) * words._RIGHT[0]) * np.uint64(pow(int(words._LEFT[0]), -1, 1 << 64))
+    low = unmixed(left) - words._SIZE[0]
+    raw = low.astype("<u8").view(np.uint8).reshape(-1, 8)
+    good = ((raw > 0x20) & (raw < 0x7F) & ((raw < 0x41) | (raw > 0x5A))).all(1)
+    return [bytes(a).decode() + bytes(b).decode() for a, b in zip(raw[good], tail[good], strict=True)]
+
+
+def test_words_of_one_lane_are_not_linked(spark):
+    """Shingles that agree in a 64-bit hash alone are different."""
+    rng = np.random.default_rng(6)
+    pairs = [("abcdefghijklmno", "'p(s)v?ff)07h37"), *(("abcdefghijklmno", w) for w in same_lane("abcdefghijklmno", rng)), *(("zyxwvutsrqponml", w) for w in same_lane("zyxwvutsrqponml", rng))]
+    assert len(pairs) > 5
+    rows = []
+    for a, b in pairs:
+        assert texts_of(a).lane(0)[0] == texts_of(b).lane(0)[0]
+        rows += [(len(rows) + i, f"{w} one two three four") for i, w in enumerate((a, b))]
+        long = [f"{len(rows)}w{i} {w} x{i} y{i} z{i}" for w in (a, b) for i in range(12)]
+        rows += [(len(rows), " ".join(long[:12])), (len(rows) + 1, " ".join(long[12:]))]
+    first = {}
+    for doc_id, text in rows:
+        first.setdefault(text, doc_id)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.components(spark.createDataFrame(rows, DOC), percent=85).collect()}
+    assert got == {doc_id: first[text] for doc_id, text in rows}
+    pair = spark.createDataFrame([(0, 1), (2, 3)], "x long, y long")
+    assert minhash.linked(pair, spark.createDataFrame(rows, "rep long, text string"), 1).count() == 0
+
+
+def test_shingles_of_one_hash(monkeypatch):
+    """Shingles are told apart by their words even if all hashes are equal."""
+    monkeypatch.setattr(Texts, "windows", lambda self, k, which=0, real=Texts.windows: (np.zeros_like(real(self, k, which)[0]), real(self, k, which)[1]))
+    t = texts_of("a b c d e f a b c d e", "b c d e f a", "a b c d e a b c d e", "x y", "y x", "x y", "")
+    numbers, first = minhash.sets(t)
+    got = [set(numbers[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert [len(g) for g in got] == [6, 2, 5, 1, 1, 1, 0]
+    assert got[3] == got[5] != got[4]
+    assert len(got[0] & got[1]) == 2 and len(got[0] & got[2]) == 1
