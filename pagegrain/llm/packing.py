@@ -157,7 +157,8 @@ def pack(df: DataFrame, tokenizer: str, room: int = 4096, end_id: int | None = 1
     per_task = written(cut.groupBy("__task", "length").agg(F.count("*").alias("n")))
     planned = plan({r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}, room)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cut.join(per_task.select("__task", "length", before.alias("__before")), ["__task", "length"])
+    base = per_task.select("__task", "length", before.alias("__before")).hint("shuffle_hash")  # it grows with the tasks
+    ranked = cut.join(base, ["__task", "length"])
     own = [c for c in cut.columns if c not in ("__task", "__rank")]
     ranked = ranked.select(*own, (F.col("__before") + F.col("__rank")).alias("__rank"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema[:-1]) + ", sequence_id long, offset long"

@@ -9,6 +9,8 @@ import numpy as np
 from .bpe import Encoder
 from .words import SHORT, Texts, span_codes
 
+TOGETHER = 64  # unseen words that go to the library as one text
+
 
 class WordEncoder(Encoder):
     """Encodes texts word by word (what ASCII white space separates); words' tokens are cached and unseen words go to the tokenizers library.
@@ -26,8 +28,16 @@ class WordEncoder(Encoder):
         library.no_padding()
 
         def encode_new(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
-            return np.array([i for ids in found for i in ids], np.int32), np.fromiter(map(len, found), np.int64, len(found))
+            """Some words at a time, with spaces between them; a token's offset tells whose it is."""
+            counts, parts = np.zeros(len(words), np.int64), []
+            size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            texts = [" ".join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+            for at, e in zip(range(0, len(words), TOGETHER), library.encode_batch(texts, add_special_tokens=False), strict=True):
+                starts = np.cumsum(size[at : at + TOGETHER]) - size[at : at + TOGETHER]
+                places = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+                counts[at : at + TOGETHER] = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=starts.size)
+                parts.append(np.array(e.ids, np.int32))
+            return np.concatenate(parts), counts
 
         self.encode_new, self.cache_pieces, self.added = encode_new, cache_pieces, []
         self.clear()
