@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def insert_if_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """table and those rows of new whose keys it lacks, one for each key; rows that are there stay as they are. Null keys equal each other."""
-    fresh = new.dropDuplicates(keys)
-    on = [fresh[k].eqNullSafe(table[k]) for k in keys]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    return table.unionByName(fresh.join(table, condition, "left_anti").select(*table.columns))
+    return table.unionByName(absent(table, new, keys).select(*table.columns))
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df as it is now, written to the checkpoint folder: reading it again gives the same rows in the same partitions."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name below spark.checkpoint.dir. Where that is unset, a folder of this machine is set for it, on a local master alone."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pagegrain-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df as it is now, written to the checkpoint folder: reading it again gives the same rows in the same partitions."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -34,13 +37,17 @@ def append_with_ids(table: DataFrame, new: DataFrame, id_: str = "id") -> DataFr
 
 
 def numbered(table: DataFrame, new: DataFrame, id_: str = "id") -> DataFrame:
-    """new rows with ids that go on from the greatest of table.
+    """new rows with ids that go on from the greatest of table."""
+    return numbered_from(table.agg(F.coalesce(F.max(id_), F.lit(0))).first()[0], new, id_)
+
+
+def numbered_from(last: int, new: DataFrame, id_: str = "id") -> DataFrame:
+    """new rows with ids from last + 1 on.
 
     Rows of new are checkpointed, so that they are numbered as they were counted, and numbered within partitions, which start from a prefix sum of
     partition sizes: one small row for each partition, and no global sort.
     """
-    spark = table.sparkSession
-    last = table.agg(F.coalesce(F.max(id_), F.lit(0))).first()[0]
+    spark = new.sparkSession
     marked = stable(new.withColumn("__m", F.monotonically_increasing_id())).withColumn("__p", F.shiftright("__m", 33))
     sizes = sorted((r["__p"], r["n"]) for r in marked.groupBy("__p").agg(F.count("*").alias("n")).collect())
     starts, at = [], last
@@ -51,18 +58,47 @@ def numbered(table: DataFrame, new: DataFrame, id_: str = "id") -> DataFrame:
     return marked.join(base, "__p").withColumn(id_, F.col("__s") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1).drop("__m", "__p", "__s")
 
 
+def filled(df: DataFrame, like: StructType) -> DataFrame:
+    """The columns of a schema; those that df lacks are null."""
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like))
+
+
+def fresh(new_docs: DataFrame, new_blocks: DataFrame, last_doc: int, last_block: int) -> tuple[DataFrame, DataFrame]:
+    """New documents (with a key) with ids from last_doc + 1 on, and their blocks (by that key) with ids of their own and their documents'. Blocks of no document are left out."""
+    with_ids = stable(numbered_from(last_doc, new_docs))
+    owned = new_blocks.join(with_ids.select("key", F.col("id").alias("sourceDocId")), "key")
+    return with_ids, numbered_from(last_block, owned)
+
+
 def ingest(docs: DataFrame, blocks: DataFrame, new_docs: DataFrame, new_blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables after an ingest: new documents (key and columns of docs) get ids, and their blocks (key and a stored block's columns) those of their documents.
 
     Columns that new rows lack are null. Blocks of no document are left out.
     """
+    last = [t.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] for t in (docs, blocks)]
+    own_docs, own_blocks = fresh(new_docs, new_blocks, *last)
+    return docs.unionByName(filled(own_docs, docs.schema)), blocks.unionByName(filled(own_blocks, blocks.schema))
 
-    def filled(df: DataFrame, like: DataFrame) -> DataFrame:
-        return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema))
 
-    with_ids = stable(numbered(docs, new_docs))
-    owned = new_blocks.join(with_ids.select("key", F.col("id").alias("sourceDocId")), "key")
-    return docs.unionByName(filled(with_ids, docs)), blocks.unionByName(filled(numbered(blocks, owned), blocks))
+def absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Those rows of new whose keys table lacks, one for each key. Null keys equal each other."""
+    once = new.dropDuplicates(keys)
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & once[k].eqNullSafe(table[k])
+    return once.join(table, condition, "left_anti")
+
+
+def seed(parents: DataFrame | None, table: DataFrame, new: DataFrame, keys: list[str], parent_key: str | None = None, parent_id: str | None = None) -> DataFrame:
+    """table after a seed of one level: rows of new whose natural keys it lacks get ids that go on from its greatest.
+
+    With parents (id and parent_key, the level above after its own seed), each new row's ``parent_key`` becomes ``parent_id``; rows of a parent that isn't
+    there are left out. Rows that are there stay as they are, whatever new says of them, so that a second seed changes nothing.
+    """
+    rows = absent(table, new, keys)
+    if parents is not None:
+        rows = rows.join(parents.select(F.col(parent_key).alias("__k"), F.col("id").alias(parent_id)), F.col(parent_key) == F.col("__k")).drop("__k")
+    return table.unionByName(filled(numbered(table, rows), table.schema))
 
 
 def patch_canvas(docs: DataFrame, patch: DataFrame) -> DataFrame:

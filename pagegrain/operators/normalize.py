@@ -11,6 +11,7 @@ from ..functions.text import extension, number_text, title_of
 MAX_UPLOAD = 30 * 1024 * 1024
 EXTENSIONS = (".pdf", ".png")
 PROFILE = "PIK_BusinessModel_v5"
+TRANSFORM = "struct<scaleX:double,scaleY:double,offsetX:double,offsetY:double,rotation:double,flipY:boolean>"
 SUCCESS, FAILURE = ("done", "succeeded", "success", "finished", "ok"), ("failed", "error")  # fixed values
 
 
@@ -46,7 +47,8 @@ def from_elements(df: DataFrame) -> DataFrame:
 def from_structured(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Blocks of structured elements (a variant e) with alternative spellings: page, Page, bounds, Bounds, bound, Boundary, type, Type, text, Text, table, Table.
 
-    Pages and roles pass through; tables keep their JSON. Numbers of a box that are none count as 0.
+    Pages and roles pass through; tables keep their JSON. Numbers of a box that are none count as 0. A text that is no string is none, and a page that is no number is
+    0, as is one beyond 32 bits.
     """
 
     def found(kind: str, *names: str) -> Column:
@@ -56,8 +58,15 @@ def from_structured(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     bounds = F.transform(found("array<variant>", "bounds", "Bounds", "bound", "Boundary"), lambda x: F.try_variant_get(x, "$", "double"))
     box = F.coalesce(bbox_from_bounds(bounds), F.expr("array(0D, 0D, 0D, 0D)"))
     table = F.when(F.lower(role) == "table", found("string", "table", "Table"))
-    page = F.coalesce(found("int", "page", "Page"), F.lit(0))
-    return df.select(*keep, page.alias("page"), box.alias("bbox"), role.alias("role"), found("string", "text", "Text").alias("text"), table.alias("tableJson"))
+
+    def of_kind(kinds: str, cast: str, *names: str) -> Column:
+        """The first of the names whose value is of one of these JSON kinds."""
+        values = (F.try_variant_get("e", f"$.{n}", "variant") for n in names)
+        return F.coalesce(*(F.when(F.schema_of_variant(v).rlike(kinds), F.try_variant_get(v, "$", cast)) for v in values))
+
+    page = F.coalesce(of_kind("^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "double", "page", "Page").try_cast("int"), F.lit(0))
+    text = of_kind("^STRING$", "string", "text", "Text")
+    return df.select(*keep, page.alias("page"), box.alias("bbox"), role.alias("role"), text.alias("text"), table.alias("tableJson"))
 
 
 def shaped_for_insert(blocks: DataFrame, doc: Column) -> DataFrame:
@@ -72,7 +81,13 @@ def admission(name: Column, size: Column) -> Column:
 
 
 def engine_of(requested: Column, default: str = "unstructured") -> Column:
-    return F.when(F.lower(F.coalesce(F.nullif(requested, F.lit("")), F.lit(default))) == "unstructured", "unstructured").otherwise("adobe")
+    """The engine that a document is read with: any name but the default's stands for the other one."""
+    return F.when(engine_name(requested, default) == "unstructured", "unstructured").otherwise("adobe")
+
+
+def engine_name(requested: Column, default: str = "unstructured") -> Column:
+    """The engine's name as it is stored: the one given, in lower case."""
+    return F.lower(F.coalesce(F.nullif(requested, F.lit("")), F.lit(default)))
 
 
 def job_state(status: Column) -> Column:
@@ -86,9 +101,14 @@ def observed_pages(blocks: DataFrame) -> DataFrame:
 
 
 def source_docs(uploads: DataFrame) -> DataFrame:
-    """Documents as they are inserted: columns key, name, path, engine, profile, score and pages, which is null if it isn't known."""
+    """Documents as they are inserted: columns key, name, path, engine, profile, score and pages, which is null if it isn't known, and, if there, canvasTransform in JSON.
+
+    A transform that is no such JSON is null, as is an empty one.
+    """
     score = F.nullif(F.col("score").try_cast("double"), F.lit(0.0))
+    given = F.from_json("canvasTransform", TRANSFORM)
+    transform = [F.when(given["scaleX"].isNotNull(), given).alias("canvasTransform")] if "canvasTransform" in uploads.columns else []
     return uploads.select(
         "key", title_of(F.col("name")).alias("title"), F.coalesce(F.nullif(F.regexp_replace(extension(F.col("name")), r"^\.", ""), F.lit("")), F.lit("pdf")).alias("type"), "path",
-        engine_of(F.col("engine")).alias("engine"), F.coalesce(F.nullif("profile", F.lit("")), F.lit(PROFILE)).alias("canvasProfileId"), score.alias("canvasMatchScore"), "pages",
+        engine_name(F.col("engine")).alias("engine"), F.coalesce(F.nullif("profile", F.lit("")), F.lit(PROFILE)).alias("canvasProfileId"), score.alias("canvasMatchScore"), "pages", *transform,
     )

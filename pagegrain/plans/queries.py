@@ -678,3 +678,6 @@ def merged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.create_map(F.lit("a"), F.col("p_partkey"), F.lit("b"), F.lit(0).cast("long"))
     out = part.select("p_partkey", files.merged_values(old, F.create_map(F.lit("b"), F.col("p_size").cast("long"))).alias("m"))
     return out.select("p_partkey", F.concat(F.lit("a"), F.col("m")["a"].cast("string"), F.lit("b"), F.col("m")["b"].cast("string")).alias("merged"))
+
+
+from . import stored  # noqa: E402, F401  registers more queries
