@@ -15,5 +15,10 @@ def search(blocks: DataFrame, q: str | None, limit: int | None = 20) -> DataFram
     """
     q = (q or "").strip()
     found = blocks.where(F.lit(bool(q)) & F.contains(F.lower("text"), F.lower(F.lit(q))))
+    return shown(found, limit)
+
+
+def shown(found: DataFrame, limit: int | None) -> DataFrame:
+    """Found blocks as a search lists them."""
     out = found.select("id", F.col("sourceDocId").alias("docId"), "page", "role", snippet(F.col("text")).alias("snippet"))
     return out.orderBy("id").limit(limit) if limit else out

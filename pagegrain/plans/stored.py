@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, normalize
+from ..operators import catalog, normalize, textindex
 from ..sources.store import TEMPLATES, Store
-from .queries import query, read, turn_blocks
+from .queries import LINES, SNIPPET, doc_blocks, query, read, turn_blocks
 
 
 def uploaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -97,3 +97,24 @@ def stored_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, f, x = (store.read(t) for t in ("methodologies", "frames", "fields"))
     joined = x.join(f.select(F.col("id").alias("frameId"), "methodologyId", F.col("name").alias("frame")), "frameId").join(m.select(F.col("id").alias("methodologyId"), F.col("title").alias("methodology")), "methodologyId")
     return joined.groupBy("methodology", "frame").agg(F.count("*").alias("fields"), F.countDistinct("description").alias("kinds"), F.countDistinct("id").alias("ids"))
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> textindex.Index:
+    path = catalog.shared_folder(spark)
+    textindex.build(doc_blocks(spark, sf_dir), path, slots=16, parts=16)
+    return textindex.Index(spark, path, slots=16)
+
+
+@query(f"""WITH {LINES} SELECT id, src AS "docId", page, role, {SNIPPET} AS snippet FROM blocks WHERE contains(lower(text), 'ción')""")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks with a text, by the trigrams in it."""
+    return indexed(spark, sf_dir).search(" CIÓN ", limit=None)
+
+
+@query(f"""WITH {LINES} SELECT 'top' AS kind, id, {SNIPPET} AS snippet FROM (SELECT * FROM blocks WHERE contains(lower(text), 'the') ORDER BY id LIMIT 20)
+UNION ALL SELECT 'short', id, {SNIPPET} FROM blocks WHERE contains(lower(text), 'x7') UNION ALL SELECT 'one', id, {SNIPPET} FROM blocks WHERE contains(lower(text), 'ß')""")
+def search_indexed_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 of a text that very many have, and all with two characters or one."""
+    index = indexed(spark, sf_dir)
+    parts = [index.search(q, n).select(F.lit(kind).alias("kind"), "id", "snippet") for kind, q, n in (("top", "The", 20), ("short", "X7", None), ("one", "ß", None))]
+    return parts[0].union(parts[1]).union(parts[2])
