@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import parse_bbox
 from ..functions.text import is_blank, is_heading, normalize, trim, words, words_included
 from ..schema import FRAMES, TARGET_FRAMES
+from .containment import contained, field_words
 
 TEMPLATE = tuple((slug, name, field) for slug, name, fields in FRAMES if slug in TARGET_FRAMES for field in fields)
 
@@ -31,10 +32,31 @@ def auto_assign(blocks: DataFrame, template: Sequence[tuple[str, str, str]] = TE
         found = F.filter(fields, lambda f: words_included(hay, f["words"]))
         return F.when(F.size(hay) > 0, F.transform(found, lambda f: f["pos"])).otherwise(F.array().cast("array<int>"))
 
+    e = candidates(blocks, followers, fits=F.get(F.transform(F.array(words_of(F.col("text"))), matches), 0))
+    # A heading's own text is a candidate by text too, but comes behind it as a heading. The first block of a page stands for all fields, without a value.
+    first = F.col("id").eqNullSafe(F.col("pageRank"))
+    every = F.when(first, F.sequence(F.lit(0), F.lit(len(template) - 1))).otherwise(F.array().cast("array<int>"))
+    cells = F.concat(F.transform("fits", lambda p: F.struct(p.alias("pos"), F.lit(True).alias("hit"))), F.transform(every, lambda p: F.struct(p.alias("pos"), F.lit(False).alias("hit"))))
+    rows = e.select("docId", "found", F.explode(cells).alias("cell")).select("docId", "cell.pos", F.when(F.col("cell.hit"), F.col("found")).alias("found"))
+    best = rows.groupBy("docId", "pos").agg(F.min("found").alias("found"))
+    names = F.array(*(F.struct(F.lit(s).alias("slug"), F.lit(n).alias("name"), F.lit(f).alias("field")) for s, n, f in template))
+    named = best.withColumn("t", F.get(names, F.col("pos")))
+    return named.select("docId", "t.slug", "t.name", "t.field", "pos", "found.value", F.coalesce(F.col("found.evidence"), F.array()).alias("evidence"))
+
+
+def words_of(text: Column) -> Column:
+    """The words that a block is matched by; none for a null text."""
+    return words(F.coalesce(normalize(text), F.lit("")))
+
+
+def candidates(blocks: DataFrame, followers: int = 3, **more: Column) -> DataFrame:
+    """Each block (docId, id, head, pageRank) with what it gives a field that it matches (found), the least of a document's being the one that counts.
+
+    more: other columns, made from the blocks' own.
+    """
     e = blocks.select(F.col("sourceDocId").alias("docId"), "id", "page", F.col("bbox").alias("raw"), "role", "text")
     e = e.withColumn("bbox", parse_bbox(F.col("raw"))).drop("raw")
-    hay = words(F.coalesce(normalize(F.col("text")), F.lit("")))
-    e = e.withColumns({"fits": F.get(F.transform(F.array(hay), matches), 0), "head": is_heading(F.col("role"), F.col("text")), "y0": F.least(F.get("bbox", 1), F.get("bbox", 3)), "blank": is_blank(F.col("text"))})
+    e = e.withColumns(more | {"head": is_heading(F.col("role"), F.col("text")), "y0": F.least(F.get("bbox", 1), F.get("bbox", 3)), "blank": is_blank(F.col("text"))})
     page = Window.partitionBy("docId", "page")
     e = e.withColumn("pageRank", F.min("id").over(page)).withColumn("section", F.sum(F.col("head").cast("int")).over(page.orderBy("y0", "id")))
     evidence = F.struct(F.col("id").alias("blockId"), "page", "bbox", F.substring("text", 1, 200).alias("textSnippet"))
@@ -55,16 +77,19 @@ def auto_assign(blocks: DataFrame, template: Sequence[tuple[str, str, str]] = TE
         F.lit(2).alias("way"), F.col("id").alias("a"), F.lit(0.0).alias("b"), F.col("id").alias("c"), F.substring("text", 1, 160).alias("value"), F.array(evidence).alias("evidence")
     )
     kind = "struct<way:int,a:bigint,b:double,c:bigint,value:string,evidence:array<struct<blockId:bigint,page:int,bbox:array<double>,textSnippet:string>>>"
-    found = F.when(F.col("head"), from_heading).otherwise(from_text).cast(kind)
-    # A heading's own text is a candidate by text too, but comes behind it as a heading. The first block of a page stands for all fields, without a value.
-    first = F.col("id").eqNullSafe(F.col("pageRank"))
-    every = F.when(first, F.sequence(F.lit(0), F.lit(len(template) - 1))).otherwise(F.array().cast("array<int>"))
-    cells = F.concat(F.transform("fits", lambda p: F.struct(p.alias("pos"), F.lit(True).alias("hit"))), F.transform(every, lambda p: F.struct(p.alias("pos"), F.lit(False).alias("hit"))))
-    rows = e.select("docId", found.alias("found"), F.explode(cells).alias("cell")).select("docId", "cell.pos", F.when(F.col("cell.hit"), F.col("found")).alias("found"))
-    best = rows.groupBy("docId", "pos").agg(F.min("found").alias("found"))
-    names = F.array(*(F.struct(F.lit(s).alias("slug"), F.lit(n).alias("name"), F.lit(f).alias("field")) for s, n, f in template))
-    named = best.withColumn("t", F.get(names, F.col("pos")))
-    return named.select("docId", "t.slug", "t.name", "t.field", "pos", "found.value", F.coalesce(F.col("found.evidence"), F.array()).alias("evidence"))
+    return e.withColumn("found", F.when(F.col("head"), from_heading).otherwise(from_text).cast(kind))
+
+
+def assign_fields(blocks: DataFrame, fields: DataFrame, followers: int = 3) -> DataFrame:
+    """As auto_assign, with the fields as a table (pos, field) of any size: a row (docId, pos, value, evidence) for each document and field that it has something for.
+
+    Names that normalize to no words have nothing. Fields meet the blocks that have all their words by equal keys (see containment), and what blocks
+    give them meets by document and field in one partial aggregate.
+    """
+    pairs = contained(blocks.select("id", words_of(F.col("text")).alias("words")), field_words(fields))
+    found = candidates(blocks, followers).select("id", "docId", "found")
+    best = pairs.join(found, "id").groupBy("docId", F.col("field").alias("pos")).agg(F.min("found").alias("found"))
+    return best.select("docId", "pos", "found.value", F.coalesce("found.evidence", F.array()).alias("evidence"))
 
 
 def nested(assigned: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, normalize, textindex
+from ..functions import text
+from ..operators import assign, catalog, containment, normalize, textindex
 from ..sources.store import TEMPLATES, Store
-from .queries import LINES, SNIPPET, doc_blocks, query, read, turn_blocks
+from .queries import ASSIGN, LINES, NORM, SNIPPET, TEMPLATE, doc_blocks, query, read, turn_blocks
 
 
 def uploaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -118,3 +119,25 @@ def search_indexed_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = indexed(spark, sf_dir)
     parts = [index.search(q, n).select(F.lit(kind).alias("kind"), "id", "snippet") for kind, q, n in (("top", "The", 20), ("short", "X7", None), ("one", "ß", None))]
     return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"""WITH {LINES}, n AS (SELECT row_number() OVER (ORDER BY w) AS field, w FROM (SELECT DISTINCT list_sort(list_distinct(list_filter(string_split({NORM}, ' '), lambda w: w <> ''))) AS w
+  FROM (SELECT p_partkey, p_name AS text FROM part UNION ALL SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 2, 1 + doc_id % 3), ' ') FROM documents)) WHERE len(w) > 0),
+b AS (SELECT id, list_distinct(string_split({NORM}, ' ')) AS w FROM blocks WHERE text IS NOT NULL), bw AS (SELECT id, unnest(w) AS x FROM b), fw AS (SELECT field, w, unnest(w) AS x FROM n)
+SELECT id, array_to_string(w, ' ') AS field FROM bw JOIN fw USING (x) GROUP BY id, field, w HAVING count(*) = len(w)""")
+def contained_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts and starts of documents as fields: each block with the fields of which it has all words."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    starts = read(spark, sf_dir, "documents").select(F.array_join(F.slice(F.split("text", " "), F.lit(2), (F.col("doc_id") % 3).cast("int")), " ").alias("name"))
+    sorted_words = F.array_sort(F.array_distinct(text.words(text.normalize(F.col("name")))))
+    fields = parts.union(starts).select(F.array_join(sorted_words, " ").alias("field")).distinct()
+    blocks = doc_blocks(spark, sf_dir).select("id", text.words(text.normalize(F.col("text"))).alias("words"))
+    return containment.contained(blocks, containment.field_words(fields, id_="field"))
+
+
+@query(f"SELECT \"docId\", field, value, ids FROM ({ASSIGN}) WHERE ids <> ''")
+def assigned_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignments that auto_assign finds, with the fields as a table that meets blocks by equal words."""
+    names = spark.createDataFrame([(i, f) for i, (_, _, f) in enumerate(TEMPLATE)], "pos int, field string")
+    found = assign.assign_fields(doc_blocks(spark, sf_dir), names)
+    return found.join(names, "pos").select("docId", "field", "value", F.array_join(F.transform("evidence", lambda x: x["blockId"].cast("string")), ",").alias("ids"))
