@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, extension
+from ..operators.jsonsearch import first_string  # noqa: F401  a reader's search for links
 from ..operators.normalize import admission, from_elements, from_structured
 
 # The keys of page elements.
@@ -93,45 +94,6 @@ def unzipped(files: DataFrame, ending: str = "structureddata.json") -> DataFrame
     return files.select("path", "content").mapInArrow(run, "path string, json string")
 
 
-def first_string(json: DataFrame, key_part: str | None, pattern: str, column: str = "json") -> DataFrame:
-    """``found``: some string in nested JSON that matches a pattern, under a key with a part in its name if one is given.
-
-    Objects are searched depth first, those found last coming first.
-    """
-    import json as parser
-    import re
-
-    rule = re.compile(pattern)
-    kept = [c for c in json.columns if c != column]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in json.schema if f.name != column) + (", " if kept else "") + "found string"
-
-    def search(root: object) -> str | None:
-        stack = [root]
-        while stack:
-            node = stack.pop()
-            pairs = [(k, v) for k, v in node.items()] if isinstance(node, dict) else list(enumerate(node)) if isinstance(node, list) else []
-            for key, value in pairs:
-                for item in value if isinstance(value, list) else [value]:
-                    if isinstance(item, str):
-                        if rule.search(item) and (key_part is None or key_part in str(key).lower()):
-                            return item
-                    elif isinstance(item, (dict, list)):
-                        stack.append(item)
-        return None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(column).to_pylist():
-                try:
-                    found.append(search(parser.loads(text)) if text else None)
-                except ValueError:
-                    found.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(found, pa.string())], names=[*kept, "found"])
-
-    return json.select(*kept, column).mapInArrow(run, schema)
-
-
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The images of a JSONL manifest; blank and malformed lines and those without an image are skipped."""
     return manifest_lines(spark.read.text(path))
