@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import assign, catalog, containment, normalize, textindex
+from ..sources import binary, files
 from ..sources.store import TEMPLATES, Store
 from .queries import ASSIGN, LINES, NORM, SNIPPET, TEMPLATE, doc_blocks, query, read, turn_blocks
 
@@ -141,3 +147,51 @@ def assigned_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(i, f) for i, (_, _, f) in enumerate(TEMPLATE)], "pos int, field string")
     found = assign.assign_fields(doc_blocks(spark, sf_dir), names)
     return found.join(names, "pos").select("docId", "field", "value", F.array_join(F.transform("evidence", lambda x: x["blockId"].cast("string")), ",").alias("ids"))
+
+
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An archive around each JSON, with another entry before it; those with ``kind`` 1 are cut short, those with 2 lack the JSON."""
+    for batch in batches:
+        paths, contents = [], []
+        for row in batch.to_pylist():
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("figures/a.bin", bytes(2000))
+                if row["kind"] != 2:
+                    z.writestr("out/StructuredData.json", row["json"])
+            paths.append(row["path"])
+            contents.append(out.getvalue()[: 200 if row["kind"] == 1 else None])
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 7 = 3 THEN 'broken' WHEN page_id % 7 = 5 THEN 'no such entry' ELSE 'ok' END AS state,
+CASE WHEN page_id % 7 NOT IN (3, 5) THEN page_id % 4 END AS page, CASE WHEN page_id % 7 NOT IN (3, 5) THEN url END AS text FROM pages""")
+def zipped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each page, written from executors, listed and read back: blocks of those that are whole, reasons for the others."""
+    n = F.col("page_id")
+    kind = F.when(n % 7 == 3, 1).when(n % 7 == 5, 2).otherwise(0)
+    element = F.struct((n % 4).alias("Page"), F.col("url").alias("text"), F.lit("P").alias("type"))
+    made = read(spark, sf_dir, "pages").select(F.format_string("d%d/%d.zip", n % 10, n).alias("path"), F.to_json(F.struct(F.array(element).alias("elements"))).alias("json"), kind.alias("kind"))
+    folder = catalog.shared_folder(spark)
+    binary.write_files(made.mapInArrow(zipped, "path string, content binary"), folder)
+    found = binary.unzipped(files.listing(spark, folder, "*.zip")).withColumn("page_id", F.regexp_extract("path", r"(\d+)\.zip$", 1).cast("long"))
+    blocks = files.structured(found.where("json is not null").select("page_id", "json")).select("page_id", F.lit("ok").alias("state"), F.col("page").cast("long").alias("page"), "text")
+    lost = found.where("json is null").select("page_id", F.when(F.col("reason").startswith("broken"), "broken").otherwise(F.col("reason")), F.lit(None).cast("long"), F.lit(None).cast("string"))
+    return blocks.union(lost)
+
+
+@query("""SELECT page_id, 'u' || page_id % 5 AS unit, CAST(octet_length(encode(url)) AS BIGINT) AS png_bytes, CASE WHEN page_id % 3 > 0 THEN sha1(url) END AS png_sha1, url AS text FROM pages WHERE page_id % 3 > 0
+UNION ALL SELECT page_id, 'u' || page_id % 5, NULL, NULL, url FROM pages WHERE page_id % 3 = 0""")
+def region_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of each page as JSON and, for two in three, its image beside it, read back byte for byte."""
+    n = F.col("page_id")
+    box = F.struct(*(F.lit(v).alias(k) for k, v in (("x", 1), ("y", 2), ("w", 3), ("h", 4))))
+    image = F.when(n % 3 > 0, F.base64(F.col("url").cast("binary")))
+    regions = read(spark, sf_dir, "pages").select(F.format_string("u%d", n % 5).alias("unit"), n.alias("region"), box.alias("bbox"), F.col("url").alias("text"), image.alias("image_b64"))
+    folder = catalog.shared_folder(spark)
+    binary.write_files(binary.region_files(regions), folder)
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    whole = whole.select(F.regexp_extract("path", r"/(u\d)/region-\d+\.", 1).alias("unit"), F.regexp_extract("path", r"region-(\d+)\.", 1).cast("long").alias("page_id"), F.col("path").endswith(".png").alias("png"), "content")
+    read_ = whole.where("not png").select("page_id", "unit", F.from_json(F.col("content").cast("string"), "text string, image_b64 string").alias("j"))
+    images = whole.where("png").select("page_id", F.octet_length("content").cast("long").alias("png_bytes"), F.sha1("content").alias("png_sha1"))
+    return read_.join(images, "page_id", "left").select("page_id", "unit", "png_bytes", "png_sha1", F.col("j.text").alias("text"))

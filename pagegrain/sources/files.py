@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, extension
 from ..operators.jsonsearch import first_string  # noqa: F401  a reader's search for links
 from ..operators.normalize import admission, from_elements, from_structured
+from .binary import unzipped  # noqa: F401  an archive's structured output
 
 # The keys of page elements.
 POINTS = "struct<points:array<array<double>>,page:string>"
@@ -77,23 +73,6 @@ def structured(raw: DataFrame, json: str = "json") -> DataFrame:
     return from_structured(raw.select(*kept, F.posexplode(items).alias("pos", "e")), (*kept, "pos"))
 
 
-def unzipped(files: DataFrame, ending: str = "structureddata.json") -> DataFrame:
-    """Of each ZIP (path, content), the text of the first entry with a name that ends so, in any case; files without one are dropped."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, texts = [], []
-            for row in batch.to_pylist():
-                with zipfile.ZipFile(io.BytesIO(row["content"])) as z:
-                    name = next((n for n in z.namelist() if n.lower().endswith(ending)), None)
-                    if name:
-                        paths.append(row["path"])
-                        texts.append(z.read(name).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["path", "json"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, json string")
-
-
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The images of a JSONL manifest; blank and malformed lines and those without an image are skipped."""
     return manifest_lines(spark.read.text(path))
