@@ -19,6 +19,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, groupby
 
 import pyarrow as pa
@@ -75,16 +76,31 @@ PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 def weigh(name: str) -> tuple[list[str], float]:
     """A name's words, and how far they say that its value is secret: their weights as independent hints."""
+    return weighed(name) if len(name) <= 80 else weighed.__wrapped__(name)
+
+
+@lru_cache(1 << 15)
+def weighed(name: str) -> tuple[list[str], float]:
     parts = [p.lower() for p in PARTS.findall(name)]
     return parts, 1 - math.prod(1 - SENSITIVE.get(p, 0.0) for p in parts)
 
 
 def sensitivity(path: tuple[str, ...]) -> float:
     """How far a name (last) and the path to it say that its value is secret. What it stands in only adds to what it says by itself."""
-    parts, own = weigh(path[-1])
+    return within(path[-1], math.prod(map(harmless, path[:-1])))
+
+
+def within(name: str, around: float) -> float:
+    """A name's sensitivity, ``around`` being what is left of doubt by the path to it."""
+    parts, own = weigh(name)
     if not parts or parts[-1] in HARMLESS or not (own or parts[-1] in VALUED):
         return 0.0
-    return 1 - (1 - own) * math.prod(1 - 0.75 * weigh(p)[1] for p in path[:-1])
+    return 1 - (1 - own) * around
+
+
+def harmless(name: str) -> float:
+    """The doubt that a name leaves about what stands in it."""
+    return 1 - 0.75 * weigh(name)[1]
 
 
 def randomness(value: str) -> float:
@@ -128,10 +144,12 @@ class Value:
 
 
 class Scopes:
-    """Where a place in a text stands: open braces, indented keys above it, and the section."""
+    """Where a place in a text stands: open braces, indented keys above it, and the section. Braces and keys go with the doubt that is left by all of them so far."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.at, self.braces, self.keys, self.section = text, 0, [], [], ""
+        self.text, self.at, self.section = text, 0, 1.0
+        self.braces: list[float] = []
+        self.keys: list[tuple[int, float]] = []
         self.waiting = ""  # the name before a brace that may open
         self.nested = "{" in text or "\n[" in text or text.startswith("[")
 
@@ -139,11 +157,11 @@ class Scopes:
         if self.nested:
             for m in BRACE.finditer(self.text, self.at, place):
                 if m[0] == "{":
-                    self.braces.append(self.waiting)
+                    self.braces.append((self.braces[-1] if self.braces else 1.0) * harmless(self.waiting))
                 elif m[0] == "}":
                     del self.braces[-1:]
                 elif m[1] is not None:
-                    self.section = m[1]
+                    self.section = harmless(m[1])
                 self.waiting = ""
         self.at = max(self.at, place)
 
@@ -152,10 +170,11 @@ class Scopes:
         while self.keys and self.keys[-1][0] >= indent:
             self.keys.pop()
         if opens:
-            self.keys.append((indent, name))
+            self.keys.append((indent, (self.keys[-1][1] if self.keys else 1.0) * harmless(name)))
 
-    def path(self) -> tuple[str, ...]:
-        return tuple(filter(None, (self.section, *(n for _, n in self.keys), *self.braces)))
+    def around(self) -> float:
+        """The doubt that is left by all names on the path here."""
+        return self.section * (self.keys[-1][1] if self.keys else 1.0) * (self.braces[-1] if self.braces else 1.0)
 
 
 class Lines:
@@ -174,8 +193,8 @@ class Lines:
         return place > self.comment
 
 
-def pairs(text: str) -> Iterator[tuple[tuple[str, ...], Value]]:
-    """Name-literal pairs, in order: each name, behind the path to it, with the spans (within quotes) of all literals that make up its value, also through other names."""
+def pairs(text: str) -> Iterator[tuple[str, float, Value]]:
+    """Name-literal pairs, in order: each name, the doubt that the path to it leaves, and the spans (within quotes) of all literals that make up its value, also through other names."""
     known: dict[str, Value] = {}
     scopes, lines, entry = Scopes(text), Lines(text), ("", 0)
     for m in NAME.finditer(text):
@@ -218,20 +237,20 @@ def pairs(text: str) -> Iterator[tuple[tuple[str, ...], Value]]:
             scopes.to(m.end())
             scopes.waiting = m[2] if at == begin else ""
             scopes.at = max(scopes.at, at)
-        path = scopes.path() if found.parts and not inside else ()
+        around = scopes.around() if found.parts and not inside else 1.0
         for name in filter(None, dict.fromkeys((m[2], m[3]))):  # what looks like a type may be a name behind a label
             if not comment:
                 known[name] = found
             if found.parts:
-                yield (*path, name), found
+                yield name, around, found
         if found.parts and m[2].lower() in VALUED and entry[0] and text.count("\n", entry[1], m.start()) <= 1:
-            yield (entry[0],), found
+            yield entry[0], 1.0, found
         entry = ("", 0)
         if found.parts and m[2].lower() in NAMING and not isinstance(named := found.parts[0], Value):
             entry = text[slice(*named)], named[1]
 
 
-def marked_up(text: str) -> Iterator[tuple[tuple[str, ...], Value]]:
+def marked_up(text: str) -> Iterator[tuple[str, float, Value]]:
     """The same of elements: content by element, or value attribute by the naming attribute."""
     for m in ELEMENT.finditer(text):
         named, value = m[1], m.span(3) if m[3] is not None else None
@@ -244,23 +263,21 @@ def marked_up(text: str) -> Iterator[tuple[tuple[str, ...], Value]]:
             at = text.index(inner, value[0])
             found = Value()
             found.parts.append((at, at + len(inner)))
-            yield (named,), found
+            yield named, 1.0, found
 
 
 def literals(text: str, threshold: float) -> list[Span]:
     """Parts of sensitive values. Of a value of several parts, those of six characters or more; if none is so long, all."""
     found: dict[Span, None] = {}
     judged: dict[tuple[Span, ...], float] = {}
-    weight: dict[tuple[str, ...], float] = {}
     for source in (pairs, marked_up):
-        for path, value in source(text):
-            if path not in weight:
-                weight[path] = sensitivity(path)
-            if weight[path] >= threshold:
+        for name, around, value in source(text):
+            weight = within(name, around)
+            if weight >= threshold:
                 spans = value.spans()
                 if spans not in judged:
                     judged[spans] = plausibility("".join(text[slice(*s)] for s in spans))
-                if weight[path] * judged[spans] >= threshold:
+                if weight * judged[spans] >= threshold:
                     found |= dict.fromkeys([s for s in spans if s[1] - s[0] >= 6] or spans)
     return list(found)
 

@@ -86,6 +86,36 @@ def test_random_programs(seed):
         assert {(a, b) for k, a, b in secrets.scan(text) if k == "literal"} == expected, text
 
 
+def deep(levels, opening, closing):
+    return "".join(opening.format(i=i, pad=" " * (i % 400)) for i in range(levels)) + 'client_secret = "Zx9Qw8RtYu"\n' + closing * levels
+
+
+@pytest.mark.parametrize(("opening", "closing"), [('n{i} = {{ "auth_token": "Zx9Qw8Rt{i}x",\n', "}"), ('"credentials": {{ "key{i}": "v", "password": "Zx9Qw8Rt{i}x",\n', "}"), ("{pad}level{i}:\n{pad} db_password: Zx9Qw8Rt{i}x\n", "")])
+def test_time_grows_with_depth(opening, closing):
+    """Twice as many levels take about twice as long, and all values are found."""
+    took = []
+    for levels in (1000, 4000):
+        text = deep(levels, opening, closing)
+        began = time.perf_counter()
+        spans = secrets.scan(text)
+        took.append(time.perf_counter() - began)
+        assert sum(text[a:b].strip("\"'").endswith("x") or k == "assign" for k, a, b in spans) >= levels
+    assert took[1] < 3 and took[1] < 10 * took[0]
+
+
+def test_paths_as_one_product():
+    """What the stack keeps is the product over the whole path."""
+    text = 'auth = {\n  token_store = {\n    vault = { value = "Zx9Qw8RtYu" } } }\nvalue = "Zx9Qw8RtYv"\n[credentials]\nsecret_value = Zx9Qw8RtYw'
+    got = [(name, around) for name, around, value in secrets.pairs(text) if name.endswith("value")]
+    paths = [("auth", "token_store", "vault"), (), ("credentials",)]
+    expected = [1.0, 1.0, 1.0]
+    for i, path in enumerate(paths):
+        for p in path:
+            expected[i] *= 1 - 0.75 * secrets.weigh(p)[1]
+    assert [n for n, _ in got] == ["value", "value", "secret_value"]
+    assert [a for _, a in got] == pytest.approx(expected)
+
+
 @pytest.mark.parametrize("text", ["a=" * 100_000, 'a="b"+' * 20_000, "x='" * 100_000, "key: " * 100_000, "k:\n " * 50_000, "{" * 300_000, "<a b='c'" * 50_000, "pwd=" * 100_000])
 def test_time_grows_with_length(text):
     began = time.perf_counter()
