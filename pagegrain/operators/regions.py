@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import apply_transform, fit, overlay_rect, parse_bbox, point_in_polygon
 from ..functions.text import stem
-from .catalog import ranked
+from .catalog import ranked, stable
 
 # Folders of rendered pages and raw frames, bounds of region picking.
 PAGES_PLAYBOOKS, PAGES_FRAMES, FRAMES_RAW = "/content/pages_src/playbooks", "/content/pages_src/frames", "/content/src_gcs/frames"
@@ -68,6 +68,47 @@ def by_zone(blocks: DataFrame, zones: list[tuple[str, list]], page_w: float, pag
     return placed.withColumn("zone", F.coalesce(*(hit(name, poly) for name, poly in zones))).drop("__x", "__y")
 
 
+def grid_cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> Column:
+    """The cells (column, row) of a grid that a box touches."""
+
+    def along(a: Column, b: Column) -> Column:
+        return F.sequence(F.floor(a / cell), F.floor(b / cell))
+
+    return F.flatten(F.transform(along(x0, x1), lambda i: F.transform(along(y0, y1), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+
+
+def in_zones(points: DataFrame, zones: DataFrame, cell: float = 100.0, per_task: int = 100_000) -> DataFrame:
+    """Extension: points (profile, x, y and others) with the first zone of their profile that they are in, or null.
+
+    zones: profile, pos (their order), zone, polygon (array of x, y). A polygon is listed under each cell of a grid that its hull touches, and a point meets the polygons of
+    its own cell by equal keys; each is then tested as it is. Where very many points share a cell, they are dealt to as many tasks as ``per_task`` says and the cell's
+    polygons go to each. Polygons under three corners, points without coordinates and null profiles match nothing. Repeated points stay. cell: the side of a
+    cell, best about that of a usual zone; a polygon has a row for each cell of its hull.
+    """
+    rows = stable(points.withColumn("__row", F.monotonically_increasing_id()))
+    cell_of = [F.floor(F.col(c) / cell).alias(f"c{c}") for c in ("x", "y")]
+    at = rows.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select("__row", "profile", "x", "y", *cell_of)
+
+    def axis(i: int) -> Column:
+        return F.transform("polygon", lambda p: F.get(p, i))
+
+    hull = [f(axis(i)) for f in (F.array_min, F.array_max) for i in (0, 1)]
+    listed = zones.where(F.size("polygon") > 2).select("profile", F.col("pos").alias("__pos"), F.col("zone").alias("__zone"), "polygon", F.explode(grid_cells(*hull, cell)).alias("c"))
+    listed = listed.select("profile", "__pos", "__zone", "polygon", "c.cx", "c.cy")
+    keys = ["profile", "cx", "cy"]
+    # Fewer than a million cells have more than a millionth of all points, so that their shares can be broadcast.
+    full = stable(at.groupBy(*keys).agg(F.count("*").alias("n")))
+    total = full.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shares = F.ceil(F.col("n") / max(per_task, total // 1_000_000)).cast("int")
+    hot = F.broadcast(full.select(*keys, shares.alias("shares")).where("shares > 1"))
+    share = F.coalesce("shares", F.lit(1))
+    left = at.join(hot, keys, "left").withColumn("share", F.pmod(F.xxhash64("__row"), share).cast("int")).drop("shares")
+    right = listed.join(hot, keys, "left").withColumn("share", F.explode(F.sequence(F.lit(0), share - 1))).drop("shares")
+    met = left.join(right, [*keys, "share"]).where(point_in_polygon(F.col("x"), F.col("y"), F.col("polygon")))
+    first = met.groupBy("__row").agg(F.min(F.struct("__pos", "__zone")).alias("z"))
+    return rows.join(first, "__row", "left").drop("__row").withColumn("zone", F.col("z.__zone")).drop("z")
+
+
 def summary(files: DataFrame) -> DataFrame:
     """Counts of a run's region files (path): JSON, PNG and distinct units."""
     unit = F.regexp_extract("path", r"([^/]+/[^/]+)/[^/]+$", 1)

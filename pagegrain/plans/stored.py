@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import assign, catalog, containment, normalize, textindex
+from ..operators import assign, catalog, containment, normalize, regions, textindex
 from ..sources import binary, files
 from ..sources.store import TEMPLATES, Store
 from .queries import ASSIGN, LINES, NORM, SNIPPET, TEMPLATE, doc_blocks, query, read, turn_blocks
@@ -195,3 +195,19 @@ def region_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read_ = whole.where("not png").select("page_id", "unit", F.from_json(F.col("content").cast("string"), "text string, image_b64 string").alias("j"))
     images = whole.where("png").select("page_id", F.octet_length("content").cast("long").alias("png_bytes"), F.sha1("content").alias("png_sha1"))
     return read_.join(images, "page_id", "left").select("page_id", "unit", "png_bytes", "png_sha1", F.col("j.text").alias("text"))
+
+
+@query("""WITH p AS (SELECT vec_id, i, label % 4 AS profile, CAST(embedding[2 * i + 1] AS DOUBLE) * 500 + 500 AS x, CAST(embedding[2 * i + 2] AS DOUBLE) * 700 + 500 AS y FROM embeddings, LATERAL (SELECT unnest(range(0, len(embedding) // 2)) AS i)),
+z AS (SELECT p_partkey % 4 AS profile, p_partkey AS pos, 'z' || p_partkey AS zone, CAST(p_partkey * 37 % 1000 AS DOUBLE) AS a, CAST(p_partkey * 91 % 1000 AS DOUBLE) AS b, CAST(p_size AS DOUBLE) AS s FROM part)
+SELECT zone, count(*) AS n FROM (SELECT vec_id, i, (SELECT zone FROM z WHERE z.profile = p.profile AND x > a AND x < a + s AND y > b AND y < b + s ORDER BY pos LIMIT 1) AS zone FROM p) GROUP BY zone""")
+def points_in_zone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of vectors in zones made of parts, four profiles of them: the first zone of each point."""
+    e = read(spark, sf_dir, "embeddings").select((F.col("label") % 4).alias("profile"), "embedding")
+    pairs = F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1)
+    points = e.select("profile", F.explode(F.transform(pairs, lambda i: F.struct(*(F.get("embedding", 2 * i + k).cast("double").alias(c) for k, c in ((0, "x"), (1, "y")))))).alias("p"))
+    points = points.select("profile", (F.col("p.x") * 500 + 500).alias("x"), (F.col("p.y") * 700 + 500).alias("y"))
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    a, b = (k * 37 % 1000).cast("double"), (k * 91 % 1000).cast("double")
+    square = F.array(F.array(a, b), F.array(a + size, b), F.array(a + size, b + size), F.array(a, b + size))
+    zones = read(spark, sf_dir, "part").select((k % 4).cast("int").alias("profile"), k.alias("pos"), F.concat(F.lit("z"), k.cast("string")).alias("zone"), square.alias("polygon"))
+    return regions.in_zones(points, zones, cell=50.0).groupBy("zone").agg(F.count("*").alias("n"))
