@@ -407,9 +407,12 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy(s.alias("status"), normalize.job_state(F.col("raw")).alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(i * 5 + j AS INTEGER) AS k, round(CAST(0.1 + 0.2 * j AS DOUBLE), 6) AS x, round(CAST(0.1 + 0.2 * i AS DOUBLE), 6) AS y FROM (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(range(0, 5)) AS j)""")
+@query("""SELECT page_id, CAST(i * 5 + j AS INTEGER) AS k, round(CAST([0.1, 0.3, 0.5, 0.7, 0.9][j + 1] * (640 + page_id % 10) AS DOUBLE), 6) AS x, round(CAST([0.1, 0.3, 0.5, 0.7, 0.9][i + 1] * length(html) AS DOUBLE), 6) AS y
+FROM pages, (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(range(0, 5)) AS j)""")
 def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.posexplode(geometry.grid()).alias("k", "p")).select("k", F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y"))
+    """Prompts for each page as an image: five by five points."""
+    pages = read(spark, sf_dir, "pages").select("page_id", (640 + F.col("page_id") % 10).alias("w"), F.length("html").alias("h"), F.posexplode(geometry.grid()).alias("k", "p"))
+    return pages.select("page_id", "k", F.round(F.get("p", 0) * F.col("w"), 6).alias("x"), F.round(F.get("p", 1) * F.col("h"), 6).alias("y"))
 
 
 @query("SELECT page_id, base64(encode(url)) AS image_b64, CAST(octet_length(encode(url)) AS INTEGER) AS bytes FROM pages")
@@ -479,17 +482,35 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.page_of(doc_blocks(spark, sf_dir), 2).select("id", "role")
 
 
-FRAME_ROWS = [(i, slug, name, j, field) for i, (slug, name, fields) in enumerate(schema.FRAMES) for j, field in enumerate(fields)]
+# Written out apart from the code's own templates.
+FRAME_FIELDS = """f AS (SELECT * FROM (VALUES
+  (0, 'platform-experience', 'Platform Experience', ['Stakeholder', 'Services', 'Key Expectations', 'Motivation', 'Key Resources', 'Alternatives', 'Satisfaction Drivers Success Factors', 'Attract', 'Touchpoints', 'CRM', 'Key Insights', 'Basic', 'Delight']),
+  (1, 'ecosystem-forces-scan', 'Ecosystem Forces Scan', ['Environment', 'Market', 'Macroeconomic', 'Value Chain', 'Emerging Needs']),
+  (2, 'platform-business-model', 'Platform Business Model', ['Mission', 'Core Services', 'Core Value Proposition', 'Core Network Effects', 'Consumers', 'Producers', 'Value Capture', 'Cost Structure', 'Key People Skills', 'Key Data',
+    'Key Infrastructure', 'Supporters', 'Investors', 'Suppliers', 'USP', 'TAM', 'SAM', 'SOM']),
+  (3, 'nfx-reinforcement-engines', 'NFX Reinforcement Engines', ['Demand Side', 'Supply Side', 'Core Value', 'Brand Loyalty', 'Tech Infrastructure', 'Economy of Scale', 'Experience Personal Social', 'Ecosystem Sustainability', 'Data Intelligence']),
+  (4, 'platform-value-network', 'Platform Value Network', ['Consumers', 'Producers', 'Partners', 'Owners', 'Value Propositions', 'Transactions'])) v(frame_pos, slug, frame, fields)),
+t AS (SELECT frame_pos, slug, frame, u.i AS field_pos, u.field FROM f, LATERAL (SELECT unnest(range(0, len(fields))) AS i, unnest(fields) AS field) u)"""
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(str(r) for r in FRAME_ROWS)}) v(frame_pos, slug, frame, field_pos, field)")
+@query(f"WITH {FRAME_FIELDS} SELECT frame_pos, slug, frame, CAST(field_pos AS INTEGER) AS field_pos, field, count(doc_id) AS docs, max(doc_id) AS newest FROM t LEFT JOIN documents ON doc_id % 5 = frame_pos AND doc_id % 19 >= field_pos GROUP BY ALL")
 def frame_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema.frame_fields(spark)
+    """Template fields with the documents that are dealt to them, by frame and up to a place in it."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("frame_pos"), F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 19).cast("int"))).alias("field_pos"))
+    dealt = docs.groupBy("frame_pos", "field_pos").agg(F.count("*").alias("docs"), F.max("doc_id").alias("newest"))
+    out = schema.frame_fields(spark).join(dealt, ["frame_pos", "field_pos"], "left")
+    return out.select("frame_pos", "slug", "frame", "field_pos", "field", F.coalesce("docs", F.lit(0).cast("long")).alias("docs"), "newest")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(str(r[1:]) for r in FRAME_ROWS if r[1] in schema.TARGET_FRAMES)}) v(slug, frame, field_pos, field)")
+@query(f"""WITH {FRAME_FIELDS}, w AS (SELECT DISTINCT slug, frame, field_pos, field, unnest(string_split(lower(field), ' ')) AS w FROM t WHERE slug IN ('platform-experience', 'platform-business-model')),
+n AS (SELECT w, count(DISTINCT conv_id) AS n FROM (SELECT conv_id, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')), ' ')) AS w FROM conversations) GROUP BY w)
+SELECT slug, frame, CAST(field_pos AS INTEGER) AS field_pos, field, CAST(sum(coalesce(n, 0)) AS BIGINT) AS conversations FROM w LEFT JOIN n USING (w) GROUP BY ALL""")
 def target_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema.target_fields(spark).drop("frame_pos")
+    """The fields that assignment looks for, with how many conversations have each of their words, added up."""
+    t = schema.target_fields(spark).select("slug", "frame", "field_pos", "field", F.explode(F.array_distinct(text.words(text.normalize(F.col("field"))))).alias("w"))
+    turns = turn_blocks(spark, sf_dir).select("sourceDocId", F.explode(text.words(text.normalize(F.col("text")))).alias("w"))
+    n = turns.groupBy("w").agg(F.countDistinct("sourceDocId").alias("n"))
+    return t.join(n, "w", "left").groupBy("slug", "frame", "field_pos", "field").agg(F.sum(F.coalesce("n", F.lit(0).cast("long"))).alias("conversations"))
 
 
 @query("SELECT r_name AS profile, 'zone-' || n_nationkey AS zone, n_name AS name, CAST(n_nationkey AS DOUBLE) AS x0 FROM region JOIN nation ON n_regionkey = r_regionkey")

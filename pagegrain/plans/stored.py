@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import assign, catalog, containment, normalize, regions, textindex
-from ..sources import binary, files
+from .. import schema
+from ..functions import geometry, text
+from ..operators import assign, catalog, containment, normalize, regions, report, textindex
+from ..sources import adapters, binary, files
 from ..sources.store import TEMPLATES, Store
 from .queries import ASSIGN, LINES, NORM, SNIPPET, TEMPLATE, doc_blocks, query, read, turn_blocks
 
@@ -211,3 +212,77 @@ def points_in_zone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     square = F.array(F.array(a, b), F.array(a + size, b), F.array(a + size, b + size), F.array(a, b + size))
     zones = read(spark, sf_dir, "part").select((k % 4).cast("int").alias("profile"), k.alias("pos"), F.concat(F.lit("z"), k.cast("string")).alias("zone"), square.alias("polygon"))
     return regions.in_zones(points, zones, cell=50.0).groupBy("zone").agg(F.count("*").alias("n"))
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of all pages as files: u<n>/in/<id>.html or .PNG, two levels deep."""
+    n = F.col("page_id")
+    name = F.format_string("u%d/in/%d.%s", n % 4, n, F.when(n % 2 == 0, "html").otherwise("PNG"))
+    folder = catalog.shared_folder(spark)
+    binary.write_files(read(spark, sf_dir, "pages").select(name.alias("path"), F.col("html").cast("binary").alias("content")), folder)
+    return folder
+
+
+@query("""SELECT page_id || '.PNG' AS name, '.png' AS ext, CAST(strlen(html) AS BIGINT) AS length, 'u' || page_id % 4 AS unit, CASE WHEN page_id % 8 > 6 THEN NULL END AS rejected FROM pages WHERE page_id % 2 = 1""")
+def files_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files below a folder, however deep, by a pattern, with what admission says."""
+    found = files.uploads(files.listing(spark, page_files(spark, sf_dir), "*.PNG"))
+    return found.select("name", "ext", "length", F.element_at(F.split("path", "/"), -3).alias("unit"), "rejected")
+
+
+@query("SELECT page_id, CAST(strlen(html) AS BIGINT) AS length, sha1(html) AS sha1 FROM pages")
+def files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's file, read back byte for byte."""
+    found = files.whole(spark, f"{page_files(spark, sf_dir)}/*/in/*")
+    return found.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("page_id"), "length", F.sha1("content").alias("sha1"))
+
+
+@query("""WITH n AS (SELECT doc_id, lang || '.' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' ELSE '' END AS name, lang || CASE WHEN doc_id % 3 < 2 THEN '.' || doc_id ELSE '' END AS title FROM documents),
+b AS (SELECT * FROM (VALUES (0, 1, 'heading', '10,10,580,60'), (1, 1, 'paragraph', '10,80,580,140'), (2, 1, 'list', '10,150,580,220'), (3, 2, 'table', '10,20,560,300'), (4, 2, 'paragraph', '10,320,560,380')) v(pos, page, role, bbox))
+SELECT name, pos, page, role, bbox, CASE pos WHEN 0 THEN title WHEN 1 THEN 'Mock paragraph derived from ' || name WHEN 2 THEN '• item one; • item two; • item three' WHEN 4 THEN 'Second page content (mock).' END AS text,
+CASE WHEN pos = 3 THEN '{"rows":2,"cols":2,"data":[["A","B"],["C","D"]]}' END AS "tableJson" FROM n, b""")
+def mocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of an offline ingest, for a file named after each document."""
+    k = F.col("doc_id") % 3
+    names = read(spark, sf_dir, "documents").select(F.concat("lang", F.lit("."), F.col("doc_id").cast("string"), F.when(k == 0, ".pdf").when(k == 1, ".PNG").otherwise("")).alias("name"))
+    return adapters.mock_blocks(names).withColumn("bbox", F.array_join(F.transform("bbox", text.number_text), ","))
+
+
+@query("""SELECT '/img/' || page_id || '.png' AS image, 'second' AS run FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT '/img/' || page_id || '.png', 'all' FROM pages""")
+def manifest_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest that is written over, and one that is written in two parts, read back."""
+    images = read(spark, sf_dir, "pages").select("page_id", F.format_string("/img/%d.png", "page_id").alias("image"))
+    even, odd = images.where("page_id % 2 = 0"), images.where("page_id % 2 = 1")
+    over, grown = catalog.shared_folder(spark), catalog.shared_folder(spark)
+    files.write_manifest(odd, over, "overwrite")
+    files.write_manifest(even, over, "overwrite")
+    files.write_manifest(odd, grown)
+    files.write_manifest(even, grown)
+    return files.manifest(spark, over).withColumn("run", F.lit("second")).union(files.manifest(spark, grown).withColumn("run", F.lit("all")))
+
+
+@query(f"""WITH {LINES}, n AS (SELECT (SELECT count(*) FROM documents) AS d, (SELECT count(*) FROM blocks) AS b),
+r AS (SELECT string_agg('| ' || doc_id || ' | doc-' || doc_id || ' | ' || k || ' |' || chr(10), '' ORDER BY doc_id DESC) AS r FROM (SELECT doc_id, (SELECT count(*) FROM blocks WHERE src = doc_id) AS k FROM documents ORDER BY doc_id DESC LIMIT 6)),
+o AS (SELECT string_agg('| ' || role || ' | ' || k || ' |' || chr(10), '' ORDER BY k DESC, role) AS o FROM (SELECT role, count(*) AS k FROM blocks GROUP BY role ORDER BY k DESC, role LIMIT 10))
+SELECT '# Ingest report' || chr(10) || chr(10) || '- Documents: ' || d || chr(10) || '- Blocks: ' || b || chr(10) || '- Blocks a document: ' || printf('%.2f', b / d) || chr(10) || chr(10) || '| id | title | blocks |' || chr(10) || '|---|---|---|' || chr(10)
+  || r || chr(10) || '| role | blocks |' || chr(10) || '|---|---|' || chr(10) || o AS markdown FROM n, r, o""")
+def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of all documents as Markdown, written as a file and read back."""
+    docs, blocks = adapters.docs_from_documents(read(spark, sf_dir, "documents")), doc_blocks(spark, sf_dir)
+    n = report.corpus_counts(docs, blocks).first()
+    made = report.markdown(n["docs"], n["blocks"], report.recent(docs, blocks).orderBy(F.desc("id")).collect(), report.top_roles(blocks).collect())
+    folder = catalog.shared_folder(spark)
+    binary.write_files(spark.createDataFrame([("report.md", made.encode())], "path string, content binary"), folder)
+    return files.whole(spark, f"{folder}/report.md").select(F.col("content").cast("string").alias("markdown"))
+
+
+@query("""WITH p AS (SELECT page_id, CAST(page_id % 300 + 100 AS DOUBLE) AS w, CAST(length(html) AS DOUBLE) AS h FROM pages), k AS (SELECT *, least(1000.0::DOUBLE / w, 1400.0::DOUBLE / h) AS k FROM p)
+SELECT page_id, round(k, 9) AS scale, false AS flip, round(10.0 * k, 9) AS x0, round(20.0 * k, 9) AS y0, round(w * k, 9) AS x1, round(h * k, 9) AS y1, printf('%.1f', floor(page_id / 300.0 * 1000 + 0.5) / 10) || '%' AS share FROM k""")
+def image_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images fitted into the canvas: their boxes aren't flipped. Shares have one decimal."""
+    pages = read(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 300 + 100).cast("double").alias("w"), F.length("html").cast("double").alias("h"))
+    t = geometry.fit(F.col("w"), F.col("h"), *schema.CANVAS, image=True)
+    box = geometry.apply_transform(F.array(F.lit(10.0), F.lit(20.0), F.col("w"), F.col("h")), t, F.col("h"))
+    corners = [F.round(F.get("b", i), 9).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    out = pages.select("page_id", t.alias("t"), box.alias("b"))
+    return out.select("page_id", F.round("t.scaleX", 9).alias("scale"), F.col("t.flipY").alias("flip"), *corners, text.percent(F.col("page_id") / 300.0, 1).alias("share"))
