@@ -13,6 +13,7 @@ licence without a template is not seen.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -123,6 +124,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
+def keys_of(t: Template) -> list[dict]:
+    """A template's key phrases: their words and the place of the first."""
+    parts, keys = t.text.split(), [k.split() for k in t.keys]
+    return [{"p": next(i for i in range(len(parts)) if parts[i : i + len(k)] == k), "w": k} for k in keys]
+
+
 SPREAD = 4  # votes for starts that are so many words apart still go together
 
 
@@ -145,15 +152,19 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     template's index weight that votes for verified starts at most SPREAD words apart).
 
     Null and empty texts have no words, no labels and score 0. Rows are independent but for the words' frequencies, which are counted
-    over all rows in a pass before: repeated rows and null ids stay as they are. Columns not in ``keep`` are dropped; names in it that are
+    over all rows in a pass before (a template with a key word that no row has is not looked for): repeated rows and null ids stay as they are. Columns not in ``keep`` are dropped; names in it that are
     made here raise. Needs no shuffle but for the frequencies of some hundred words. A text of any length is held as an array of its words, and its time grows with its length.
     """
     new_columns(keep, ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
     words_only = df.select(words_of(df[text]).alias("words"))
-    ix = index(frequencies(words_only), rare=rare)
+    seen = frequencies(words_only)
+    ix = index(seen, rare=rare)
+    # A template of which some key word stands in no document can't be verified anywhere, so its other words aren't looked up.
+    possible = {k for k, t in enumerate(TEMPLATES) if all(seen.get(w) for key in t.keys for w in key.split())}
+    looked_up = {w: own for w, places in ix.words.items() if (own := [ix.postings[i] for i in places if ix.postings[i][0] in possible])}
     phrase_df = Counter(w for t in (*(x.text for x in TEMPLATES), *PHRASES) for w in set(t.split()))
     phrases = [(p, label, anchor(p, phrase_df)) for p, label in PHRASES.items()]
-    wanted = sorted({*ix.words, *(p.split()[a] for p, _, a in phrases)})
+    wanted = sorted({*looked_up, *(p.split()[a] for p, _, a in phrases)})
 
     def look(words: Column) -> Column:
         """Places of index words, as (place, word)."""
@@ -166,50 +177,42 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
         found = F.filter(hits, lambda h: (h["w"] == word) & at_phrase(words, h["i"] - a, phrase))
         return F.transform(found, lambda h: F.struct((h["i"] - a).alias("i"), F.lit(label).alias("label")))
 
+    def constant(value: object, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(value)), kind)
+
+    # The index and the templates as data: what an expression does doesn't depend on how many there are.
+    postings = constant({w: [{"k": k, "p": p, "v": v} for k, p, v in own] for w, own in looked_up.items()}, "map<string,array<struct<k:int,p:int,v:double>>>")
+    own_weights = [[v for k, _, v in ix.postings if k == i] for i in range(len(TEMPLATES))]
+    bounds = [{"label": t.label, "need": least_votes(w, threshold), "most": (SPREAD + 1) * len(w), "weight": total, "keys": keys_of(t)} for t, w, total in zip(TEMPLATES, own_weights, ix.weight, strict=True)]
+    templates = constant(bounds, "array<struct<label:string,need:int,most:int,weight:double,keys:array<struct<p:int,w:array<string>>>>>")
+
     def judge(words: Column, hits: Column) -> Column:
         base = F.concat(*(standing(words, hits, *p) for p in phrases))
-        found = F.filter(F.array(*(one(words, hits, k) for k in range(len(TEMPLATES)))), lambda x: x["score"].isNotNull())
-        return F.struct(F.size(words).cast("long").alias("n_words"), base.alias("base"), found.alias("found"))
-
-    def one(words: Column, hits: Column, k: int) -> Column:
-        """A template's label and the greatest score of its verified starts; null if there is none."""
-        own = [(w, ix.postings[p][1], ix.postings[p][2]) for w, ps in ix.words.items() for p in ps if ix.postings[p][0] == k]
-        need, most = least_votes([x[2] for x in own], threshold), (SPREAD + 1) * len(own)
-
-        def cast(h: Column) -> Column:
-            votes = F.array(*(F.when(h["w"] == w, F.struct((h["i"] - place).cast("int").alias("s"), F.lit(idf).alias("v"))) for w, place, idf in own))
-            return F.filter(votes, lambda x: x.isNotNull())
-
-        def best(votes: Column) -> Column:
-            """Votes are in order of starts. Of each that has enough others within SPREAD behind it, at most ``most`` neighbours can be so near."""
-            last = F.size(votes) - need
-            firsts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-            near = F.filter(firsts, lambda j: F.get(votes, j + need - 1)["s"] - F.get(votes, j)["s"] <= SPREAD)
-
-            def window(j: Column) -> Column:
-                s = F.get(votes, j)["s"]
-                total = F.aggregate(F.slice(votes, j + 1, most), F.lit(0.0), lambda sum_, x: sum_ + F.when(x["s"] - s <= SPREAD, x["v"]).otherwise(0.0))
-                return F.struct((total / ix.weight[k]).alias("score"), s.alias("s"))
-
-            good = F.filter(F.transform(near, window), lambda x: (x["score"] >= threshold) & keyed(words, x["s"] + SPREAD // 2, TEMPLATES[k]))
-            return F.array_max(F.transform(good, lambda x: F.least(x["score"], F.lit(1.0))))
-
-        mine = F.filter(hits, lambda h: h["w"].isin(sorted({x[0] for x in own})))
-        score = F.when(F.size(mine) > 0, let(F.array_sort(F.flatten(F.transform(mine, cast))), best))
-        return F.struct(F.lit(TEMPLATES[k].label).alias("label"), score.alias("score"))
-
-    def keyed(words: Column, s: Column, t: Template) -> Column:
-        """Whether every key phrase stands near its place: the template's start may be off by a few words."""
-        parts = t.text.split()
-
-        def near(key: str) -> Column:
-            place = next(i for i in range(len(parts)) if parts[i : i + len(key.split())] == key.split())
-            return F.exists(F.sequence(F.lit(-4), F.lit(4)), lambda d: at_phrase(words, s + place + d, key))
-
-        out = F.lit(True)
-        for key in t.keys:
-            out = out & near(key)
-        return out
+        cast = F.transform(hits, lambda h: F.transform(F.try_element_at(postings, h["w"]), lambda x: F.struct(x["k"].alias("k"), (h["i"] - x["p"]).cast("int").alias("s"), x["v"].alias("v"))))
+        votes = F.array_sort(F.flatten(F.filter(cast, lambda x: x.isNotNull())))
+        found = F.when(F.size(hits) > 0, let(votes, lambda v: verified(words, v)))
+        return F.struct(F.size(words).cast("long").alias("n_words"), base.alias("base"), F.coalesce(found, F.array().cast("array<struct<label:string,score:double>>")).alias("found"))
+
+    def verified(words: Column, votes: Column) -> Column:
+        """Labels and scores of verified starts. Votes are in order of templates and starts; of each that has enough others within SPREAD behind it, at most ``most`` neighbours can be so near."""
+
+        def near(x: Column, j: Column) -> Column:
+            last = F.get(votes, j + F.get(templates, x["k"])["need"] - 1)
+            return F.when((last["k"] == x["k"]) & (last["s"] - x["s"] <= SPREAD), F.struct(x["k"].alias("k"), x["s"].alias("s"), j.alias("j")))
+
+        def window(x: Column) -> Column:
+            own = F.slice(votes, x["j"] + 1, F.get(templates, x["k"])["most"])
+            total = F.aggregate(own, F.lit(0.0), lambda sum_, y: sum_ + F.when((y["k"] == x["k"]) & (y["s"] - x["s"] <= SPREAD), y["v"]).otherwise(0.0))
+            return F.struct(F.get(templates, x["k"]).alias("t"), x["s"].alias("s"), (total / F.get(templates, x["k"])["weight"]).alias("score"))
+
+        starts = F.transform(F.filter(F.transform(votes, near), lambda x: x.isNotNull()), window)
+        good = F.filter(starts, lambda x: (x["score"] >= threshold) & F.forall(x["t"]["keys"], lambda key: there(words, x["s"] + SPREAD // 2 + key["p"], key["w"])))
+        return F.transform(good, lambda x: F.struct(x["t"]["label"].alias("label"), F.least(x["score"], F.lit(1.0)).alias("score")))
+
+    def there(words: Column, place: Column, key: Column) -> Column:
+        """Whether a key phrase stands at a place or up to four words off: the template's start may be off by a few words."""
+        off = F.sequence(F.lit(-4), F.lit(4))
+        return F.exists(off, lambda d: F.when(place + d >= 0, F.slice(words, F.greatest(place + d, F.lit(0)) + 1, F.size(key)) == key).otherwise(F.lit(False)))
 
     found = df.select(*keep, let(words_of(df[text]), look).alias("__found"))
     f = F.col("__found")
