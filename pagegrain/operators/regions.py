@@ -93,8 +93,9 @@ def in_zones(points: DataFrame, zones: DataFrame, cell: float = 100.0, per_task:
         return F.transform("polygon", lambda p: F.get(p, i))
 
     hull = [f(axis(i)) for f in (F.array_min, F.array_max) for i in (0, 1)]
-    listed = zones.where(F.size("polygon") > 2).select("profile", F.col("pos").alias("__pos"), F.col("zone").alias("__zone"), "polygon", F.explode(grid_cells(*hull, cell)).alias("c"))
-    listed = listed.select("profile", "__pos", "__zone", "polygon", "c.cx", "c.cy")
+    edges = ["x0", "y0", "x1", "y1"]
+    listed = zones.where(F.size("polygon") > 2).select("profile", F.col("pos").alias("__pos"), F.col("zone").alias("__zone"), "polygon", *(h.alias(e) for h, e in zip(hull, edges, strict=True)))
+    listed = listed.withColumn("c", F.explode(grid_cells(*map(F.col, edges), cell))).select("profile", "__pos", "__zone", "polygon", *edges, "c.cx", "c.cy")
     keys = ["profile", "cx", "cy"]
     # Fewer than a million cells have more than a millionth of all points, so that their shares can be broadcast.
     full = stable(at.groupBy(*keys).agg(F.count("*").alias("n")))
@@ -104,7 +105,8 @@ def in_zones(points: DataFrame, zones: DataFrame, cell: float = 100.0, per_task:
     share = F.coalesce("shares", F.lit(1))
     left = at.join(hot, keys, "left").withColumn("share", F.pmod(F.xxhash64("__row"), share).cast("int")).drop("shares")
     right = listed.join(hot, keys, "left").withColumn("share", F.explode(F.sequence(F.lit(0), share - 1))).drop("shares")
-    met = left.join(right, [*keys, "share"]).where(point_in_polygon(F.col("x"), F.col("y"), F.col("polygon")))
+    met = left.join(right, [*keys, "share"]).where("x >= x0 and x <= x1 and y >= y0 and y <= y1")
+    met = met.where(F.when(F.col("x").isNotNull(), point_in_polygon(F.col("x"), F.col("y"), F.col("polygon"))))
     first = met.groupBy("__row").agg(F.min(F.struct("__pos", "__zone")).alias("z"))
     return rows.join(first, "__row", "left").drop("__row").withColumn("zone", F.col("z.__zone")).drop("z")
 
