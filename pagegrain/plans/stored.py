@@ -223,7 +223,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-@query("""SELECT page_id || '.PNG' AS name, '.png' AS ext, CAST(strlen(html) AS BIGINT) AS length, 'u' || page_id % 4 AS unit, CASE WHEN page_id % 8 > 6 THEN NULL END AS rejected FROM pages WHERE page_id % 2 = 1""")
+@query("""SELECT page_id || '.PNG' AS name, '.png' AS ext, CAST(strlen(html) AS BIGINT) AS length, 'u' || page_id % 4 AS unit, CAST(CASE WHEN length(html) = 0 THEN 'empty file' END AS VARCHAR) AS rejected FROM pages WHERE page_id % 2 = 1""")
 def files_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files below a folder, however deep, by a pattern, with what admission says."""
     found = files.uploads(files.listing(spark, page_files(spark, sf_dir), "*.PNG"))
