@@ -80,8 +80,8 @@ def grid_cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> C
 def in_zones(points: DataFrame, zones: DataFrame, cell: float = 100.0, per_task: int = 100_000) -> DataFrame:
     """Extension: points (profile, x, y and others) with the first zone of their profile that they are in, or null.
 
-    zones: profile, pos (their order), zone, polygon (array of x, y). A polygon is listed under each cell of a grid that its hull touches, and a point meets the polygons of
-    its own cell by equal keys; each is then tested as it is. Where very many points share a cell, they are dealt to as many tasks as ``per_task`` says and the cell's
+    zones: profile, pos (their order), zone, polygon (array of x, y). Of equal polygons of a profile only the first can be a point's, so the others are left out. A polygon is
+    listed under each cell of a grid that its hull touches, and a point meets the polygons of its own cell by equal keys; each is then tested as it is. Where very many points share a cell, they are dealt to as many tasks as ``per_task`` says and the cell's
     polygons go to each. Polygons under three corners, points without coordinates and null profiles match nothing. Repeated points stay. cell: the side of a
     cell, best about that of a usual zone; a polygon has a row for each cell of its hull.
     """
@@ -94,7 +94,8 @@ def in_zones(points: DataFrame, zones: DataFrame, cell: float = 100.0, per_task:
 
     hull = [f(axis(i)) for f in (F.array_min, F.array_max) for i in (0, 1)]
     edges = ["x0", "y0", "x1", "y1"]
-    listed = zones.where(F.size("polygon") > 2).select("profile", F.col("pos").alias("__pos"), F.col("zone").alias("__zone"), "polygon", *(h.alias(e) for h, e in zip(hull, edges, strict=True)))
+    firsts = zones.where(F.size("polygon") > 2).groupBy("profile", "polygon").agg(F.min(F.struct(F.col("pos").alias("__pos"), F.col("zone").alias("__zone"))).alias("z"))
+    listed = firsts.select("profile", "z.__pos", "z.__zone", "polygon", *(h.alias(e) for h, e in zip(hull, edges, strict=True)))
     listed = listed.withColumn("c", F.explode(grid_cells(*map(F.col, edges), cell))).select("profile", "__pos", "__zone", "polygon", *edges, "c.cx", "c.cy")
     keys = ["profile", "cx", "cy"]
     # Fewer than a million cells have more than a millionth of all points, so that their shares can be broadcast.

@@ -48,3 +48,28 @@ def test_empty_sides(spark):
     assert regions.in_zones(points, zones).first()["zone"] == "z"
     assert regions.in_zones(points, zones.limit(0)).first()["zone"] is None
     assert regions.in_zones(points.limit(0), zones).count() == 0
+
+
+def rows_joined(df):
+    """Rows that the joins of a query have made."""
+    df.collect()
+    made, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if "Join" in name:
+            made.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return sum(made)
+
+
+def test_equal_polygons_are_looked_at_once(spark):
+    """A thousand zones on the same two squares: the first of each is what points meet."""
+    square = [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]]
+    zones = [("a", 1000 - i, f"z{i:03}", [[x + i % 2, y] for x, y in square]) for i in range(1000)] + [("a", 1, "a tie", [[x + 1.0, y] for x, y in square]), ("b", 5, "other", square)]
+    points = [(i, "a" if i % 3 else "b", i % 8 + 0.5, 4.0) for i in range(200)] + [(900, "a", 9.5, 4.0)]
+    found = regions.in_zones(spark.createDataFrame(points, "id int, profile string, x double, y double"), spark.createDataFrame(zones, "profile string, pos int, zone string, polygon array<array<double>>"))
+    expected = {i: "other" if p == "b" else "z998" if x < 1 else "a tie" for i, p, x, _ in points}
+    assert {r["id"]: r["zone"] for r in found.collect()} == expected
+    assert rows_joined(found) < 3000
