@@ -89,3 +89,21 @@ def test_empty_table_and_given_documents(spark, sf_dir):
     for q in [t[5:30] for t in texts] + ["e", "qx"]:
         assert [tuple(r) for r in index.search(q, None).orderBy("id").collect()] == [tuple(r) for r in search.search(blocks, q, None).orderBy("id").collect()]
     assert adapters.LINES > textindex.NEAR
+
+
+def test_postings_are_fewer_than_characters(spark):
+    """A span gives a trigram once, however many of its blocks have it."""
+    blocks = spark.range(20_000).select("id", F.lit(1).alias("sourceDocId"), F.lit(0).alias("page"), F.lit("p").alias("role"), F.concat(F.lit("some words that all have and "), F.col("id").cast("string")).alias("text"))
+    path = catalog.shared_folder(spark)
+    textindex.build(blocks, path, slots=4, parts=4)
+    assert spark.read.parquet(f"{path}/grams").count() * 10 < blocks.selectExpr("sum(length(text))").first()[0]
+    assert [r["id"] for r in textindex.Index(spark, path, slots=4).search("ND 12345", limit=None).collect()] == [12345]
+
+
+def test_texts_over_a_megabyte(spark):
+    long = "aB" * 800_000 + "the é end"
+    blocks = made(spark, ["short é", long, "Xthe end", long + "z", "", None, "last the é end"]).repartition(1)
+    path = catalog.shared_folder(spark)
+    textindex.build(blocks, path, slots=2, parts=2)
+    for q in ("the é", "BAB", "é", "dz", "absent"):
+        assert sorted(r["id"] for r in textindex.Index(spark, path, slots=2).search(q, limit=None).collect()) == sorted(r["id"] for r in search.search(blocks, q, None).collect())
